@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import table
+from phrasepivot.llm.common import split_column, table
+from phrasepivot.llm.decontaminate import contamination
 from phrasepivot.llm.hilbert import hilbert_shards
+from phrasepivot.llm.language_id import identify, train_language_id
 from phrasepivot.llm.simhash import simhash_components
+from phrasepivot.llm.suffix_dedup import remove_repeats
+from phrasepivot.llm.tokenize_docs import encode_documents, length_histogram, token_lengths
 from phrasepivot.llm.topk import top_k
 from phrasepivot.llm.url_filters import filter_urls
 
@@ -15,6 +19,13 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 SHARDS = 40
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -23,11 +34,29 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "lang", "source")
 
 
+def op3_byte_conv_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = split_column(F.col("doc_id"), 3) == 1
+    model = train_language_id(docs.where(~held_out))
+    return identify(docs, model).select("doc_id", (split_column(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return length_histogram(token_lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op5_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op6_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
 def op7_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -36,5 +65,13 @@ def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op5_no_random_access, op7_simhash_bk_trees, op8_redirect_equivalence)}
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests_only=True)
+
+
+def op10_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), 400)
+
+
+QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_conv_language, op4_token_counts, op5_no_random_access, op6_prefix_decontamination, op7_simhash_bk_trees, op8_redirect_equivalence, op9_bpe_automaton, op10_column_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
