@@ -9,6 +9,7 @@ from phrasepivot.llm.common import split_column, table
 from phrasepivot.llm.decontaminate import contamination
 from phrasepivot.llm.hilbert import hilbert_shards
 from phrasepivot.llm.language_id import identify, train_language_id
+from phrasepivot.llm.lm_scoring import score_documents
 from phrasepivot.llm.simhash import simhash_components
 from phrasepivot.llm.suffix_dedup import remove_repeats
 from phrasepivot.llm.tokenize_docs import encode_documents, length_histogram, token_lengths
@@ -26,6 +27,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = split_column(F.col("doc_id"), 7) == 2
+    return score_documents(table(spark, sf_dir, "documents"), held_out, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50_257)
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -73,5 +81,5 @@ def op10_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), 400)
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_conv_language, op4_token_counts, op5_no_random_access, op6_prefix_decontamination, op7_simhash_bk_trees, op8_redirect_equivalence, op9_bpe_automaton, op10_column_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_attention_lm, op2_hilbert_shards, op3_byte_conv_language, op4_token_counts, op5_no_random_access, op6_prefix_decontamination, op7_simhash_bk_trees, op8_redirect_equivalence, op9_bpe_automaton, op10_column_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}

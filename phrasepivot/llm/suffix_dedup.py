@@ -30,7 +30,7 @@ from phrasepivot.llm.column_bwt import repeated_starts
 from phrasepivot.llm.common import Staged, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of
 
 #: Most different pieces of a group that one task compares; rows compared in one go.
-GROUP, BATCH = 4096, 2048
+GROUP, BATCH = 1024, 1024
 #: Starts in a piece after a too large group is dealt anew, once and again.
 CELLS = (16, 1)
 HASHED = 16
