@@ -140,3 +140,23 @@ def small_batches(batches, max_bytes: int, column: str):
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
             yield b.slice(a, z - a)
+
+
+class Carried:
+    """Columns that an operator passes on unread, under names that can't clash with its own."""
+
+    def __init__(self, df: DataFrame, names: list[str]):
+        self.names = names
+        self.inside = [f"_carried_{i}" for i in range(len(names))]
+        self.columns = [df[n].alias(i) for n, i in zip(names, self.inside)]
+        self.schema = "".join(f", {i} {df.schema[n].dataType.simpleString()}" for n, i in zip(names, self.inside))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "columns"}  # workers need the names only
+
+    def of(self, batch) -> list:
+        return [batch.column(batch.schema.get_field_index(i)) for i in self.inside]
+
+    def named(self, df: DataFrame, own: list[str]) -> DataFrame:
+        """own first, then the carried columns by their names; a carried one of an own name is left out."""
+        return df.select(*own, *(F.col(i).alias(n) for i, n in zip(self.inside, self.names) if n not in own))

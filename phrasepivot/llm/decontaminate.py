@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import Staged, ship_package, small_batches, texts_of
+from phrasepivot.llm.common import Carried, Staged, ship_package, small_batches, texts_of
 
 #: Most bytes of windows that are broadcast at once; more go in further passes over the documents.
 BLOCK_BYTES = 4 << 20
@@ -102,8 +102,8 @@ def _counts(docs: DataFrame, words: frozenset) -> dict[bytes, int]:
     return {bytes(w): n for w, n in found.collect()}  # at most the words of one block
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted strings) for every row of docs.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids (sorted strings) for every row of docs, and the columns of carry.
 
     n_hit: words inside any occurrence of a window of width consecutive item
     words; an item of fewer words, but not none, is one window.
@@ -114,17 +114,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     columns are not read.  Windows of over BLOCK_BYTES are taken in several passes."""
     spark = docs.sparkSession
     ship_package(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind, carried = docs.schema[id_col].dataType.simpleString(), Carried(docs, carry or [])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried.columns)
     asked = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     blocks = list_or_stream(_blocks(spark, asked, width))
-    now = rows.select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    now = rows.select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), *carried.inside)
     for block, last in blocks:
         rare = prefix_index(block, _counts(rows, frozenset(w for x in block for w in x)) if block else {})
-        now = now.mapInArrow(_pass(spark.sparkContext.broadcast(rare), last), f"doc_id {kind}, " + ("n_words long, n_hit long, item_ids array<string>" if last else "text string, hits array<int>, items array<string>"))
+        now = now.mapInArrow(_pass(spark.sparkContext.broadcast(rare), last, carried), f"doc_id {kind}, " + ("n_words long, n_hit long, item_ids array<string>" if last else "text string, hits array<int>, items array<string>") + carried.schema)
         if not last:
             now = Staged(spark, now, "hits").df
-    return now
+    return carried.named(now, ["doc_id", "n_words", "n_hit", "item_ids"])
 
 
 def list_or_stream(blocks):
@@ -137,7 +137,7 @@ def list_or_stream(blocks):
     yield before or {}, True
 
 
-def _pass(sent, last: bool):
+def _pass(sent, last: bool, carried: Carried):
     """hits: flat ranges (from, to) found so far; the last pass counts the words inside any."""
 
     def run(batches):
@@ -164,10 +164,10 @@ def _pass(sent, last: bool):
                 out[2].append(sorted(items))
             if last:
                 cols = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "item_ids"])
+                yield pa.RecordBatch.from_arrays(cols + carried.of(b), ["doc_id", "n_words", "n_hit", "item_ids", *carried.inside])
             else:
                 flat = [[x for r in rs for x in r] for rs in out[0]]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(flat, pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.string()))], ["doc_id", "text", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(flat, pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.string())), *carried.of(b)], ["doc_id", "text", "hits", "items", *carried.inside])
 
     return run
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import ship_package, small_batches, utf8_views
+from phrasepivot.llm.common import Carried, ship_package, small_batches, utf8_views
 
 #: Bytes in a window; widths of the filters, and how many there are of each; size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 8, 8
@@ -148,8 +148,8 @@ def train_language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "
     return ByteConv.train(x, labels) if labels else None
 
 
-def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs.
+def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score for every row of docs, and the columns of carry.
 
     lang_pred is the language of the highest mean probability over the windows of
     the whole text, and score is that mean.  A null text, one without a letter, or
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", te
     ids are judged row by row; other columns of docs are not read."""
     spark = docs.sparkSession
     ship_package(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, carried = docs.schema[id_col].dataType.simpleString(), Carried(docs, carry or [])
     sent = spark.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches):
@@ -171,7 +171,8 @@ def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", te
                 p = model.texts(*utf8_views(b.column(1)))
                 best, score = np.where(known, p.argmax(axis=1), -1), np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
             names = [*(model.languages if model else []), UNKNOWN]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(score), *carried.of(b)], ["doc_id", "lang_pred", "score", *carried.inside])
 
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lettered.alias("lettered")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lettered.alias("lettered"), *carried.columns)
+    return carried.named(rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double{carried.schema}"), ["doc_id", "lang_pred", "score"])

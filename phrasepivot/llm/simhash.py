@@ -238,3 +238,132 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = label.join(least, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near duplicates by similarity: trees over the shards of equal minima -----------
+
+#: Minima of a document's shingles, each by a hash of its own; two documents of similarity s miss each other
+#: with probability (1 - s) ** MINIMA.
+MINIMA = 6
+#: Bits by which fingerprints of similar documents may differ: three standard deviations and more at 0.8.
+WIDE = 21
+_ODD = np.random.default_rng(17).integers(1, 1 << 62, (2, MINIMA), dtype=np.uint64) | np.uint64(1)
+
+
+def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """doc_id, node (hash of the words), fp, minima and the distinct shingles' 32-bit hashes of each row."""
+    ship_package(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in small_batches(batches, 4 << 20, "text"):
+            out = [[], [], [], []]
+            for text in texts_of(b.column(1)):
+                h = shingle_hashes(text, width)
+                low = np.array([(h * a ^ (h >> np.uint64(31)) * c).min() for a, c in _ODD.T], np.uint64) if len(h) else np.zeros(MINIMA, np.uint64)
+                words = b" ".join(text.translate(ASCII_LOWER).split())
+                for c, x in zip(out, (xxhash.xxh3_64_intdigest(words), majority(h), low.view(np.int64), np.unique(h.astype(np.uint32)).tobytes())):
+                    c.append(x)
+            node = np.array(out[0], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["doc_id", "node", "fp", "minima", "shingles"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, fp long, minima array<long>, shingles binary")
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links of at least the similarity, of candidates that the groups' trees give."""
+    tree, query = np.flatnonzero(in_tree), np.flatnonzero(asks)
+    forest = Forest(fps[tree], group[tree])
+    roots = np.array([forest.root_of.get(g, -1) for g in group[query].tolist()], np.int64)
+    query, roots = query[roots >= 0], roots[roots >= 0]
+    twins: dict[tuple[int, int], list[int]] = {}  # rows of one group and fingerprint share a node of the tree
+    for i in tree.tolist():
+        twins.setdefault((int(group[i]), int(fps[i])), []).append(i)
+    parent = list(range(len(fps)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+
+    def held(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.frombuffer(shingles[i], np.uint32)
+        return sets[i]
+
+    for q, at in forest.search(fps[query], roots, WIDE):
+        for a, first in zip(query[q].tolist(), tree[at].tolist()):
+            for b in twins[int(group[first]), int(fps[first])]:
+                if a == b or find(a) == find(b):
+                    continue
+                x, y = len(shingles[a]), len(shingles[b])
+                if min(x, y) >= similarity * max(x, y) and _jaccard(held(a), held(b)) >= similarity:
+                    parent[max(find(a), find(b))] = min(find(a), find(b))
+    root = np.array([find(i) for i in range(len(fps))], np.int64)
+    moved = np.flatnonzero(root != np.arange(len(fps)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id for every row of docs: the smallest id of the documents that a chain of
+    Jaccard similarities of at least similarity leads to, by shingles of width words.
+
+    Documents meet in shards of equal shingle minima, where BK-trees give those whose
+    fingerprints differ in at most WIDE bits; their similarity is then counted exactly.
+    Documents of equal words are one node.  Shards of one node need no tree, larger
+    ones than TREE_NODES are searched chunk by chunk.
+
+    Null, empty and wordless texts are one group.  Repeated ids stay as rows; a null id
+    is no candidate for component_id.  Empty tables give an empty result; other columns
+    are not read."""
+    spark = docs.sparkSession
+    rows = Staged(spark, _sketch(docs, id_col, text_col, width), "sketches").df
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("minima").alias("minima"))
+    nodes = Staged(spark, nodes, "nodes").df
+    shards = nodes.select("node", "fp", F.posexplode("minima").alias("t", "k"))
+    sizes = shards.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("parts"))
+    met = Staged(spark, shards.join(sizes, ["t", "k"]).withColumn("c", F.pmod(F.xxhash64("node"), "parts").cast("int")), "shards").df
+    held = rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
+    pairs = met.select("node", "fp", "t", "k", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).select("node", "fp", "t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c")
+    dealt = pairs.join(held, "node").select("fp", "t", "k", "a", "b", "c", "node", "shingles").repartition(shuffle_partitions(spark), "t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", "node")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def found(x, shingles):
+            same = np.zeros(len(x[0]), bool)
+            same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in x[1:5]])
+            src, dst = _similar(x[6], x[0].view(np.uint64), np.cumsum(~same) - 1, x[5] == x[3], x[5] == x[4], shingles, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+        held, bodies = None, []
+        for batch in small_batches(batches, 16 << 20, "shingles"):
+            x = [np.asarray(batch.column(i)).copy() for i in range(7)]
+            x = x if held is None else [np.concatenate(y) for y in zip(held, x)]
+            bodies += batch.column(7).to_pylist()
+            if not len(x[0]):
+                continue
+            last = np.logical_and.reduce([c == c[-1] for c in x[1:5]])  # rows of the last group may go on
+            cut = int(len(last) - last[::-1].argmin()) if not last.all() else 0
+            if cut:
+                yield found([c[:cut] for c in x], bodies[:cut])
+            held, bodies = [c[cut:] for c in x], bodies[cut:]
+        if held is not None and len(held[0]):
+            yield found(held, bodies)
+
+    links = dealt.mapInArrow(run, "src long, dst long")
+    members = connected_components(links, "src", "dst")
+    label = Staged(spark, nodes.select("node", "least").join(members, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes").df
+    least = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_node = label.join(least, "component").select("node", "component_id")
+    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")

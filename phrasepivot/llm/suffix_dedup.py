@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasepivot.llm.column_bwt import repeated_starts
-from phrasepivot.llm.common import Staged, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of
+from phrasepivot.llm.common import Carried, Staged, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of
 
 #: Most different pieces of a group that one task compares; rows compared in one go.
 GROUP, BATCH = 1024, 1024
@@ -369,3 +369,36 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         F.when(copy, F.lit(nothing)).when(some, F.col("kept_sha")).otherwise(F.col("sha")).alias("kept_sha256"),
     ]
     return out.select(*columns, *([F.when(copy, F.lit(b"")).when(some, F.col("kept")).alias("kept")] if with_text else []))
+
+
+def cut_repeats(docs: DataFrame, length: int, text_col: str = "text") -> DataFrame:
+    """docs with the text column cut as remove_repeats says; other columns as they are.
+
+    Where a cut goes through a character, the rest of it goes too.  Null texts stay
+    null.  Texts meet their spans by key; AQE splits the keys of many copies."""
+    ship_package(docs.sparkSession)
+    spark, names = docs.sparkSession, [c for c in docs.columns if c != text_col]
+    rows, spans = repeated_spans(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")), length)
+    copies = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("k1", "k2", F.array(F.lit(0).cast("long"), F.col("n_bytes")).alias("spans")).distinct()
+    verdict = Staged(spark, spans.join(copies, ["k1", "k2"], "left_anti").unionByName(copies), "verdict").df
+    carried = Carried(docs, names)
+
+    def key(batches):
+        import pyarrow as pa
+
+        for b in small_batches(batches, 4 << 20, "text"):
+            keys = [text_key(t) for t in texts_of(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), b.column(0), *carried.of(b)], ["k1", "k2", "text", *carried.inside])
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for b in small_batches(batches, 4 << 20, "text"):
+            spans, texts = b.column(1).to_pylist(), b.column(0).to_pylist()
+            out = [t if s is None or t is None else cut_spans(t.encode(), s).decode(errors="ignore") for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *carried.of(b)], ["text", *carried.inside])
+
+    keyed = docs.select(F.col(text_col).alias("text"), *carried.columns).mapInArrow(key, f"k1 long, k2 long, text string{carried.schema}")
+    done = keyed.join(verdict, ["k1", "k2"], "left").select("text", "spans", *carried.inside).mapInArrow(cut, f"text string{carried.schema}")
+    whole = done.select(F.col("text").alias(text_col), *(F.col(i).alias(n) for i, n in zip(carried.inside, names)))
+    return whole.select(*docs.columns)

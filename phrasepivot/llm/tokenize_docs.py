@@ -8,7 +8,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import ship_package, small_batches
+from phrasepivot.llm.common import Carried, ship_package, small_batches
 
 _loaded: dict = {}
 
@@ -22,8 +22,8 @@ def word_bpe(path: str):
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by a space), decoded for every row of docs.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by a space), decoded for every row of docs, and the columns of carry.
 
     digests_only: ids_sha256 and decoded_sha256 (lowercase hex) in place of the
     long columns, so that these never leave the worker.  A null text counts as
@@ -31,7 +31,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     table gives an empty result; other columns of docs are not read.  path: a
     tokenizer file that every executor can open."""
     ship_package(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, carried = docs.schema[id_col].dataType.simpleString(), Carried(docs, carry or [])
     names = ("ids_sha256", "decoded_sha256") if digests_only else ("ids", "decoded")
 
     def run(batches):
@@ -47,9 +47,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 n.append(ids.count(" ") + 1 if ids else 0)
                 a.append(hashlib.sha256(ids.encode()).hexdigest() if digests_only else ids)
                 d.append(hashlib.sha256(decoded.encode()).hexdigest() if digests_only else decoded)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *carried.of(b)], ["doc_id", "n_tokens", *names, *carried.inside])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, {names[0]} string, {names[1]} string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried.columns)
+    return carried.named(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, {names[0]} string, {names[1]} string{carried.schema}"), ["doc_id", "n_tokens", *names])
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
