@@ -31,6 +31,18 @@ def corpus_groups(files: DataFrame) -> DataFrame:
     return each.where(F.forall(F.zip_with("files", "langs", lambda f, x: f.endswith(F.concat(F.lit("."), x))), lambda ok: ok))
 
 
+def languages(files: DataFrame) -> DataFrame:
+    """lang: the distinct languages that directory names list."""
+    named = files.select("dir").distinct().where(F.col("dir").rlike(_LETTER) & (F.length("dir") % 2 == 0))
+    return named.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("dir"), F.lit(2)), lambda i: F.substr(F.col("dir"), i, F.lit(2)))).alias("lang")).distinct()
+
+
+def undersized(files: DataFrame) -> DataFrame:
+    """dir, files, languages of directories with fewer files than languages."""
+    counted = files.where(F.col("dir").rlike(_LETTER) & (F.length("dir") % 2 == 0)).groupBy("dir").agg(F.count(F.lit(1)).alias("files"))
+    return counted.select("dir", "files", F.floor(F.length("dir") / 2).alias("languages")).where("files < languages")
+
+
 def _of_language(files: Column, lang: Column) -> Column:
     return F.get(F.filter(files, lambda f: f.endswith(F.concat(F.lit("."), lang))), F.lit(0))
 

@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasepivot.functions.columns import format_g6, show_alignment, unaligned
+from phrasepivot.functions.columns import dot, format_g6, show_alignment, unaligned
 from phrasepivot.operators.bridge import invert, pivot_first, table_limit
 from phrasepivot.operators.lexicon import build_lexicon, with_lexical_weights
 from phrasepivot.operators.merge import marginals, merge
-from phrasepivot.plans.catalog import bilingual, corpus_groups, monolingual, pivot_corpora
+from phrasepivot.operators.quality import points_out_of_range, row_counts
+from phrasepivot.plans.catalog import bilingual, corpus_groups, languages, monolingual, pivot_corpora, undersized
 from phrasepivot.plans.triangulate import Plan
 from phrasepivot.schema import COUNTS, FEATURES
 from phrasepivot.sources.alignments import alignment_name_columns
@@ -187,6 +188,33 @@ def alignment_names(spark, sf_dir):
     return files.select("path", *(c.alias(k) for k, c in alignment_name_columns(F.col("path")).items()))
 
 
+def catalog_languages(spark, sf_dir):
+    return languages(_corpus_files(spark, sf_dir))
+
+
+def catalog_undersized(spark, sf_dir):
+    """Of the documents of odd ids, which leave directories without some language."""
+    files = _corpus_files(spark, sf_dir).where(~F.col("file").endswith(".de") & ~F.col("file").endswith(".fr"))
+    return undersized(files.withColumn("dir", F.concat("dir", F.substring(F.md5("file"), 1, 4))))
+
+
+def alignment_quality(spark, sf_dir):
+    """Points of a table whose source phrases are cut to their first word."""
+    table = source_table(spark, sf_dir).withColumn("src", F.split("src", " ")[0])
+    return points_out_of_range(table)
+
+
+def stage_counts(spark, sf_dir):
+    bridged = _bridged(spark, sf_dir)
+    return row_counts(source=source_table(spark, sf_dir), target=target_table(spark, sf_dir), bridged=bridged, merged=merge(bridged, "sum"))
+
+
+def feature_dot(spark, sf_dir):
+    """Inner products of the features of each row with weights."""
+    weights = F.array(*(F.lit(w) for w in (0.1, 0.2, 0.3, 0.4)))
+    return source_table(spark, sf_dir).select("src", "tgt", F.round(dot(F.array(*FEATURES), weights), 9).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tri_features_sum": _plan(action="features_based"),
     "tri_features_max": _plan(action="features_based", weight="maximization"),
@@ -200,7 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexicon_count_f2e": _lexical("count.f2e"),
 } | {
     f.__name__: f
-    for f in (premerge_rows, invert_modes, invert_table, marginal_src, marginal_tgt, lexicon_pairs, align_compose, align_union, unaligned_words, lexical_weight, clip_duplicates, parse_roundtrip, written_lines, number_format, topk_table_limit, catalog_groups, catalog_mono, catalog_bilingual, catalog_triangulation, alignment_names)
+    for f in (premerge_rows, invert_modes, invert_table, marginal_src, marginal_tgt, lexicon_pairs, align_compose, align_union, unaligned_words, lexical_weight, clip_duplicates, parse_roundtrip, written_lines, number_format, topk_table_limit, catalog_groups, catalog_mono, catalog_bilingual, catalog_triangulation, alignment_names, catalog_languages, catalog_undersized, alignment_quality, stage_counts, feature_dot)
 }
 
 # ---- the same in SQL ----------------------------------------------------------------
@@ -336,6 +364,11 @@ array_to_string(list_filter(range(len(string_split(tgt, ' '))), lambda i: not li
     "catalog_mono": f"with {_FILES}, each as (select case when len(langs) = 1 then 'mono' else 'multi' end as kind, unnest(files) as file from groups) select kind, file from each where ends_with(file, '.de')",
     "catalog_bilingual": f"with {_FILES} select * from (select dir, group_id, {_FIRST.format(chr(39) + 'de' + chr(39))} as file_a, {_FIRST.format(chr(39) + 'en' + chr(39))} as file_b from groups where len(langs) > 1) where file_a is not null and file_b is not null",
     "catalog_triangulation": _sql_pivots("en", "fr"),
+    "catalog_languages": f"with {_FILES} select distinct unnest(langs) as lang from listed",
+    "catalog_undersized": f"with {_FILES}, few as (select dir || substr(md5(file), 1, 4) as dir from files where not ends_with(file, '.de') and not ends_with(file, '.fr')) select dir, count(*) as files, len(dir) // 2 as languages from few group by dir having count(*) < len(dir) // 2",
+    "alignment_quality": f"with {_A}, t as (select string_split(pvt, ' ')[1] as src, phrase as tgt, align from a) select src, tgt, len(list_filter(align, lambda p: p.s >= 1 or p.t >= len(string_split(tgt, ' '))))::bigint as points from t where points > 0",
+    "stage_counts": f"{_sql_bridge()},\n{_sql_merge('sum')} select 'source' as stage, count(*) as n from a union all select 'target', count(*) from b union all select 'bridged', count(*) from tri union all select 'merged', count(*) from merged",
+    "feature_dot": f"with {_A} select pvt as src, phrase as tgt, round(phi_st * 0.1 + phi_st / 2 * 0.2 + phi_ts * 0.3 + phi_ts / 4 * 0.4, 9) as score from a",
     "alignment_names": """with p as (select distinct 'c/' || source || '.' || lang || 'en' || case doc_id % 3 when 0 then '.ali' when 1 then '.x.ali.gz' else '.txt' end as path from documents),
 q as (select path, string_split(string_split(path, '/')[-1], '.') as x from p), r as (select path, x, x[-1] = 'ali' or x[-2] = 'ali' as good from q)
 select path, case when good then x[1] end as corpus, case when good then x[2] end as pipe, case when good then x[2][1:2] end as source, case when good then x[2][3:6] end as target from r""",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phrasepivot.cli import main, parser
-from phrasepivot.plans.catalog import bilingual, corpus_groups, monolingual, pivot_corpora, report_lines, scan_corpora
+from phrasepivot.plans.catalog import bilingual, corpus_groups, languages, monolingual, pivot_corpora, report_lines, scan_corpora, undersized
 from phrasepivot.plans.decoder_config import DecoderConfig, find_tables
 from phrasepivot.sources.alignments import alignment_name_columns, parse_alignment_name, prepare_training, read_alignment
 
@@ -35,6 +35,13 @@ def test_catalogue(spark, corpora):
     assert "|  |  +- Pivot: en" in report
 
 
+def test_listing_checks(spark, corpora):
+    files = scan_corpora(spark, str(corpora))
+    assert {r.lang for r in languages(files).collect()} == {"cs", "uk", "en", "de"}
+    assert undersized(files).count() == 0
+    assert [tuple(r) for r in undersized(files.where("file not like '%.de'")).collect()] == [("csdeuk", 2, 3)]
+
+
 def test_decoder_config(spark, tmp_path):
     text = DecoderConfig(find_tables(spark, "/x/phrase-table.a:/y/phrase-table.b")).text()
     names = [x for x in text.split("\n") if x.startswith("[")]

@@ -200,6 +200,14 @@ def test_format_g6(spark):
         assert got == "%.6g" % x, (x, got, math.frexp(x))
 
 
+def test_points_out_of_range(spark):
+    from phrasepivot.operators.quality import points_out_of_range
+
+    t = table(spark, "a ||| b c ||| 1 1 1 1 ||| 0-0 1-0 0-2 ||| 1 1\na ||| b ||| 1 1 1 1 ||| 0-0 ||| 1 1")
+    assert [tuple(r) for r in points_out_of_range(t).collect()] == [("a", "b c", 2)]
+    assert build_lexicon(bridge(t, t)).count() > 0  # such points take no part
+
+
 def test_empty_tables(spark, ab):
     none = ab[0].limit(0)
     plan = Plan("counts_based", "pspt")
