@@ -22,7 +22,7 @@ ARCS, WORDS = 1_000_000, 250_000
 
 
 class Automaton:
-    """base: symbols without a merge; merges: pairs of tokens in order; ids: by token.
+    """ids: by token, base symbols and merged ones; merges: pairs of tokens in order.
 
     Tokens are strings of symbols; one token must come from one merge."""
 
@@ -39,6 +39,12 @@ class Automaton:
             self.rank[w], self.parts[w] = r, (ids[u], ids[v])
             self.merged[ids[u], ids[v]] = r
         self.arcs: dict[tuple[int, int], bool] = {}
+        # a merge whose second arc is gone from behind its first makes a token that no path has
+        self.dead: set[int] = set()
+        for w, (u, v) in self.parts.items():
+            if u in self.dead or v in self.dead or not self._allowed(u, v, self.rank[w] - 1):
+                self.dead.add(w)
+        ids = {t: i for t, i in ids.items() if i not in self.dead}
         self.trie: dict = {}
         for t, i in ids.items():
             node = self.trie
@@ -180,6 +186,12 @@ class WordBpe:
             self.known[word], self.shown[word] = ids, shown
         return ids, shown
 
+    def forget(self) -> None:
+        """Gives back what was kept of words and arcs."""
+        self.known.clear()
+        self.shown.clear()
+        self.automaton.arcs.clear()
+
     def words(self, text: str) -> list[str]:
         if text.isascii() or not self.odd(text):
             return self.plain(text.lower())

@@ -40,14 +40,17 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         from phrasepivot.llm.tokenize_docs import word_bpe
 
         bpe = word_bpe(path)
-        for b in small_batches(batches, 4 << 20, "text"):
-            n, a, d = [], [], []
-            for text in b.column(1).to_pylist():
-                ids, decoded = bpe.encode(text or "")
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(hashlib.sha256(ids.encode()).hexdigest() if digests_only else ids)
-                d.append(hashlib.sha256(decoded.encode()).hexdigest() if digests_only else decoded)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *carried.of(b)], ["doc_id", "n_tokens", *names, *carried.inside])
+        try:
+            for b in small_batches(batches, 2 << 20, "text"):
+                n, a, d = [], [], []
+                for text in b.column(1).to_pylist():
+                    ids, decoded = bpe.encode(text or "")
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    a.append(hashlib.sha256(ids.encode()).hexdigest() if digests_only else ids)
+                    d.append(hashlib.sha256(decoded.encode()).hexdigest() if digests_only else decoded)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *carried.of(b)], ["doc_id", "n_tokens", *names, *carried.inside])
+        finally:
+            bpe.forget()  # a worker lives on between tasks, of whatever query
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried.columns)
     return carried.named(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, {names[0]} string, {names[1]} string{carried.schema}"), ["doc_id", "n_tokens", *names])
