@@ -11,6 +11,7 @@ from phrasepivot.llm.hilbert import hilbert_shards
 from phrasepivot.llm.language_id import identify, train_language_id
 from phrasepivot.llm.lm_scoring import score_documents
 from phrasepivot.llm.simhash import simhash_components
+from phrasepivot.llm.sql import CONTAMINATION, TOP_K, URLS
 from phrasepivot.llm.suffix_dedup import remove_repeats
 from phrasepivot.llm.tokenize_docs import encode_documents, length_histogram, token_lengths
 from phrasepivot.llm.topk import top_k
@@ -82,4 +83,4 @@ def op10_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_attention_lm, op2_hilbert_shards, op3_byte_conv_language, op4_token_counts, op5_no_random_access, op6_prefix_decontamination, op7_simhash_bk_trees, op8_redirect_equivalence, op9_bpe_automaton, op10_column_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_no_random_access": TOP_K, "op6_prefix_decontamination": CONTAMINATION, "op8_redirect_equivalence": URLS}
