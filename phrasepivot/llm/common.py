@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -50,6 +51,31 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def tidy(run):
+    """A function of batches that gives memory back when it ends: workers live on between tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -76,6 +102,25 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scopes: list[list] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes, at its end, the tables that were staged inside, but for those in the list that it gives."""
+    kept: list[Staged] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        for made in _scopes.pop():
+            if made in kept:
+                if _scopes:
+                    _scopes[-1].append(made)
+            else:
+                made.drop()
+
+
 class Staged:
     """A DataFrame written to the shared folder and read again: its lineage
     is cut, and any executor can read it after another is lost."""
@@ -85,6 +130,8 @@ class Staged:
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_delete_quietly, spark, self.path)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def drop(self) -> None:
         delete(self.spark, self.path)

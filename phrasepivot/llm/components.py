@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         after = Staged(spark, large, "edges")
-        now.drop()
+        now.drop()  # a later deletion of what is gone does no harm
         now, before, shape = after, shape, _shape(after.df)
         if shape == before:
             break

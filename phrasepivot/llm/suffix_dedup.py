@@ -9,6 +9,8 @@ one's string, aligned at the anchor.  Pieces that share the bytes from the ancho
 on that any of their strings must hold are a group, and only groups of several
 pieces need comparing:
 
+* groups that occur once are left out by a filter of fixed size, which saves work
+  and decides nothing;
 * equal pieces are counted before any shuffle, and stand for one;
 * the other pieces of a group go through the column-wise construction of the
   collection's transform and common prefixes (``column_bwt``), whose rounds are
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasepivot.llm.column_bwt import repeated_starts
-from phrasepivot.llm.common import Carried, Staged, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of
+from phrasepivot.llm.common import Carried, Staged, scratch, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of, tidy
 
 #: Most different pieces of a group that one task compares; rows compared in one go.
 GROUP, BATCH = 1024, 1024
 #: Starts in a piece after a too large group is dealt anew, once and again.
 CELLS = (16, 1)
 HASHED = 16
+#: Bits of the filter: a power of two.
+FILTER = 26
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _PLACE = 28
 
@@ -92,7 +96,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
 
         seen = set()
         digest = xxhash.xxh3_64_intdigest
-        for b in small_batches(batches, 4 << 20, "text"):
+        for b in small_batches(batches, 2 << 20, "text"):
             texts = texts_of(b.column(1))
             keys = [text_key(t) for t in texts]
             fresh = []
@@ -127,10 +131,10 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n_bytes long, sha string, pieces array<struct<a:long,l:int,r:int,g:long,s:long>>")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, k1 long, k2 long, n_bytes long, sha string, pieces array<struct<a:long,l:int,r:int,g:long,s:long>>")
 
 
-def _chunks(rows: list[int], texts: list[bytes], length: int, most: int = 1 << 23):
+def _chunks(rows: list[int], texts: list[bytes], length: int, most: int = 1 << 21):
     """Parts of about most bytes: (row, where the part of its text begins, that part).  A longer text is
     cut into parts that overlap so that each start is in one of them."""
     part, held = [], 0
@@ -166,7 +170,7 @@ def _texts(docs: DataFrame, length: int) -> DataFrame:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["k1", "k2", "z"])
 
-    return docs.select("text").mapInArrow(run, "k1 long, k2 long, z binary")
+    return docs.select("text").mapInArrow(tidy(run), "k1 long, k2 long, z binary")
 
 
 def _cut_pieces(joined: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ def _cut_pieces(joined: DataFrame) -> DataFrame:
                 bytes_of = [text[x - y : x + z] for x, y, z in zip(a.tolist(), left.tolist(), right.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), pa.array(n), pa.array(left, pa.int32()), pa.array(bytes_of, pa.binary())], ["g", "s", "n", "l", "piece"])
 
-    return joined.mapInArrow(run, "g long, s long, n long, l int, piece binary")
+    return joined.mapInArrow(tidy(run), "g long, s long, n long, l int, piece binary")
 
 
 def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -230,7 +234,7 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
             yield found(held)
 
     dealt = pieces.select("g", "s", "n", "l", "piece").repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g", "s")
-    return dealt.mapInArrow(run, "g long, s long, lo int, hi int")
+    return dealt.mapInArrow(tidy(run), "g long, s long, lo int, hi int")
 
 
 def _smaller(pieces: DataFrame, cell: int, length: int) -> DataFrame:
@@ -258,7 +262,7 @@ def _smaller(pieces: DataFrame, cell: int, length: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["pg", "ps", "g", "s", "n", "l", "piece", "shift"])
 
-    return pieces.select("g", "s", "n", "l", "piece").mapInArrow(run, "pg long, ps long, g long, s long, n long, l int, piece binary, shift int")
+    return pieces.select("g", "s", "n", "l", "piece").mapInArrow(tidy(run), "pg long, ps long, g long, s long, n long, l int, piece binary, shift int")
 
 
 def _resolve(pieces: DataFrame, length: int, cells: tuple[int, ...]) -> DataFrame:
@@ -280,13 +284,39 @@ def _resolve(pieces: DataFrame, length: int, cells: tuple[int, ...]) -> DataFram
     return small.unionByName(back)
 
 
+def _of_repeated_groups(rows: DataFrame) -> DataFrame:
+    """(k1, k2, a, l, r, g, s) of the pieces whose group occurs more than once, and of some others."""
+    groups = rows.select(F.explode("pieces.g").alias("g")).groupBy("g").count().where("count > 1")
+    place = F.shiftrightunsigned("g", 64 - FILTER)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - FILTER}) & 63 as int))")
+    words = groups.select(F.shiftrightunsigned(place, 6).alias("w"), bit.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # of fixed size
+    table = np.zeros(1 << (FILTER - 6), np.uint64)
+    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        import pyarrow as pa
+
+        table = sent.value
+        for b in batches:
+            lists = b.column(2)
+            owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+            pieces = lists.flatten()
+            at = np.asarray(pieces.field("g")).view(np.uint64) >> np.uint64(64 - FILTER)
+            keep = np.flatnonzero((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+            owner = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), *(pieces.field(c).take(pa.array(keep)) for c in "alrgs")], ["k1", "k2", *"alrgs"])
+
+    return rows.where(F.size("pieces") > 0).select("k1", "k2", "pieces").mapInArrow(tidy(run), "k1 long, k2 long, a long, l int, r int, g long, s long")
+
+
 def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Of docs(doc_id, text): the rows (doc_id, k1, k2, n_bytes, sha, copies) and the spans (k1, k2, spans) of
     each text that occurs once: flat [from, to, ...], maximal, in order."""
     spark = docs.sparkSession
     rows = Staged(spark, _scan(docs, length), "rows").df
     copies = rows.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    flat = rows.select("k1", "k2", F.explode("pieces").alias("p")).select("k1", "k2", "p.*")
+    flat = Staged(spark, _of_repeated_groups(rows), "flat").df
     kinds = flat.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "a", "l", "r")).alias("x"))
     kinds = Staged(spark, kinds, "kinds").df
     shared = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g")
@@ -315,7 +345,7 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                 out.append(np.stack([lo[new], np.r_[top[new[1:] - 1], top[-1]]], axis=1).ravel())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["k1", "k2", "spans"])
 
-    merged = spans.mapInArrow(merge, "k1 long, k2 long, spans array<long>")
+    merged = spans.mapInArrow(tidy(merge), "k1 long, k2 long, spans array<long>")
     rows = rows.drop("pieces").join(copies, ["k1", "k2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return rows, merged
 
@@ -342,6 +372,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch() as kept:
+        out = Staged(spark, _removed(docs, length, with_text), "removed")
+        kept.append(out)
+    return out.df
+
+
+def _removed(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
     rows, spans = repeated_spans(docs, length)
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
@@ -359,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 kept = cut_spans(unpack(b.column(2)[row].as_py()), at)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), b.column(1).slice(row, 1), pa.array([sum(at[1::2]) - sum(at[::2])]), pa.array([len(at) // 2]), pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept if with_text else None], pa.binary())], ["k1", "k2", "removed", "runs", "kept_sha", "kept"])
 
-    done = once.join(_texts(docs, length), ["k1", "k2"]).select("k1", "k2", "z", "spans").mapInArrow(cut, "k1 long, k2 long, removed long, runs long, kept_sha string, kept binary")
+    done = once.join(_texts(docs, length), ["k1", "k2"]).select("k1", "k2", "z", "spans").mapInArrow(tidy(cut), "k1 long, k2 long, removed long, runs long, kept_sha string, kept binary")
     out = rows.join(done, ["k1", "k2"], "left")
     some = F.col("removed").isNotNull()
     columns = [
@@ -378,9 +415,12 @@ def cut_repeats(docs: DataFrame, length: int, text_col: str = "text") -> DataFra
     null.  Texts meet their spans by key; AQE splits the keys of many copies."""
     ship_package(docs.sparkSession)
     spark, names = docs.sparkSession, [c for c in docs.columns if c != text_col]
-    rows, spans = repeated_spans(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")), length)
-    copies = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("k1", "k2", F.array(F.lit(0).cast("long"), F.col("n_bytes")).alias("spans")).distinct()
-    verdict = Staged(spark, spans.join(copies, ["k1", "k2"], "left_anti").unionByName(copies), "verdict").df
+    with scratch() as kept:
+        rows, spans = repeated_spans(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")), length)
+        copies = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("k1", "k2", F.array(F.lit(0).cast("long"), F.col("n_bytes")).alias("spans")).distinct()
+        verdict = Staged(spark, spans.join(copies, ["k1", "k2"], "left_anti").unionByName(copies), "verdict")
+        kept.append(verdict)
+    verdict = verdict.df
     carried = Carried(docs, names)
 
     def key(batches):
@@ -398,7 +438,7 @@ def cut_repeats(docs: DataFrame, length: int, text_col: str = "text") -> DataFra
             out = [t if s is None or t is None else cut_spans(t.encode(), s).decode(errors="ignore") for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *carried.of(b)], ["text", *carried.inside])
 
-    keyed = docs.select(F.col(text_col).alias("text"), *carried.columns).mapInArrow(key, f"k1 long, k2 long, text string{carried.schema}")
-    done = keyed.join(verdict, ["k1", "k2"], "left").select("text", "spans", *carried.inside).mapInArrow(cut, f"text string{carried.schema}")
+    keyed = docs.select(F.col(text_col).alias("text"), *carried.columns).mapInArrow(tidy(key), f"k1 long, k2 long, text string{carried.schema}")
+    done = keyed.join(verdict, ["k1", "k2"], "left").select("text", "spans", *carried.inside).mapInArrow(tidy(cut), f"text string{carried.schema}")
     whole = done.select(F.col("text").alias(text_col), *(F.col(i).alias(n) for i, n in zip(carried.inside, names)))
     return whole.select(*docs.columns)
