@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import ASCII_LOWER, Staged, ship_package, shuffle_partitions, small_batches, texts_of
+from phrasepivot.llm.common import ASCII_LOWER, Staged, scratch, ship_package, shuffle_partitions, small_batches, texts_of, tidy
 from phrasepivot.llm.components import connected_components
 
 #: Most nodes of one tree; larger shards are searched chunk by chunk.
 TREE_NODES = 2048
 #: Most (query, node) pairs looked at in one step.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 SEED = 42
 
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
             fp = np.array([fingerprint(t, width) for t in texts_of(b.column(1))], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, fp long")
 
 
 class Forest:
@@ -107,25 +107,28 @@ class Forest:
             self.keys, self.child = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def search(self, query: np.ndarray, roots: np.ndarray, radius: int):
-        """Yields (query index, node) arrays of all pairs within the radius, in bounded steps."""
-        work = [(np.arange(a, min(a + 4096, len(query))), roots[a : a + 4096]) for a in range(0, len(query), 4096)]
+        """Yields (query index, node) arrays of all pairs within the radius.
+
+        What is still to do lies on a stack as queries with runs of children, and at
+        most about FRONTIER pairs are laid out at a time."""
+        work = [(np.arange(a, min(a + 4096, len(query))), None, None) for a in range(0, len(query), 4096)]
         while work:
-            q, node = work.pop()
-            if len(q) > FRONTIER:
-                half = len(q) // 2
-                work += [(q[half:], node[half:]), (q[:half], node[:half])]
-                continue
+            q, lo, many = work.pop()
+            if lo is None:
+                node = roots[q]
+            else:
+                node = self.child[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+                q = np.repeat(q, many)
             d = np.bitwise_count(query[q] ^ self.fps[node]).astype(np.int64)
             near = d <= radius
             if near.any():
                 yield q[near], node[near]
             lo = np.searchsorted(self.keys, node * 66 + np.maximum(d - radius, 1))
-            hi = np.searchsorted(self.keys, node * 66 + np.minimum(d + radius, 64), side="right")
-            many = hi - lo
-            if many.any():
-                total = int(many.sum())
-                pick = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(total)
-                work.append((np.repeat(q, many), self.child[pick]))
+            many = np.searchsorted(self.keys, node * 66 + np.minimum(d + radius, 64), side="right") - lo
+            on = np.flatnonzero(many > 0)
+            if len(on):
+                step = np.cumsum(many[on]) // FRONTIER
+                work += [(q[x], lo[x], many[x]) for x in np.split(on, np.flatnonzero(np.diff(step)) + 1)]
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -212,7 +215,7 @@ def near_links(fps: DataFrame, radius: int, rows: int | None = None) -> DataFram
         if held is not None and len(held[0]):
             yield found(held)
 
-    return dealt.mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(tidy(run), "src long, dst long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
@@ -229,15 +232,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     no row of the component has one.  Empty tables give an empty result; other
     columns of docs are not read."""
     spark = docs.sparkSession
-    rows = Staged(spark, fingerprints(docs, id_col, text_col, width), "fingerprints").df
-    nodes = Staged(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints").df
-    links = near_links(nodes.select("fp"), radius)
-    members = connected_components(links, "src", "dst")
-    label = nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    label = Staged(spark, label.select("fp", "least", "component"), "fingerprints").df
+    with scratch() as kept:
+        rows = Staged(spark, fingerprints(docs, id_col, text_col, width), "fingerprints").df
+        nodes = Staged(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints").df
+        members = connected_components(near_links(nodes.select("fp"), radius), "src", "dst")
+        by_fp = _least_of_components(nodes, members, "fp")
+        out = Staged(spark, rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "components")
+        kept.append(out)
+    return out.df
+
+
+def _least_of_components(nodes: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """key, component_id of all nodes (key, least); members (node, component) has those with links."""
+    label = nodes.select(key, "least").join(members.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+    label = Staged(nodes.sparkSession, label.select(key, "least", "component"), "labels").df
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = label.join(least, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return label.join(least, "component").select(key, "component_id")
 
 
 # ---- near duplicates by similarity: trees over the shards of equal minima -----------
@@ -247,6 +257,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 MINIMA = 6
 #: Bits by which fingerprints of similar documents may differ: three standard deviations and more at 0.8.
 WIDE = 21
+#: Most nodes of a tree here, and most bytes of their shingles.
+NEAR_NODES, NEAR_BYTES = 8192, 32 << 20
 _ODD = np.random.default_rng(17).integers(1, 1 << 62, (2, MINIMA), dtype=np.uint64) | np.uint64(1)
 
 
@@ -269,12 +281,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             node = np.array(out[0], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["doc_id", "node", "fp", "minima", "shingles"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, fp long, minima array<long>, shingles binary")
-
-
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(len(a) + len(b) - both, 1)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, node long, fp long, minima array<long>, shingles binary")
 
 
 def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np.ndarray, np.ndarray]:
@@ -283,35 +290,54 @@ def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np
     forest = Forest(fps[tree], group[tree])
     roots = np.array([forest.root_of.get(g, -1) for g in group[query].tolist()], np.int64)
     query, roots = query[roots >= 0], roots[roots >= 0]
-    twins: dict[tuple[int, int], list[int]] = {}  # rows of one group and fingerprint share a node of the tree
-    for i in tree.tolist():
-        twins.setdefault((int(group[i]), int(fps[i])), []).append(i)
-    parent = list(range(len(fps)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    sets: dict[int, np.ndarray] = {}
-
-    def held(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = np.frombuffer(shingles[i], np.uint32)
-        return sets[i]
-
-    for q, at in forest.search(fps[query], roots, WIDE):
-        for a, first in zip(query[q].tolist(), tree[at].tolist()):
-            for b in twins[int(group[first]), int(fps[first])]:
-                if a == b or find(a) == find(b):
-                    continue
-                x, y = len(shingles[a]), len(shingles[b])
-                if min(x, y) >= similarity * max(x, y) and _jaccard(held(a), held(b)) >= similarity:
-                    parent[max(find(a), find(b))] = min(find(a), find(b))
-    root = np.array([find(i) for i in range(len(fps))], np.int64)
-    moved = np.flatnonzero(root != np.arange(len(fps)))
-    return nodes[moved], nodes[root[moved]]
+    # rows of one group and fingerprint share a node of the tree: each node's rows are a run of an order
+    order = tree[np.lexsort((tree, fps[tree], group[tree]))]
+    new = np.r_[True, (fps[order[1:]] != fps[order[:-1]]) | (group[order[1:]] != group[order[:-1]])] if len(order) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    run_of = np.zeros(len(fps), np.int64)
+    run_of[order] = np.cumsum(new) - 1
+    many = np.diff(np.r_[begin, len(order)])
+    size = np.array([len(s) // 4 for s in shingles], np.int64)
+    label = np.arange(len(fps))
+    begins = np.cumsum(size) - size
+    ids = np.unique(np.frombuffer(b"".join(shingles), np.uint32), return_inverse=True)[1]
+    marked = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        """Of a row and others: whether their shingles are similar enough."""
+        own, count = ids[begins[x] : begins[x] + size[x]], size[others]
+        marked[own] = True
+        at = np.repeat(begins[others] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        both = np.add.reduceat(marked[ids[at]], np.cumsum(count) - count, dtype=np.int64)
+        marked[own] = False
+        return both >= similarity * (size[x] + count - both) - 1e-9
+
+    def candidates():
+        """Pairs of rows from pairs of a query and a node, in bounded steps."""
+        for q, at in forest.search(fps[query], roots, WIDE):
+            run = run_of[tree[at]]
+            for cut in np.split(np.arange(len(q)), np.flatnonzero(np.diff(np.cumsum(many[run]) // FRONTIER)) + 1):
+                count = many[run[cut]]
+                skip = np.repeat(begin[run[cut]] - (np.cumsum(count) - count), count)
+                yield np.repeat(query[q[cut]], count), order[skip + np.arange(int(count.sum()))]
+
+    for a, b in candidates():
+        able = (a != b) & (size[a] > 0) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        order_a = np.argsort(a[able], kind="stable")
+        a, b, rows = a[able][order_a], b[able][order_a], 1
+        while len(a):  # more and more rows at a time: the first links leave fewer pairs to look at
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            heads = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])[: rows + 1] if len(a) else np.zeros(0, np.int64)
+            to = int(heads[rows]) if len(heads) > rows else len(a)
+            ends = [*heads[1:].tolist(), to][: min(rows, len(heads))]
+            for x, y in zip(heads.tolist(), ends):
+                for z in range(x, y, 4096):
+                    b[z : min(z + 4096, y)][~near(int(a[x]), b[z : min(z + 4096, y)])] = a[x]
+            label = _spanning(len(fps), a[:to], b[:to], label)
+            a, b, rows = a[to:], b[to:], min(2 * rows, 256)
+    moved = np.flatnonzero(label != np.arange(len(fps)))
+    return nodes[moved], nodes[label[moved]]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -321,17 +347,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents meet in shards of equal shingle minima, where BK-trees give those whose
     fingerprints differ in at most WIDE bits; their similarity is then counted exactly.
     Documents of equal words are one node.  Shards of one node need no tree, larger
-    ones than TREE_NODES are searched chunk by chunk.
+    ones than NEAR_NODES or NEAR_BYTES are searched chunk by chunk.
 
     Null, empty and wordless texts are one group.  Repeated ids stay as rows; a null id
     is no candidate for component_id.  Empty tables give an empty result; other columns
     are not read."""
     spark = docs.sparkSession
-    rows = Staged(spark, _sketch(docs, id_col, text_col, width), "sketches").df
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("minima").alias("minima"))
-    nodes = Staged(spark, nodes, "nodes").df
-    shards = nodes.select("node", "fp", F.posexplode("minima").alias("t", "k"))
-    sizes = shards.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("parts"))
+    with scratch() as kept:
+        rows = Staged(spark, _sketch(docs, id_col, text_col, width), "sketches").df
+        nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("minima").alias("minima"), F.first(F.octet_length("shingles")).alias("bytes"))
+        nodes = Staged(spark, nodes, "nodes").df
+        members = connected_components(_similar_links(rows, nodes, similarity), "src", "dst")
+        out = Staged(spark, rows.select("doc_id", "node").join(_least_of_components(nodes, members, "node"), "node").select("doc_id", "component_id"), "components")
+        kept.append(out)
+    return out.df
+
+
+def _similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): a spanning set of the links between nodes that meet in a shard."""
+    spark = rows.sparkSession
+    shards = nodes.select("node", "fp", "bytes", F.posexplode("minima").alias("t", "k"))
+    sizes = shards.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).where("n > 1").select("t", "k", F.ceil(F.greatest(F.col("n") / NEAR_NODES, F.col("b") / NEAR_BYTES, F.lit(1.0))).cast("int").alias("parts"))
     met = Staged(spark, shards.join(sizes, ["t", "k"]).withColumn("c", F.pmod(F.xxhash64("node"), "parts").cast("int")), "shards").df
     held = rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
     pairs = met.select("node", "fp", "t", "k", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).select("node", "fp", "t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c")
@@ -361,9 +397,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held is not None and len(held[0]):
             yield found(held, bodies)
 
-    links = dealt.mapInArrow(run, "src long, dst long")
-    members = connected_components(links, "src", "dst")
-    label = Staged(spark, nodes.select("node", "least").join(members, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes").df
-    least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = label.join(least, "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+    return dealt.mapInArrow(tidy(run), "src long, dst long")
