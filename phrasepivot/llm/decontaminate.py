@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import Carried, Staged, ship_package, small_batches, texts_of
+from phrasepivot.llm.common import Carried, Staged, ship_package, small_batches, texts_of, tidy
 
 #: Most bytes of windows that are broadcast at once; more go in further passes over the documents.
 BLOCK_BYTES = 4 << 20
@@ -72,7 +72,7 @@ def _blocks(spark, items: DataFrame, width: int):
                     out[1].append(i or "")
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string())], ["w", "item"])
 
-    cut_items = items.mapInArrow(cut, "w binary, item string")
+    cut_items = items.mapInArrow(tidy(cut), "w binary, item string")
     windows = Staged(spark, cut_items.distinct().withColumn("h", F.xxhash64("w")), "windows").df
     total = windows.agg(F.sum(F.octet_length("w") + F.octet_length("item"))).first()[0] or 0
     count = -(-total // (BLOCK_BYTES // 2)) if total > BLOCK_BYTES else 1
@@ -98,7 +98,7 @@ def _counts(docs: DataFrame, words: frozenset) -> dict[bytes, int]:
                     counts[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
 
-    found = docs.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidy(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return {bytes(w): n for w, n in found.collect()}  # at most the words of one block
 
 
@@ -121,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     now = rows.select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), *carried.inside)
     for block, last in blocks:
         rare = prefix_index(block, _counts(rows, frozenset(w for x in block for w in x)) if block else {})
-        now = now.mapInArrow(_pass(spark.sparkContext.broadcast(rare), last, carried), f"doc_id {kind}, " + ("n_words long, n_hit long, item_ids array<string>" if last else "text string, hits array<int>, items array<string>") + carried.schema)
+        now = now.mapInArrow(tidy(_pass(spark.sparkContext.broadcast(rare), last, carried)), f"doc_id {kind}, " + ("n_words long, n_hit long, item_ids array<string>" if last else "text string, hits array<int>, items array<string>") + carried.schema)
         if not last:
             now = Staged(spark, now, "hits").df
     return carried.named(now, ["doc_id", "n_words", "n_hit", "item_ids"])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phrasepivot.llm.common import Staged, ship_package, shuffle_partitions
+from phrasepivot.llm.common import Staged, ship_package, shuffle_partitions, tidy
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -99,11 +99,11 @@ def hilbert_shards(df: DataFrame, dims: list[str], tie: list[str], shards: int,
             at += b.num_rows
 
     cells = [q.alias(f"_{i}") for i, q in enumerate(quantised(df, dims, bits))]
-    on_curve = df.select(*cells, *df.columns).mapInArrow(curve, T.StructType([*df.schema.fields, T.StructField("curve", T.LongType())]))
+    on_curve = df.select(*cells, *df.columns).mapInArrow(tidy(curve), T.StructType([*df.schema.fields, T.StructField("curve", T.LongType())]))
     on_curve = Staged(spark, on_curve, "metadata").df
     order = ["curve", F.xxhash64(*tie), *tie]
     dealt = on_curve.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    placed = Staged(spark, dealt.mapInArrow(place, T.StructType([*on_curve.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])), "metadata").df
+    placed = Staged(spark, dealt.mapInArrow(tidy(place), T.StructType([*on_curve.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])), "metadata").df
     counts = dict(placed.groupBy("_part").count().collect())  # a row for each partition
     total, before, offsets = sum(counts.values()), 0, []
     for part in sorted(counts):

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import Carried, ship_package, small_batches, utf8_views
+from phrasepivot.llm.common import Carried, ship_package, small_batches, tidy, utf8_views
 
 #: Bytes in a window; widths of the filters, and how many there are of each; size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 8, 8
@@ -175,4 +175,4 @@ def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", te
 
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lettered.alias("lettered"), *carried.columns)
-    return carried.named(rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double{carried.schema}"), ["doc_id", "lang_pred", "score"])
+    return carried.named(rows.mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double{carried.schema}"), ["doc_id", "lang_pred", "score"])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import Staged, ship_package
+from phrasepivot.llm.common import Staged, ship_package, tidy
 
 #: Rows in a block of vectors, each with a sorted list for every dimension, and queries in a chunk.
 BLOCK, CHUNK = 4096, 512
@@ -113,7 +113,7 @@ def _packed(df: DataFrame, rows: int, dims: int) -> DataFrame:
         if held:
             yield out()
 
-    return df.mapInArrow(run, "ids binary, x binary")
+    return df.mapInArrow(tidy(run), "ids binary, x binary")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
