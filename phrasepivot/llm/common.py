@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: ASCII upper to lower case, for text that is compared as UTF-8 bytes.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Most rows of a batch that goes to a worker.
+ARROW_ROWS = 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _shipped: set[str] = set()
 
@@ -34,8 +36,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application, and bounds what is sent to their
+    workers at a time: by default that is 10,000 rows, of long texts hundreds of megabytes."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, min(int(spark.conf.get(rows)), ARROW_ROWS) if int(spark.conf.get(rows)) > 0 else ARROW_ROWS)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -8,7 +8,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import Carried, ship_package, small_batches
+from phrasepivot.llm.common import Carried, Staged, ship_package, small_batches, tidy
 
 _loaded: dict = {}
 
@@ -37,7 +37,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         import pyarrow as pa
 
-        from phrasepivot.llm.tokenize_docs import word_bpe
+        from phrasepivot.llm.tokenize_docs import _loaded, word_bpe
 
         bpe = word_bpe(path)
         try:
@@ -51,9 +51,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *carried.of(b)], ["doc_id", "n_tokens", *names, *carried.inside])
         finally:
             bpe.forget()  # a worker lives on between tasks, of whatever query
+            _loaded.pop(path, None)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried.columns)
-    return carried.named(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, {names[0]} string, {names[1]} string{carried.schema}"), ["doc_id", "n_tokens", *names])
+    return carried.named(rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, {names[0]} string, {names[1]} string{carried.schema}"), ["doc_id", "n_tokens", *names])
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -71,7 +72,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
             out = [bpe.decode(list(map(int, (x or "").split()))) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "decoded"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, decoded string")
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(run), f"doc_id {kind}, decoded string")
 
 
 def rank_encoder(path: str, pattern: str):
@@ -99,7 +100,7 @@ def token_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         for b in small_batches(batches, 4 << 20, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long")
 
 
 #: Lengths in a bucket of the suffix sums.
@@ -115,6 +116,7 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     lengths, and over the buckets' sums.  Null lengths count as 0.  An empty
     table gives an empty result."""
     counts = lengths.groupBy(F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = Staged(lengths.sparkSession, counts, "lengths").df  # both the buckets and their lengths read it
     counts = counts.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     buckets = counts.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
