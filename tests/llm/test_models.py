@@ -237,3 +237,33 @@ def test_scores(spark, docs, monkeypatch):
     assert sum(r.score for r in mine) / sum(r.n_tokens for r in mine) > -3
     assert lm_scoring.score_documents(docs.limit(0), held_out, RANKS, public_tokenizers.PATTERN, 50_257).count() == 0
     assert all(r.n_known == 0 and r.base_score == 0 for r in lm_scoring.score_documents(docs.limit(4), F.lit(True), RANKS, public_tokenizers.PATTERN, 50_257).collect())
+
+
+def test_counts_take_all_training_texts(spark, docs, monkeypatch):
+    """With the production settings: slots and what follows what are of every training text."""
+    frames, slots = [], []
+
+    monkeypatch.setattr(lm_scoring, "Frame", lambda *x: frames.append([c.copy() for c in x]) or Frame(*x))
+    kept = lm_scoring.slots_by_count
+    monkeypatch.setattr(lm_scoring, "slots_by_count", lambda counts, starts: slots.append(counts.copy()) or kept(counts, starts))
+    held_out = split_column(F.col("doc_id"), 7) == 2
+    lm_scoring.score_documents(docs, held_out, RANKS, public_tokenizers.PATTERN, 50_257)
+    encoder, ids, follows = rank_encoder(RANKS, public_tokenizers.PATTERN), Counter(), Counter()
+    (slot, starts, pairs, _), = frames
+    for r in docs.collect():
+        if split_of(r.doc_id, 7) != 2:
+            words = (r.text or "").encode().translate(lm_scoring.ASCII_LOWER).split()
+            own = encoder.encode_ordinary(b"".join(b" " + w for w in words).decode())
+            ids.update(own)
+            own = [50_256, *own, 50_256]
+            follows.update((slot[a], slot[b]) for a, b in zip(own, own[1:]))
+    assert {i: n for i, n in enumerate(slots[0]) if n and i < 50_256} == ids
+    begins = np.zeros(SLOTS, bool)
+    begins[slot[starts]] = True
+    want = np.zeros((SLOTS, SLOTS))
+    for (a, b), n in follows.items():
+        want[a, b] = n
+    heads = want[:, begins].sum(axis=0)
+    ends = want[:, begins].sum(axis=1, keepdims=True)
+    want[:, begins] = ends * (want[:, begins] + 20 * heads / heads.sum()) / (ends + 20)
+    assert np.allclose(pairs, want)
