@@ -267,3 +267,12 @@ def test_counts_take_all_training_texts(spark, docs, monkeypatch):
     ends = want[:, begins].sum(axis=1, keepdims=True)
     want[:, begins] = ends * (want[:, begins] + 20 * heads / heads.sum()) / (ends + 20)
     assert np.allclose(pairs, want)
+
+
+def test_all_training_texts_train(spark, docs, monkeypatch):
+    """With the production settings, the rounds' shares are all training texts."""
+    trained, run = [], lm_scoring._train_round
+    monkeypatch.setattr(lm_scoring, "_train_round", lambda texts, *x: trained.extend(r.text for r in texts.collect()) or run(texts, *x))
+    held_out = split_column(F.col("doc_id"), 7) == 2
+    lm_scoring.score_documents(docs, held_out, RANKS, public_tokenizers.PATTERN, 50_257)
+    assert Counter(trained) == Counter(r.text or "" for r in docs.collect() if split_of(r.doc_id, 7) != 2)
