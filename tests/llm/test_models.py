@@ -276,3 +276,17 @@ def test_all_training_texts_train(spark, docs, monkeypatch):
     held_out = split_column(F.col("doc_id"), 7) == 2
     lm_scoring.score_documents(docs, held_out, RANKS, public_tokenizers.PATTERN, 50_257)
     assert Counter(trained) == Counter(r.text or "" for r in docs.collect() if split_of(r.doc_id, 7) != 2)
+
+
+@pytest.mark.parametrize("top", [0, 40])
+def test_scores_do_not_depend_on_which_counts_are_broadcast(spark, docs, monkeypatch, top):
+    held_out = split_column(F.col("doc_id"), 7) == 2
+
+    def scores():
+        got = lm_scoring.score_documents(docs.coalesce(1), held_out, RANKS, public_tokenizers.PATTERN, 50_257).collect()
+        return sorted((r.doc_id is None, r.doc_id, r.n_known, r.score) for r in got)
+
+    want = scores()
+    monkeypatch.setattr(lm_scoring, "TOP_WORDS", top)
+    for a, b in zip(scores(), want, strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-5)
