@@ -290,3 +290,16 @@ def test_scores_do_not_depend_on_which_counts_are_broadcast(spark, docs, monkeyp
     monkeypatch.setattr(lm_scoring, "TOP_WORDS", top)
     for a, b in zip(scores(), want, strict=True):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-5)
+
+
+def test_copies_met_after_the_cache_began_anew(spark, monkeypatch):
+    for name, value in (("TOP_WORDS", 0), ("CACHED", 1), ("BATCH_BYTES", 16)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    texts = ["red green blue " + "red " * (i % 3 == 0) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = lm_scoring.score_documents(docs, F.lit(False), RANKS, public_tokenizers.PATTERN, 50_257).collect()
+    assert all(r.n_known == r.n_tokens == len(texts[r.doc_id].split()) + 1 for r in got)
+    total = sum(len(t.split()) + 1 for t in texts)
+    count, d = Counter(w for t in texts for w in t.split()), total + 3 + 1 + 1
+    for r in got:
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / d) for w in texts[r.doc_id].split()) + math.log10(13 / d), rel=1e-9)
