@@ -11,7 +11,7 @@ pair of chunks is searched by a task of its own, so none is left out.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import xxhash
@@ -255,7 +255,7 @@ def _least_of_components(nodes: DataFrame, members: DataFrame, key: str) -> Data
 #: Minima of a document's shingles, each by a hash of its own; two documents of similarity s miss each other
 #: with probability (1 - s) ** MINIMA.
 MINIMA = 6
-#: Bits by which fingerprints of similar documents may differ: three standard deviations and more at 0.8.
+#: Bits by which fingerprints of most similar documents differ at most; trees give those pairs first, the others follow.
 WIDE = 21
 #: Most nodes of a tree here, and most bytes of their shingles.
 NEAR_NODES, NEAR_BYTES = 8192, 32 << 20
@@ -276,7 +276,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 h = shingle_hashes(text, width)
                 low = np.array([(h * a ^ (h >> np.uint64(31)) * c).min() for a, c in _ODD.T], np.uint64) if len(h) else np.zeros(MINIMA, np.uint64)
                 words = b" ".join(text.translate(ASCII_LOWER).split())
-                for c, x in zip(out, (xxhash.xxh3_64_intdigest(words), majority(h), low.view(np.int64), np.unique(h.astype(np.uint32)).tobytes())):
+                for c, x in zip(out, (xxhash.xxh3_64_intdigest(words), majority(np.unique(h)), low.view(np.int64), np.unique(h.astype(np.uint32)).tobytes())):
                     c.append(x)
             node = np.array(out[0], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["doc_id", "node", "fp", "minima", "shingles"])
@@ -285,7 +285,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links of at least the similarity, of candidates that the groups' trees give."""
+    """A spanning set of the links of at least the similarity in the groups: of candidates that their trees give, then of all others."""
     tree, query = np.flatnonzero(in_tree), np.flatnonzero(asks)
     forest = Forest(fps[tree], group[tree])
     roots = np.array([forest.root_of.get(g, -1) for g in group[query].tolist()], np.int64)
@@ -321,7 +321,23 @@ def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np
                 skip = np.repeat(begin[run[cut]] - (np.cumsum(count) - count), count)
                 yield np.repeat(query[q[cut]], count), order[skip + np.arange(int(count.sum()))]
 
-    for a, b in candidates():
+    def others():
+        """All pairs of rows of a group that differ in size by no more than the similarity allows, in bounded steps."""
+        rows = tree[np.lexsort((size[tree], group[tree]))]
+        most = int(size.max(initial=0)) + 1
+        keys = group[rows] * most + size[rows]
+        place = np.full(len(fps), -1)
+        place[rows] = np.arange(len(rows))
+        own = group[query] * most
+        # a row that is in the tree itself meets those after it
+        low = np.where(in_tree[query], place[query] + 1, np.searchsorted(keys, own + np.ceil(similarity * size[query] - 1e-9).astype(np.int64)))
+        high = np.searchsorted(keys, own + np.minimum(np.floor(size[query] / similarity + 1e-9).astype(np.int64), most - 1), "right")
+        count = np.maximum(high - low, 0)
+        for cut in np.split(np.arange(len(query)), np.flatnonzero(np.diff(np.cumsum(count) // FRONTIER)) + 1):
+            n = count[cut]
+            yield np.repeat(query[cut], n), rows[np.repeat(low[cut] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    for a, b in chain(candidates(), others()):
         able = (a != b) & (size[a] > 0) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
         order_a = np.argsort(a[able], kind="stable")
         a, b, rows = a[able][order_a], b[able][order_a], 1
@@ -345,7 +361,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Jaccard similarities of at least similarity leads to, by shingles of width words.
 
     Documents meet in shards of equal shingle minima, where BK-trees give those whose
-    fingerprints differ in at most WIDE bits; their similarity is then counted exactly.
+    fingerprints differ in at most WIDE bits, and the pairs that these leave unlinked follow;
+    their similarity is counted exactly.
     Documents of equal words are one node.  Shards of one node need no tree, larger
     ones than NEAR_NODES or NEAR_BYTES are searched chunk by chunk.
 

@@ -217,6 +217,31 @@ def test_near_duplicates(spark, monkeypatch, nodes):
 # ---- decontamination ----------------------------------------------------------------------
 
 
+def test_near_duplicates_of_far_fingerprints(spark):
+    """Lines that one text repeats move its fingerprint, not its distinct shingles; so do pairs of any radius."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(12):
+        body, line = ([letters(rng, 6, "abcdefgh") for _ in range(n)] for n in (200, 30))
+        texts += [" ".join(body + line), " ".join(body + line * 20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert all(got[i] == i // 2 * 2 for i in range(len(texts)))
+
+
+def test_no_radius_filters_similar_rows():
+    """Rows of a group whose fingerprints are opposite are linked if their shingles are similar."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 32, 300, dtype=np.uint64).astype(np.uint32)) for _ in range(6)]
+    shingles = [s.tobytes() for s in sets] + [s[: int(len(s) * 0.9)].tobytes() for s in sets]
+    fps = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps, group = np.r_[fps, ~fps], np.zeros(12, np.int64)
+    for in_tree in (np.ones(12, bool), np.arange(12) < 6):
+        asks = in_tree if in_tree.all() else ~in_tree
+        src, dst = simhash._similar(np.arange(12), fps, group, in_tree, asks, shingles, 0.8)
+        assert sorted(tuple(sorted(p)) for p in zip(src.tolist(), dst.tolist())) == [(i, i + 6) for i in range(6)]
+
+
 @pytest.mark.parametrize("block", [4 << 20, 600])
 def test_contamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
