@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -78,3 +79,16 @@ def test_stages_keep_the_columns(spark, folder):
         assert out.dtypes == docs.dtypes
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, docs.limit(0), path).count() == 0
+
+
+def test_language_stage(spark):
+    rng = random.Random(4)
+    of = {"aa": ["an", "th", "ing"], "bb": ["ö", "ung", "sch"], "cc": ["eau", "qu", "è"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(of[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, say(lang := rng.choice(list(of)), 60), lang) for i in range(240)]
+    mixed = " ".join(say(lang, 200) for lang in of)
+    rows += [(900, mixed, None), (901, "thing", None), (902, "12 !", None), (903, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {*range(240), 901}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, unlabelled, "").collect()} == {*range(240), 900, 901}
