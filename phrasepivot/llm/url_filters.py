@@ -60,17 +60,31 @@ def with_rules(df: DataFrame, rules: list[tuple[str, str, str]], host: str, path
     return df.join(best, [host, path], "left").withColumn("rule", F.col("best.r_rule")).withColumn("action", F.col("best.r_action")).drop("best")
 
 
+def _resolved(path: Column, to: Column) -> Column:
+    """Path and query that a reference without a host names, from a page of this path; null where it names none."""
+    own = F.regexp_extract(to, r"(?s)^[^?#]*", 0)
+    query = F.regexp_extract(to, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    base = F.when(path == "", "/").otherwise(path)
+    whole = F.when(own == "", base).when(own.startswith("/"), own).otherwise(F.concat(F.regexp_extract(base, r"(?s)^.*/", 0), own))
+    parts = F.slice(F.split(whole, "/"), 2, F.size(F.split(whole, "/")))
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+    named = ~to.startswith("#") & ~own.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    return F.when(named, F.concat(F.lit("/"), F.when(own == "", F.substring(base, 2, 1 << 30)).otherwise(F.array_join(kept, "/")), query))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) of canonical links and refresh redirects found in the pages' markup.
 
-    Links to no absolute URL are resolved against the page's scheme and host when
-    they begin with ``/``; others are left out, as they name no other host's page."""
+    Links to no absolute URL are resolved against the page's: against its scheme and host when
+    they begin with ``/``, its path when they begin with ``?``, else its path up to the last ``/``;
+    ``.`` and ``..`` in the path go. Links with a scheme but no ``://``, and fragments, are left out."""
     tags = F.expr(f"regexp_extract_all({html}, r'{_TAG}', 0)")
     tag = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?is)canonical|refresh")).select(F.col(url).alias("page_url"), F.explode(tags).alias("tag"))
     to = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _URL, 1))
     found = tag.select("page_url", to.alias("to")).where("to <> ''")
     scheme = F.substring_index("page_url", "://", 1)
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("page_url")), "to"))
+    full = F.when(F.regexp_extract("to", r"(?s)^[^?#]*", 0).contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).otherwise(F.concat(scheme, F.lit("://"), host_of(F.col("page_url")), _resolved(path_of(F.col("page_url")), F.col("to"))))
     return found.select(_node(F.col("page_url")).alias("src"), _node(full).alias("dst")).where("src <> dst").distinct()
 
 

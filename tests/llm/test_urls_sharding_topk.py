@@ -138,3 +138,15 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     assert top_k(df.limit(0), df, 5).count() == 0 and top_k(df, df.limit(0), 5).count() == 0
     assert top_k(df.where("vec_id in (0, 1, 2)"), df.where("vec_id = 0"), 5).agg(F.max("rank")).first()[0] == 2
+
+
+def test_relative_links(spark):
+    from phrasepivot.llm.url_filters import alias_edges
+
+    cases = {"de/start.html": "/a/b/de/start.html", "../fr/x": "/a/fr/x", "../../../x/./y": "/x/y", "?id=2": "/a/b/index.html?id=2", "./": "/a/b/", "..": "/a/", "/p/../q?u=http://z.net/": "/q?u=http://z.net/", "x?u=http://z.net/#f": "/a/b/x?u=http://z.net/", "#top": None, "mailto:a@b.c": None}
+    pages = spark.createDataFrame([(f"http://S{i}.com/a/b/index.html?k#f", f"<link rel=canonical href='{to}'>") for i, to in enumerate(cases)] + [("http://t.com", "<meta http-equiv=refresh content='0; url=de/1'>")], "url string, html string")
+    got = {(r.src, r.dst) for r in alias_edges(pages).collect()}
+    want = {(f"http://s{i}.com/a/b/index.html?k", f"http://s{i}.com{path}") for i, path in enumerate(cases.values()) if path}
+    assert got == want | {("http://t.com", "http://t.com/de/1")}
+    site = spark.createDataFrame([(1, "http://site.com/index.html", "<link rel=canonical href=de/start.html>")], "page_id long, url string, html string")
+    assert filter_urls(site, [("block", "com", "/de/")]).first().verdict == "block"
