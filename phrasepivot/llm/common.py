@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Most rows of a batch that goes to a worker.
 ARROW_ROWS = 2000
+#: Bits of the largest bitmap that is broadcast, as a power of two: 32 MB.
+LARGEST_FILTER = 28
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _shipped: set[str] = set()
 
@@ -70,7 +73,6 @@ def tidy(run):
 
 def give_back() -> None:
     import ctypes
-    import gc
 
     import pyarrow as pa
 
@@ -90,6 +92,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -137,11 +141,18 @@ class Staged:
         atexit.register(_delete_quietly, spark, self.path)
         if _scopes:
             _scopes[-1].append(self)
+        sweep(spark)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over: it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df.sparkSession, df, name).df
 
@@ -194,6 +205,32 @@ def small_batches(batches, max_bytes: int, column: str):
             yield b.slice(a, z - a)
 
 
+class KeyFilter:
+    """A bitmap over 64-bit keys: whether a key may be among some.  It saves work and decides nothing.
+
+    It has about 16 bits for each key, and LARGEST_FILTER at most, which bounds what is sent; a key's lowest bits
+    are its place."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.bits, self.table = bits, table
+
+    @staticmethod
+    def of(keys: DataFrame, column: str) -> KeyFilter:
+        """keys: distinct or not, read twice."""
+        bits = min(LARGEST_FILTER, max(16, (16 * keys.count()).bit_length()))
+        place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        words = keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("m"))
+        words = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # 2 ** (bits - 6) rows at most
+        table = np.zeros(1 << (bits - 6), np.uint64)
+        table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+        return KeyFilter(bits, table)
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        """Booleans of int64 keys."""
+        at = keys.view(np.uint64) & np.uint64((1 << self.bits) - 1)
+        return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
 class Carried:
     """Columns that an operator passes on unread, under names that can't clash with its own."""
 

@@ -1,16 +1,17 @@
 """Removal of long byte strings that occur more than once in a table of texts.
 
 A start is the place where a string of ``length`` bytes begins.  Every start has
-an anchor: of the places from it to half the length on, the one of the least hash
-of the next 16 bytes, the first of these if equal.  This depends on the string
+an anchor: of the places from it on that leave at least SHARED bytes of its string,
+the one of the least hash of the next 16 bytes, the first of these if equal.  This depends on the string
 alone, so equal strings have the same anchor and the same distance to it.  Starts
 of one anchor are a piece: the bytes from the first start to the end of the last
 one's string, aligned at the anchor.  Pieces that share the bytes from the anchor
 on that any of their strings must hold are a group, and only groups of several
 pieces need comparing:
 
-* groups that occur once are left out by a filter of fixed size, which saves work
-  and decides nothing;
+* groups that occur once are left out by a bitmap, which saves work and decides
+  nothing; texts without a piece to compare are left out in the same way before
+  any text is shuffled;
 * equal pieces are counted before any shuffle, and stand for one;
 * the other pieces of a group go through the column-wise construction of the
   collection's transform and common prefixes (``column_bwt``), whose rounds are
@@ -22,6 +23,7 @@ pieces need comparing:
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import xxhash
@@ -29,25 +31,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasepivot.llm.column_bwt import repeated_starts
-from phrasepivot.llm.common import Carried, Staged, scratch, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of, tidy
+from phrasepivot.llm.common import Carried, KeyFilter, Staged, scratch, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of, tidy
 
-#: Most different pieces of a group that one task compares; rows compared in one go.
-GROUP, BATCH = 1024, 1024
+#: Most different pieces of a group that one task compares; pieces whose transform is built in one go.
+GROUP, BATCH = 1024, 8192
 #: Starts in a piece after a too large group is dealt anew, once and again.
 CELLS = (16, 1)
 HASHED = 16
-#: Bits of the filter: a power of two.
-FILTER = 26
+#: Bytes from the anchor on that all strings of a piece hold, where the length allows more than half of it.
+SHARED = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _PLACE = 28
 
 
+def span_of(length: int) -> int:
+    """How far an anchor lies from its start at most."""
+    return max(length // 2, length - SHARED)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, anchor, first start, last start) of each piece; places count from the text's begin.
 
     data: all texts' bytes, fewer than 2**28; offsets: where they begin, and the end."""
     empty = tuple(np.zeros(0, np.int64) for _ in range(4))
-    span, n = length // 2, len(data) - HASHED + 1
+    span, n = span_of(length), len(data) - HASHED + 1
     if n - span <= 0:
         return empty
     word = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,)) if len(data) >= 8 else None
@@ -89,7 +96,7 @@ def text_key(text: bytes) -> tuple[int, int]:
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
     """Per row: id, k1 and k2 (the text's key), n_bytes, sha, and its pieces, unless the task has met the text."""
-    span = length // 2
+    span = span_of(length)
 
     def run(batches):
         import pyarrow as pa
@@ -151,18 +158,22 @@ def _chunks(rows: list[int], texts: list[bytes], length: int, most: int = 1 << 2
         yield part
 
 
-def _texts(docs: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, z): each text of length bytes and more, compressed; copies that one task meets go once."""
+def _texts(docs: DataFrame, length: int, wanted: DataFrame) -> DataFrame:
+    """(k1, k2, z): texts of length bytes and more, compressed: those of wanted(k1, ...) and some others; copies
+    that one task meets go once."""
+    sent = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted, "k1"))
 
     def run(batches):
         import pyarrow as pa
         import zstandard
 
-        pack, seen = zstandard.ZstdCompressor(level=3).compress, set()
+        pack, seen, wanted = zstandard.ZstdCompressor(level=3).compress, set(), sent.value
         for b in small_batches(batches, 4 << 20, "text"):
             out = [[], [], []]
-            for t in texts_of(b.column(0)):
-                if len(t) < length or (k := text_key(t)) in seen:
+            texts = texts_of(b.column(0))
+            keys = [text_key(t) for t in texts]
+            for t, k, may in zip(texts, keys, wanted.may(np.array([k[0] for k in keys], np.int64)).tolist()):
+                if not may or len(t) < length or k in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(k)
@@ -266,9 +277,8 @@ def _smaller(pieces: DataFrame, cell: int, length: int) -> DataFrame:
 
 
 def _resolve(pieces: DataFrame, length: int, cells: tuple[int, ...]) -> DataFrame:
-    """(g, s, lo, hi) as _compare, for groups of any size; pieces are different within their group."""
+    """(g, s, lo, hi) as _compare, for groups of any size; pieces are different within their group, and staged."""
     spark = pieces.sparkSession
-    pieces = Staged(spark, pieces, "pieces").df
     sizes = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     large = Staged(spark, sizes.where(F.col("size") > GROUP).select("g"), "pieces").df
     if not cells or large.isEmpty():
@@ -279,31 +289,27 @@ def _resolve(pieces: DataFrame, length: int, cells: tuple[int, ...]) -> DataFram
     each = Staged(spark, each, "pieces").df
     whole = each.where("n > 1").select("g", "s", F.col("l").alias("lo"), (F.col("l") - F.octet_length("piece") + length).alias("hi"))
     again = each.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("g")
-    parts = whole.unionByName(_resolve(each.join(again, "g"), length, cells[1:]))
+    parts = whole.unionByName(_resolve(Staged(spark, each.join(again, "g"), "pieces").df, length, cells[1:]))
     back = cut.select("pg", "ps", "g", "s", "shift").join(parts, ["g", "s"]).select(F.col("pg").alias("g"), F.col("ps").alias("s"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
     return small.unionByName(back)
 
 
 def _of_repeated_groups(rows: DataFrame) -> DataFrame:
     """(k1, k2, a, l, r, g, s) of the pieces whose group occurs more than once, and of some others."""
-    groups = rows.select(F.explode("pieces.g").alias("g")).groupBy("g").count().where("count > 1")
-    place = F.shiftrightunsigned("g", 64 - FILTER)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - FILTER}) & 63 as int))")
-    words = groups.select(F.shiftrightunsigned(place, 6).alias("w"), bit.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # of fixed size
-    table = np.zeros(1 << (FILTER - 6), np.uint64)
-    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
+    spark = rows.sparkSession
+    groups = Staged(spark, rows.select(F.explode("pieces.g").alias("g")).groupBy("g").count().where("count > 1").select("g"), "groups")
+    sent = spark.sparkContext.broadcast(KeyFilter.of(groups.df, "g"))
+    groups.drop()
 
     def run(batches):
         import pyarrow as pa
 
-        table = sent.value
+        repeated = sent.value
         for b in batches:
             lists = b.column(2)
             owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
             pieces = lists.flatten()
-            at = np.asarray(pieces.field("g")).view(np.uint64) >> np.uint64(64 - FILTER)
-            keep = np.flatnonzero((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+            keep = np.flatnonzero(repeated.may(np.asarray(pieces.field("g"))))
             owner = pa.array(owner[keep])
             yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), *(pieces.field(c).take(pa.array(keep)) for c in "alrgs")], ["k1", "k2", *"alrgs"])
 
@@ -314,22 +320,27 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Of docs(doc_id, text): the rows (doc_id, k1, k2, n_bytes, sha, copies) and the spans (k1, k2, spans) of
     each text that occurs once: flat [from, to, ...], maximal, in order."""
     spark = docs.sparkSession
-    rows = Staged(spark, _scan(docs, length), "rows").df
+    whole = Staged(spark, _scan(docs, length), "scan")
+    rows = Staged(spark, whole.df.drop("pieces"), "rows").df
     copies = rows.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    flat = Staged(spark, _of_repeated_groups(rows), "flat").df
-    kinds = flat.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "a", "l", "r")).alias("x"))
-    kinds = Staged(spark, kinds, "kinds").df
-    shared = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g")
-    asked = kinds.join(shared, "g").select("g", "s", "n", "x.*")
+    flat = Staged(spark, _of_repeated_groups(whole.df), "flat")
+    whole.drop()
+    kinds = flat.df.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "a", "l", "r")).alias("x"))
+    kinds = Staged(spark, kinds, "kinds")
+    shared = kinds.df.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g")
+    asked = kinds.df.join(shared, "g").select("g", "s", "n", "x.*")
     # a text's pieces go to it in lists of bounded length
     by_text = asked.groupBy("k1", "k2", F.floor(F.col("a") / (1 << 20)).alias("part")).agg(F.collect_list(F.struct("g", "s", "n", "a", "l", "r")).alias("at"))
-    texts = _texts(docs, length)
-    pieces = _cut_pieces(by_text.join(texts, ["k1", "k2"]).select("z", "at"))
-    pieces = pieces.dropDuplicates(["g", "s"])
-    partial = _resolve(pieces, length, CELLS)
-    full = kinds.where("n > 1").select("g", "s", F.col("x.l").alias("lo"), (F.lit(length) - F.col("x.r")).alias("hi"))
-    starts = Staged(spark, full.unionByName(partial), "starts").df
-    met = flat.join(starts, ["g", "s"]).select("k1", "k2", F.struct((F.col("a") - F.col("lo")).alias("from"), (F.col("a") - F.col("hi") + length).alias("to")).alias("span"))
+    by_text = Staged(spark, by_text, "asked")
+    pieces = _cut_pieces(by_text.df.join(_texts(docs, length, by_text.df), ["k1", "k2"]).select("z", "at"))
+    pieces = Staged(spark, pieces.dropDuplicates(["g", "s"]), "pieces")
+    by_text.drop()
+    some = _resolve(pieces.df, length, CELLS)
+    full = kinds.df.where("n > 1").select("g", "s", F.col("x.l").alias("lo"), (F.lit(length) - F.col("x.r")).alias("hi"))
+    starts = Staged(spark, full.unionByName(some), "starts").df
+    pieces.drop()
+    kinds.drop()
+    met = flat.df.join(starts, ["g", "s"]).select("k1", "k2", F.struct((F.col("a") - F.col("lo")).alias("from"), (F.col("a") - F.col("hi") + length).alias("to")).alias("span"))
     spans = met.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
     def merge(batches):
@@ -345,8 +356,9 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                 out.append(np.stack([lo[new], np.r_[top[new[1:] - 1], top[-1]]], axis=1).ravel())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["k1", "k2", "spans"])
 
-    merged = spans.mapInArrow(tidy(merge), "k1 long, k2 long, spans array<long>")
-    rows = rows.drop("pieces").join(copies, ["k1", "k2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    merged = Staged(spark, spans.mapInArrow(tidy(merge), "k1 long, k2 long, spans array<long>"), "spans").df
+    flat.drop()
+    rows = rows.join(copies, ["k1", "k2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return rows, merged
 
 
@@ -396,7 +408,7 @@ def _removed(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
                 kept = cut_spans(unpack(b.column(2)[row].as_py()), at)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), b.column(1).slice(row, 1), pa.array([sum(at[1::2]) - sum(at[::2])]), pa.array([len(at) // 2]), pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept if with_text else None], pa.binary())], ["k1", "k2", "removed", "runs", "kept_sha", "kept"])
 
-    done = once.join(_texts(docs, length), ["k1", "k2"]).select("k1", "k2", "z", "spans").mapInArrow(tidy(cut), "k1 long, k2 long, removed long, runs long, kept_sha string, kept binary")
+    done = once.join(_texts(docs, length, spans), ["k1", "k2"]).select("k1", "k2", "z", "spans").mapInArrow(tidy(cut), "k1 long, k2 long, removed long, runs long, kept_sha string, kept binary")
     out = rows.join(done, ["k1", "k2"], "left")
     some = F.col("removed").isNotNull()
     columns = [
@@ -422,13 +434,18 @@ def cut_repeats(docs: DataFrame, length: int, text_col: str = "text") -> DataFra
         kept.append(verdict)
     verdict = verdict.df
     carried = Carried(docs, names)
+    sent = spark.sparkContext.broadcast(KeyFilter.of(verdict, "k1"))
 
-    def key(batches):
+    def key(batches, asked: bool):
         import pyarrow as pa
 
+        filtered = sent.value
         for b in small_batches(batches, 4 << 20, "text"):
             keys = [text_key(t) for t in texts_of(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), b.column(0), *carried.of(b)], ["k1", "k2", "text", *carried.inside])
+            k1 = np.array([k[0] for k in keys], np.int64)
+            rows = pa.array(np.flatnonzero(filtered.may(k1) == asked))
+            out = pa.RecordBatch.from_arrays([pa.array(k1), pa.array([k[1] for k in keys], pa.int64()), b.column(0), *carried.of(b)], ["k1", "k2", "text", *carried.inside])
+            yield (out if asked else out.drop_columns(["k1", "k2"])).take(rows)
 
     def cut(batches):
         import pyarrow as pa
@@ -438,7 +455,10 @@ def cut_repeats(docs: DataFrame, length: int, text_col: str = "text") -> DataFra
             out = [t if s is None or t is None else cut_spans(t.encode(), s).decode(errors="ignore") for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *carried.of(b)], ["text", *carried.inside])
 
-    keyed = docs.select(F.col(text_col).alias("text"), *carried.columns).mapInArrow(tidy(key), f"k1 long, k2 long, text string{carried.schema}")
-    done = keyed.join(verdict, ["k1", "k2"], "left").select("text", "spans", *carried.inside).mapInArrow(tidy(cut), f"text string{carried.schema}")
+    # texts that have no cut stay where they are
+    rows = docs.select(F.col(text_col).alias("text"), *carried.columns)
+    left = rows.mapInArrow(tidy(partial(key, asked=False)), f"text string{carried.schema}")
+    met = rows.mapInArrow(tidy(partial(key, asked=True)), f"k1 long, k2 long, text string{carried.schema}")
+    done = met.join(verdict, ["k1", "k2"], "left").select("text", "spans", *carried.inside).mapInArrow(tidy(cut), f"text string{carried.schema}").unionByName(left)
     whole = done.select(F.col("text").alias(text_col), *(F.col(i).alias(n) for i, n in zip(carried.inside, names)))
     return whole.select(*docs.columns)
