@@ -7,6 +7,7 @@ import contextlib
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 import zlib
@@ -147,10 +148,18 @@ class Staged:
         delete(self.spark, self.path)
 
 
+_swept = [0.0, 0.0]
+
+
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are over: it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of jobs that are over: it does when the driver collects its garbage.
+
+    That takes a twentieth of the driver's time at most."""
+    now = time.monotonic()
+    if now - _swept[0] >= 20 * _swept[1]:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept[:] = time.monotonic(), time.monotonic() - now
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ pair of chunks is searched by a task of its own, so none is left out.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import chain, combinations
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import ASCII_LOWER, Staged, scratch, ship_package, shuffle_partitions, small_batches, texts_of, tidy
+from phrasepivot.llm.common import ASCII_LOWER, Carried, KeyFilter, Staged, scratch, ship_package, shuffle_partitions, small_batches, texts_of, tidy
 from phrasepivot.llm.components import connected_components
 
 #: Most nodes of one tree; larger shards are searched chunk by chunk.
@@ -193,27 +194,11 @@ def near_links(fps: DataFrame, radius: int, rows: int | None = None) -> DataFram
     def run(batches):
         import pyarrow as pa
 
-        def found(x):
-            same = np.zeros(len(x[0]), bool)
-            same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in x[1:5]])
-            group = np.cumsum(~same) - 1
-            fp, a, b, c = x[0].view(np.uint64), x[3], x[4], x[5]
-            src, dst = _links(fp, group, c == a, c == b, radius)
+        def found(x, _):
+            src, dst = _links(x[0].view(np.uint64), _numbered(x), x[5] == x[3], x[5] == x[4], radius)
             return pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], ["src", "dst"])
 
-        held = None
-        for batch in batches:
-            x = [np.asarray(batch.column(i)).copy() for i in range(6)]
-            x = x if held is None else [np.concatenate(y) for y in zip(held, x)]
-            if not len(x[0]):
-                continue
-            last = np.logical_and.reduce([c == c[-1] for c in x[1:5]])  # rows of the last group may go on
-            cut = int(len(last) - last[::-1].argmin()) if not last.all() else 0
-            if cut:
-                yield found([c[:cut] for c in x])
-            held = [c[cut:] for c in x]
-        if held is not None and len(held[0]):
-            yield found(held)
+        yield from _grouped(batches, found, 6)
 
     return dealt.mapInArrow(tidy(run), "src long, dst long")
 
@@ -243,27 +228,45 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _least_of_components(nodes: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """key, component_id of all nodes (key, least); members (node, component) has those with links."""
+    """key, component, component_id of all nodes (key, least); members (node, component) has those with links."""
     label = nodes.select(key, "least").join(members.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
     label = Staged(nodes.sparkSession, label.select(key, "least", "component"), "labels").df
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    return label.join(least, "component").select(key, "component_id")
+    return label.join(least, "component").select(key, "component", "component_id")
 
 
 # ---- near duplicates by similarity: trees over the shards of equal minima -----------
 
-#: Minima of a document's shingles, each by a hash of its own; two documents of similarity s miss each other
-#: with probability (1 - s) ** MINIMA.
-MINIMA = 6
-#: Bits by which fingerprints of most similar documents differ at most; trees give those pairs first, the others follow.
+#: Minima of a document's shingles, each by a hash of its own, and bands of two that make the shards' keys. Two documents of
+#: similarity s share no band with probability (1 - s * s) ** BANDS: 0.00004 at 0.8, 0.00000006 at 0.9.
+MINIMA, BANDS = 20, 10
+#: Documents of a shard are compared if so many minima are equal at least: at 0.8 fewer are in 0.000015 of all pairs.
+ALIKE = 8
+#: Bits by which fingerprints of most similar documents differ at most: trees give those pairs first, the others follow.
 WIDE = 21
-#: Most nodes of a tree here, and most bytes of their shingles.
-NEAR_NODES, NEAR_BYTES = 8192, 32 << 20
-_ODD = np.random.default_rng(17).integers(1, 1 << 62, (2, MINIMA), dtype=np.uint64) | np.uint64(1)
+#: Most nodes of a tree here, most bytes of their shingles, and most documents that one task compares with a root.
+NEAR_NODES, NEAR_BYTES, FANS = 8192, 32 << 20, 2048
+#: Roots that a document is compared with.
+ROOTS = 3
+_ODD = np.random.default_rng(17).integers(1, 1 << 62, MINIMA, dtype=np.uint64) | np.uint64(1)
+
+
+def _minima(h: np.ndarray) -> np.ndarray:
+    """The keys of a document's bands, as BANDS int64 of two 32-bit minima each; h: hashes of its shingles."""
+    if not len(h):
+        return np.zeros(BANDS, np.int64)
+    low = np.array([(h * a).min() for a in _ODD], np.uint64)
+    return (low ^ low >> np.uint64(32)).astype(np.uint32).view(np.int64)
+
+
+def _node(text: bytes) -> int:
+    """Documents of equal words are one node."""
+    x = xxhash.xxh3_64_intdigest(b" ".join(text.translate(ASCII_LOWER).split()))
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, node (hash of the words), fp, minima and the distinct shingles' 32-bit hashes of each row."""
+    """doc_id, mark (a hash of id and text), node, fp, keys and size (how many different shingles) of each row."""
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -272,21 +275,156 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
         for b in small_batches(batches, 4 << 20, "text"):
             out = [[], [], [], []]
-            for text in texts_of(b.column(1)):
-                h = shingle_hashes(text, width)
-                low = np.array([(h * a ^ (h >> np.uint64(31)) * c).min() for a, c in _ODD.T], np.uint64) if len(h) else np.zeros(MINIMA, np.uint64)
-                words = b" ".join(text.translate(ASCII_LOWER).split())
-                for c, x in zip(out, (xxhash.xxh3_64_intdigest(words), majority(np.unique(h)), low.view(np.int64), np.unique(h.astype(np.uint32)).tobytes())):
+            for text in texts_of(b.column(2)):
+                h = np.unique(shingle_hashes(text, width))
+                for c, x in zip(out, (_node(text), majority(h), _minima(h), len(h))):
                     c.append(x)
-            node = np.array(out[0], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["doc_id", "node", "fp", "minima", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int32())], ["doc_id", "mark", "node", "fp", "keys", "size"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), _mark(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, mark long, node long, fp long, keys array<long>, size int")
+
+
+def _mark(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def _shingles(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(node, shingles): the sorted 64-bit hashes of the nodes of wanted(node), made anew from the texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted, "node"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        wanted, seen = sent.value, set()
+        for b in small_batches(batches, 4 << 20, "text"):
+            texts = texts_of(b.column(0))
+            nodes = np.array([_node(t) for t in texts], np.int64)
+            out = [[], []]
+            for i in np.flatnonzero(wanted.may(nodes)).tolist():
+                if (node := int(nodes[i])) not in seen:  # copies in this task
+                    if len(seen) >= 1 << 20:
+                        seen.clear()
+                    seen.add(node)
+                    out[0].append(node)
+                    out[1].append(np.unique(shingle_hashes(texts[i], width)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["node", "shingles"])
+
+    made = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "node long, shingles binary")
+    return made.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _near_roots(docs: DataFrame, text_col: str, width: int, nodes: DataFrame, bands: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links of nodes to the roots of their shards' trees: a shard's root is its least node.
+
+    A node asks the ROOTS roots that share most minima with it, so this takes what is linear in the nodes, however many
+    copies of one text differ a little; what these leave is for the trees.
+    A root that many nodes ask for goes to several tasks with a part of them each."""
+    spark = nodes.sparkSession
+    roots = bands.groupBy("t", "k").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", "root")
+    pairs = bands.join(roots, ["t", "k"]).where("node <> root").select("node", "root").distinct()
+    of = nodes.select("node", "keys", "size")
+    met = pairs.join(of, "node").join(of.select(F.col("node").alias("root"), F.col("keys").alias("root_keys"), F.col("size").alias("root_size")), "root")
+    same = lambda x, y, shift: (F.shiftrightunsigned(x.bitwiseXOR(y), shift).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) == 0).cast("int")
+    equal = F.aggregate(F.zip_with("keys", "root_keys", lambda x, y: same(x, y, 0) + same(x, y, 32)), F.lit(0), lambda a, x: a + x)
+    near = (equal >= ALIKE) & (F.least("size", "root_size") >= similarity * F.greatest("size", "root_size"))
+    able = met.where(near).groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-equal).alias("e"), "root"))), 1, ROOTS).alias("roots"))
+    asked = Staged(spark, able.select("node", F.explode("roots.root").alias("root")), "asked").df
+    held = Staged(spark, _shingles(docs, text_col, width, asked.select("node").union(asked.select("root"))), "shingles").df
+    fans = asked.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / FANS).cast("int").alias("parts"))
+    asks = asked.join(fans, "root").join(held, "node").select("root", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "shingles")
+    own = fans.select(F.col("root").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(held, "node").select(F.col("node").alias("root"), "part", F.lit(None).cast("long").alias("node"), "shingles")
+    # the root, whose node is null, comes first of its part
+    dealt = asks.unionByName(own).repartition(shuffle_partitions(spark), "root", "part").sortWithinPartitions("root", "part", F.col("node").asc_nulls_first())
+
+    def run(batches):
+        import pyarrow as pa
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, node long, fp long, minima array<long>, shingles binary")
+        root = np.zeros(0, np.uint64)
+        for b in small_batches(batches, 16 << 20, "shingles"):
+            out = [[], []]
+            for of, node, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                if node is None:
+                    root = own
+                    continue
+                at = np.minimum(np.searchsorted(root, own), len(root) - 1)
+                both = int((root[at] == own).sum())
+                if both >= similarity * (len(root) + len(own) - both) - 1e-9:
+                    out[0].append(node)
+                    out[1].append(of)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["src", "dst"])
+
+    return dealt.mapInArrow(tidy(run), "src long, dst long")
 
 
-def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links of at least the similarity in the groups: of candidates that their trees give, then of all others."""
-    tree, query = np.flatnonzero(in_tree), np.flatnonzero(asks)
+def _grouped(batches, found, columns: int, bodies_at: int | None = None):
+    """Calls found with whole groups (of equal t, k, a, b: columns 1 to 4, sorted) of Arrow batches, as int64
+    arrays and a list of the column of binaries."""
+    held, bodies = None, []
+    for batch in batches:
+        x = [np.asarray(batch.column(i)).copy() for i in range(columns)]
+        x = x if held is None else [np.concatenate(y) for y in zip(held, x)]
+        bodies = bodies + batch.column(bodies_at).to_pylist() if bodies_at is not None else bodies
+        if not len(x[0]):
+            continue
+        last = np.logical_and.reduce([c == c[-1] for c in x[1:5]])  # rows of the last group may go on
+        cut = int(len(last) - last[::-1].argmin()) if not last.all() else 0
+        if cut:
+            yield found([c[:cut] for c in x], bodies[:cut])
+        held, bodies = [c[cut:] for c in x], bodies[cut:]
+    if held is not None and len(held[0]):
+        yield found(held, bodies)
+
+
+def _numbered(x: list[np.ndarray]) -> np.ndarray:
+    same = np.zeros(len(x[0]), bool)
+    same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in x[1:5]])
+    return np.cumsum(~same) - 1
+
+
+class Shard:
+    """Rows of some groups: which of them may be linked.  keys: (n, BANDS); part: the component so far."""
+
+    def __init__(self, group, in_tree, asks, keys, size, part, turn, similarity):
+        self.group, self.in_tree, self.query, self.size, self.part, self.turn, self.similarity = group, in_tree, np.flatnonzero(asks), size, part, turn, similarity
+        self.keys, self.low = keys, np.ascontiguousarray(keys).view(np.uint32)
+
+    def pairs(self):
+        """All pairs of a row that asks and one of the tree of its group that differ in size by no more than the
+        similarity allows, in bounded steps."""
+        size, group, query, n = self.size, self.group, self.query, len(self.group)
+        tree = np.flatnonzero(self.in_tree)
+        rows = tree[np.lexsort((size[tree], group[tree]))]
+        most = int(size.max(initial=0)) + 1
+        keys = group[rows] * most + size[rows]
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        own = group[query] * most
+        # a row that is in the tree itself meets those after it
+        low = np.where(self.in_tree[query], place[query] + 1, np.searchsorted(keys, own + np.ceil(self.similarity * size[query] - 1e-9).astype(np.int64)))
+        high = np.searchsorted(keys, own + np.minimum(np.floor(size[query] / self.similarity + 1e-9).astype(np.int64), most - 1), "right")
+        count = np.maximum(high - low, 0)
+        for cut in np.split(np.arange(len(query)), np.flatnonzero(np.diff(np.cumsum(count) // FRONTIER)) + 1):
+            c = count[cut]
+            yield np.repeat(query[cut], c), rows[np.repeat(low[cut] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+
+    def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs are to be compared: of different components, enough minima equal, and no band before this
+        shard's equal, in whose shard they meet too."""
+        keep = np.flatnonzero((self.part[a] != self.part[b]) & (self.size[a] > 0) & (np.minimum(self.size[a], self.size[b]) >= self.similarity * np.maximum(self.size[a], self.size[b])))
+        x, y = a[keep], b[keep]
+        keep = keep[(self.low[x] == self.low[y]).sum(axis=1) >= ALIKE]
+        x, y = a[keep], b[keep]
+        out = np.zeros(len(a), bool)
+        out[keep] = (self.keys[x] == self.keys[y]).argmax(axis=1) == self.turn[x]
+        return out
+
+
+def _similar(nodes, fps, shard: Shard, shingles) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links in the groups: of pairs that their trees give, then of all others that may be linked."""
+    group, query, size = shard.group, shard.query, shard.size
+    tree = np.flatnonzero(shard.in_tree)
     forest = Forest(fps[tree], group[tree])
     roots = np.array([forest.root_of.get(g, -1) for g in group[query].tolist()], np.int64)
     query, roots = query[roots >= 0], roots[roots >= 0]
@@ -297,11 +435,11 @@ def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np
     run_of = np.zeros(len(fps), np.int64)
     run_of[order] = np.cumsum(new) - 1
     many = np.diff(np.r_[begin, len(order)])
-    size = np.array([len(s) // 4 for s in shingles], np.int64)
-    label = np.arange(len(fps))
     begins = np.cumsum(size) - size
-    ids = np.unique(np.frombuffer(b"".join(shingles), np.uint32), return_inverse=True)[1]
+    ids = np.unique(np.frombuffer(b"".join(shingles), np.uint64), return_inverse=True)[1]
     marked = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    first = np.unique(shard.part, return_index=True, return_inverse=True)
+    label = first[1][first[2]]  # a component's rows, in whatever group, are linked already
 
     def near(x: int, others: np.ndarray) -> np.ndarray:
         """Of a row and others: whether their shingles are similar enough."""
@@ -310,7 +448,7 @@ def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np
         at = np.repeat(begins[others] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         both = np.add.reduceat(marked[ids[at]], np.cumsum(count) - count, dtype=np.int64)
         marked[own] = False
-        return both >= similarity * (size[x] + count - both) - 1e-9
+        return both >= shard.similarity * (size[x] + count - both) - 1e-9
 
     def candidates():
         """Pairs of rows from pairs of a query and a node, in bounded steps."""
@@ -321,24 +459,8 @@ def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np
                 skip = np.repeat(begin[run[cut]] - (np.cumsum(count) - count), count)
                 yield np.repeat(query[q[cut]], count), order[skip + np.arange(int(count.sum()))]
 
-    def others():
-        """All pairs of rows of a group that differ in size by no more than the similarity allows, in bounded steps."""
-        rows = tree[np.lexsort((size[tree], group[tree]))]
-        most = int(size.max(initial=0)) + 1
-        keys = group[rows] * most + size[rows]
-        place = np.full(len(fps), -1)
-        place[rows] = np.arange(len(rows))
-        own = group[query] * most
-        # a row that is in the tree itself meets those after it
-        low = np.where(in_tree[query], place[query] + 1, np.searchsorted(keys, own + np.ceil(similarity * size[query] - 1e-9).astype(np.int64)))
-        high = np.searchsorted(keys, own + np.minimum(np.floor(size[query] / similarity + 1e-9).astype(np.int64), most - 1), "right")
-        count = np.maximum(high - low, 0)
-        for cut in np.split(np.arange(len(query)), np.flatnonzero(np.diff(np.cumsum(count) // FRONTIER)) + 1):
-            n = count[cut]
-            yield np.repeat(query[cut], n), rows[np.repeat(low[cut] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-
-    for a, b in chain(candidates(), others()):
-        able = (a != b) & (size[a] > 0) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+    for a, b in chain(candidates(), shard.pairs()):
+        able = shard.may(a, b)
         order_a = np.argsort(a[able], kind="stable")
         a, b, rows = a[able][order_a], b[able][order_a], 1
         while len(a):  # more and more rows at a time: the first links leave fewer pairs to look at
@@ -356,62 +478,133 @@ def _similar(nodes, fps, group, in_tree, asks, shingles, similarity) -> tuple[np
     return nodes[moved], nodes[label[moved]]
 
 
+def _near_others(docs: DataFrame, text_col: str, width: int, nodes: DataFrame, bands: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): a spanning set of the links that the roots leave: of nodes of different components of a shard.
+
+    parts(node, component).  Rows of a shard's root's component need not meet each other, so only the others are dealt as
+    pairs of chunks; those that may be linked to another are found by their minima, and shingles are made for these only."""
+    spark = nodes.sparkSession
+    labelled = Staged(spark, nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("node", "fp", "keys", "size", "part"), "nodes").df
+    rows = bands.join(labelled.select("node", "size", "part"), "node")
+    whole = rows.groupBy("t", "k").agg(F.min_by("part", "node").alias("main"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("t", "k", "main")
+    mixed = Staged(spark, rows.join(whole, ["t", "k"]).withColumn("of_main", F.col("part") == F.col("main")), "mixed").df
+    chunks = lambda of: F.ceil(F.greatest(F.sum(of.cast("long")) / NEAR_NODES, F.sum(F.when(of, F.col("size").cast("long")).otherwise(0)) * 8 / NEAR_BYTES)).cast("int")
+    sizes = mixed.groupBy("t", "k").agg(chunks(F.col("of_main")).alias("p"), chunks(~F.col("of_main")).alias("o"))
+    c = F.when(F.col("of_main"), F.pmod(F.xxhash64("node"), F.greatest("p", F.lit(1)))).otherwise(F.greatest("p", F.lit(1)) + F.pmod(F.xxhash64("node"), F.greatest("o", F.lit(1)))).cast("int")
+    met = mixed.join(sizes, ["t", "k"]).withColumn("c", c).withColumn("p", F.greatest("p", F.lit(1))).withColumn("o", F.greatest("o", F.lit(1)))
+    pairs = met.select("node", "t", "k", "c", F.explode(F.sequence(F.when(F.col("of_main"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("o") - 1)).alias("d")).select("node", "t", "k", F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"), "c")
+
+    def dealt(df: DataFrame, *more: str) -> DataFrame:
+        return df.join(labelled, "node").select("node", "t", "k", "a", "b", "c", "fp", "size", "part", "keys", *more).repartition(shuffle_partitions(spark), "t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", "node")
+
+    def shard_of(x, keys) -> Shard:
+        keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, BANDS)
+        return Shard(_numbered(x), x[5] == x[3], x[5] == x[4], keys, x[7].astype(np.int64), x[8], x[1].astype(np.int64), similarity)
+
+    def flat(batches):
+        """The lists of keys as binaries."""
+        import pyarrow as pa
+
+        for b in batches:
+            keys = np.asarray(b.column(9).flatten()).reshape(-1, BANDS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:9], pa.array([k.tobytes() for k in keys], pa.binary()), *b.columns[10:]], b.schema.names)
+
+    def ask(batches):
+        import pyarrow as pa
+
+        def found(x, keys):
+            shard, on = shard_of(x, keys), np.zeros(len(x[0]), bool)
+            for a, b in shard.pairs():
+                may = shard.may(a, b)
+                on[a[may]] = on[b[may]] = True
+            return pa.RecordBatch.from_arrays([pa.array(c[on]) for c in x[:6]], ["node", "t", "k", "a", "b", "c"])
+
+        yield from _grouped(flat(batches), found, 9, 9)
+
+    able = Staged(spark, dealt(pairs).mapInArrow(tidy(ask), "node long, t int, k long, a int, b int, c int"), "able").df
+    held = Staged(spark, _shingles(docs, text_col, width, able.select("node")), "shingles").df
+
+    def run(batches):
+        import pyarrow as pa
+
+        def both(batches):
+            for b in flat(batches):  # keys and shingles in one binary
+                joined = [k + s for k, s in zip(b.column(9).to_pylist(), b.column(10).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:9], pa.array(joined, pa.binary())], b.schema.names[:10])
+
+        def found(x, bodies):
+            src, dst = _similar(x[0], x[6].view(np.uint64), shard_of(x, [y[: 8 * BANDS] for y in bodies]), [y[8 * BANDS :] for y in bodies])
+            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+        yield from _grouped(both(small_batches(batches, 16 << 20, "shingles")), found, 9, 9)
+
+    return dealt(able.join(held, "node"), "shingles").mapInArrow(tidy(run), "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id for every row of docs: the smallest id of the documents that a chain of
-    Jaccard similarities of at least similarity leads to, by shingles of width words.
+    """doc_id, mark, component_id for every row of docs: the smallest id of the documents that a chain of
+    Jaccard similarities of at least similarity leads to, by shingles of width words; mark: a hash of id and text.
 
-    Documents meet in shards of equal shingle minima, where BK-trees give those whose
-    fingerprints differ in at most WIDE bits, and the pairs that these leave unlinked follow;
-    their similarity is counted exactly.
-    Documents of equal words are one node.  Shards of one node need no tree, larger
-    ones than NEAR_NODES or NEAR_BYTES are searched chunk by chunk.
+    Documents meet in shards of two equal shingle minima.  Every document is first compared with the root of its shard's
+    tree; in shards that this leaves in several components, BK-trees give the documents whose fingerprints differ in
+    at most WIDE bits, and all others that may be linked follow.  Similarity is counted exactly, so links are lost only
+    where two documents share no shard or fewer than ALIKE minima.
+    Documents of equal words are one node.
 
     Null, empty and wordless texts are one group.  Repeated ids stay as rows; a null id
     is no candidate for component_id.  Empty tables give an empty result; other columns
     are not read."""
-    spark = docs.sparkSession
     with scratch() as kept:
-        rows = Staged(spark, _sketch(docs, id_col, text_col, width), "sketches").df
-        nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("minima").alias("minima"), F.first(F.octet_length("shingles")).alias("bytes"))
-        nodes = Staged(spark, nodes, "nodes").df
-        members = connected_components(_similar_links(rows, nodes, similarity), "src", "dst")
-        out = Staged(spark, rows.select("doc_id", "node").join(_least_of_components(nodes, members, "node"), "node").select("doc_id", "component_id"), "components")
+        out = Staged(docs.sparkSession, _near_groups(docs, id_col, text_col, width, similarity).select("doc_id", "mark", "component_id"), "components")
         kept.append(out)
     return out.df
 
 
-def _similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): a spanning set of the links between nodes that meet in a shard."""
-    spark = rows.sparkSession
-    shards = nodes.select("node", "fp", "bytes", F.posexplode("minima").alias("t", "k"))
-    sizes = shards.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).where("n > 1").select("t", "k", F.ceil(F.greatest(F.col("n") / NEAR_NODES, F.col("b") / NEAR_BYTES, F.lit(1.0))).cast("int").alias("parts"))
-    met = Staged(spark, shards.join(sizes, ["t", "k"]).withColumn("c", F.pmod(F.xxhash64("node"), "parts").cast("int")), "shards").df
-    held = rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
-    pairs = met.select("node", "fp", "t", "k", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).select("node", "fp", "t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c")
-    dealt = pairs.join(held, "node").select("fp", "t", "k", "a", "b", "c", "node", "shingles").repartition(shuffle_partitions(spark), "t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", "node")
-
-    def run(batches):
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """doc_id, mark, component and component_id of each row."""
+    spark = docs.sparkSession
+    rows = Staged(spark, _sketch(docs, id_col, text_col, width), "sketches").df
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    nodes = Staged(spark, nodes, "nodes").df
+    each = nodes.select("node", F.posexplode("keys").alias("t", "k"))
+    shared = each.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k")
+    bands = Staged(spark, each.join(shared, ["t", "k"]), "bands").df
+    first = Staged(spark, _near_roots(docs, text_col, width, nodes, bands, similarity), "links").df
+    parts = Staged(spark, connected_components(first, "src", "dst"), "parts").df
+    second = _near_others(docs, text_col, width, nodes, bands, parts, similarity)
+    links = Staged(spark, parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(second), "links").df
+    members = connected_components(links, "src", "dst")
+    return rows.select("doc_id", "mark", "node").join(_least_of_components(nodes, members, "node"), "node").select("doc_id", "mark", "component", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near_duplicates: that of the smallest id, of several such that of the
+    smallest hash of id and text; of rows without an id one stays where no other has an id.
+
+    Rows that are the same in id and text are one document; which of
+    them stays, if other columns differ, is not defined.  Rows that no other row is like stay where they are: only
+    those that go, their copies and a few others are joined."""
+    spark, names = docs.sparkSession, docs.columns
+    with scratch() as kept:
+        groups = Staged(spark, _near_groups(docs, id_col, text_col, width, similarity).select("doc_id", "mark", "component"), "groups").df
+        best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best"), F.count(F.lit(1)).alias("n"))
+        judged = groups.select("mark", "component").join(best.where("n > 1").select("component", F.col("best.mark").alias("stays")), "component")
+        verdict = Staged(spark, judged.groupBy("mark").agg(F.max((F.col("mark") == F.col("stays")).cast("int")).alias("stays")), "verdict")
+        kept.append(verdict)
+    sent = spark.sparkContext.broadcast(KeyFilter.of(verdict.df, "mark"))
+    carried = Carried(docs, names)
+
+    def deal(batches, asked: bool):
         import pyarrow as pa
 
-        def found(x, shingles):
-            same = np.zeros(len(x[0]), bool)
-            same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in x[1:5]])
-            src, dst = _similar(x[6], x[0].view(np.uint64), np.cumsum(~same) - 1, x[5] == x[3], x[5] == x[4], shingles, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
-
-        held, bodies = None, []
-        for batch in small_batches(batches, 16 << 20, "shingles"):
-            x = [np.asarray(batch.column(i)).copy() for i in range(7)]
-            x = x if held is None else [np.concatenate(y) for y in zip(held, x)]
-            bodies += batch.column(7).to_pylist()
-            if not len(x[0]):
-                continue
-            last = np.logical_and.reduce([c == c[-1] for c in x[1:5]])  # rows of the last group may go on
-            cut = int(len(last) - last[::-1].argmin()) if not last.all() else 0
-            if cut:
-                yield found([c[:cut] for c in x], bodies[:cut])
-            held, bodies = [c[cut:] for c in x], bodies[cut:]
-        if held is not None and len(held[0]):
-            yield found(held, bodies)
-
-    return dealt.mapInArrow(tidy(run), "src long, dst long")
+        judged = sent.value
+        for b in batches:
+            at = pa.array(np.flatnonzero(judged.may(np.asarray(b.column(0))) == asked))
+            yield (b if asked else b.drop_columns(["mark"])).take(at)
+
+    rows = docs.select(_mark(id_col, text_col).alias("mark"), *carried.columns)
+    alone = rows.mapInArrow(tidy(partial(deal, asked=False)), carried.schema[2:])
+    met = rows.mapInArrow(tidy(partial(deal, asked=True)), f"mark long{carried.schema}").join(verdict.df, "mark", "left").where(F.coalesce("stays", F.lit(1)) == 1)
+    # rows repeated with their id and text are of one mark
+    once = met.where("stays is not null").dropDuplicates(["mark"]).unionByName(met.where("stays is null"))
+    return alone.unionByName(once.select(*carried.inside)).select(*(F.col(i).alias(n) for i, n in zip(carried.inside, names)))

@@ -229,19 +229,75 @@ def test_near_duplicates_of_far_fingerprints(spark):
     assert all(got[i] == i // 2 * 2 for i in range(len(texts)))
 
 
+def planted_pair(rng, n: int, similarity: float):
+    """Hashes of two sets of about n shingles of that similarity."""
+    whole = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    lost = round(n * (1 - similarity))
+    at = rng.integers(0, lost + 1)
+    return whole[at:], whole[: n - (lost - at)]
+
+
+def test_recall_of_shards_at_the_least_similarity():
+    """Pairs of 0.8 and 0.85 that meet in no shard, or are not compared there, are fewer than 1 in 2,000."""
+    rng = np.random.default_rng(3)
+    for similarity in (0.8, 0.85):
+        missed = 0
+        for _ in range(4000):
+            a, b = (simhash._minima(x) for x in planted_pair(rng, 100, similarity))
+            missed += not ((a == b).any() and (a.view(np.uint32) == b.view(np.uint32)).sum() >= simhash.ALIKE)
+        assert missed <= 2
+
+
 def test_no_radius_filters_similar_rows():
     """Rows of a group whose fingerprints are opposite are linked if their shingles are similar."""
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 1 << 32, 300, dtype=np.uint64).astype(np.uint32)) for _ in range(6)]
-    shingles = [s.tobytes() for s in sets] + [s[: int(len(s) * 0.9)].tobytes() for s in sets]
+    sets = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(6)]
+    sets += [s[: int(len(s) * 0.9)] for s in sets]
+    keys = np.array([simhash._minima(s) for s in sets])
+    turn = np.tile((keys[:6] == keys[6:]).argmax(axis=1), 2)
     fps = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
-    fps, group = np.r_[fps, ~fps], np.zeros(12, np.int64)
+    fps, group, size = np.r_[fps, ~fps], np.zeros(12, np.int64), np.array([len(s) for s in sets])
     for in_tree in (np.ones(12, bool), np.arange(12) < 6):
         asks = in_tree if in_tree.all() else ~in_tree
-        src, dst = simhash._similar(np.arange(12), fps, group, in_tree, asks, shingles, 0.8)
+        shard = simhash.Shard(group, in_tree, asks, keys, size, np.arange(12), turn, 0.8)
+        src, dst = simhash._similar(np.arange(12), fps, shard, [s.tobytes() for s in sets])
         assert sorted(tuple(sorted(p)) for p in zip(src.tolist(), dst.tolist())) == [(i, i + 6) for i in range(6)]
 
 
+@pytest.mark.parametrize("nodes", [8192, 3])
+def test_chains_that_no_root_joins(spark, monkeypatch, nodes):
+    """Texts that differ from their neighbours a little and from the first a lot; chunks of few rows."""
+    monkeypatch.setattr(simhash, "NEAR_NODES", nodes)
+    monkeypatch.setattr(simhash, "FANS", nodes)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(5):
+        w = [letters(rng, 6, "abcdefgh") for _ in range(150)]
+        for step in range(24):
+            texts.append(" ".join(w))
+            w = w[4:] + [letters(rng, 6, "abcdefgh") for _ in range(4)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    want = components_by_hand(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(5)
+    w = [letters(rng, 5, "abcdefgh") for _ in range(80)]
+    other = " ".join(letters(rng, 5, "abcdefgh") for _ in range(60))
+    near = lambda k: " ".join(w[:k] + ["zz"] + w[k + 1 :])
+    rows = [(5, near(3), 1), (5, near(3), 2), (5, other, 3), (2, " ".join(w), 4), (2, " ".join(w).upper(), 5), (None, near(9), 6), (None, "eins zwei drei", 7), (None, "eins  zwei drei", 8), (7, None, 9), (8, "", 10), (None, None, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id or -1, (r.text or "").lower()[:4]) for r in out.collect())
+    assert got == sorted([(5, other[:4]), (2, " ".join(w)[:4]), (-1, "eins"), (7, "")])
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block", [4 << 20, 600])
 def test_contamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
