@@ -1,4 +1,12 @@
-"""Exact top-k inner products by no-random-access aggregation of sorted lists."""
+"""Exact top-k inner products by no-random-access aggregation of sorted lists.
+
+A block of vectors has a sorted list for every dimension.  A query reads the lists
+in sequence, best contributions first, each as deep as its entries give no less than
+a common contribution.  What a row has not been met with gives it no more than that,
+which bounds its score from above; the k best scores that are resolved bound the
+answer from below.  Reading stops when few rows can still qualify, and only these
+rows' scores are resolved.
+"""
 
 from __future__ import annotations
 
@@ -8,124 +16,112 @@ from pyspark.sql import functions as F
 
 from phrasepivot.llm.common import Staged, ship_package, tidy
 
-#: Rows in a block of vectors, each with a sorted list for every dimension, and queries in a chunk.
-BLOCK, CHUNK = 4096, 512
-#: Depths, as parts of a list, after which the bounds are looked at.
-DEPTHS = (0.75, 0.9, 1.0)
+#: Vectors in a block, and bytes of the queries that are broadcast at once.
+BLOCK, CHUNK_BYTES = 4096, 16 << 20
+#: Shares of all entries after which the bounds are looked at.
+DEPTHS = (0.25, 0.32, 0.38, 0.44, 0.5, 0.56, 0.62, 0.68, 0.75, 1.0)
+#: Reading stops when no more rows than this can qualify.
+FEW = 256
 
 
 class SortedLists:
-    """For each dimension the rows of a block from the smallest component to the largest."""
-
-    def __init__(self, x: np.ndarray):
-        self.n, self.d = x.shape
-        self.ids = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(np.ascontiguousarray(x.T), self.ids, axis=1).astype(np.float64)
-        self.met = np.zeros((self.d, self.n), np.float32)
-
-    def read(self, dims: np.ndarray, best_last: bool, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries at to to of the lists of dims, in the lists' own order; best_last: from the end."""
-        a, z = (self.n - to, self.n - at) if best_last else (at, to)
-        return self.ids[dims, a:z], self.values[dims, a:z]
-
-    def top(self, q: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best by score, ties to the smaller of ids; own: rows that take no part.
-
-        Lists are read in step, best contributions first.  A row's lower bound takes
-        the worst of each list it has not been met in, its upper bound the list's
-        frontier.  Once fewer rows than all but the k best could still qualify, the
-        rest of the lists only resolves these rows' scores, with no more bounds."""
-        n = self.n
-        k = min(k, n - len(own))
-        if k <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sides = [(np.flatnonzero(q > 0), True), (np.flatnonzero(q < 0), False)]
-        sides = [(dims, best_last, q[dims].astype(np.float64)[:, None]) for dims, best_last in sides if len(dims)]
-        worst = np.zeros(self.d, np.float32)
-        for dims, best_last, w in sides:
-            worst[dims] = self.values[dims, 0 if best_last else -1] * w[:, 0]
-        score, met, frontier = np.zeros(n), self.met, np.zeros(self.d, np.float32)
-        met.fill(0)
-        at, able = 0, None  # able: rows that may still qualify, once these are few
+    """For each dimension the rows of a block from the smallest component to the largest.
+
+    entries: how many entries of the lists have been read so far."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.x, self.row_ids, (self.n, self.d) = x, ids, x.shape
+        order = np.argsort(x, axis=0, kind="stable").T
+        self.ids = order.astype(np.int32).ravel()
+        self.values = np.take_along_axis(x.T, order, axis=1).astype(np.float64).ravel()
+        self.sample = self.values.reshape(self.d, self.n)[:, np.linspace(0, self.n - 1, min(self.n, 33)).astype(np.int64)]
+        self.entries = 0
+
+    def _depth(self, q: np.ndarray, least: float) -> np.ndarray:
+        """How many entries of each list give a contribution of least or more: by binary search in all lists at once."""
+        base, lo, hi = np.arange(self.d) * self.n, np.zeros(self.d, np.int64), np.full(self.d, self.n)
+        up = q > 0  # best entries at the end
+        for _ in range(int(self.n).bit_length()):
+            mid = (lo + hi) >> 1
+            at = np.where(up, self.n - 1 - mid, mid)
+            enough = (self.values[base + np.clip(at, 0, self.n - 1)] * q >= least) & (lo < hi)
+            lo, hi = np.where(enough, mid + 1, lo), np.where(enough | (lo >= hi), hi, mid)
+        return np.where(q == 0, 0, lo)
+
+    def _read(self, q: np.ndarray, before: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and contributions of the entries from before to to of each list."""
+        many = np.maximum(to - before, 0)
+        list_ = np.repeat(np.arange(self.d), many)
+        nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(before, many)
+        at = list_ * self.n + np.where(q[list_] > 0, self.n - 1 - nth, nth)
+        self.entries += len(at)
+        return self.ids[at], self.values[at] * q[list_]
+
+    def top(self, query: np.ndarray, k: int, own: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of this block and of best, ties to the smaller id; rows of the id own take no part."""
+        n, q = self.n, query.astype(np.float64)
+        score, met, done = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool)
+        done[self.row_ids == own] = True  # resolved, or no candidates
+        first = np.where(q > 0, self.sample[:, -1], self.sample[:, 0]) * q  # each list's best contribution
+        spread, before = np.sort((self.sample * q[:, None]).ravel()), np.zeros(self.d, np.int64)
+        slack = 1e-9 * float(np.abs(self.sample[:, [0, -1]]).max(axis=1) @ np.abs(q))  # of the bounds' own rounding
+
+        def resolve(rows: np.ndarray) -> None:
+            nonlocal best
+            done[rows] = True
+            ids, scores = np.concatenate([best[0], self.row_ids[rows]]), np.concatenate([best[1], self.x[rows] @ query])
+            order = np.lexsort((ids, -scores))[:k]
+            best = ids[order], scores[order]
+
         for depth in DEPTHS:
-            to = n if depth >= 1 else min(n, max(at + 1, int(n * depth)))
-            if to == at:
-                continue
-            for dims, best_last, w in sides:
-                ids_read, read = self.read(dims, best_last, at, to)
-                np.multiply(read, w, out=read)
-                score += np.bincount(ids_read.ravel(), read.ravel(), n)
-                if to < n and able is None:
-                    frontier[dims] = read[:, 0 if best_last else -1]
-                    for j, seen in zip(dims.tolist(), ids_read):
-                        met[j][seen] = 1
-            at = to
-            if able is not None or to == n:
-                continue
-            low = score + (worst.sum() - worst @ met)
-            high = score + (frontier.sum() - frontier @ met)
-            slack = 1 + 1e-5 * float(np.abs(frontier).sum() + np.abs(worst).sum())  # of the bounds' own rounding
-            low[own] = high[own] = -np.inf
-            bar = np.partition(low, n - k)[n - k]
-            may = high + slack >= bar - slack
-            may[own] = False
-            if may.sum() <= max(4 * k, n // 64):
-                able = may
-        rows = np.flatnonzero(able) if able is not None else np.setdiff1d(np.arange(n), own)
-        best = np.lexsort((ids[rows], -score[rows]))[:k]
-        return rows[best], score[rows[best]].astype(np.int64)
+            least = spread[int((1 - depth) * (len(spread) - 1))] if depth < 1 else -np.inf
+            to = np.maximum(self._depth(q, least), before) if depth < 1 else np.where(q == 0, 0, n)
+            rows, gives = self._read(q, before, to)
+            score += np.bincount(rows, gives, n)
+            met += np.bincount(rows, minlength=n)
+            before, opened = to, to > 0
+            # what is unread of an opened list gives less than least, of another no more than its best; 0 if all is read
+            rest = 0.0 if depth >= 1 else least
+            most = score + (int((opened & (q != 0)).sum()) - met) * rest + (np.where(opened, 0, first).sum() if depth < 1 else 0.0)
+            left = np.flatnonzero(~done)
+            if depth < 1 and len(left) > FEW:  # the most promising rows raise the bar
+                resolve(left[np.argpartition(-score[left], min(2 * k, len(left) - 1))[: 2 * k]])
+                left = np.flatnonzero(~done)
+            bar = best[1][k - 1] if len(best[1]) >= k else -np.inf
+            left = left[most[left] >= bar - slack]
+            if depth >= 1 or len(left) <= FEW:
+                resolve(left)
+                return best
+            done[:] = True
+            done[left] = False
+        return best
 
 
 def scaled(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as int; null unless every component is finite and the result fits an int."""
+    """floor(scale * x) of each component as long; null unless every component is finite and the result fits a long."""
     grown = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < (2**31 - 2) / scale))
-    return F.when(vector.isNotNull() & F.coalesce(whole, F.lit(False)), F.transform(grown, lambda x: x.cast("int")))
-
-
-def _packed(df: DataFrame, rows: int, dims: int) -> DataFrame:
-    """(ids, x): binaries of at most rows ids and their components, padded with zeros to dims."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        ids, parts = [], []
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 2.0**62 / scale))
+    return F.when(vector.isNotNull() & F.coalesce(whole, F.lit(False)), F.transform(grown, lambda x: x.cast("long")))
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["ids", "x"])
-
-        held = 0
-        for b in batches:
-            col = b.column(1)
-            sizes = np.diff(np.asarray(col.offsets))
-            x = np.zeros((b.num_rows, dims), np.int32)
-            x[np.arange(dims) < sizes[:, None]] = np.asarray(col.flatten())
-            i = np.asarray(b.column(0)).astype(np.int64)
-            a = 0
-            while a < len(i):
-                z = min(len(i), a + rows - held)
-                ids.append(i[a:z])
-                parts.append(x[a:z])
-                held, a = held + z - a, z
-                if held == rows:
-                    yield out()
-                    ids, parts, held = [], [], 0
-        if held:
-            yield out()
 
-    return df.mapInArrow(tidy(run), "ids binary, x binary")
+def _matrix(column, dims: int) -> np.ndarray:
+    """Lists of an Arrow column as rows, padded with zeros to dims."""
+    sizes = np.diff(np.asarray(column.offsets))
+    x = np.zeros((len(sizes), dims), np.int64)
+    x[np.arange(dims) < sizes[:, None]] = np.asarray(column.flatten())
+    return x
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query its k rows of vectors of highest integer inner product.
 
-    Components are floor(scale * x); ties go to the smaller id.  Every pair of a
-    chunk of queries and a block of vectors is a task's work; a block's k best of
-    a query go on, and the best of these are found by a ranking that is limited
-    before its shuffle.
+    Components are floor(scale * x); ties go to the smaller id.  Queries go out in chunks of CHUNK_BYTES; the
+    vectors stay where they are, and a task makes its rows into blocks with sorted lists.  It keeps the k best of
+    each query over its blocks, so a later block is read no deeper than it could still better these; tasks' k
+    best are ranked.
 
-    Rows with a null id, a null vector, a null or non-finite component, or one
-    that is too large for an int take no part.  Rows with the query's own id are
+    Rows with a null id, a null vector, a null or non-finite component, or one of which scale times is 2**62 or
+    more, take no part; a score must fit a long.  Rows with the query's own id are
     no candidates; other repeated rows are candidates of their own, repeated
     queries of one id count once.  Shorter vectors count as padded with zeros.
     Fewer than k candidates: all.  Empty tables give an empty result; other
@@ -137,37 +133,59 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return df.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vec_col), scale).alias("x")).where("id is not null and x is not null")
 
     rows = Staged(spark, ready(vectors), "vectors").df
+    spread = -(-rows.count() // BLOCK)
+    if rows.rdd.getNumPartitions() < min(spread, spark.sparkContext.defaultParallelism):  # small files, but much work for each row
+        rows = rows.repartition(min(spread, 2 * spark.sparkContext.defaultParallelism))
     asked = Staged(spark, ready(queries).groupBy("id").agg(F.min("x").alias("x")), "queries").df
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
+    size = rows.agg(F.max(F.size("x")).alias("d")).first()
     many = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     dims = max(size.d or 0, many.d or 0, 1)
-    n_blocks, n_chunks = max(1, -(-size.n // BLOCK)), max(1, -(-many.n // CHUNK))
+    chunks = max(1, -(-many.n * dims * 8 // CHUNK_BYTES))
+    found = []
+    for c in range(chunks):
+        chunk = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).toPandas()  # about CHUNK_BYTES
+        x = np.zeros((len(chunk), dims), np.int64)
+        for i, values in enumerate(chunk["x"]):
+            x[i, : len(values)] = values
+        sent = spark.sparkContext.broadcast((chunk["id"].to_numpy(np.int64), x))
+        found.append(Staged(spark, rows.mapInArrow(tidy(_searching(sent, k, dims)), "query_id long, vec_id long, score long"), "near").df)
+        sent.unpersist()
+    near = found[0]
+    for df in found[1:]:
+        near = near.unionByName(df)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    # Packed rows of both sides meet by (block slot, chunk slot); a slot may hold several packed rows.
-    def dealt(df: DataFrame, count: int, rows: int, own: str, other: str, others: int) -> DataFrame:
-        packed = Staged(spark, _packed(df.repartition(count), rows, dims), own).df
-        slot = F.pmod(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(count)).cast("int")
-        return Staged(spark, packed.withColumn(own, slot), own).df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
-    blocks = dealt(rows, n_blocks, BLOCK, "block", "chunk", n_chunks)
-    chunks = dealt(asked, n_chunks, CHUNK, "chunk", "block", n_blocks)
+def _searching(sent, k: int, dims: int):
+    """Of batches of (id, x): the k best of each query among all of them."""
 
-    def search(left, right):
+    def run(batches):
         import pyarrow as pa
 
-        out = [[], [], []]
-        for ids, x in zip(left["ids"].to_pylist(), left["x"].to_pylist()):
-            ids, x = np.frombuffer(ids, np.int64), np.frombuffer(x, np.int32).reshape(-1, dims)
-            lists = SortedLists(x)
-            for asks, qs in zip(right["ids"].to_pylist(), right["x"].to_pylist()):
-                asks, qs = np.frombuffer(asks, np.int64), np.frombuffer(qs, np.int32).reshape(-1, dims).astype(np.int64)
-                for ask, q in zip(asks.tolist(), qs):
-                    at, score = lists.top(q, k, np.flatnonzero(ids == ask), ids)
-                    for column, value in zip(out, (np.full(len(at), ask), ids[at], score)):
-                        column.append(value)
-        return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["query_id", "vec_id", "score"])
-
-    near = blocks.select("block", "chunk", "ids", "x").groupBy("block", "chunk").cogroup(chunks.select("block", "chunk", "ids", "x").groupBy("block", "chunk")).applyInArrow(search, "query_id long, vec_id long, score long")
-    near = Staged(spark, near, "near").df
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        asks, queries = sent.value
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(asks)
+        ids, parts, held = [], [], 0
+
+        def search() -> None:
+            lists = SortedLists(np.concatenate(parts), np.concatenate(ids))
+            for i, (ask, q) in enumerate(zip(asks.tolist(), queries)):
+                best[i] = lists.top(q, k, ask, best[i])
+
+        for b in batches:
+            i, x, a = np.asarray(b.column(0)).astype(np.int64), _matrix(b.column(1), dims), 0
+            while a < len(i):
+                z = min(len(i), a + BLOCK - held)
+                ids.append(i[a:z])
+                parts.append(x[a:z])
+                held, a = held + z - a, z
+                if held == BLOCK:
+                    search()
+                    ids, parts, held = [], [], 0
+        if held:
+            search()
+        many = [len(x[0]) for x in best]
+        flat = [np.concatenate(c) if best else np.zeros(0, np.int64) for c in zip(*best)] or [np.zeros(0, np.int64)] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks, many)), *map(pa.array, flat)], ["query_id", "vec_id", "score"])
+
+    return run

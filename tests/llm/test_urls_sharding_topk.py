@@ -104,19 +104,39 @@ def test_shards_of_an_empty_table(spark):
     assert hilbert_shards(df, ["lang", "n"], ["id"], 4).count() == 0
 
 
-def test_lists_stop_and_resolve():
-    rng = np.random.default_rng(1)
-    x = rng.integers(-300, 300, (700, 16)).astype(np.int32)
-    x[5:60] = x[4]
-    ids = rng.permutation(700)
-    lists = SortedLists(x)
-    for q in [*x[:40].astype(np.int64), np.zeros(16, np.int64)]:
-        own = np.flatnonzero(ids == 7)
-        rows, score = lists.top(q, 5, own, ids)
-        exact = x.astype(np.int64) @ q
-        exact[own] = -(1 << 60)
-        best = np.lexsort((ids, -exact))[:5]
-        assert (best == rows).all() and (exact[best] == score).all()
+NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def test_sorted_lists_give_the_best_rows():
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * rng.normal(size=(500, 16))).astype(np.int64)
+    x[100:160] = x[7]
+    ids = rng.permutation(500) // 2  # repeated ids
+    before = np.array([9000, 9001]), np.array([10**7, -(10**7)])
+    for best in (NOTHING, before):
+        lists = SortedLists(x, ids)
+        for q in [*x[:40], np.zeros(16, np.int64)]:
+            got, score = lists.top(q, 5, 7, best)
+            all_ids, exact = np.concatenate([best[0], ids[ids != 7]]), np.concatenate([best[1], (x @ q)[ids != 7]])
+            order = np.lexsort((all_ids, -exact))[:5]
+            assert (all_ids[order] == got).all() and (exact[order] == score).all()
+
+
+def test_reading_stops():
+    """Entries read of random directions: under two thirds of all; with a bar from earlier blocks, and where few rows
+    are near the query, under half."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4096, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    read = {}
+    for name, rows, best in (("alone", x, NOTHING), ("bar", x, (np.arange(5) + 9000, np.full(5, 30000))), ("near", np.concatenate([x[:-200], np.repeat(x[:20], 10, axis=0) + rng.integers(-5, 6, (200, 64))]), NOTHING)):
+        lists = SortedLists(rows, np.arange(4096))
+        for i in range(20):
+            got, score = lists.top(rows[i], 5, i, best)
+            exact = np.sort(np.concatenate([best[1], np.delete(rows @ rows[i], i)]))[::-1][:5]
+            assert (score == exact).all()
+        read[name] = lists.entries / (20 * rows.size)
+    assert read["alone"] < 0.67 and read["bar"] < 0.5 and read["near"] < 0.5
 
 
 def test_top_k(spark):
@@ -124,11 +144,11 @@ def test_top_k(spark):
 
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(120)]
-    rows += [(200, None), (250, [float("nan")] + [0.0] * 5), (300, [None] * 6), (350, [float("inf")] * 6), (400, []), (60, rows[60][1]), (1000, rows[3][1]), (1001, rows[3][1]), (None, [1.0] * 6)]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<float>, score int")
+    rows += [(200, None), (250, [float("nan")] + [0.0] * 5), (300, [None] * 6), (310, [3e7] + [0.0] * 5), (350, [float("inf")] * 6), (400, []), (60, rows[60][1]), (1000, rows[3][1]), (1001, rows[3][1]), (None, [1.0] * 6)]
+    df = spark.createDataFrame([(*r, 5, 6) for r in rows], "vec_id long, embedding array<float>, score int, rank int")
     with pytest.MonkeyPatch.context() as m:
         m.setattr(topk, "BLOCK", 32)
-        m.setattr(topk, "CHUNK", 2)
+        m.setattr(topk, "CHUNK_BYTES", 100)
         got = top_k(df, df.where("vec_id % 50 = 0"), 5).collect()
     live = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64) if v else np.zeros(6, np.int64)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     want = []
