@@ -1,131 +1,190 @@
 """BPE as a deterministic automaton over token arcs.
 
 The automaton begins with an arc for each base symbol from every state.  Each
-merge (u, v) -> w, in order, puts a gadget in: every state with an arc u gets an
-arc w, the state behind w begins as a copy of the state behind v, and the state
-behind u loses its arc v.  A state is thus "the last token", and a path through
+merge (u, v) -> w, in order, puts a gadget in: the state behind w begins as a copy
+of the state behind v, the state behind u loses its arc v, and every state that
+still has an arc u gets an arc w.  A state is thus "the last token", and a path through
 the arcs that spells a word is its one BPE encoding.
 
-The whole table has a bit for each pair of tokens (300 MB for 49k tokens), of
-which texts use few: ``arc`` follows the gadgets back to the base symbols when
-an arc is first asked for and keeps the answer in the table.  Words are encoded
-by a table-driven walk: the longest token from here that the state has an arc
-for, back to the next shorter one where the walk can't go on.
+What a gadget takes from a state and an arc it takes from all their later copies.
+States that are copies under the same later gadgets end up alike and share a row of
+the table, arcs alike share a column: of 49k tokens these are 12k rows and 14k
+columns, 20 MB of bits, which are compiled once and sent to the workers.
+
+A word's prefixes have one encoding each, so its last token is found from left to
+right: a suffix automaton of the tokens gives those that end at a place, longest
+first, and the table says which of them may follow the last token of the prefix
+before it.  Nothing is undone, and the time is linear in the word.
 """
 
 from __future__ import annotations
 
 import json
+from collections import defaultdict
+
+import numpy as np
 
-#: Most arcs and words that a worker keeps; the tables begin anew beyond.
-ARCS, WORDS = 1_000_000, 250_000
+#: Most words that a worker keeps; it begins anew beyond.
+WORDS = 400_000
+_SYMBOL = 21  # bits of a symbol's code point
+
+
+def _spines(tokens, merges_of: dict[int, list[int]], rank: dict[int, int], part: dict[int, int], ties: bool) -> tuple[dict, list]:
+    """The class of each token, and for each class the (token, number of its merges) from which gadgets reach it.
+
+    part: a token's side that it is copied from; a copy at rank p has lost what merges before p took (ties: or p)."""
+    classes: dict[tuple, int] = {}
+    of = {}
+    for t in tokens:
+        key, x, copied = [], t, None
+        while True:
+            own = merges_of.get(x, ())
+            n = len(own) if copied is None else int(np.searchsorted(own, copied, "right" if ties else "left"))
+            if n:
+                key.append((x, n))
+            if x not in part:
+                break
+            x, copied = part[x], rank[x]
+        of[t] = classes.setdefault(tuple(key), len(classes))
+    return of, list(classes)
 
 
 class Automaton:
     """ids: by token, base symbols and merged ones; merges: pairs of tokens in order.
 
-    Tokens are strings of symbols; one token must come from one merge."""
+    Tokens are strings of symbols; one token must come from one merge.  It is compiled when it is made, and small
+    enough to be sent to workers."""
 
     def __init__(self, ids: dict[str, int], merges: list[tuple[str, str]]):
-        self.label = {i: t for t, i in ids.items()}
-        self.ids = ids
-        self.rank: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        rank: dict[int, int] = {}
+        first, second, behind, ahead = {}, {}, defaultdict(list), defaultdict(list)
         for r, (u, v) in enumerate(merges, 1):
-            w = ids[u + v]
-            if w in self.rank:
-                raise ValueError(f"two merges make the token {u + v!r}")
-            self.rank[w], self.parts[w] = r, (ids[u], ids[v])
-            self.merged[ids[u], ids[v]] = r
-        self.arcs: dict[tuple[int, int], bool] = {}
-        # a merge whose second arc is gone from behind its first makes a token that no path has
-        self.dead: set[int] = set()
-        for w, (u, v) in self.parts.items():
-            if u in self.dead or v in self.dead or not self._allowed(u, v, self.rank[w] - 1):
-                self.dead.add(w)
-        ids = {t: i for t, i in ids.items() if i not in self.dead}
-        self.trie: dict = {}
+            w, u, v = ids[u + v], ids[u], ids[v]
+            if w in rank:
+                raise ValueError(f"two merges make the token {w}")
+            rank[w], first[w], second[w] = r, u, v
+            behind[u].append(r)
+            ahead[v].append(r)
+        tokens = list(ids.values())
+        # a state is copied from its token's second part, an arc from its first; of equal symbols the first pair merges
+        state, rows = _spines(tokens, behind, rank, second, ties=False)
+        arc, columns = _spines(tokens, ahead, rank, first, ties=True)
+
+        def reached(classes: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+            """By token: the classes that its gadgets reach and how many of its merges do, most first."""
+            out = defaultdict(list)
+            for c, key in enumerate(classes):
+                for t, n in key:
+                    out[t].append((-n, c))
+            return {t: (-np.array([n for n, _ in sorted(x)]), np.array([c for _, c in sorted(x)])) for t, x in out.items()}
+
+        by_state, by_arc = reached(rows), reached(columns)
+        bits = np.full((len(rows), -(-len(columns) // 8)), 255, np.uint8)
+        turn_u, turn_v, dead, mask = defaultdict(int), defaultdict(int), set(), np.zeros(bits.shape[1] * 8, bool)
+        for w, u in first.items():  # the gadgets, in order
+            v = second[w]
+            # a merge whose second arc is gone from behind its first makes a token that no path has
+            if u in dead or v in dead or not bits[state[u], arc[v] >> 3] & (1 << (arc[v] & 7)):
+                dead.add(w)
+            counts, x = by_state[u]
+            x = x[: int(np.searchsorted(-counts, -turn_u[u], "left"))]
+            counts, y = by_arc[v]
+            y = y[: int(np.searchsorted(-counts, -turn_v[v], "left"))]
+            turn_u[u] += 1
+            turn_v[v] += 1
+            mask[y] = True
+            bits[x] &= ~np.packbits(mask, bitorder="little")
+            mask[y] = False
+        self.width, self.bits = bits.shape[1], bits.tobytes()
+        self.states, self.arcs = len(rows), len(columns)
+        size = max(tokens, default=-1) + 1
+        self.row, self.column, self.size, self.link = (np.full(size, -1, np.int32) for _ in range(4))
         for t, i in ids.items():
-            node = self.trie
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = i
-        self.size = {i: len(t) for t, i in ids.items()}
-        self.shorter: dict[int, int] = {}  # the longest token that a token begins with
+            self.row[i], self.column[i], self.size[i] = state[i], arc[i], len(t)
+        self._suffixes({t: i for t, i in ids.items() if i not in dead})
+
+    def _suffixes(self, ids: dict[str, int]) -> None:
+        """The suffix automaton of the live tokens: goto, failure, the longest token that ends at a node, and its next shorter one."""
+        goto, out, ends = {}, [-1], {}
         for t, i in ids.items():
-            for n in range(len(t) - 1, 0, -1):
-                if t[:n] in ids:
-                    self.shorter[i] = ids[t[:n]]
-                    break
+            node = 0
+            for c in t:
+                key = node << _SYMBOL | ord(c)
+                if key not in goto:
+                    goto[key] = len(out)
+                    out.append(-1)
+                node = goto[key]
+            out[node], ends[i] = i, node
+        own, fail, level = list(out), [0] * len(out), sorted(goto)
+        by_node = defaultdict(list)
+        for key in level:
+            by_node[key >> _SYMBOL].append((key & ((1 << _SYMBOL) - 1), goto[key]))
+        queue = [child for _, child in by_node[0]]
+        for node in queue:
+            for c, child in by_node[node]:
+                at = fail[node]
+                while at and (at << _SYMBOL | c) not in goto:
+                    at = fail[at]
+                fail[child] = goto.get(at << _SYMBOL | c, 0)
+                queue.append(child)
+            out[node] = own[node] if own[node] >= 0 else out[fail[node]]
+        for i, node in ends.items():
+            self.link[i] = out[fail[node]]
+        self.keys, self.children = np.array(list(goto), np.int64), np.array(list(goto.values()), np.int32)
+        self.fail, self.out = np.array(fail, np.int32), np.array(out, np.int32)
 
-    def _allowed(self, x: int, y: int, time: int) -> bool:
-        """Whether the state behind x has an arc y after the first ``time`` merges."""
-        rank, parts, merged = self.rank.get, self.parts, self.merged.get
-        while True:
-            r = merged((x, y))
-            if r is not None and r <= time:
-                return False
-            tx, ty = rank(x, 0), rank(y, 0)
-            if tx > ty:  # x's state was copied from its right part's just before merge tx
-                x, time = parts[x][1], tx - 1
-            elif ty > tx:  # arc y came with its left part's at merge ty
-                y, time = parts[y][0], ty
-            elif tx:  # x == y, made by one merge: the arc by its left part, the state by its right
-                x, y, time = parts[x][1], parts[y][0], tx - 1
-            else:
-                return True
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_ready"}
+
+    def _tables(self) -> tuple:
+        if not hasattr(self, "_ready"):
+            self._ready = (dict(zip(self.keys.tolist(), self.children.tolist())).get, self.fail.tolist(), self.out.tolist(), self.size.tolist(), self.link.tolist(), (self.row.astype(np.int64) * self.width).tolist(), (self.column >> 3).tolist(), (1 << (self.column & 7)).tolist(), self.bits)
+        return self._ready
 
     def arc(self, x: int, y: int) -> bool:
-        known = self.arcs.get((x, y))
-        if known is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            known = self.arcs[x, y] = self._allowed(x, y, len(self.parts) + 1)
-        return known
+        """Whether the state behind x has an arc y."""
+        *_, row, byte, bit, bits = self._tables()
+        return bool(bits[row[x] + byte[y]] & bit[y])
 
     def encode(self, word: str) -> list[int]:
         """Arc labels of the one path that spells the word."""
-        n, trie, size, arcs, shorter = len(word), self.trie, self.size, self.arcs, self.shorter
-        path: list[int] = []
-        dead: set[int] = set()
-        pos, last = 0, -1
-        while pos < n:
-            node, token = trie, -1
-            for c in word[pos:]:
-                node = node.get(c)
-                if node is None:
+        goto, fail, out, size, link, row, byte, bit, bits = self._tables()
+        last, node = [-1], 0
+        for i, c in enumerate(map(ord, word), 1):
+            child = goto(node << _SYMBOL | c)
+            while child is None and node:
+                node = fail[node]
+                child = goto(node << _SYMBOL | c)
+            node = child or 0
+            token = out[node]
+            while token >= 0:  # the longest token that ends here and that the state before it has an arc for
+                before = i - size[token]
+                if not before or ((x := last[before]) >= 0 and bits[row[x] + byte[token]] & bit[token]):
                     break
-                if "" in node:
-                    token = node[""]
-            while True:  # the longest token with an arc from here whose end isn't dead
-                while token >= 0:
-                    if last < 0 or (arcs[last, token] if (last, token) in arcs else self.arc(last, token)):
-                        if not dead or pos + size[token] not in dead:
-                            break
-                    token = shorter.get(token, -1)
-                if token >= 0:
-                    break
-                if last < 0:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add(pos)
-                token = path.pop()  # its end is dead now, so a shorter one is looked for
-                pos -= size[token]
-                last = path[-1] if path else -1
+                token = link[token]
+            last.append(token)
+        path, at = [], len(word)
+        while at:
+            if (token := last[at]) < 0:
+                raise ValueError(f"no path for {word[:100]!r}")
             path.append(token)
-            pos += size[token]
-            last = token
-        return path
+            at -= size[token]
+        return path[::-1]
 
 
 class _Words(dict):
-    """Fills itself: by word, the value that fill makes."""
+    """Fills itself: by word, the values that fill makes; WORDS at most, and none of long words."""
 
     def __init__(self, fill):
         self.fill = fill
 
-    def __missing__(self, word: str) -> str:
-        return self.fill(word)
+    def __missing__(self, word: str) -> tuple[str, str]:
+        made = self.fill(word)
+        if len(word) <= 64:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = made
+        return made
 
 
 def byte_symbols() -> dict[int, str]:
@@ -146,10 +205,6 @@ class WordBpe:
     END = "\n"  # stands for </w> inside the automaton: no byte symbol
 
     def __init__(self, path: str):
-        import re
-
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -164,33 +219,41 @@ class WordBpe:
         self.text_of = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.symbols = byte_symbols()
         self.bytes = {ord(c): b for b, c in self.symbols.items()}
-        tokenizer = Tokenizer.from_file(path)
+        # the library's own normalizer and splitter, without its model
+        self.spec = json.dumps({**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
+        self._prepare()
+
+    def _prepare(self) -> None:
+        import re
+
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(self.spec)
         self.normalise, self.pieces = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # Latin letters, digits and spaces up to U+017F, where re needs no Unicode tables of another version
-        letter, digit, space = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+        letter, digit, space = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
         self.plain = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+").findall
-        self.odd = re.compile("[^\x00-įı-ſ]").search
+        self.odd = re.compile("[^\x00-\u012f\u0131-\u017f]").search
         self.printable = re.compile("[!-~]+").fullmatch
-        self.known, self.shown = _Words(lambda w: self.word(w)[0]), _Words(lambda w: self.word(w)[1])
+        self.known = _Words(self.word)
+
+    def __getstate__(self) -> dict:
+        return {k: vars(self)[k] for k in ("special", "automaton", "text_of", "symbols", "bytes", "spec")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._prepare()
 
     def word(self, word: str) -> tuple[str, str]:
         """Ids of a word, and their tokens' strings, each joined by spaces."""
         spelled = word if self.printable(word) else "".join([self.symbols[b] for b in word.encode()])
         path = self.automaton.encode(spelled + self.END)
-        ids, shown = " ".join(map(str, path)), " ".join([self.text_of[i] for i in path])
-        if len(word) <= 64:
-            if len(self.known) >= WORDS:
-                self.known.clear()
-                self.shown.clear()
-            self.known[word], self.shown[word] = ids, shown
-        return ids, shown
+        return " ".join(map(str, path)), " ".join([self.text_of[i] for i in path])
 
     def forget(self) -> None:
-        """Gives back what was kept of words and arcs."""
+        """Gives back what was kept of words."""
         self.known.clear()
-        self.shown.clear()
-        self.automaton.arcs.clear()
 
     def words(self, text: str) -> list[str]:
         if text.isascii() or not self.odd(text):
@@ -207,9 +270,9 @@ class WordBpe:
                 ids.append(str(self.special[part]))
                 decoded.append(part)
                 continue
-            words = self.words(part)
-            ids.extend(map(self.known.__getitem__, words))
-            decoded.extend(map(self.shown.__getitem__, words))
+            for i, d in map(self.known.__getitem__, self.words(part)):
+                ids.append(i)
+                decoded.append(d)
         return " ".join(ids), " ".join(decoded)
 
     def decode(self, ids: list[int]) -> str:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasepivot.llm.common import Carried, Staged, ship_package, small_batches, tidy
@@ -13,13 +14,14 @@ from phrasepivot.llm.common import Carried, Staged, ship_package, small_batches,
 _loaded: dict = {}
 
 
-def word_bpe(path: str):
-    """The automaton of a file, compiled once in each worker."""
+def word_bpe(spark: SparkSession, path: str):
+    """The compiled automaton of a file, broadcast once in an application; its size is the vocabulary's."""
     from phrasepivot.llm.bpe_automaton import WordBpe
 
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    key = spark.sparkContext.applicationId, path
+    if key not in _loaded:
+        _loaded[key] = spark.sparkContext.broadcast(WordBpe(path))
+    return _loaded[key]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -29,17 +31,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     long columns, so that these never leave the worker.  A null text counts as
     empty: no tokens.  Repeated rows and null ids are encoded row by row; an empty
     table gives an empty result; other columns of docs are not read.  path: a
-    tokenizer file that every executor can open."""
+    tokenizer file that the driver can open."""
     ship_package(docs.sparkSession)
     kind, carried = docs.schema[id_col].dataType.simpleString(), Carried(docs, carry or [])
     names = ("ids_sha256", "decoded_sha256") if digests_only else ("ids", "decoded")
+    sent = word_bpe(docs.sparkSession, path)
 
     def run(batches):
         import pyarrow as pa
 
-        from phrasepivot.llm.tokenize_docs import _loaded, word_bpe
-
-        bpe = word_bpe(path)
+        bpe = sent.value
         try:
             for b in small_batches(batches, 2 << 20, "text"):
                 n, a, d = [], [], []
@@ -51,7 +52,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *carried.of(b)], ["doc_id", "n_tokens", *names, *carried.inside])
         finally:
             bpe.forget()  # a worker lives on between tasks, of whatever query
-            _loaded.pop(path, None)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried.columns)
     return carried.named(rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, {names[0]} string, {names[1]} string{carried.schema}"), ["doc_id", "n_tokens", *names])
@@ -61,13 +61,12 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     """doc_id, decoded: the arc labels of the ids, which are decimal and joined by a space; null counts as none."""
     ship_package(encoded.sparkSession)
     kind = encoded.schema[id_col].dataType.simpleString()
+    sent = word_bpe(encoded.sparkSession, path)
 
     def run(batches):
         import pyarrow as pa
 
-        from phrasepivot.llm.tokenize_docs import word_bpe
-
-        bpe = word_bpe(path)
+        bpe = sent.value
         for b in small_batches(batches, 4 << 20, "ids"):
             out = [bpe.decode(list(map(int, (x or "").split()))) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "decoded"])
@@ -86,8 +85,34 @@ def rank_encoder(path: str, pattern: str):
     return _loaded[path, pattern]
 
 
+#: White space that the pattern takes as such, and how long a run of it the pattern is given: it needs a frame for each character.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{SPACES}]{{256,}}")
+
+
+def token_ids(encoder, text: str) -> list[int]:
+    """Ids of a text by rank_encoder's encoder, however long its runs of white space.
+
+    The pattern takes a run as one piece but for its last character, which goes with what follows; a run that ends the
+    text is one piece.  Long runs are cut out by that rule."""
+    if len(text) < 256 or not (run := _LONG_RUN.search(text)):
+        return encoder.encode_ordinary(text)
+    ids, at = [], 0
+    while run:
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoder.encode_ordinary(text[at : run.start()])
+        ids += encoder._encode_single_piece(text[run.start() : end].encode())
+        at = end
+        run = _LONG_RUN.search(text, at + 1)
+    return ids + encoder.encode_ordinary(text[at:])
+
+
 def token_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens of every row of docs; a null or empty text has none."""
+    """doc_id, n_tokens of every row of docs.
+
+    A null or empty text has none; texts and runs of one character may be of any length.  Rows with repeated or null
+    ids are encoded row by row; an empty table gives an empty result; other columns of docs are not read.  path: a file
+    that every executor can open."""
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -96,9 +121,9 @@ def token_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
         from phrasepivot.llm.tokenize_docs import rank_encoder
 
-        encode = rank_encoder(path, pattern).encode_ordinary
+        encoder = rank_encoder(path, pattern)
         for b in small_batches(batches, 4 << 20, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(token_ids(encoder, t)) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long")
 

@@ -109,11 +109,46 @@ def test_automaton_on_random_merges():
             assert [tokens[i] for i in automaton.encode(word)] == merges_by_hand(word, rank), (merges, word)
 
 
+def test_table_is_that_of_the_gadgets():
+    """Every arc of the compiled table against gadgets that are put in one by one."""
+    rng = random.Random(3)
+    for _ in range(40):
+        tokens, merges = ["a", "b", "c"], []
+        for _ in range(rng.randint(1, 25)):
+            u, v = rng.choice(tokens), rng.choice(tokens)
+            if u + v not in tokens:
+                merges.append((u, v))
+                tokens.append(u + v)
+        arcs = {x: {"a", "b", "c"} for x in "abc"}
+        for u, v in merges:
+            arcs[u + v] = set(arcs[v])
+            arcs[u].discard(v)
+            for behind in arcs.values():
+                if u in behind:
+                    behind.add(u + v)
+        ids = {t: i for i, t in enumerate(tokens)}
+        automaton = Automaton(ids, merges)
+        assert all(automaton.arc(ids[x], ids[y]) == (y in arcs[x]) for x in tokens for y in tokens), merges
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    bpe, library = WordBpe(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    took = []
+    for n in (20_000, 160_000):
+        word = "".join(random.Random(n).choice("theandiqx") for _ in range(n))
+        begun = time.process_time()
+        got = bpe.encode(word)[0]
+        took.append(time.process_time() - begun)
+        assert n > 20_000 or got == " ".join(map(str, library.encode(word, add_special_tokens=False).ids))
+    assert took[1] < 25 * took[0]
+
+
 def test_words_as_the_library(monkeypatch):
     import phrasepivot.llm.bpe_automaton as bpe_automaton
 
     monkeypatch.setattr(bpe_automaton, "WORDS", 50)
-    monkeypatch.setattr(bpe_automaton, "ARCS", 100)
     bpe, library, rng = WordBpe(WORD_FILE), Tokenizer.from_file(WORD_FILE), random.Random(2)
     texts = ODD + ["".join(rng.choice("aabbtheinnñéß!?'.0123 \n<|>ZΩжи中") for _ in range(rng.randint(1, 80))) for _ in range(400)]
     for t in texts:
@@ -303,3 +338,35 @@ def test_copies_met_after_the_cache_began_anew(spark, monkeypatch):
     count, d = Counter(w for t in texts for w in t.split()), total + 3 + 1 + 1
     for r in got:
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / d) for w in texts[r.doc_id].split()) + math.log10(13 / d), rel=1e-9)
+
+
+# ---- runs of white space, and words with white space beyond ASCII ---------------------------
+
+
+def test_long_runs_of_white_space(spark):
+    from phrasepivot.llm.tokenize_docs import token_ids
+
+    path = RANKS
+    encoder = rank_encoder(path, public_tokenizers.PATTERN)
+    for run in (" " * 600, "\n" * 300 + " " * 300, "\u3000\xa0" * 200, "\t" * 700):
+        for before in ("", "ab", "'s"):
+            for after in ("", "cd", "1", "!?", "\x1f"):
+                assert token_ids(encoder, before + run + after) == encoder.encode_ordinary(before + run + after)
+                assert token_ids(encoder, (before + run) * 2 + after) == encoder.encode_ordinary((before + run) * 2 + after)
+    long = [" " * 1_000_000, "x" + "\n" * 1_000_000 + "y", "a" * 300_000]
+    got = token_lengths(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), path, public_tokenizers.PATTERN)
+    want = [len(encoder._encode_single_piece(long[0].encode())), 2 + len(encoder._encode_single_piece(b"\n" * 999_999)) + 1, len(encoder.encode_ordinary(long[2]))]
+    assert [r.n_tokens for r in got.orderBy("doc_id").collect()] == want
+
+
+def test_words_with_unicode_spaces_keep_their_numbers():
+    from phrasepivot.llm.lm_scoring import _encode
+
+    path = RANKS
+    words = [w.encode() for w in ("\xa0", "\xa0\xa0", "x", "a\u3000", "b", "\u2028c", "\x1f", "\x85", "d")]
+    ids, begin = _encode(words, path, public_tokenizers.PATTERN)
+    assert len(begin) == len(words)
+    for i, part in enumerate(np.split(ids, begin[1:])):
+        alone, _ = _encode([words[i]], path, public_tokenizers.PATTERN)
+        assert part.tolist() == alone.tolist()
+    assert _encode([], path, public_tokenizers.PATTERN)[0].tolist() == []
