@@ -5,15 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasepivot.llm.common import Carried, ship_package, small_batches, tidy, utf8_views
 
 #: Bytes in a window; widths of the filters, and how many there are of each; size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 8, 8
-#: Bound of the labelled sample: windows of each language, and in all.
-PER_LANGUAGE, SAMPLE = 800, 16_000
+#: Bound of the labelled sample: windows of each language, languages, and windows in all.
+PER_LANGUAGE, LANGUAGES, SAMPLE = 800, 1000, 16_000
 #: Windows that are looked at in one step.
 STEP = 256
 UNKNOWN = "und"
@@ -128,18 +128,32 @@ class ByteConv:
 
 
 def labelled_windows(docs: DataFrame, text: Column, lang: Column) -> tuple[np.ndarray, list[str]]:
-    """A bounded sample of WINDOW-byte pieces of labelled texts: for each language the PER_LANGUAGE rows of
-    lowest hash, cut at a place that depends on the hash, and SAMPLE in all."""
+    """A bounded sample of WINDOW-byte pieces of labelled texts: for each language the texts of lowest hash, cut at a
+    place that depends on the hash; PER_LANGUAGE of each of the LANGUAGES most frequent, and SAMPLE in all.
+
+    How many texts a language has says how low a hash must be to be looked at, so that about twice the sample is
+    gathered; copies count once and are counted as one before they are."""
     mark = F.xxhash64(text)
     place = F.pmod(mark, F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1
-    piece = docs.where(text.isNotNull() & lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("lang"), mark.alias("mark"), F.substring(text, place, F.lit(WINDOW)).alias("piece"))
-    ranked = piece.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "piece"))).where(F.col("r") <= PER_LANGUAGE)
-    rows = ranked.orderBy("r", "lang").limit(SAMPLE).select("lang", "piece").collect()
-    x = np.zeros((len(rows), WINDOW), np.uint8)
-    for i, r in enumerate(rows):
-        raw = r.piece.encode()[:WINDOW]
+    rows = docs.where(text.isNotNull() & lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("lang"), mark.alias("mark"), F.substring(text, place, F.lit(WINDOW)).alias("piece"))
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("mark", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not many:
+        return np.zeros((0, WINDOW), np.uint8), []
+    quota = max(1, min(PER_LANGUAGE, SAMPLE // len(many)))
+    # a share of the hashes, as unsigned 53-bit numbers
+    bounds = [(r.lang, int(min(1.0, (2 * quota + 50) / max(r.n, 1)) * (1 << 53))) for r in many]
+    low = F.shiftrightunsigned("mark", 11)
+    asked = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    picked = rows.join(F.broadcast(asked), "lang").where(low < F.col("bound")).groupBy("lang", low.alias("low"), "mark").agg(F.min("piece").alias("piece")).collect()
+    by_lang: dict[str, list] = {}
+    for r in sorted(picked, key=lambda r: (r.low, r.mark)):
+        by_lang.setdefault(r.lang, []).append(r.piece)
+    chosen = [(k, piece) for k in sorted(by_lang) for piece in by_lang[k][:quota]]
+    x = np.zeros((len(chosen), WINDOW), np.uint8)
+    for i, (_, piece) in enumerate(chosen):
+        raw = piece.encode()[:WINDOW]
         x[i, : len(raw)] = np.frombuffer(raw, np.uint8)
-    return x, [r.lang for r in rows]
+    return x, [k for k, _ in chosen]
 
 
 def train_language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> ByteConv | None:

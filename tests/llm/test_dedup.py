@@ -298,9 +298,9 @@ def test_one_row_of_each_group_stays(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [4 << 20, 600])
-def test_contamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("kept", [200_000, 7])
+def test_contamination(spark, monkeypatch, kept):
+    monkeypatch.setattr(decontaminate, "KEPT", kept)
     rng = random.Random(10)
     vocabulary = ["the"] * 10 + [letters(rng, 4, "abcé1") for _ in range(60)]
     say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -336,4 +336,10 @@ def test_contamination(spark, monkeypatch, block):
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(x[2] for x in want)
     assert decontaminate.contamination(docs_df.limit(0), items_df).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(docs_df, items_df.limit(0)).collect()} == {0}
-    assert decontaminate.contamination(docs_df, items_df, carry=["text", "hits"]).columns == ["doc_id", "n_words", "n_hit", "item_ids", "text", "hits"]
+    clash = docs_df.withColumnsRenamed({"doc_id": "k1", "hits": "n_words"})
+    left = decontaminate.drop_contaminated(clash, items_df, id_col="k1")
+    assert left.columns == clash.columns
+    clean = Counter(t for (i, t), (_, n, hit, _) in zip(docs, want) if not (hit and 20 * hit >= n))
+    assert Counter(r.text for r in left.collect()) == clean and len(clean) < len(want)
+    assert decontaminate.drop_contaminated(docs_df.limit(0), items_df).count() == 0
+    assert decontaminate.drop_contaminated(docs_df, items_df.limit(0)).count() == len(docs)
