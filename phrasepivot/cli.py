@@ -27,7 +27,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--write-phrase-penalty", action="store_true", help="accepted; has no effect")
     p.add_argument("--number_of_features", type=int, default=4)
     p.add_argument("--swap-lexical", action="store_true", help="turning a table also turns its lexical weights")
-    p.add_argument("--parts", action="store_true", help="write a directory of part files")
+    p.add_argument("--parts", action="store_true", help="write a directory of part files; without it, tables of over 4 GB of input are")
+    p.add_argument("--partitions", type=int, help="deal each table's lines into so many parts, for packed files")
     p = commands.add_parser("catalog", help="corpora for a language pair")
     p.add_argument("-s", dest="source", required=True)
     p.add_argument("-t", dest="target", required=True)
@@ -54,16 +55,16 @@ def main(argv: Sequence[str] | None = None) -> int:
     spark = builder.getOrCreate()
     if args.command == "triangulate":
         plan = Plan(args.action, args.mode, args.weight, args.counts, args.swap_lexical)
-        triangulate(spark, plan, args.source, args.target, args.output, args.lexical, args.number_of_features, not args.parts)
+        triangulate(spark, plan, args.source, args.target, args.output, args.lexical, args.number_of_features, False if args.parts else None, args.partitions)
     elif args.command == "catalog":
         from phrasepivot.plans.catalog import write_report
 
         write_report(spark, args.corpora, args.source, args.target, args.output, args.mono_language)
     elif args.command == "decoder-config":
         from phrasepivot.plans.decoder_config import DecoderConfig, find_tables
+        from phrasepivot.sources.files import write_text
 
-        with open(args.output, "w") as f:
-            f.write(DecoderConfig(find_tables(spark, args.tables), args.language_model).text())
+        write_text(spark, args.output, DecoderConfig(find_tables(spark, args.tables), args.language_model).text())
     else:
         from phrasepivot.sources.alignments import prepare_training
 

@@ -10,7 +10,8 @@ from phrasepivot.operators.bridge import bridge, pivot_first
 from phrasepivot.operators.lexicon import build_lexicon, with_lexical_weights
 from phrasepivot.operators.merge import estimated_probabilities, merge, with_marginals
 from phrasepivot.schema import COUNTS, FEATURES
-from phrasepivot.sources.phrase_table import read_phrase_table, write_lexical, write_phrase_table
+from phrasepivot.sources.files import readable, size_of
+from phrasepivot.sources.phrase_table import read_phrase_table, resolve_model, write_lexical, write_phrase_table
 
 ACTIONS = ("features_based", "counts_based")
 
@@ -45,9 +46,20 @@ class Plan:
         return out.select("src", "tgt", *FEATURES, "align", *COUNTS)
 
 
-def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, output: str, lexical: str | None = None, number_of_features: int = 4, single_file: bool = True) -> None:
-    """Reads both tables, writes the bridged one and, if lexical names them, the lexical files."""
-    bridged = plan.bridged(read_phrase_table(spark, source), read_phrase_table(spark, target))
+#: MB of both inputs up to which the output is one file, written by one task.
+SINGLE_FILE_MB = 4096
+
+
+def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, output: str, lexical: str | None = None, number_of_features: int = 4, single_file: bool | None = None, partitions: int | None = None) -> None:
+    """Reads both tables, writes the bridged one and, if lexical names them, the lexical files.
+
+    partitions: into how many parts the lines of each table are dealt before they are parsed, which packed files, one
+    task's work to read, need.  single_file: one file, or a directory of parts; by default one file up to SINGLE_FILE_MB
+    of input."""
+    if single_file is None:
+        inputs = sum(size_of(spark, readable(spark, resolve_model(spark, p))) for p in (source, target))
+        single_file = output == "-" or inputs <= SINGLE_FILE_MB << 20
+    bridged = plan.bridged(*(read_phrase_table(spark, p, partitions=partitions) for p in (source, target)))
     if plan.action == "counts_based" or lexical:
         bridged = bridged.persist()
     try:

@@ -193,7 +193,7 @@ def catalog_languages(spark, sf_dir):
 
 
 def catalog_undersized(spark, sf_dir):
-    """Of the documents of odd ids, which leave directories without some language."""
+    """Of a listing without files of de and fr, by directories that a digest splits: these have fewer files than languages."""
     files = _corpus_files(spark, sf_dir).where(~F.col("file").endswith(".de") & ~F.col("file").endswith(".fr"))
     return undersized(files.withColumn("dir", F.concat("dir", F.substring(F.md5("file"), 1, 4))))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasepivot.sources.files import lines
+from phrasepivot.sources.files import lines, write_lines, write_text
 
 
 @dataclass(frozen=True)
@@ -51,11 +51,25 @@ def read_alignment(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.split("value", "\t")[0].alias("value"))
 
 
-def prepare_training(spark: SparkSession, path: str, out: str) -> AlignmentName:
-    """Writes what a phrase table trainer reads: the alignments' first column and both sides' texts, packed."""
+def training_arguments(folder: str, model: str) -> list[str]:
+    """Arguments of the trainer that makes a phrase table of a prepared folder; options and values are the trainer's
+    fixed values."""
+    return [
+        "--force-factored-filenames", "--first-step", "4", "--last-step", "6", "--root-dir", model, f"--alignment-file={folder}/alignment", "--alignment=custom",
+        f"--corpus={folder}/corpus", "--f", "src", "--e", "tgt", "--translation-factors", "0-0", "--decoding-steps", "t0",
+    ]
+
+
+def prepare_training(spark: SparkSession, path: str, out: str, single_file: bool = True) -> AlignmentName:
+    """Writes what a phrase table trainer reads: the alignments' first column and both sides' texts, packed, in their
+    order, and train.args, the trainer's arguments, one in a line.
+
+    The trainer, a program of its own, isn't started.  single_file: files as it reads them, by one task each; else
+    directories of parts."""
     name = parse_alignment_name(path)
-    folder = path.rsplit("/", 1)[0] if "/" in path else "."
-    read_alignment(spark, path).write.mode("overwrite").option("compression", "gzip").text(f"{out}/{name.pipe}/alignment.custom")
+    folder, to = path.rsplit("/", 1)[0] if "/" in path else ".", f"{out.rstrip('/')}/{name.pipe}"
+    write_lines(read_alignment(spark, path), f"{to}/alignment.custom.gz", single_file)
     for side, corpus in zip(("src", "tgt"), name.corpora(folder)):
-        lines(spark, corpus).write.mode("overwrite").option("compression", "gzip").text(f"{out}/{name.pipe}/corpus.{side}")
+        write_lines(lines(spark, corpus), f"{to}/corpus.{side}.gz", single_file)
+    write_text(spark, f"{to}/train.args", "\n".join(training_arguments(to, f"{out.rstrip('/')}/model.{name.pipe}.{name.corpus}")) + "\n")
     return name

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,3 +66,40 @@ def write_lines(df: DataFrame, path: str, single_file: bool = True) -> None:
     if not fs.rename(_path(spark, f"{parts}/{part}")[0], p):
         raise OSError(f"{path} can't be written")
     fs.delete(_path(spark, parts)[0], True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any file system, from the driver; - prints."""
+    if path == "-":
+        print(text, end="")
+        return
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files of a directory."""
+    p, fs = _path(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir); where that is unset, as in
+    tests, a local one.  It goes when the process ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = f"{(found or 'file://' + tempfile.gettempdir()).rstrip('/')}/phrasepivot-{uuid.uuid4().hex}"
+    p, fs = _path(spark, folder)
+    fs.mkdirs(p)
+
+    def clean() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before the process
+            fs.delete(p, True)
+
+    atexit.register(clean)
+    return folder

@@ -72,7 +72,11 @@ def test_prepare_training(spark, tmp_path):
             f.write(text)
     prepare_training(spark, str(tmp_path / "C.encs.ali.gz"), str(tmp_path / "out"))
     assert [r.value for r in read_alignment(spark, str(tmp_path / "C.encs.ali.gz")).collect()] == ["0-0 1-1", ""]
-    assert [r.value for r in spark.read.text(str(tmp_path / "out/encs/corpus.src")).collect()] == ["a b"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "out/encs/corpus.src.gz")).collect()] == ["a b"]
+    with gzip.open(tmp_path / "out/encs/alignment.custom.gz", "rt") as f:
+        assert f.read() == "0-0 1-1\n\n"
+    args = (tmp_path / "out/encs/train.args").read_text().split("\n")
+    assert f"--corpus={tmp_path}/out/encs/corpus" in args and args[5:7] == ["--root-dir", f"{tmp_path}/out/model.encs.C"]
 
 
 def test_command_line(spark, corpora, tmp_path):

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from phrasepivot.queries import ORACLE_SQL, QUERIES
+from phrasepivot import file_queries, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES, ORACLE_SQL = queries.QUERIES | file_queries.QUERIES, queries.ORACLE_SQL | file_queries.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
