@@ -18,10 +18,12 @@ from phrasepivot.llm.common import Staged, ship_package, tidy
 
 #: Vectors in a block, and bytes of the queries that are broadcast at once.
 BLOCK, CHUNK_BYTES = 4096, 16 << 20
+#: Pages of a list.
+PAGES = 64
 #: Shares of all entries after which the bounds are looked at.
-DEPTHS = (0.25, 0.32, 0.38, 0.44, 0.5, 0.56, 0.62, 0.68, 0.75, 1.0)
+DEPTHS = (0.3, 0.38, 0.44, 0.5, 0.56, 0.62, 0.68, 0.75, 1.0)
 #: Reading stops when no more rows than this can qualify.
-FEW = 256
+FEW = 512
 
 
 class SortedLists:
@@ -32,39 +34,30 @@ class SortedLists:
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.row_ids, (self.n, self.d) = x, ids, x.shape
         order = np.argsort(x, axis=0, kind="stable").T
-        self.ids = order.astype(np.int32).ravel()
-        self.values = np.take_along_axis(x.T, order, axis=1).astype(np.float64).ravel()
-        self.sample = self.values.reshape(self.d, self.n)[:, np.linspace(0, self.n - 1, min(self.n, 33)).astype(np.int64)]
+        values = np.take_along_axis(x.T, order, axis=1).astype(np.float64)
+        self.ids, self.values = list(np.ascontiguousarray(order)), list(values)
+        # every list is read in PAGES pages, whose first entries are known
+        self.pages = np.unique(np.linspace(0, self.n, PAGES + 1).astype(np.int64))
+        self.up, self.down = values[:, self.n - 1 - self.pages[:-1]], values[:, self.pages[:-1]]
         self.entries = 0
 
-    def _depth(self, q: np.ndarray, least: float) -> np.ndarray:
-        """How many entries of each list give a contribution of least or more: by binary search in all lists at once."""
-        base, lo, hi = np.arange(self.d) * self.n, np.zeros(self.d, np.int64), np.full(self.d, self.n)
-        up = q > 0  # best entries at the end
-        for _ in range(int(self.n).bit_length()):
-            mid = (lo + hi) >> 1
-            at = np.where(up, self.n - 1 - mid, mid)
-            enough = (self.values[base + np.clip(at, 0, self.n - 1)] * q >= least) & (lo < hi)
-            lo, hi = np.where(enough, mid + 1, lo), np.where(enough | (lo >= hi), hi, mid)
-        return np.where(q == 0, 0, lo)
-
     def _read(self, q: np.ndarray, before: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and contributions of the entries from before to to of each list."""
-        many = np.maximum(to - before, 0)
-        list_ = np.repeat(np.arange(self.d), many)
-        nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(before, many)
-        at = list_ * self.n + np.where(q[list_] > 0, self.n - 1 - nth, nth)
-        self.entries += len(at)
-        return self.ids[at], self.values[at] * q[list_]
+        n, many = self.n, to - before
+        parts = [(j, n - z, n - a) if up else (j, a, z) for j, (up, a, z) in enumerate(zip((q > 0).tolist(), before.tolist(), to.tolist())) if z > a]
+        self.entries += int(many.sum())
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        return np.concatenate([self.ids[j][a:z] for j, a, z in parts]), np.concatenate([self.values[j][a:z] for j, a, z in parts]) * np.repeat(q, many)
 
     def top(self, query: np.ndarray, k: int, own: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best of this block and of best, ties to the smaller id; rows of the id own take no part."""
         n, q = self.n, query.astype(np.float64)
         score, met, done = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool)
         done[self.row_ids == own] = True  # resolved, or no candidates
-        first = np.where(q > 0, self.sample[:, -1], self.sample[:, 0]) * q  # each list's best contribution
-        spread, before = np.sort((self.sample * q[:, None]).ravel()), np.zeros(self.d, np.int64)
-        slack = 1e-9 * float(np.abs(self.sample[:, [0, -1]]).max(axis=1) @ np.abs(q))  # of the bounds' own rounding
+        gives = np.where((q > 0)[:, None], self.up, self.down) * q[:, None]  # of the pages' first entries, best first
+        first, spread, before = gives[:, 0], np.sort(gives.ravel()), np.zeros(self.d, np.int64)
+        slack = 1e-9 * float(np.maximum(np.abs(self.up[:, 0]), np.abs(self.down[:, 0])) @ np.abs(q))  # of the bounds' own rounding
 
         def resolve(rows: np.ndarray) -> None:
             nonlocal best
@@ -75,9 +68,11 @@ class SortedLists:
 
         for depth in DEPTHS:
             least = spread[int((1 - depth) * (len(spread) - 1))] if depth < 1 else -np.inf
-            to = np.maximum(self._depth(q, least), before) if depth < 1 else np.where(q == 0, 0, n)
-            rows, gives = self._read(q, before, to)
-            score += np.bincount(rows, gives, n)
+            # all pages that begin with least or more, so that what follows gives less
+            to = np.maximum(self.pages[(gives >= least).sum(axis=1)], before) if depth < 1 else np.full(n and self.d, n)
+            to = np.where(q == 0, 0, to)
+            rows, given = self._read(q, before, to)
+            score += np.bincount(rows, given, n)
             met += np.bincount(rows, minlength=n)
             before, opened = to, to > 0
             # what is unread of an opened list gives less than least, of another no more than its best; 0 if all is read
