@@ -3,6 +3,9 @@
 import zlib
 
 import duckdb
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +107,47 @@ def test_shards_of_an_empty_table(spark):
     assert hilbert_shards(df, ["lang", "n"], ["id"], 4).count() == 0
 
 
+def by_hand(rows, cells, shards):
+    """(id, shard, slot) from each row's cells: sorted by curve, then the tie's order, cut into runs."""
+    index = hilbert_index(np.array(cells), 8).tolist()
+    order = sorted(range(len(rows)), key=lambda i: (index[i], rows[i][1], rows[i][0]))
+    out, n = {}, len(rows)
+    for r, i in enumerate(order):
+        shard = (shards * (r + 1) - 1) // n
+        out[rows[i][0]] = shard, r - shard * n // shards, index[i]
+    return out
+
+
+def test_shards_as_sorted_by_hand(spark):
+    """Over 256 different values; the order of all rows is recomputed."""
+    rng = random.Random(8)
+    names = sorted({"https://host/" + "".join(rng.choice("abcd") for _ in range(6)) for _ in range(700)})
+    rows = [(i, rng.choice(names) if rng.random() < 0.6 else names[5], rng.choice(["en", "de", None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, site string, lang string")
+    got = {r.id: (r.shard, r.slot, r.curve) for r in hilbert_shards(df, ["site", "lang"], ["id"], 13).collect()}
+    tie = dict(tuple(r) for r in df.select("id", F.xxhash64("id")).collect())
+    counts, before, starts = Counter(r[1] for r in rows), 0, {}
+    for name in sorted(counts):
+        starts.setdefault(before * 256 // len(rows), name)
+        before += counts[name]
+    bounds = sorted(starts.values())
+    cell = lambda site: sum(b <= site for b in bounds) - 1
+    assert len(counts) > 256
+    assert got == by_hand([(i, tie[i]) for i, _, _ in rows], [(cell(s), {None: 0, "de": 0, "en": 128}[x]) for _, s, x in rows], 13)
+
+
+def test_shards_are_pruned(spark):
+    """A range of one dimension meets few shards, and so does a range of the other."""
+    rng = random.Random(9)
+    rows = [(i, rng.randint(0, 10**6), rng.randint(0, 10**6)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "id long, a long, b long")
+    got = hilbert_shards(df, ["a", "b"], ["id"], 64)
+    ranges = got.groupBy("shard").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    for x in "ab":
+        assert ranges.where(f"{x}0 <= 310000 and {x}1 >= 300000").count() <= 20
+    assert ranges.where("a0 <= 310000 and a1 >= 300000 and b0 <= 710000 and b1 >= 700000").count() <= 4
+
+
 NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
