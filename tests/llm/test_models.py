@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import phrasepivot.llm.lm_scoring as lm_scoring
-from phrasepivot.llm.attention_lm import CLASSES, SLOTS, WINDOW, Frame, Model, first_parameters, windows_of
+from phrasepivot.llm.attention_lm import CLASSES, SLOTS, WINDOW, Frame, Model, Speller, first_parameters, slots_by_count, windows_of
 from phrasepivot.llm.bpe_automaton import Automaton, WordBpe
 from phrasepivot.llm.common import split_column, split_of
 from phrasepivot.llm.language_id import UNKNOWN, WINDOW as BYTES, ByteConv, identify, train_language_id
@@ -194,15 +194,10 @@ def test_length_histogram(spark, docs):
 
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
-    starts = np.zeros(2000, bool)
-    starts[::2] = True
-    starts[-1] = True
     counts = rng.integers(0, 50, 2000)
-    slot = lm_scoring.slots_by_count(counts, starts)
-    frame = Frame(slot, starts, rng.integers(0, 5, (SLOTS, SLOTS)), counts.astype(float))
-    model = Model(frame, first_parameters())
+    model = Model(Frame(slots_by_count(counts), rng.integers(0, 5, (SLOTS, SLOTS)), counts.astype(float)), first_parameters())
     model.flat += rng.normal(0, 0.1, len(model.flat)).astype(np.float32)
-    return model, starts
+    return model
 
 
 def test_windows_score_each_position_once():
@@ -216,18 +211,26 @@ def test_windows_score_each_position_once():
 
 
 def test_probabilities_sum_to_one():
-    model, starts = small_model()
+    model = small_model()
     ids = np.random.default_rng(1).integers(0, 1999, 20)
-    total, begins = 0.0, 0.0
-    for last in range(2000):
-        each, begin = model.log_probabilities(np.append(ids, [last]), np.array([21]))
-        total += math.exp(each[-1])
-        begins += math.exp(each[-1]) * starts[last]
-    assert total == pytest.approx(1, abs=1e-3) and begins == pytest.approx(math.exp(begin[-1]), abs=1e-3)
+    assert sum(math.exp(model.log_probabilities(np.append(ids, [last]), np.array([21]))[-1]) for last in range(2000)) == pytest.approx(1, abs=1e-3)
+
+
+def test_spellings_sum_to_one():
+    """What may follow a first id: every id inside a word, and the word's end."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, 1500).astype(float)
+    speller = Speller(slots_by_count(counts), rng.integers(0, 5, (SLOTS, SLOTS + 1)), counts)
+    for first in (3, 700, 1499):
+        ends = math.exp(speller.rest(np.array([first]), np.array([0]))[0])
+        step = [math.exp(speller.log[speller.slot_of[first], speller.slot_of[i]] + speller.in_slot[i]) for i in range(1500)]
+        assert ends + sum(step) == pytest.approx(1, abs=1e-3)
+        two = speller.rest(np.array([first, 9, first]), np.array([0, 2]))
+        assert two[1] == pytest.approx(math.log(ends)) and two[0] == pytest.approx(math.log(step[9]) + speller.log[speller.slot_of[9], SLOTS], rel=1e-5)
 
 
 def test_attention_is_causal_and_gradients_hold():
-    model, _ = small_model()
+    model = small_model()
     rng = np.random.default_rng(2)
     x, y = rng.integers(0, SLOTS, (3, WINDOW)).astype(np.int32), rng.integers(0, CLASSES, (3, WINDOW))
     z = model.class_scores(x)
@@ -240,7 +243,8 @@ def test_attention_is_causal_and_gradients_hold():
         z = Model(model.frame, model.flat).class_scores(x).astype(float)
         return -np.take_along_axis(z - np.log(np.exp(z).sum(axis=2, keepdims=True)), y[:, :, None], axis=2).mean()
 
-    g = model.gradient(x, y, on)
+    g, total = model.gradient(x, y, on)
+    assert total / on.sum() == pytest.approx(loss(), rel=1e-4)
     for i in np.argsort(-np.abs(g))[::400][:12]:
         at, step = model.flat[i], 1e-2
         model.flat[i] = at + step
@@ -251,10 +255,37 @@ def test_attention_is_causal_and_gradients_hold():
         assert g[i] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=1e-4)
 
 
-def test_scores(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "TOP_WORDS", 40)
+def score_by_hand(rows, held_out, model, speller, encode):
+    """score and attention_score of each text, word by word, from the trained model and exact counts."""
+    count, heads, distinct = Counter(), Counter(), Counter()
+    for i, words in rows:
+        if not held_out(i):
+            count.update(words)
+    for w, n in count.items():
+        heads[encode(w)[0]] += n
+        distinct[encode(w)[0]] += 1
+    out = []
+    for _, words in rows:
+        ids = [encode(w) for w in words]
+        sequence = np.array([x[0] for x in ids] + [50_256])
+        each = model.log_probabilities(sequence, np.array([len(sequence)]))
+        score = alone = float(each[-1])
+        for w, x, p in zip(words, ids, each):
+            rest = speller.rest(np.array(x), np.array([0]))[0]
+            left = (lm_scoring.DISCOUNT * distinct[x[0]] + 1) * math.exp(rest)
+            score += p + math.log((max(count[w] - lm_scoring.DISCOUNT, 0) + left) / (heads[x[0]] + 1))
+            alone += p + rest
+        out.append((score / math.log(10), alone / math.log(10)))
+    return out
+
+
+@pytest.mark.parametrize("top", [100_000, 40, 1])
+def test_scores(spark, docs, monkeypatch, top):
+    """All columns against sums by hand, whichever words' counts are broadcast."""
+    monkeypatch.setattr(lm_scoring, "TOP_WORDS", top)
     monkeypatch.setattr(lm_scoring, "COUNTED", 30)
-    monkeypatch.setattr(lm_scoring, "SAMPLE", 1)
+    trained, train = [], lm_scoring.train_language_model
+    monkeypatch.setattr(lm_scoring, "train_language_model", lambda *x: trained.append(train(*x)) or trained[-1])
     held_out = split_column(F.col("doc_id"), 7) == 2
     got = lm_scoring.score_documents(docs, held_out, RANKS, public_tokenizers.PATTERN, 50_257).collect()
     rows = [(r.doc_id, (r.text or "").encode().translate(lm_scoring.ASCII_LOWER).split()) for r in docs.collect()]
@@ -266,65 +297,74 @@ def test_scores(spark, docs, monkeypatch):
     total, d = sum(count.values()) + ends, sum(count.values()) + ends + len(count) + 1 + 1
     want = sorted(((-1 if i is None else i), split_of(i, 7) == 2, len(w) + 1, sum(count[x] > 0 for x in w) + 1, total) for i, w in rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == want
-    base = {i: sum(math.log10((count[x] + 1) / d) for x in w) + math.log10((ends + 1) / d) for i, w in rows}
-    assert all(r.base_score == pytest.approx(base[r.doc_id], rel=1e-9) and r.score < 0 for r in got)
-    mine = [r for r in got if r.held_out and r.n_tokens > 3]
-    assert sum(r.score for r in mine) / sum(r.n_tokens for r in mine) > -3
+    base = sorted(sum(math.log10((count[x] + 1) / d) for x in w) + math.log10((ends + 1) / d) for i, w in rows)
+    assert np.allclose(sorted(r.base_score for r in got), base, rtol=1e-9)
+    model, speller, losses = trained[0]
+    encode = lambda w: lm_scoring._encode([w], RANKS, public_tokenizers.PATTERN)[0].tolist()
+    by_hand = score_by_hand(rows, lambda i: split_of(i, 7) == 2, model, speller, encode)
+    for place, name in enumerate(("score", "attention_score")):
+        assert np.allclose(sorted(getattr(r, name) for r in got), sorted(x[place] for x in by_hand), rtol=1e-4, atol=1e-3)
+    assert len(losses) == lm_scoring.ROUNDS
     assert lm_scoring.score_documents(docs.limit(0), held_out, RANKS, public_tokenizers.PATTERN, 50_257).count() == 0
     assert all(r.n_known == 0 and r.base_score == 0 for r in lm_scoring.score_documents(docs.limit(4), F.lit(True), RANKS, public_tokenizers.PATTERN, 50_257).collect())
 
 
-def test_counts_take_all_training_texts(spark, docs, monkeypatch):
-    """With the production settings: slots and what follows what are of every training text."""
-    frames, slots = [], []
-
-    monkeypatch.setattr(lm_scoring, "Frame", lambda *x: frames.append([c.copy() for c in x]) or Frame(*x))
-    kept = lm_scoring.slots_by_count
-    monkeypatch.setattr(lm_scoring, "slots_by_count", lambda counts, starts: slots.append(counts.copy()) or kept(counts, starts))
+def test_all_training_texts_count_and_train(spark, docs, monkeypatch):
+    """With the production settings: ids and what follows what are of every training text, and each trains once."""
+    frames, spellers, trained, run = [], [], [], lm_scoring._train_round
+    monkeypatch.setattr(lm_scoring, "Frame", lambda *x: frames.append(x) or Frame(*x))
+    monkeypatch.setattr(lm_scoring, "Speller", lambda *x: spellers.append(x) or Speller(*x))
+    monkeypatch.setattr(lm_scoring, "_train_round", lambda encoded, *x: trained.extend((r.sizes, r.slots) for r in encoded.collect()) or run(encoded, *x))
     held_out = split_column(F.col("doc_id"), 7) == 2
     lm_scoring.score_documents(docs, held_out, RANKS, public_tokenizers.PATTERN, 50_257)
-    encoder, ids, follows = rank_encoder(RANKS, public_tokenizers.PATTERN), Counter(), Counter()
-    (slot, starts, pairs, _), = frames
+    encoder, heads, ids, follows, inside, sequences = rank_encoder(RANKS, public_tokenizers.PATTERN), Counter(), Counter(), Counter(), Counter(), []
+    (slot, pairs, head_counts), (word_slot, word_pairs, in_counts) = frames[0], spellers[0]
     for r in docs.collect():
         if split_of(r.doc_id, 7) != 2:
-            words = (r.text or "").encode().translate(lm_scoring.ASCII_LOWER).split()
-            own = encoder.encode_ordinary(b"".join(b" " + w for w in words).decode())
-            ids.update(own)
-            own = [50_256, *own, 50_256]
-            follows.update((slot[a], slot[b]) for a, b in zip(own, own[1:]))
-    assert {i: n for i, n in enumerate(slots[0]) if n and i < 50_256} == ids
-    begins = np.zeros(SLOTS, bool)
-    begins[slot[starts]] = True
-    want = np.zeros((SLOTS, SLOTS))
-    for (a, b), n in follows.items():
-        want[a, b] = n
-    heads = want[:, begins].sum(axis=0)
-    ends = want[:, begins].sum(axis=1, keepdims=True)
-    want[:, begins] = ends * (want[:, begins] + 20 * heads / heads.sum()) / (ends + 20)
-    assert np.allclose(pairs, want)
-
-
-def test_all_training_texts_train(spark, docs, monkeypatch):
-    """With the production settings, the rounds' shares are all training texts."""
-    trained, run = [], lm_scoring._train_round
-    monkeypatch.setattr(lm_scoring, "_train_round", lambda texts, *x: trained.extend(r.text for r in texts.collect()) or run(texts, *x))
-    held_out = split_column(F.col("doc_id"), 7) == 2
-    lm_scoring.score_documents(docs, held_out, RANKS, public_tokenizers.PATTERN, 50_257)
-    assert Counter(trained) == Counter(r.text or "" for r in docs.collect() if split_of(r.doc_id, 7) != 2)
-
-
-@pytest.mark.parametrize("top", [0, 40])
-def test_scores_do_not_depend_on_which_counts_are_broadcast(spark, docs, monkeypatch, top):
-    held_out = split_column(F.col("doc_id"), 7) == 2
-
-    def scores():
-        got = lm_scoring.score_documents(docs.coalesce(1), held_out, RANKS, public_tokenizers.PATTERN, 50_257).collect()
-        return sorted((r.doc_id is None, r.doc_id, r.n_known, r.score) for r in got)
-
-    want = scores()
-    monkeypatch.setattr(lm_scoring, "TOP_WORDS", top)
-    for a, b in zip(scores(), want, strict=True):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-5)
+            words = [encoder.encode_ordinary((b" " + w).decode()) for w in (r.text or "").encode().translate(lm_scoring.ASCII_LOWER).split()]
+            own = [w[0] for w in words] + [50_256]
+            heads.update(own)
+            follows.update((slot[a], slot[b]) for a, b in zip([50_256, *own], own))
+            for w in words:
+                ids.update(w[1:])
+                inside.update((word_slot[a], b) for a, b in zip(w, [*(word_slot[x] for x in w[1:]), SLOTS]))
+            sequences.append(tuple(slot[own].tolist()))
+    assert {i: n for i, n in enumerate(head_counts) if n} == heads
+    assert {i: n for i, n in enumerate(in_counts) if n} == ids
+    for counts, got in ((follows, pairs), (inside, word_pairs)):
+        want = np.zeros(got.shape)
+        for (a, b), n in counts.items():
+            want[a, b] = n
+        assert (want == got).all()
+    seen = []
+    for sizes, slots in trained:
+        cut = np.cumsum(np.frombuffer(sizes, np.int32))[:-1]
+        seen += [tuple(x.tolist()) for x in np.split(np.frombuffer(slots, np.uint16), cut)]
+    assert Counter(seen) == Counter(sequences)
+
+
+def test_attention_beats_pairs_of_words():
+    """Two kinds of text of the same pairs of words: only what lies further back tells them apart."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(600):
+        base = 10 if i % 2 else 40
+        first = rng.permutation(np.arange(base, base + 20))
+        texts.append(np.append(np.ravel(np.stack([np.full(20, 5), first], axis=1)), 99))
+    slots, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    counts = np.bincount(slots, minlength=100).astype(float)
+    slot = slots_by_count(counts)
+    last = np.roll(slot[slots], 1)
+    last[np.cumsum(sizes) - sizes] = SLOTS - 1
+    pairs = np.bincount(last.astype(np.int64) * SLOTS + slot[slots], minlength=SLOTS**2).reshape(SLOTS, SLOTS)
+    frame = Frame(slot, pairs, counts)
+    model, state = Model(frame, first_parameters()), {}
+    for r in range(15):
+        model.train(slot[slots][: 500 * 41], sizes[:500], state=state, seed=r)
+    test = slots[500 * 41 :]
+    got = model.log_probabilities(test, sizes[500:]).mean()
+    by_pairs = (frame.class_log[last[500 * 41 :], frame.class_of[slot[test]]] + frame.slot_log[last[500 * 41 :], slot[test]] + frame.in_slot[test]).mean()
+    assert got > by_pairs + 0.1
 
 
 def test_copies_met_after_the_cache_began_anew(spark, monkeypatch):
