@@ -24,8 +24,8 @@ from collections import defaultdict
 
 import numpy as np
 
-#: Most words that a worker keeps; it begins anew beyond.
-WORDS = 400_000
+#: Words that a worker keeps, and as many that it had before.
+WORDS = 60_000
 _SYMBOL = 21  # bits of a symbol's code point
 
 
@@ -173,19 +173,25 @@ class Automaton:
 
 
 class _Words(dict):
-    """Fills itself: by word, the values that fill makes; WORDS at most, and none of long words."""
+    """Fills itself: by word, the values that fill makes.  When it holds WORDS, those that were not asked for since it
+    was last full go; long words are not kept."""
 
     def __init__(self, fill):
-        self.fill = fill
+        self.fill, self.old = fill, {}
 
-    def __missing__(self, word: str) -> tuple[str, str]:
-        made = self.fill(word)
+    def __missing__(self, word: str):
+        made = self.old.pop(word, None) or self.fill(word)
         if len(word) <= 64:
             if len(self) >= WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = made
         return made
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def byte_symbols() -> dict[int, str]:
     """The printable stand-in of each byte: itself where it is printable and no space, else from U+0100 on."""
@@ -253,7 +259,7 @@ class WordBpe:
 
     def forget(self) -> None:
         """Gives back what was kept of words."""
-        self.known.clear()
+        self.known.forget()
 
     def words(self, text: str) -> list[str]:
         if text.isascii() or not self.odd(text):
@@ -261,8 +267,8 @@ class WordBpe:
         pieces = self.pieces(self.normalise(text))
         return [bytes([self.bytes[ord(c)] for c in p]).decode() for p, _ in pieces]
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by a space, and the decoded text."""
+    def encode(self, text: str, with_text: bool = True) -> tuple[str, str]:
+        """Decimal ids joined by a space, and the decoded text, or nothing for it."""
         ids, decoded = [], []
         parts = self.splits.split(text) if self.splits and "<" in text else [text]
         for part in parts:
@@ -270,9 +276,10 @@ class WordBpe:
                 ids.append(str(self.special[part]))
                 decoded.append(part)
                 continue
-            for i, d in map(self.known.__getitem__, self.words(part)):
-                ids.append(i)
-                decoded.append(d)
+            paths = list(map(self.known.__getitem__, self.words(part)))
+            ids += [p[0] for p in paths]
+            if with_text:
+                decoded += [p[1] for p in paths]
         return " ".join(ids), " ".join(decoded)
 
     def decode(self, ids: list[int]) -> str:

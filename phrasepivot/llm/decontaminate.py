@@ -90,16 +90,23 @@ def _windows(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return windows, Staged(items.sparkSession, windows.select("w").distinct().mapInArrow(tidy(split), "w string, at int, h long"), "shingles").df
 
 
-def _hits_of(words: list[bytes], hashes: _Hashes, wanted: KeyFilter, single: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the shingles that may be wanted, and these; single: words that make a window of their own count too."""
-    h = hashes.of(words)
+def _hits_of(split: list[list[bytes]], hashes: _Hashes, wanted: KeyFilter, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' words: (text, place, shingle) of the shingles that may be wanted, by text; single: words that make a
+    window of their own count too."""
+    begin = np.cumsum([0, *map(len, split)])
+    h = hashes.of([w for words in split for w in words])
     pairs = shingles_of(h)
     at = np.flatnonzero(wanted.may(pairs))
-    found = pairs[at]
+    text = np.searchsorted(begin, at, "right") - 1
+    keep = at + 1 < begin[text + 1]  # not of two texts
+    at, text, found = at[keep], text[keep], pairs[at[keep]]
     if single:
         alone = np.flatnonzero(wanted.may(h.view(np.int64)))
         at, found = np.concatenate([at, alone]), np.concatenate([found, h.view(np.int64)[alone]])
-    return at, found
+        text = np.concatenate([text, np.searchsorted(begin, alone, "right") - 1])
+        order = np.argsort(text, kind="stable")
+        at, text, found = at[order], text[order], found[order]
+    return text, at - begin[text], found
 
 
 def _counts(docs: DataFrame, shingles: DataFrame, single: bool) -> DataFrame:
@@ -116,9 +123,11 @@ def _counts(docs: DataFrame, shingles: DataFrame, single: bool) -> DataFrame:
             counts.clear()
             return out
 
-        for b in small_batches(batches, 8 << 20, "text"):
-            for text in texts_of(b.column(0)):
-                counts.update(np.unique(_hits_of(words_of(text), hashes, wanted, single)[1]).tolist())
+        for b in small_batches(batches, 4 << 20, "text"):
+            text, _, found = _hits_of([words_of(t) for t in texts_of(b.column(0))], hashes, wanted, single)
+            order = np.lexsort((found, text))
+            text, found = text[order], found[order]
+            counts.update(found[np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (found[1:] != found[:-1])])].tolist() if len(found) else ())
             if len(counts) > KEPT:
                 yield flush()
         yield flush()
@@ -135,24 +144,23 @@ def _candidates(docs: DataFrame, prefixes: DataFrame, width: int, single: bool,
         import pyarrow as pa
 
         wanted, hashes, seen = sent.value, _Hashes(), set()
-        for b in small_batches(batches, 8 << 20, "text"):
+        for b in small_batches(batches, 4 << 20, "text"):
             texts = texts_of(b.column(1))
-            keys, many, counts, flat = [text_key(t) for t in texts], [], [], [[], [], [], []]
-            for key, text in zip(keys, texts):
-                words = words_of(text)
-                many.append(len(words))
-                if key in seen or not words:
-                    counts.append(0)
-                    continue
-                if len(seen) >= KEPT:
-                    seen.clear()
-                seen.add(key)
-                at, h = _hits_of(words, hashes, wanted, single)
-                counts.append(len(at))
-                for p, x in zip(at.tolist(), h.tolist()):
-                    a = max(0, p - width + 1)
-                    for c, v in zip(flat, (x, p, p - a, b" ".join(words[a : p + width]).decode())):
-                        c.append(v)
+            keys, split = [text_key(t) for t in texts], [words_of(t) for t in texts]
+            many, fresh, flat = [len(w) for w in split], [], [[], [], [], []]
+            for i, key in enumerate(keys):
+                if key not in seen:
+                    if len(seen) >= KEPT:
+                        seen.clear()
+                    seen.add(key)
+                    fresh.append(i)
+            text, at, h = _hits_of([split[i] for i in fresh], hashes, wanted, single)
+            counts = np.zeros(len(texts), np.int64)
+            counts[fresh] = np.bincount(text, minlength=len(fresh)) if fresh else 0
+            for i, p, x in zip(text.tolist(), at.tolist(), h.tolist()):
+                words, a = split[fresh[i]], max(0, p - width + 1)
+                for c, v in zip(flat, (x, p, p - a, b" ".join(words[a : p + width]).decode())):
+                    c.append(v)
             found = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["h", "p", "before", "words"])
             listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), found)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(many, pa.int64()), listed], ["doc_id", "k1", "k2", "n_words", "found"])

@@ -24,10 +24,10 @@ def word_bpe(spark: SparkSession, path: str):
     return _loaded[key]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, carry: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, carry: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by a space), decoded for every row of docs, and the columns of carry.
 
-    digests_only: ids_sha256 and decoded_sha256 (lowercase hex) in place of the
+    with_text: without it, decoded is null.  digests_only: ids_sha256 and decoded_sha256 (lowercase hex) in place of the
     long columns, so that these never leave the worker.  A null text counts as
     empty: no tokens.  Repeated rows and null ids are encoded row by row; an empty
     table gives an empty result; other columns of docs are not read.  path: a
@@ -45,10 +45,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             for b in small_batches(batches, 2 << 20, "text"):
                 n, a, d = [], [], []
                 for text in b.column(1).to_pylist():
-                    ids, decoded = bpe.encode(text or "")
+                    ids, decoded = bpe.encode(text or "", with_text or digests_only)
                     n.append(ids.count(" ") + 1 if ids else 0)
                     a.append(hashlib.sha256(ids.encode()).hexdigest() if digests_only else ids)
-                    d.append(hashlib.sha256(decoded.encode()).hexdigest() if digests_only else decoded)
+                    d.append(hashlib.sha256(decoded.encode()).hexdigest() if digests_only else decoded if with_text else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *carried.of(b)], ["doc_id", "n_tokens", *names, *carried.inside])
         finally:
             bpe.forget()  # a worker lives on between tasks, of whatever query
