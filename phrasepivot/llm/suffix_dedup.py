@@ -370,27 +370,41 @@ def cut_spans(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs; with_text: kept (binary) too.
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs; with_text: kept (binary) too; passage:
+    n_passage too, the bytes that strings of that many bytes cover which also start anywhere else, of which nothing is removed.
 
     Removes each byte that a string of length bytes covers which also starts
     anywhere else, in any row; all is judged on the input.  Null and empty texts,
     and those shorter than length, lose nothing.  Texts of several rows are copies
     and lose all they have, if it is length bytes or more.  Repeated and null ids
     are judged row by row, as rows go by their texts.  Empty tables give an empty
-    result; other columns of docs are not read.  length is at least 64."""
-    if length < 64:
+    result; other columns of docs are not read.  length and passage are at least 64."""
+    if length < 64 or (passage is not None and passage < 64):
         raise ValueError("length must be at least 64")
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     with scratch() as kept:
-        out = Staged(spark, _removed(docs, length, with_text), "removed")
+        covered = None
+        if passage is not None:
+            with scratch() as inner:
+                covered = Staged(spark, _covered(docs, passage), "covered")
+                inner.append(covered)
+        out = Staged(spark, _removed(docs, length, with_text, covered and covered.df), "removed")
         kept.append(out)
     return out.df
 
 
-def _removed(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
+def _covered(docs: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, n_passage) of the texts that hold a repeated string of length bytes."""
+    rows, spans = repeated_spans(docs, length)
+    sizes = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.get("spans", i)).otherwise(-F.get("spans", i)))
+    copies = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("k1", "k2", F.col("n_bytes").alias("n_passage")).distinct()
+    return spans.join(copies, ["k1", "k2"], "left_anti").select("k1", "k2", sizes.alias("n_passage")).unionByName(copies)
+
+
+def _removed(docs: DataFrame, length: int, with_text: bool, covered: DataFrame | None = None) -> DataFrame:
     rows, spans = repeated_spans(docs, length)
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
@@ -410,6 +424,7 @@ def _removed(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
 
     done = once.join(_texts(docs, length, spans), ["k1", "k2"]).select("k1", "k2", "z", "spans").mapInArrow(tidy(cut), "k1 long, k2 long, removed long, runs long, kept_sha string, kept binary")
     out = rows.join(done, ["k1", "k2"], "left")
+    out = out.join(covered, ["k1", "k2"], "left") if covered is not None else out
     some = F.col("removed").isNotNull()
     columns = [
         "doc_id", "n_bytes",
@@ -417,6 +432,8 @@ def _removed(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
         F.when(copy, F.lit(1)).when(some, F.col("runs")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
         F.when(copy, F.lit(nothing)).when(some, F.col("kept_sha")).otherwise(F.col("sha")).alias("kept_sha256"),
     ]
+    if covered is not None:
+        columns.append(F.coalesce("n_passage", F.lit(0)).cast("long").alias("n_passage"))
     return out.select(*columns, *([F.when(copy, F.lit(b"")).when(some, F.col("kept")).alias("kept")] if with_text else []))
 
 
