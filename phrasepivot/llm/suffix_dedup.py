@@ -85,6 +85,30 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return text[first], anchor[first] - base, start[first] - base, start[last] - base
 
 
+#: Periods that are looked for where a text has more pieces than a byte in so many.
+PERIODS, DENSE = 32, 12
+
+
+def periodic(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(spare, again): starts whose string is that of the start a short period before, and the starts that this makes
+    repeated, both of each pair.
+
+    Runs of one byte or of a few in turn have a piece for nearly every start; but for each run's first period their
+    strings say nothing that an earlier start's doesn't."""
+    n = len(data) - length + 1
+    spare, again = np.zeros(max(n, 0), bool), np.zeros(max(n, 0), bool)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for p in range(1, PERIODS + 1):
+        if len(data) - p < length:
+            break
+        edge = np.flatnonzero(np.diff(np.r_[False, (data[:-p] == data[p:]) & (text[:-p] == text[p:]), False].astype(np.int8)))
+        for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if z - a >= length:  # the strings at a to z - length are those at a + p to z - length + p
+                again[a : z - length + 1 + p] = True
+                spare[a + p : z - length + 1 + p] = True
+    return spare, again
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -95,7 +119,8 @@ def text_key(text: bytes) -> tuple[int, int]:
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    """Per row: id, k1 and k2 (the text's key), n_bytes, sha, and its pieces, unless the task has met the text."""
+    """Per row: id, k1 and k2 (the text's key), n_bytes, sha, and, unless the task has met the text, its pieces and flat
+    spans of what repeats itself in runs of a short period."""
     span = span_of(length)
 
     def run(batches):
@@ -112,11 +137,20 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
                     if len(seen) < 1 << 20:
                         seen.add(k)
                     fresh.append(i)
-            cols, counts = [[], [], [], [], []], np.zeros(len(texts), np.int64)
+            cols, counts, own = [[], [], [], [], []], np.zeros(len(texts), np.int64), [[] for _ in texts]
             for part in _chunks(fresh, texts, length):
                 raw = b"".join(t for _, _, t in part)
                 offsets = np.cumsum([0, *(len(t) for _, _, t in part)])
                 text, anchor, lo, hi = anchors(np.frombuffer(raw, np.uint8), offsets, length)
+                if len(text) * DENSE > len(raw):
+                    spare, again = periodic(np.frombuffer(raw, np.uint8), offsets, length)
+                    kept = np.r_[0, np.cumsum(~spare)]
+                    some = kept[offsets[text] + hi + 1] > kept[offsets[text] + lo]  # a start that isn't spare
+                    text, anchor, lo, hi = text[some], anchor[some], lo[some], hi[some]
+                    for x, z in _ranges(again):
+                        at = int(np.searchsorted(offsets, x, "right")) - 1
+                        i, begin = part[at][0], part[at][1] - int(offsets[at])
+                        own[i] += [x + begin, z + begin + length]
                 owner = np.array([i for i, _, _ in part], np.int64)[text]
                 shift = np.array([s for _, s, _ in part], np.int64)[text]
                 np.add.at(counts, owner, 1)
@@ -133,12 +167,12 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             pieces = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)], ["a", "l", "r", "g", "s"])
             listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pieces)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), listed],
-                ["doc_id", "k1", "k2", "n_bytes", "sha", "pieces"],
+                [b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), listed, pa.array(own, pa.list_(pa.int64()))],
+                ["doc_id", "k1", "k2", "n_bytes", "sha", "pieces", "own"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(tidy(run), f"doc_id {kind}, k1 long, k2 long, n_bytes long, sha string, pieces array<struct<a:long,l:int,r:int,g:long,s:long>>")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, k1 long, k2 long, n_bytes long, sha string, pieces array<struct<a:long,l:int,r:int,g:long,s:long>>, own array<long>")
 
 
 def _chunks(rows: list[int], texts: list[bytes], length: int, most: int = 1 << 21):
@@ -321,7 +355,8 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     each text that occurs once: flat [from, to, ...], maximal, in order."""
     spark = docs.sparkSession
     whole = Staged(spark, _scan(docs, length), "scan")
-    rows = Staged(spark, whole.df.drop("pieces"), "rows").df
+    whole_rows = Staged(spark, whole.df.drop("pieces"), "rows").df
+    rows = whole_rows.drop("own")
     copies = rows.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     flat = Staged(spark, _of_repeated_groups(whole.df), "flat")
     whole.drop()
@@ -340,7 +375,8 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     starts = Staged(spark, full.unionByName(some), "starts").df
     pieces.drop()
     kinds.drop()
-    met = flat.df.join(starts, ["g", "s"]).select("k1", "k2", F.struct((F.col("a") - F.col("lo")).alias("from"), (F.col("a") - F.col("hi") + length).alias("to")).alias("span"))
+    inside = whole_rows.where(F.size("own") > 0).select("k1", "k2", F.explode(F.transform(F.sequence(F.lit(0), F.size("own") - 1, F.lit(2)), lambda i: F.struct(F.get("own", i).alias("from"), F.get("own", i + 1).alias("to")))).alias("span"))
+    met = flat.df.join(starts, ["g", "s"]).select("k1", "k2", F.struct((F.col("a") - F.col("lo")).alias("from"), (F.col("a") - F.col("hi") + length).alias("to")).alias("span")).unionByName(inside)
     spans = met.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
     def merge(batches):

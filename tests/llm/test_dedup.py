@@ -79,6 +79,24 @@ def test_passages_of_over_fifty_words(spark):
     assert [r.n_passage for r in suffix_dedup.remove_repeats(twice, 400, passage=200).orderBy("doc_id").collect()] == [len(short), len(short), 0, 0]
 
 
+def test_runs_of_a_short_period(spark):
+    """Runs of one byte and of a few in turn, against brute force; strings that other texts hold once."""
+    rng = random.Random(15)
+    say = lambda n: letters(rng, n, "abcdefgh ")
+    runs = [u * n for u, n in (("x", 300), ("-=", 200), ("abc", 90), ("0123456789", 30), ("x", 100), ("q", 64), ("z", 65))]
+    texts = [say(50) + r + say(40) for r in runs] + [runs[1], say(30) + "x" * 64 + say(30), say(9) + "q" * 64, "y" * 40 + say(80), runs[0] + runs[1] + runs[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r)[1:] for r in suffix_dedup.remove_repeats(df, 64).orderBy("doc_id").collect()]
+    assert got == repeats_by_hand([t.encode() for t in texts], 64)
+
+
+def test_ten_megabytes_of_one_byte(spark):
+    long = "a" + "b" * 10_000_000 + "c" * 399
+    df = spark.createDataFrame([(1, long), (2, "x" * 500 + "b" * 400 + "y"), (3, "z" * 399)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df, 400).collect()}
+    assert got == {1: (10_000_000, 1), 2: (900, 1), 3: (0, 0)}
+
+
 def test_cut_texts(spark, repeated):
     df = spark.createDataFrame([(i % 9 if i % 4 else None, t, i) for i, t in enumerate(repeated)], "doc_id long, text string, k1 int")
     cut = suffix_dedup.cut_repeats(df, 64)
