@@ -120,7 +120,10 @@ def hilbert_shards(df: DataFrame, dims: list[str], tie: list[str], shards: int,
     result.  Columns curve, shard and slot of df are replaced."""
     spark = df.sparkSession
     ship_package(spark)
-    df = Staged(spark, df.drop("curve", "shard", "slot"), "metadata").df
+    names = [c for c in df.columns if c not in ("curve", "shard", "slot")]
+    inside = {c: f"_c{i}" for i, c in enumerate(names)}  # names that can't clash
+    df = Staged(spark, df.select(*(F.col(c).alias(i) for c, i in inside.items())), "metadata").df
+    dims, tie = [inside[c] for c in dims], [inside[c] for c in tie]
     n = len(dims)
 
     def curve(batches):
@@ -141,4 +144,4 @@ def hilbert_shards(df: DataFrame, dims: list[str], tie: list[str], shards: int,
     shard = F.floor((F.lit(shards) * (rank + 1) - 1) / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("int")
     out = placed.join(F.broadcast(starts), "_part").withColumn("_rank", rank).withColumn("shard", shard)
     first = F.floor(F.col("shard").cast("long") * F.lit(total).cast("decimal(20,0)") / F.lit(shards)).cast("long")
-    return out.withColumn("slot", F.col("_rank") - first).drop("_part", "_at", "_before", "_rank")
+    return out.select(*(F.col(i).alias(c) for c, i in inside.items()), "curve", "shard", (F.col("_rank") - first).alias("slot"))

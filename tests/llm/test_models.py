@@ -410,3 +410,48 @@ def test_words_with_unicode_spaces_keep_their_numbers():
         alone, _ = _encode([words[i]], path, public_tokenizers.PATTERN)
         assert part.tolist() == alone.tolist()
     assert _encode([], path, public_tokenizers.PATTERN)[0].tolist() == []
+
+
+# ---- very long texts, and extra columns of the operators' own names ------------------------------
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghiklmnorstu") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(200_000)), "q" * 120_000 + " end", " " * 50_000, "a b " * 100_000, None, ""]
+    rows = [(i, t, "en", 1, 2, 3, "x") for i, t in enumerate(texts)] + [(0, "short one", None, 1, 2, 3, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, k1 int, score int, n_tokens int, ids string")
+
+
+def test_long_texts_are_scored(long_docs):
+    got = lm_scoring.score_documents(long_docs, F.col("doc_id") == 3, RANKS, public_tokenizers.PATTERN, 50_257).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 1, 3, 3, 200_001, 200_001]
+    assert all(np.isfinite([r.base_score, r.score, r.attention_score]).all() and r.score < 0 for r in got)
+
+
+def test_long_texts_have_a_language(long_docs):
+    labelled = long_docs.where("doc_id in (0, 1)").union(long_docs.where("doc_id = 3").withColumn("lang", F.lit("de")))
+    got = identify(long_docs, train_language_id(labelled), carry=["score", "lang"])
+    assert got.columns == ["doc_id", "lang_pred", "score", "lang"]
+    assert [r.lang_pred for r in got.orderBy("doc_id").where("doc_id > 1").collect()] == [UNKNOWN, "de", UNKNOWN, UNKNOWN]
+
+
+def test_long_texts_are_encoded(long_docs):
+    library = Tokenizer.from_file(WORD_FILE)
+    got = encode_documents(long_docs, WORD_FILE, carry=["ids", "k1"])
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded", "k1"]
+    assert [r.ids for r in got.collect()] == [" ".join(map(str, library.encode(r.text or "", add_special_tokens=False).ids)) for r in long_docs.collect()]
+
+
+def test_sample_of_labelled_texts(spark, monkeypatch):
+    """At most so many texts of a language, copies once, the same whatever the partitions; no language is a third of rows' prey."""
+    from phrasepivot.llm.language_id import labelled_windows
+
+    monkeypatch.setattr("phrasepivot.llm.language_id.PER_LANGUAGE", 20)
+    rows = [(f"text number {i} of en", "en") for i in range(900)] + [("the same", "en")] * 500 + [(f"de {i}", "de") for i in range(7)] + [("12", "fr"), (None, "fr"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    a = labelled_windows(df.repartition(7), F.col("text"), F.col("lang"))
+    b = labelled_windows(df.coalesce(1), F.col("text"), F.col("lang"))
+    assert (a[0] == b[0]).all() and a[1] == b[1] and Counter(a[1]) == {"en": 20, "de": 7}
+    assert len({x.tobytes() for x in a[0]}) == 27

@@ -102,6 +102,12 @@ def test_shards(spark, tmp_path):
     assert all(r.size_ == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in got.rename(columns={"size": "size_"}).itertuples())
 
 
+def test_shards_of_clashing_columns(spark):
+    df = spark.createDataFrame([(i, i % 3, "a", i, None) for i in range(30)], "size long, slot int, _part string, curve long, v string")
+    got = hilbert_shards(df, ["size", "v"], ["size"], 4)
+    assert got.count() == 30 and got.groupBy("shard", "slot").count().where("count > 1").isEmpty()
+
+
 def test_shards_of_an_empty_table(spark):
     df = spark.createDataFrame([], "id long, lang string, n long, shard string")
     assert hilbert_shards(df, ["lang", "n"], ["id"], 4).count() == 0
