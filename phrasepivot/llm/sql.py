@@ -42,8 +42,13 @@ URLS = rf"""with recursive page as (select row_number() over () as row, page_id,
 tags as (select url, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from page where url is not null),
 found as (select url, node, case when regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
   when regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) end as target from tags),
-whole as (select node, case when contains(target, '://') then target when starts_with(target, '//') then split_part(url, '://', 1) || ':' || target
-  when starts_with(target, '/') then split_part(url, '://', 1) || '://' || {_HOST.replace('{0}', 'url')} || target end as target from found where target <> ''),
+asked as (select url, node, target, regexp_extract(target, '^[^?#]*', 0, 's') as own, regexp_extract(target, '^[^?#]*(\?[^#]*)', 1, 's') as query, case when {_PATH.replace('{0}', 'url')} = '' then '/' else {_PATH.replace('{0}', 'url')} end as base from found where target <> ''),
+cut as (select *, string_split(case when own = '' then base when starts_with(own, '/') then own else regexp_extract(base, '^.*/', 0, 's') || own end, '/')[2:] as parts from asked),
+closed as (select *, case when parts[-1] in ('.', '..') then list_append(parts, '') else parts end as closed_parts from cut),
+kept as (select *, list_reduce(list_prepend([]::varchar[], list_transform(closed_parts, lambda x: [x])), lambda a, x: case when x[1] = '.' then a when x[1] = '..' then a[:greatest(len(a) - 1, 0)] else list_concat(a, x) end) as kept_parts from closed),
+whole as (select node, case when contains(own, '://') then target when starts_with(target, '//') then split_part(url, '://', 1) || ':' || target
+  when starts_with(target, '#') or regexp_matches(own, '^[A-Za-z][A-Za-z0-9+.\-]*:') then null
+  else split_part(url, '://', 1) || '://' || {_HOST.replace('{0}', 'url')} || '/' || case when own = '' then base[2:] else array_to_string(kept_parts, '/') end || query end as target from kept),
 edge as (select distinct node as a, {_node('target')} as b from whole where target is not null),
 twoway as (select a, b from edge where a <> b union select b, a from edge where a <> b),
 reach as (select a as node, a as member from twoway union select reach.node, twoway.b from reach join twoway on reach.member = twoway.a),

@@ -44,8 +44,13 @@ def test_urls(pages, more):
     assert got == VERDICTS
 
 
-def test_urls_against_sql(pages):
+def test_urls_against_sql(pages, spark):
     c = duckdb.connect()
+    links = ["de/start.html", "../de/x", "../../../de/./y", "?id=2", "./", "..", "/p/../de/?u=http://z.net/", "x?u=http://z.net/#f", "#top", "mailto:a@b.c", "//m.com/de/2", "http://n.com/fr/", "de/.", "/de/a/.."]
+    more = [(100 + 3 * i, f"http://s{i}.com/a/b/index.html?k", f"<link rel=canonical href='{to}'>", "clash") for i, to in enumerate(links)]
+    more += [(101 + 3 * i, f"http://s{i}.com", f"<meta http-equiv=refresh content='0; url={to}'>", "clash") for i, to in enumerate(links)]
+    more += [(102 + 3 * i, f"http://s{i}.com/{p}", None, "clash") for i in range(len(links)) for p in ("de/start.html", "a/b/", "x")]
+    pages = pages.union(spark.createDataFrame(more, pages.schema))
     c.register("pages_frame", pages.drop("host").toPandas())
     c.execute("create table pages as select page_id::bigint as page_id, url, html from pages_frame")
     want = sorted(map(repr, c.execute(f"select page_id, host, path, rule, verdict from ({URLS})").fetchall()))
