@@ -40,8 +40,9 @@ def with_lexical_weights(merged: DataFrame, lexicon: DataFrame) -> DataFrame:
     words = merged.select("src", "tgt", F.explode(word_pairs()).alias("w")).select("src", "tgt", "w.*")
     looked = words.join(lexicon, ["s", "t"], "left")
     looked = looked.select("src", "tgt", "i", "j", ratio(F.col("c"), F.col("c_f")).alias("st"), ratio(F.col("c"), F.col("c_e")).alias("ts"))
-    # both directions in one pass: a source word's mean goes to st, a target word's to ts
-    sides = looked.select("src", "tgt", F.explode(F.array(F.struct(F.lit("st").alias("side"), F.col("i").alias("at"), F.col("st").alias("p")), F.struct(F.lit("ts").alias("side"), F.col("j").alias("at"), F.col("ts").alias("p")))).alias("x")).select("src", "tgt", "x.*").where("at >= 0")
+    # both directions in one pass: a source word's mean goes to st, a target word's to ts; a pair's rows are dealt once,
+    # for its words' means and for their product
+    sides = looked.select("src", "tgt", F.explode(F.array(F.struct(F.lit("st").alias("side"), F.col("i").alias("at"), F.col("st").alias("p")), F.struct(F.lit("ts").alias("side"), F.col("j").alias("at"), F.col("ts").alias("p")))).alias("x")).select("src", "tgt", "x.*").where("at >= 0").repartition("src", "tgt")
     means = sides.groupBy("src", "tgt", "side", "at").agg(F.avg("p").alias("p"))
     weights = means.groupBy("src", "tgt").agg(F.product(F.when(F.col("side") == "st", F.col("p"))).alias("_st"), F.product(F.when(F.col("side") == "ts", F.col("p"))).alias("_ts"))
     out = merged.join(weights, ["src", "tgt"], "left")
