@@ -4,10 +4,10 @@ prefixes of a collection of aligned pieces.
 Every round puts one symbol in front of each piece's suffix, the pieces' columns
 going from the right to the left.  Equal strings of the asked length lie at the
 same column of their group (see ``suffix_dedup``), so a round's transform holds
-the suffixes of one column: the last round's file is read in order, its suffixes
-are dealt stably by the new symbol, the common prefix of two that follow each
-other becomes one more than the least between them, and the next file is written
-in order.
+the suffixes of one column, those of a group next to each other: the last round's
+file is read in order, its suffixes are dealt stably by the new symbol, the common
+prefix of two that follow each other becomes one more than the least between them,
+and the next file is written in order.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class SequentialFile:
     def rewind(self) -> SequentialFile:
         if self.path is not None:
             self.stream.close()
-            self.stream = self.store.open_input_stream(self.path)
+            self.stream = self.store.open_input_stream(self.path, buffer_size=1 << 20)
         else:
             self.stream.seek(0)
         return self
@@ -70,50 +70,93 @@ def _least_between(lcp: np.ndarray, before: np.ndarray, here: np.ndarray) -> np.
     return out
 
 
+class Collection:
+    """Pieces of any number of groups, whose transform and common prefixes go through files that are written and read in
+    order: the columns of each part that is added, and the state of the last round."""
+
+    def __init__(self, folder: str | None = None, held: int = HELD):
+        self.folder, self.held, self.parts, self.group = folder, held, [], []
+
+    def add(self, pieces: list[bytes], left: np.ndarray, group: np.ndarray) -> None:
+        """left: bytes of each piece before its anchor; group: non-decreasing, over all that is added.  Files of held
+        bytes in all stay in memory."""
+        n, most = len(pieces), int(left.max(initial=0))
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        right = int((sizes - left).max(initial=0))
+        table = np.full((n, most + right), -1, np.int16)
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        row = np.repeat(np.arange(n), sizes)
+        table[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(most - left, sizes)] = flat
+        columns = SequentialFile(self.folder, self.held)
+        columns.write(table.T[::-1])
+        self.held -= columns.at if columns.path is None else 0
+        self.parts.append((columns.rewind(), n, most, right))
+        self.group.append(group)
+
+    def _column(self, place: int) -> np.ndarray:
+        """The symbols of all pieces so far behind their anchors (before: less than 0), -1 where a piece has none."""
+        return np.concatenate([columns.read(n, np.int16) if -most <= place < right else np.full(n, -1, np.int16) for columns, n, most, right in self.parts])
+
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, far, near): runs of starts, far to near before the anchor, whose strings of length bytes start at the
+        same column of another piece of their group too.  Can be asked for once."""
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        n = sum(p[1] for p in self.parts)
+        if not n:
+            return tuple(map(np.concatenate, out))
+        # suffixes stay with their group, so that a place in the order has the same group in all rounds
+        base = np.concatenate(self.group).astype(np.int64) * 257 + 1
+        most, right = (max(p[i] for p in self.parts) for i in (2, 3))
+        open_, since = np.zeros(n, bool), np.zeros(n, np.int64)
+
+        def close(ended: np.ndarray, far: int) -> None:
+            for column, x in zip(out, (ended, np.full(len(ended), far), since[ended])):
+                column.append(x)
+
+        state = SequentialFile(self.folder)
+        state.write(np.arange(n, dtype=np.int32))
+        state.write(np.zeros(n, np.int32))
+        for place in range(right - 1, -most - 1, -1):
+            state.rewind()
+            order, lcp = state.read(n, np.int32), state.read(n, np.int32)
+            state.drop()
+            symbol = self._column(place)[order]  # the transform of the round before
+            key = base + symbol
+            if (key[1:] >= key[:-1]).all():
+                after = lcp[1:] + 1
+                same = (key[1:] == key[:-1]) & (symbol[1:] >= 0)
+            else:
+                dealt = np.argsort(key, kind="stable")
+                order, key, symbol = order[dealt], key[dealt], symbol[dealt]
+                same = (key[1:] == key[:-1]) & (symbol[1:] >= 0)
+                after = np.zeros(n - 1, np.int32)
+                after[same] = _least_between(lcp, dealt[:-1][same], dealt[1:][same]) + 1
+            lcp = np.zeros(n, np.int32)
+            lcp[1:] = np.where(same, after, 0)
+            if place <= 0:
+                hit, long = np.zeros(n, bool), lcp >= length
+                hit[order] = long | np.append(long[1:], False)
+                close(np.flatnonzero(open_ & ~hit), -place - 1)
+                since[hit & ~open_] = -place
+                open_ = hit
+            state = SequentialFile(self.folder)
+            state.write(order.astype(np.int32))
+            state.write(lcp)
+        state.drop()
+        for columns, *_ in self.parts:
+            columns.drop()
+        close(np.flatnonzero(open_), most)
+        return tuple(map(np.concatenate, out))
+
+
 def repeated_starts(pieces: list[bytes], left: np.ndarray, group: np.ndarray, length: int, folder: str | None = None) -> np.ndarray:
     """(pieces, max(left) + 1) booleans: whether the string of length bytes that starts there, counted
     from max(left) before the anchor, starts at the same column of another piece of its group.
 
     left: bytes of each piece before its anchor; group: non-decreasing."""
-    n, most = len(pieces), int(left.max(initial=0))
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    width = most + int((sizes - left).max(initial=0))
-    table = np.full((n, width), -1, np.int16)
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
-    row = np.repeat(np.arange(n), sizes)
-    table[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(most - left, sizes)] = flat
-    columns = SequentialFile(folder)
-    columns.write(table.T[::-1])
-    columns.rewind()
-    del table
-    out = np.zeros((n, most + 1), bool)
-    state = SequentialFile(folder)
-    state.write(np.arange(n, dtype=np.int32))
-    state.write(np.zeros(n, np.int32))
-    for column in range(width - 1, -1, -1):
-        state.rewind()
-        order, lcp = state.read(n, np.int32), state.read(n, np.int32)
-        state.drop()
-        symbol = columns.read(n, np.int16)[order]  # the transform of the round before
-        key = group[order] * 257 + symbol + 1
-        if (key[1:] >= key[:-1]).all():
-            after = lcp[1:] + 1
-            same = (key[1:] == key[:-1]) & (symbol[1:] >= 0)
-        else:
-            dealt = np.argsort(key, kind="stable")
-            order, key, symbol = order[dealt], key[dealt], symbol[dealt]
-            same = (key[1:] == key[:-1]) & (symbol[1:] >= 0)
-            after = np.zeros(n - 1, np.int32)
-            after[same] = _least_between(lcp, dealt[:-1][same], dealt[1:][same]) + 1
-        lcp = np.zeros(n, np.int32)
-        lcp[1:] = np.where(same, after, 0)
-        if column <= most:
-            long = lcp >= length
-            if long.any():
-                out[order, column] = long | np.append(long[1:], False)
-        state = SequentialFile(folder)
-        state.write(order.astype(np.int32))
-        state.write(lcp)
-    state.drop()
-    columns.drop()
+    collection, most = Collection(folder), int(left.max(initial=0))
+    collection.add(pieces, left, group)
+    out = np.zeros((len(pieces), most + 1), bool)
+    for i, far, near in zip(*(x.tolist() for x in collection.runs(length))):
+        out[i, most - far : most - near + 1] = True
     return out

@@ -23,6 +23,7 @@ pieces need comparing:
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import partial
 
 import numpy as np
@@ -30,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.column_bwt import repeated_starts
-from phrasepivot.llm.common import Carried, KeyFilter, Staged, scratch, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of, tidy
+from phrasepivot.llm.column_bwt import Collection
+from phrasepivot.llm.common import Carried, KeyFilter, Staged, delete, scratch, shared_dir, ship_package, shuffle_partitions, small_batches, texts_of, tidy
 
-#: Most different pieces of a group that one task compares; pieces whose transform is built in one go.
-GROUP, BATCH = 1024, 8192
+#: Most different pieces of a group that one task compares; pieces whose columns are laid out in one go, and about how
+#: many a collection has: what a task has is one collection, or a few.
+GROUP, BATCH, COLLECTION = 1024, 8192, 1 << 18
 #: Starts in a piece after a too large group is dealt anew, once and again.
 CELLS = (16, 1)
 HASHED = 16
@@ -242,26 +244,33 @@ def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-def _compare(pieces: DataFrame, length: int) -> DataFrame:
+def _compare(pieces: DataFrame, length: int, folder: str) -> DataFrame:
     """(g, s, lo, hi): runs of repeated starts of each piece, as distances before the anchor (lo >= hi).
 
-    A group must fit into a task; n > 1: the whole piece occurs again."""
+    The pieces of a task are one collection, whose files go to folder if they are long.  A group must fit into a task;
+    n > 1: the whole piece occurs again."""
     spark = pieces.sparkSession
-    folder = shared_dir(spark)
 
     def run(batches):
         import pyarrow as pa
 
-        def found(rows):
+        collection, groups, meta = Collection(folder), 0, []
+
+        def add(rows) -> None:
+            nonlocal groups
             g, s, n, left, bytes_of = rows
-            group = np.cumsum(np.r_[0, (g[1:] != g[:-1]).astype(np.int64)])
-            starts = repeated_starts(bytes_of, left, group, length, folder)
-            most, out = starts.shape[1] - 1, [[], [], [], []]
-            for i in np.flatnonzero(starts.any(axis=1) & (n == 1)).tolist():
-                for a, z in _ranges(starts[i]):
-                    for c, x in zip(out, (g[i], s[i], most - a, most - z)):
-                        c.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["g", "s", "lo", "hi"])
+            group = groups + np.cumsum(np.r_[0, (g[1:] != g[:-1]).astype(np.int64)])
+            collection.add(bytes_of, left, group)
+            groups = int(group[-1]) + 1
+            meta.append((g, s, n))
+
+        def found():
+            piece, lo, hi = collection.runs(length)
+            g, s, n = map(np.concatenate, zip(*meta))
+            once = n[piece] == 1
+            piece, lo, hi = piece[once], lo[once], hi[once]
+            meta.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g[piece]), pa.array(s[piece]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["g", "s", "lo", "hi"])
 
         held = None
         for b in batches:
@@ -273,10 +282,15 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
                 if not len(cut):
                     break
                 at = int(cut[max(0, np.searchsorted(cut, BATCH, side="right") - 1)])
-                yield found([x[:at] for x in held])
+                add([x[:at] for x in held])
                 held = [x[at:] for x in held]
+                if sum(len(x[0]) for x in meta) >= COLLECTION:
+                    yield found()
+                    collection, groups = Collection(folder), 0
         if held is not None and len(held[0]):
-            yield found(held)
+            add(held)
+        if meta:
+            yield found()
 
     dealt = pieces.select("g", "s", "n", "l", "piece").repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g", "s")
     return dealt.mapInArrow(tidy(run), "g long, s long, lo int, hi int")
@@ -310,20 +324,20 @@ def _smaller(pieces: DataFrame, cell: int, length: int) -> DataFrame:
     return pieces.select("g", "s", "n", "l", "piece").mapInArrow(tidy(run), "pg long, ps long, g long, s long, n long, l int, piece binary, shift int")
 
 
-def _resolve(pieces: DataFrame, length: int, cells: tuple[int, ...]) -> DataFrame:
+def _resolve(pieces: DataFrame, length: int, cells: tuple[int, ...], folder: str) -> DataFrame:
     """(g, s, lo, hi) as _compare, for groups of any size; pieces are different within their group, and staged."""
     spark = pieces.sparkSession
     sizes = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     large = Staged(spark, sizes.where(F.col("size") > GROUP).select("g"), "pieces").df
     if not cells or large.isEmpty():
-        return _compare(pieces, length)
-    small = _compare(pieces.join(large, "g", "left_anti"), length)
+        return _compare(pieces, length, folder)
+    small = _compare(pieces.join(large, "g", "left_anti"), length, folder)
     cut = Staged(spark, _smaller(pieces.join(large, "g"), cells[0], length), "pieces").df
     each = cut.groupBy("g", "s").agg(F.sum("n").alias("n"), F.first("l").alias("l"), F.first("piece").alias("piece"))
     each = Staged(spark, each, "pieces").df
     whole = each.where("n > 1").select("g", "s", F.col("l").alias("lo"), (F.col("l") - F.octet_length("piece") + length).alias("hi"))
     again = each.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("g")
-    parts = whole.unionByName(_resolve(Staged(spark, each.join(again, "g"), "pieces").df, length, cells[1:]))
+    parts = whole.unionByName(_resolve(Staged(spark, each.join(again, "g"), "pieces").df, length, cells[1:], folder))
     back = cut.select("pg", "ps", "g", "s", "shift").join(parts, ["g", "s"]).select(F.col("pg").alias("g"), F.col("ps").alias("s"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
     return small.unionByName(back)
 
@@ -370,9 +384,11 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     pieces = _cut_pieces(by_text.df.join(_texts(docs, length, by_text.df), ["k1", "k2"]).select("z", "at"))
     pieces = Staged(spark, pieces.dropDuplicates(["g", "s"]), "pieces")
     by_text.drop()
-    some = _resolve(pieces.df, length, CELLS)
+    folder = f"{shared_dir(spark)}/columns-{uuid.uuid4().hex}"
+    some = _resolve(pieces.df, length, CELLS, folder)
     full = kinds.df.where("n > 1").select("g", "s", F.col("x.l").alias("lo"), (F.lit(length) - F.col("x.r")).alias("hi"))
     starts = Staged(spark, full.unionByName(some), "starts").df
+    delete(spark, folder)  # tasks that ended early may have left files
     pieces.drop()
     kinds.drop()
     inside = whole_rows.where(F.size("own") > 0).select("k1", "k2", F.explode(F.transform(F.sequence(F.lit(0), F.size("own") - 1, F.lit(2)), lambda i: F.struct(F.get("own", i).alias("from"), F.get("own", i + 1).alias("to")))).alias("span"))

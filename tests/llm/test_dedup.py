@@ -12,7 +12,7 @@ import xxhash
 import phrasepivot.llm.decontaminate as decontaminate
 import phrasepivot.llm.simhash as simhash
 import phrasepivot.llm.suffix_dedup as suffix_dedup
-from phrasepivot.llm.column_bwt import SequentialFile, repeated_starts
+from phrasepivot.llm.column_bwt import Collection, SequentialFile, repeated_starts
 
 
 def lower(x):
@@ -142,6 +142,25 @@ def test_column_transform(tmp_path):
                 assert got[i, column] == here, (case, i, column)
 
 
+@pytest.mark.parametrize("held", [0, 300, 1 << 20])
+def test_collection_of_several_parts(tmp_path, held):
+    rng = random.Random(held)
+    for case in range(15):
+        collection, whole, groups = Collection(f"file://{tmp_path}", held), [], 0
+        for _ in range(rng.randint(1, 4)):
+            pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(12, 40))) for _ in range(rng.randint(1, 20))]
+            left = np.array([rng.randint(0, 8) for _ in pieces])
+            group = np.sort(np.array([rng.randint(0, 2) for _ in pieces])) + groups
+            groups = int(group[-1]) + 1
+            collection.add(pieces, left, group)
+            whole += zip(pieces, left.tolist(), group.tolist())
+        assert held >= 1 << 20 or list(tmp_path.iterdir())
+        got = {(i, d) for i, far, near in zip(*(x.tolist() for x in collection.runs(6))) for d in range(near, far + 1)}
+        cell = Counter((g, d, p[n - d : n - d + 6]) for p, n, g in whole for d in range(n + 1))
+        assert got == {(i, d) for i, (p, n, g) in enumerate(whole) for d in range(n + 1) if n - d + 6 <= len(p) and cell[g, d, p[n - d : n - d + 6]] > 1}, case
+        assert not list(tmp_path.iterdir())
+
+
 def test_sequential_file_goes_to_the_folder(tmp_path):
     f = SequentialFile(f"file://{tmp_path}", held=100)
     arrays = [np.arange(n, dtype=np.int32) for n in (10, 30, 7)]
