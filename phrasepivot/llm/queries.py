@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasepivot.llm.collocations import mine_phrases
 from phrasepivot.llm.common import split_column, table
 from phrasepivot.llm.decontaminate import contamination
 from phrasepivot.llm.hilbert import hilbert_shards
 from phrasepivot.llm.language_id import identify, train_language_id
+from phrasepivot.llm.line_dedup import dedup_lines
 from phrasepivot.llm.lm_scoring import score_documents
 from phrasepivot.llm.simhash import simhash_components
-from phrasepivot.llm.sql import CONTAMINATION, TOP_K, URLS
+from phrasepivot.llm.sql import CONTAMINATION, LINES, PHRASES, TOP_K, URLS
 from phrasepivot.llm.suffix_dedup import remove_repeats
 from phrasepivot.llm.tokenize_docs import encode_documents, length_histogram, token_lengths
 from phrasepivot.llm.topk import top_k
 from phrasepivot.llm.url_filters import filter_urls
+from phrasepivot.llm.whitening import whiten
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SHARDS = 40
@@ -85,5 +88,17 @@ def op10_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), 400, passage=PASSAGE)
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_lm, op2_hilbert_shards, op3_byte_conv_language, op4_token_counts, op5_no_random_access, op6_prefix_decontamination, op7_simhash_bk_trees, op8_redirect_equivalence, op9_bpe_automaton, op10_column_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {"op5_no_random_access": TOP_K, "op6_prefix_decontamination": CONTAMINATION, "op8_redirect_equivalence": URLS}
+def op11_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_pair_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_attention_lm, op2_hilbert_shards, op3_byte_conv_language, op4_token_counts, op5_no_random_access, op6_prefix_decontamination, op7_simhash_bk_trees, op8_redirect_equivalence, op9_bpe_automaton, op10_column_suffix_dedup, op11_svd_whitening, op12_line_dedup, op13_pair_naming)}
+ORACLE_SQL: dict[str, str] = {"op5_no_random_access": TOP_K, "op6_prefix_decontamination": CONTAMINATION, "op8_redirect_equivalence": URLS, "op12_line_dedup": LINES, "op13_pair_naming": PHRASES}

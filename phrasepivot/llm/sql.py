@@ -57,3 +57,26 @@ said as ({_ruled('member', 'member')}),
 alias as (select reach.node, case when bool_or(best.action = 'allow') then 'allow' when bool_or(best.action = 'block') then 'block' else 'allow' end as verdict from reach left join said on reach.member = said.member group by reach.node),
 own as ({_ruled('page', 'row')})
 select page_id, host, path, best.rule as rule, coalesce(best.action, alias.verdict, 'allow') as verdict from page left join own using (row) left join alias using (node)"""
+
+_KEY = "trim(" + _LOWER.format("line") + ", e' \\t\\n\\v\\f\\r')"
+
+LINES = f"""with doc as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+line as (select row, doc_id, i, lines[i] as line from (select row, doc_id, lines, unnest(range(1, len(lines) + 1)) as i from doc)),
+keyed as (select row, doc_id, i, line, {_KEY} as key from line),
+repeated as (select key, min(doc_id) as first from keyed where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+judged as (select row, doc_id, i, line, first is not null and doc_id <> first as gone from keyed left join repeated using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from judged group by row, doc_id"""
+
+PHRASES = f"""with doc as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from doc),
+gram as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3), (4)) as ks(k) where len(w) >= k) group by all),
+total as (select lang, sum(f)::bigint as n from gram where k = 1 group by lang),
+cand as (select lang, k, phrase, string_split(phrase, ' ') as x, f as a from gram where k > 1 and f >= 30),
+cut as (select lang, phrase, a, x, unnest(range(1, k)) as j from cand),
+part as (select cut.lang, cut.phrase, cut.a, j, g.f as l, h.f as r, ((2000000::hugeint * cut.a) // (g.f + h.f))::bigint as score from cut
+  join gram g on g.lang = cut.lang and g.phrase = array_to_string(x[:j], ' ') join gram h on h.lang = cut.lang and h.phrase = array_to_string(x[j + 1:], ' ')),
+best as (select lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(score := score, j := j)) as b from part group by all),
+inside as (select lang, array_to_string(x[i:i + m - 1], ' ') as phrase, max(a) as most from (select lang, x, a, m, unnest(range(1, k - m + 2)) as i from cand, (values (2), (3)) as ms(m) where m < k) group by all),
+kept as (select best.* from best left join inside using (lang, phrase) where most is null or 100 * most::hugeint < 80 * a::hugeint),
+ranked as (select lang, row_number() over (partition by lang order by b.score desc, a desc, encode(phrase)) as rank, phrase, a, b.l as l, b.r as r, b.score as score from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000"""
