@@ -5,9 +5,10 @@ all but their outer words, the pair of their ids is a k-gram's name; pairs are c
 frequent ones get ids of their own, which take their places in the sequences.  An id's pair says of which shorter
 grams it is made, so cuts and contained phrases are looked up along these pointers and never searched for.
 
-Sequences stay in blocks, each a row: a block has its own small numbers, tells the number of each distinct word or
-pair and its count, and is told in return which of them have ids.  So what is shuffled is a block's distinct pairs,
-not its words.
+Sequences stay in blocks, each a row: a block has its own small numbers, tells each of its distinct words or pairs and
+its count, and is told in return which of them have ids.  So what is shuffled is a block's distinct pairs, not its
+words.  Pairs go to buckets by their hash, as many as keep a bucket at BUCKET_WORDS or less, and packed: a bucket is
+counted and named as a whole.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from phrasepivot.llm.common import Staged, ship_package, small_batches, texts_of, tidy
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, for all languages of a task together.
+BLOCK_BYTES = 32 << 20
+#: Words of the corpus for each bucket of pairs: a bucket has fewer pairs, and a task holds one at a time.
+BUCKET_WORDS = 2 << 20
 #: Parts into which a language's phrases are dealt before its first ones are ranked together.
 RANK_PARTS = 64
 UNKNOWN = "und"
@@ -31,7 +34,33 @@ _SEPARATORS = b".,;:!?\n\v\f\r"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 46 if c in _SEPARATORS else 32 if c == 9 else c for c in range(256))
 _BREAK = b"."
 _BLOCK = "block long, lang string, words long, seq binary, keys array<binary>, counts array<long>"
-_PAIRS = "block long, seq binary, lefts array<long>, rights array<long>, counts array<long>"
+#: Rows of a block: its sequence (bucket -1) and its pairs of each bucket.
+_PAIRS = "block long, bucket int, data binary"
+#: Rows of a bucket: what each block is told, and (block -1) the names.
+_NAMED = "block long, told binary, lefts array<long>, rights array<long>, counts array<long>, ids array<long>"
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Arrays of one length, one after the other; the reader knows their types."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+
+
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
+def _bucket(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _slices(text: bytes, most: int = BLOCK_BYTES):
@@ -89,7 +118,7 @@ def _numbering(block_bytes: int):
             nonlocal block
             for lang, b in held.items():
                 seq, counts = b.words()
-                row = [pa.array([block]), pa.array([lang]), pa.array([int(counts.sum())]), pa.array([seq.tobytes()]), pa.array([list(b.number)], pa.list_(pa.binary())), _listed(counts)]
+                row = [pa.array([block]), pa.array([lang]), pa.array([int(counts.sum())]), pa.array([_pack(seq)]), pa.array([list(b.number)], pa.list_(pa.binary())), _listed(counts)]
                 yield pa.RecordBatch.from_arrays(row, ["block", "lang", "words", "seq", "keys", "counts"])
                 block += 1
             held.clear()
@@ -107,39 +136,92 @@ def _numbering(block_bytes: int):
     return run
 
 
-def _pairing(last: bool):
-    """Of batches of (block, seq, numbers, ids): the pairs of ids that lie side by side, and their sequence."""
+def _pairing(buckets: int, last: bool):
+    """Of batches of (block, seq, numbers, ids) or (block, seq, told): the pairs of ids that lie side by side, by bucket,
+    and unless last their sequence."""
 
     def run(batches):
         import pyarrow as pa
 
+        def row(block: int, bucket: int, data: bytes):
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+
         for batch in batches:
             for r in range(batch.num_rows):
-                block, seq = batch.column(0)[r].as_py(), np.frombuffer(batch.column(1)[r].as_py(), np.int32)
-                numbers, ids = (np.asarray(batch.column(c)[r].values).astype(np.int64) for c in (2, 3))
+                block, seq = batch.column(0)[r].as_py(), _unpack(batch.column(1)[r].as_py(), np.int32)[0]
+                if batch.num_columns == 4:
+                    numbers, ids = (np.asarray(batch.column(c)[r].values).astype(np.int64) for c in (2, 3))
+                else:
+                    numbers, ids = (np.concatenate(c) for c in zip(*(_unpack(x, np.int32, np.int64) for x in batch.column(2)[r].as_py())))
                 rank = np.full(max(int(seq.max(initial=-1)), int(numbers.max(initial=-1))) + 2, -1, np.int64)  # its last is for -1
                 rank[numbers] = np.arange(len(numbers))
                 here = rank[seq]
                 at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0)) if len(here) else np.zeros(0, np.int64)
                 pairs, number, counts = np.unique(here[at] * len(ids) + here[at + 1], return_inverse=True, return_counts=True)
-                found = np.full(len(here), -1, np.int32)
-                found[at] = number
-                left, right = (pairs // max(len(ids), 1), pairs % max(len(ids), 1))
-                row = [pa.array([block]), pa.array([b"" if last else found.tobytes()]), *map(_listed, (ids[left], ids[right], counts))]
-                yield pa.RecordBatch.from_arrays(row, ["block", "seq", "lefts", "rights", "counts"])
+                if not last:
+                    found = np.full(len(here), -1, np.int32)
+                    found[at] = number
+                    yield row(block, -1, _pack(found))
+                if not len(pairs):
+                    continue
+                left, right = ids[pairs // len(ids)], ids[pairs % len(ids)]
+                bucket = _bucket(left, right, buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                for part in np.split(order, cuts):
+                    yield row(block, int(bucket[part[0]]), _pack(left[part], right[part], part.astype(np.int32), counts[part].astype(np.int32)))
 
     return run
 
 
-def _wide(c: Column) -> Column:
-    return c.cast("decimal(38,0)")
+def _naming(least: int, last: bool):
+    """Of batches of (block, bucket, data), in order of buckets: names of the frequent pairs, and unless last what each
+    block is told of its own."""
 
+    def run(batches):
+        import pyarrow as pa
+
+        held, now = [], None
+        none = pa.array([None], pa.list_(pa.int64()))
+
+        def named():
+            left, right, number, count = (np.concatenate(c) for c in zip(*(x[1] for x in held)))
+            order = np.lexsort((right, left))
+            starts = np.flatnonzero(np.r_[True, (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)])
+            sums = np.add.reduceat(count[order].astype(np.int64), starts)
+            frequent = sums >= least
+            ids = np.where(frequent, np.cumsum(frequent) - 1 + (now << 32), -1)
+            first = order[starts[frequent]]
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([None], pa.binary()), *map(_listed, (left[first], right[first], sums[frequent], ids[frequent]))], names)
+            if last:
+                return
+            given = np.empty(len(order), np.int64)
+            given[order] = np.repeat(ids, np.diff(np.r_[starts, len(order)]))
+            at = 0
+            for block, columns in held:
+                own = slice(at, at + len(columns[0]))
+                kept = given[own] >= 0
+                at = own.stop
+                if kept.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(number[own][kept], given[own][kept])]), none, none, none, none], names)
+
+        names = ["block", "told", "lefts", "rights", "counts", "ids"]
+        for batch in batches:
+            for block, bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and bucket != now:
+                    yield from named()
+                    held = []
+                now = bucket
+                held.append((block, _unpack(data, np.int64, np.int64, np.int32, np.int32)))
+        if held:
+            yield from named()
 
-def _told(blocks: DataFrame, entries: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
-    """block, seq, numbers, ids: of each block the numbers that have ids."""
-    met = entries.join(names.select(*on, "id"), on).groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("x"))
-    met = met.select("block", F.col("x.number").alias("numbers"), F.col("x.id").alias("ids"))
-    return blocks.select("block", "seq").join(met, "block")  # a block without ids has no pairs
+    return run
+
+
+def _wide(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
 
 
 def _grams(counted: DataFrame, shorter: DataFrame, k: int, scale: int) -> DataFrame:
@@ -154,12 +236,12 @@ def _grams(counted: DataFrame, shorter: DataFrame, k: int, scale: int) -> DataFr
     cuts = [F.struct(F.expr(score.format(scale, left, right)).alias("score"), F.lit(i).alias("k"), F.col(left).alias("l"), F.col(right).alias("r")) for i, (left, right) in enumerate(parts, 1)]
     inner = [F.col("left"), F.col("right")] + [F.col(c) for c in ("l_left", "l_right", "r_right")] * (k == 4)
     return both.select(
-        F.col("l_lang").alias("lang"), "left", "right", F.concat_ws(" ", "l_phrase", "r_end").alias("phrase"), F.col("r_end").alias("end"), "a",
+        "id", F.col("l_lang").alias("lang"), "left", "right", F.concat_ws(" ", "l_phrase", "r_end").alias("phrase"), F.col("r_end").alias("end"), "a",
         F.col("l_first").alias("first"), F.col("r_last").alias("last"), F.col("l_a").alias("left_a"), F.col("r_a").alias("right_a"), F.array_min(F.array(*cuts)).alias("best"), F.array(*inner).alias("inner"),
     )
 
 
-def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, scale: int = 2_000_000, covered: int = 80, lang_col: str = "lang", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, scale: int = 2_000_000, covered: int = 80, lang_col: str = "lang", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """lang, rank (from 1), phrase, a, l, r, n, score (long): the first top phrases of 2 to 4 words of each language.
 
     Texts are lower-cased (A-Z), split into pieces at .,;:!? and line ends, pieces into words at spaces and tabs; a
@@ -180,26 +262,30 @@ def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, scale: int =
     entries = blocks.df.select("block", "lang", F.posexplode(F.arrays_zip("keys", "counts")).alias("number", "x")).select("block", "lang", "number", F.col("x.keys").alias("word"), F.col("x.counts").alias("c")).where("c > 0")
     words = entries.groupBy("lang", "word").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
     text = F.col("word").cast("string")
-    names = _stored(words.select("lang", "word", text.alias("phrase"), text.alias("end"), "a", F.col("a").alias("first"), F.col("a").alias("last")), 1)
-    on, levels = ["lang", "word"], []
+    words = words.select("lang", "word", text.alias("phrase"), text.alias("end"), "a", F.col("a").alias("first"), F.col("a").alias("last"))
+    names = Staged(spark, words.withColumn("id", F.monotonically_increasing_id()), "words").df
+    met = entries.join(names.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("x"))
+    told = blocks.df.select("block", "seq").join(met, "block").select("block", "seq", F.col("x.number"), F.col("x.id"))  # a block without ids has no pairs
+    size = totals.agg(F.sum("n").alias("n")).first().n or 0
+    buckets, levels, before, names = 1 + size // bucket_words, [], [blocks], names.drop("word")
     for k in (2, 3, 4):
-        told, before = _told(blocks.df, entries, names, on), blocks
-        blocks = Staged(spark, told.mapInArrow(tidy(_pairing(k == 4)), _PAIRS), "blocks")
-        before.drop()
-        pairs = F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("number", "x")
-        entries = blocks.df.select("block", pairs).select("block", "number", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("c"))
-        counted = entries.groupBy("left", "right").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
-        names, on = _stored(_grams(counted, names.drop("word"), k, scale), k), ["left", "right"]
+        pairs = Staged(spark, told.mapInArrow(tidy(_pairing(buckets, k == 4)), _PAIRS), "pairs")
+        dealt = pairs.df.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        answers = Staged(spark, dealt.mapInArrow(tidy(_naming(least, k == 4)), _NAMED), "answers")
+        for x in before:
+            x.drop()
+        x = answers.df.where("block < 0").select(F.explode(F.arrays_zip("lefts", "rights", "counts", "ids")).alias("x"))
+        counted = x.select(F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("a"), F.col("x.ids").alias("id"))
+        names = Staged(spark, _grams(counted, names, k, scale), f"grams{k}").df
         levels.append(names)
-    blocks.drop()
+        met = answers.df.where("block >= 0").groupBy("block").agg(F.collect_list("told").alias("told"))
+        told = pairs.df.where("bucket < 0").select("block", F.col("data").alias("seq")).join(met, "block")
+        before = [pairs, answers]
+    for x in before:
+        x.drop()
     return _first(_uncovered(levels, covered), top).join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")
 
 
-def _stored(grams: DataFrame, k: int) -> DataFrame:
-    """As a table, with a column id: unique among grams of k words."""
-    return Staged(grams.sparkSession, grams.withColumn("id", F.monotonically_increasing_id()), f"grams{k}").df
-
-
 def _uncovered(levels: list[DataFrame], covered: int) -> DataFrame:
     """lang, phrase, a, best of the names of two, three and four words that no longer one covers."""
     found = None

@@ -164,12 +164,12 @@ def phrases_by_hand(docs, least, top):
     return sorted(out)
 
 
-def phrases(df, least, top, block=collocations.BLOCK_BYTES):
-    return sorted(tuple(r) for r in mine_phrases(df, least, top, block_bytes=block).collect())
+def phrases(df, least, top, block=collocations.BLOCK_BYTES, bucket=collocations.BUCKET_WORDS):
+    return sorted(tuple(r) for r in mine_phrases(df, least, top, block_bytes=block, bucket_words=bucket).collect())
 
 
-@pytest.mark.parametrize("block", [collocations.BLOCK_BYTES, 400])
-def test_phrases(spark, block):
+@pytest.mark.parametrize("block,bucket", [(collocations.BLOCK_BYTES, collocations.BUCKET_WORDS), (400, 100)])
+def test_phrases(spark, block, bucket):
     rng = random.Random(block)
     words = ["a", "B", "cc", "d\x1fd", "É", "eé", "x-y", "'", "\x00"]
     docs = [(None, "a b c d. a b c d! a b c d"), ("en", None), ("fr", ""), ("en", "  . , ;"), ("en", "A b\tA B\n\nA b"), ("de", "q q q q q q q q q q")]
@@ -179,7 +179,7 @@ def test_phrases(spark, block):
     docs += docs[:20]
     df = spark.createDataFrame([(*d, "clash", i) for i, d in enumerate(docs)], "lang string, text string, phrase string, a int").repartition(3)
     want = phrases_by_hand(docs, 3, 12)
-    assert len(want) >= 20 and phrases(df, 3, 12, block) == want
+    assert len(want) >= 20 and phrases(df, 3, 12, block, bucket) == want
 
 
 def test_phrases_of_a_long_text(spark):
@@ -189,7 +189,7 @@ def test_phrases_of_a_long_text(spark):
     long = "ab " * 100 + ". ".join(piece(50) for _ in range(20_000))
     docs = [("en", long), ("en", piece(200)), ("en", long[: 1 << 20].replace(".", "")), ("fr", piece(300))]
     df = spark.createDataFrame(docs, "lang string, text string").repartition(4)
-    assert phrases(df, 30, 2000, 1 << 18) == phrases_by_hand(docs, 30, 2000)
+    assert phrases(df, 30, 2000, 1 << 18, 1 << 16) == phrases_by_hand(docs, 30, 2000)
 
 
 def test_slices():
@@ -206,7 +206,7 @@ def test_phrases_of_nothing(spark):
 def test_score_passes_64_bits(spark):
     """Counts of 10**13 give the exact score."""
     names = spark.createDataFrame([(1, "en", "x", "x", 9_000_000_000_000_001, 9_000_000_000_000_001, 9_000_000_000_000_001), (2, "en", "y", "y", 9_000_000_000_000_000, 9_000_000_000_000_000, 9_000_000_000_000_000)], "id long, lang string, phrase string, end string, a long, first long, last long")
-    counted = spark.createDataFrame([(1, 2, 8_999_999_999_999_999)], "left long, right long, a long")
+    counted = spark.createDataFrame([(1, 2, 8_999_999_999_999_999, 7)], "left long, right long, a long, id long")
     best = collocations._grams(counted, names, 2, 2_000_000).first().best
     assert best.score == 2_000_000 * 8_999_999_999_999_999 // 18_000_000_000_000_001
 
