@@ -22,7 +22,7 @@ from phrasepivot.llm.whitening import whiten
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SHARDS = 40
-#: Bytes of a passage: fewer than 50 words have.
+#: Bytes of a passage in the pipeline: fewer than 50 words have.
 PASSAGE = 200
 
 
@@ -84,8 +84,7 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # passages of 50 words are often under 400 bytes: n_passage counts those
-    return remove_repeats(table(spark, sf_dir, "documents"), 400, passage=PASSAGE)
+    return remove_repeats(table(spark, sf_dir, "documents"), 400)
 
 
 def op11_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,20 +63,18 @@ def test_repeats(spark, monkeypatch, repeated, length, group):
 
 
 def test_passages_of_over_fifty_words(spark):
-    """Passages under and over the length: n_removed is the contract's, n_passage has both; clean texts have neither."""
+    """Passages under and over the length; clean texts lose nothing."""
     rng = random.Random(14)
     say = lambda n: " ".join(letters(rng, rng.randint(3, 8), "abcdefghijk") for _ in range(n))
     short, long = say(52), say(90)
     assert 250 < len(short) < 400 < len(long)
     texts = [say(80) for _ in range(20)] + [say(60) + " " + p + " " + say(50) for p in (short, long) for _ in range(3)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = suffix_dedup.remove_repeats(df, 400, passage=200).orderBy("doc_id").collect()
-    for length, name in ((400, "n_removed"), (200, "n_passage")):
-        assert [getattr(r, name) for r in got] == [x[1] for x in repeats_by_hand([t.encode() for t in texts], length)]
-    assert [r.n_removed > 0 for r in got] == [False] * 23 + [True] * 3
-    assert [r.n_passage > 0 for r in got] == [False] * 20 + [True] * 6
+    for length, first in ((400, 23), (200, 20)):
+        got = [r.n_removed for r in suffix_dedup.remove_repeats(df, length).orderBy("doc_id").collect()]
+        assert got == [x[1] for x in repeats_by_hand([t.encode() for t in texts], length)] and [n > 0 for n in got] == [i >= first for i in range(26)]
     twice = spark.createDataFrame([(1, short), (2, short), (3, None), (4, "x")], "doc_id long, text string")
-    assert [r.n_passage for r in suffix_dedup.remove_repeats(twice, 400, passage=200).orderBy("doc_id").collect()] == [len(short), len(short), 0, 0]
+    assert [r.n_removed for r in suffix_dedup.remove_repeats(twice, 200).orderBy("doc_id").collect()] == [len(short), len(short), 0, 0]
 
 
 def test_runs_of_a_short_period(spark):
