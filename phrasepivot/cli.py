@@ -1,13 +1,16 @@
-"""Command line: python -m phrasepivot.cli triangulate|catalog|decoder-config|prepare-alignment."""
+"""Command line: python -m phrasepivot.cli triangulate|catalog|decoder-config|prepare-alignment|train."""
 
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 from collections.abc import Sequence
 
 from phrasepivot.functions.columns import COUNT_FUNCTIONS
 from phrasepivot.operators.bridge import MODES
+from phrasepivot.operators.extraction import MAX_LENGTH
+from phrasepivot.operators.quality import Progress, reported
 from phrasepivot.plans.triangulate import ACTIONS, Plan, triangulate
 
 
@@ -27,8 +30,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--write-phrase-penalty", action="store_true", help="accepted; has no effect")
     p.add_argument("--number_of_features", type=int, default=4)
     p.add_argument("--swap-lexical", action="store_true", help="turning a table also turns its lexical weights")
-    p.add_argument("--parts", action="store_true", help="write a directory of part files; without it, tables of over 4 GB of input are")
-    p.add_argument("--partitions", type=int, help="deal each table's lines into so many parts, for packed files")
+    p.add_argument("--parts", action="store_true", help="write directories of part files, not single files")
+    p.add_argument("--partitions", type=int, help="deal each table's lines into so many parts, for packed files without an index of members")
+    p.add_argument("--hot-rows", type=int, help="split pivot phrases of more rows than about this on both sides")
+    p.add_argument("--progress", action="store_true", help="tell on stderr how far jobs have come, and rows by stage")
     p = commands.add_parser("catalog", help="corpora for a language pair")
     p.add_argument("-s", dest="source", required=True)
     p.add_argument("-t", dest="target", required=True)
@@ -42,6 +47,11 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("prepare-alignment", help="a trainer's inputs from an alignment file")
     p.add_argument("alignment")
     p.add_argument("out")
+    p = commands.add_parser("train", help="a phrase table and lexical files from an alignment file and its corpora")
+    p.add_argument("alignment")
+    p.add_argument("out")
+    p.add_argument("--max-phrase-length", type=int, default=MAX_LENGTH)
+    p.add_argument("--parts", action="store_true", help="write directories of part files, not single files")
     return top
 
 
@@ -54,8 +64,12 @@ def main(argv: Sequence[str] | None = None) -> int:
         builder = builder.config("spark.local.dir", args.tmpdir)
     spark = builder.getOrCreate()
     if args.command == "triangulate":
-        plan = Plan(args.action, args.mode, args.weight, args.counts, args.swap_lexical)
-        triangulate(spark, plan, args.source, args.target, args.output, args.lexical, args.number_of_features, False if args.parts else None, args.partitions)
+        plan = Plan(args.action, args.mode, args.weight, args.counts, args.swap_lexical, args.hot_rows)
+        progress = Progress() if args.progress else None
+        with reported(spark) if progress else contextlib.nullcontext():
+            triangulate(spark, plan, args.source, args.target, args.output, args.lexical, args.number_of_features, not args.parts, args.partitions, progress)
+        for name, n in progress.counts().items() if progress else ():
+            print(f"{name}: {n} rows", file=sys.stderr)
     elif args.command == "catalog":
         from phrasepivot.plans.catalog import write_report
 
@@ -65,6 +79,10 @@ def main(argv: Sequence[str] | None = None) -> int:
         from phrasepivot.sources.files import write_text
 
         write_text(spark, args.output, DecoderConfig(find_tables(spark, args.tables), args.language_model).text())
+    elif args.command == "train":
+        from phrasepivot.plans.training import train
+
+        print(train(spark, args.alignment, args.out, args.max_phrase_length, not args.parts))
     else:
         from phrasepivot.sources.alignments import prepare_training
 

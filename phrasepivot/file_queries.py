@@ -11,37 +11,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasepivot.cli import main
-from phrasepivot.functions.columns import format_g6, line_key
-from phrasepivot.operators.bridge import pivot_first
+from phrasepivot.functions.columns import line_key, show_alignment
+from phrasepivot.operators.bridge import MODES, pivot_first
 from phrasepivot.operators.lexicon import build_lexicon
 from phrasepivot.plans.catalog import scan_corpora
 from phrasepivot.plans.triangulate import Plan
 from phrasepivot.queries import _A, _A_ROWS, _FILES, _FIRST, _bridged, _corpus_files, _read, _shown, _show, _sql_bridge, _sql_features, _sql_lexicon, _sql_pivots, source_table, target_table
 from phrasepivot.schema import COUNTS, FEATURES
-from phrasepivot.sources.alignments import parse_alignment_name, read_alignment
-from phrasepivot.sources.files import lines, names, work_folder, write_lines, write_text
-from phrasepivot.sources.phrase_table import phrase_table_lines, read_lexical, read_lexical_counts, read_phrase_table, resolve_model, write_lexical, write_phrase_table
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """n (from 1) and line of column value, in the rows' own order."""
-    return rows.select("value").rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0].value)).toDF("n long, line string")
+from phrasepivot.sources.alignments import parse_alignment_name
+from phrasepivot.sources.files import names, numbered_lines, work_folder, write_lines, write_text
+from phrasepivot.sources.part_index import lookup, write_indexed
+from phrasepivot.sources.phrase_table import read_lexical, read_lexical_counts, read_phrase_table, resolve_model, sort_out, write_lexical, write_phrase_table
 
 
 def files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table as a plain file, as a packed file of a model directory, and as parts, read again; numbers keep six digits."""
+    """A table as a plain file, as a packed file of a model directory, and as parts, each written by four tasks, and read
+    again; numbers keep six digits."""
     folder, table, out = work_folder(spark), source_table(spark, sf_dir), None
     for kind, path, read, single in (("plain", "t.txt", "t.txt", True), ("model", "m/model/phrase-table.gz", "m", True), ("parts", "p/model/phrase-table", "p", False)):
-        write_phrase_table(table, f"{folder}/{path}", 4, single)
-        rows = _shown(read_phrase_table(spark, f"{folder}/{read}", partitions=4)).select(F.lit(kind).alias("kind"), "*")
+        write_phrase_table(table, f"{folder}/{path}", 4, single, 4)
+        rows = _shown(read_phrase_table(spark, f"{folder}/{read}")).select(F.lit(kind).alias("kind"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def written_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of each line of a written table: byte order of its phrases."""
-    rows = _numbered(phrase_table_lines(source_table(spark, sf_dir)))
-    return rows.select("n", F.substring_index("line", " ||| ", 2).alias("phrases"))
+    """The place of each line of a packed file that four tasks wrote: byte order of its phrases."""
+    path = f"{work_folder(spark)}/t.gz"
+    write_phrase_table(source_table(spark, sf_dir), path, writers=4)
+    return numbered_lines(spark, path).select("n", F.substring_index("value", " ||| ", 2).alias("phrases"))
+
+
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a table, some of them spoilt by their counts, sorted out: rows that are sound, and reasons of all others."""
+    table = source_table(spark, sf_dir).withColumn("spoilt", (F.col("c_st") % 10).cast("int"))
+    line = lambda *fields: F.concat_ws(" ||| ", *(F.lit(f) if f not in ("src", "tgt") else F.col(f) for f in fields))
+    rest = F.concat_ws(" ||| ", "tgt", F.concat_ws(" ", *(F.round(f, 6).cast("string") for f in FEATURES)), show_alignment(F.col("align")), F.concat_ws(" ", *(F.col(c).cast("string") for c in COUNTS)))
+    value = F.concat_ws(" ||| ", "src", rest)
+    cases = {
+        1: line("src", "tgt"), 2: F.concat(F.lit(" ||| "), rest), 3: F.replace(value, F.lit(" ||| 0-"), F.lit(" ||| 9-")), 4: line("src", "tgt", "0.5 0.5 x 0.5", "", "1 1"),
+        5: line("src", "tgt", "2 1 1 1", "0-0", "1 1"), 6: line("src", "tgt", "1 1 1 1", "0-0", "1"),
+    }
+    spoilt = value
+    for case, text in cases.items():
+        spoilt = F.when(F.col("spoilt") == case, text).otherwise(spoilt)
+    rows, bad = sort_out(table.select(spoilt.alias("value")), sound=True)
+    kept = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n")).select(F.lit("row").alias("kind"), F.col("src").alias("what"), "n")
+    return kept.unionByName(bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("quarantine").alias("kind"), F.col("reason").alias("what"), "n"))
+
+
+def indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table in eight indexed parts, by the names of some parts of the catalogue and by names that it lacks."""
+    path, table = f"{work_folder(spark)}/table", source_table(spark, sf_dir)
+    write_indexed(table, path, 8)
+    asked = _read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" x"))).alias("src"))
+    return _shown(lookup(spark, path, asked))
 
 
 def lexical_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +118,7 @@ def cli_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _corpora(spark, sf_dir)
     out = f"{work_folder(spark)}/report"
     main(["catalog", "-s", "en", "-t", "fr", "-c", root, "-o", out])
-    return _numbered(lines(spark, out)).select("n", F.replace("line", F.lit(f"{root}/"), F.lit("")).alias("line"))
+    return numbered_lines(spark, out).select("n", F.replace("value", F.lit(f"{root}/"), F.lit("")).alias("line"))
 
 
 def cli_decoder_config(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +129,7 @@ def cli_decoder_config(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_text(spark, f"{root}/{r}/model/other", "")
         models.append(f"{root}/{r}")
     main(["decoder-config", "-TMS", ":".join([f"{root}/main/phrase-table", *models]), "-o", f"{root}/ini"])
-    return _numbered(lines(spark, f"{root}/ini")).select("n", F.replace("line", F.lit(f"{root}/"), F.lit("")).alias("line"))
+    return numbered_lines(spark, f"{root}/ini").select("n", F.replace("value", F.lit(f"{root}/"), F.lit("")).alias("line"))
 
 
 def cli_prepare_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,29 +140,44 @@ def cli_prepare_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_lines(nation.select(value.alias("value")), f"{root}/{name}")
     main(["prepare-alignment", f"{root}/C.encs.ali.gz", f"{root}/out"])
     pipe = parse_alignment_name(f"{root}/C.encs.ali.gz").pipe
-    out = _numbered(read_alignment(spark, f"{root}/C.encs.ali.gz")).select(F.lit("source").alias("file"), "n", "line")
+    out = numbered_lines(spark, f"{root}/C.encs.ali.gz").select(F.lit("source").alias("file"), "n", F.split("value", "\t")[0].alias("line"))
     for name, _ in names(spark, f"{root}/out/{pipe}"):
-        rows = _numbered(lines(spark, f"{root}/out/{pipe}/{name}"))
-        out = out.unionByName(rows.select(F.lit(name).alias("file"), "n", F.replace("line", F.lit(f"{root}/"), F.lit("")).alias("line")))
+        if name.startswith("_"):  # an index of members
+            continue
+        rows = numbered_lines(spark, f"{root}/out/{pipe}/{name}")
+        out = out.unionByName(rows.select(F.lit(name).alias("file"), "n", F.replace("value", F.lit(f"{root}/"), F.lit("")).alias("line")))
     return out
 
 
 def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is refused: an unknown mode, an unknown action, a path that is no table, a name that is no alignment's."""
-    table, rows = source_table(spark, sf_dir), []
-    for case, call in (
-        ("mode", lambda: pivot_first(table, table, "xxxx")), ("action", lambda: Plan("other", "pspt")), ("path", lambda: resolve_model(spark, "/no/such/table")),
-        ("name", lambda: parse_alignment_name("a.b.c")), ("features", lambda: phrase_table_lines(table, 3)), ("packed", lambda: lines(spark, "/no/such/file")),
-    ):
-        try:
-            call()
-            rows.append((case, "none"))
-        except (ValueError, TypeError, OSError) as e:
-            rows.append((case, type(e).__name__))
-    return spark.createDataFrame(rows, "guard string, error string")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (files_roundtrip, written_order, lexical_files, cli_triangulate, corpora_scan, cli_catalog, cli_decoder_config, cli_prepare_alignment, guards)}
+    """What is refused, of options that the orders and customers name: guard, value, error (none if it is taken), orders."""
+    table = source_table(spark, sf_dir)
+    folder = work_folder(spark)
+    for kind in ("AUTOMOBILE/model/phrase-table", "BUILDING"):
+        write_text(spark, f"{folder}/{kind}", "")
+    asked = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    modes = F.array(*(F.lit(m) for m in (*MODES, "xxxx", "")))
+    options = {
+        "mode": (F.get(modes, (F.col("o_orderkey") % 6).cast("int")), lambda x: pivot_first(table, table, x)), "action": (F.concat("o_orderstatus", F.lit("_based")), lambda x: Plan(x.replace("O_", "counts_").replace("F_", "features_"), "pspt")),
+        "path": (F.col("c_mktsegment"), lambda x: resolve_model(spark, f"{folder}/{x}")), "name": (F.concat(F.lit("c."), F.substring("o_orderpriority", 1, 1), F.when(F.col("o_orderkey") % 2 == 0, ".ali").otherwise(".txt")), parse_alignment_name),
+    }
+    out = None
+    for guard, (value, call) in options.items():
+        rows = asked.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        errors = {}
+        for r in rows.select("value").collect():  # a handful of options
+            try:
+                call(r.value)
+                errors[r.value] = "none"
+            except (ValueError, TypeError, OSError) as e:
+                errors[r.value] = type(e).__name__
+        told = spark.createDataFrame(list(errors.items()), "value string, error string")
+        rows = rows.join(told, "value").select(F.lit(guard).alias("guard"), "value", "error", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (files_roundtrip, written_order, quarantined_lines, indexed_lookup, lexical_files, cli_triangulate, corpora_scan, cli_catalog, cli_decoder_config, cli_prepare_alignment, guards)}
 
 # ---- the same in SQL ----------------------------------------------------------------
 
@@ -205,5 +244,13 @@ ORACLE_SQL: dict[str, str] = {
     "cli_prepare_alignment": f"""select 'source' as file, n_nationkey + 1 as n, n_nationkey || '-0' as line from nation union all select 'alignment.custom.gz', n_nationkey + 1, n_nationkey || '-0' from nation
 union all select 'corpus.src.gz', n_nationkey + 1, lower(n_name) from nation union all select 'corpus.tgt.gz', n_nationkey + 1, n_regionkey || ' ' || n_name from nation
 union all select 'train.args', i, x[i] from (select string_split('{_ARGS}', ' ') as x), range(1, 20) as r(i) where i <= len(x)""",
-    "guards": "select * from (values ('mode', 'ValueError'), ('action', 'ValueError'), ('path', 'TypeError'), ('name', 'ValueError'), ('features', 'ValueError'), ('packed', 'FileNotFoundError')) as v(guard, error)",
+    "guards": """with asked as (select * from orders join customer on o_custkey = c_custkey),
+said as (select 'mode' as guard, ['pspt', 'sppt', 'pstp', 'sptp', 'xxxx', ''][o_orderkey % 6 + 1] as value from asked union all select 'action', o_orderstatus || '_based' from asked
+  union all select 'path', c_mktsegment from asked union all select 'name', 'c.' || o_orderpriority[1:1] || case when o_orderkey % 2 = 0 then '.ali' else '.txt' end from asked)
+select guard, value, case guard when 'mode' then case when value in ('xxxx', '') then 'ValueError' else 'none' end when 'action' then case when value in ('O_based', 'F_based') then 'none' else 'ValueError' end
+  when 'path' then case when value in ('AUTOMOBILE', 'BUILDING') then 'none' else 'TypeError' end else case when ends_with(value, '.ali') then 'none' else 'ValueError' end end as error, count(*) as n from said group by all""",
+    "indexed_lookup": f"with {_A}, t as ({_A_ROWS}) select src, tgt, {', '.join(f'round({f}, 9) as {f}' for f in FEATURES)}, align, c_t, c_s, c_st from t where src in (select p_name from part where p_partkey % 6 = 0)",
+    "quarantined_lines": f"""with {_A}, t as (select *, c % 10 as spoilt, list_transform(align, lambda p: p.s) as s from a),
+said as (select pvt, case when spoilt = 1 then 'fewer than five fields' when spoilt = 2 then 'an empty phrase' when spoilt = 3 and s[1] = 0 then 'a point beyond the words' when spoilt = 4 then 'a feature is no number' when spoilt = 5 then 'a feature is no probability' when spoilt = 6 then 'fewer than two counts' end as reason from t)
+select 'row' as kind, pvt as what, count(*) as n from said where reason is null group by all union all select 'quarantine', reason, count(*) from said where reason is not null group by all""",
 }

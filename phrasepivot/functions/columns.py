@@ -77,7 +77,7 @@ def unaligned(phrase: Column, align: Column, side: str) -> Column:
     return F.array_except(places, F.transform(align, lambda p: p[side]))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -110,9 +110,9 @@ def _six_digits(x: Column) -> Column:
         back = quotient * power
         up = F.struct(product.alias("p"), _product_error(x, power, product).alias("err"))
         down = F.struct(quotient.alias("p"), ((x - back) - _product_error(quotient, power, back)).alias("err"))
-        return _let(F.when(e <= 5, up).otherwise(down), rounded)
+        return let(F.when(e <= 5, up).otherwise(down), rounded)
 
-    return _let(F.substring_index(F.format_string("%.16e", x), "e", -1).cast("int"), scaled)
+    return let(F.substring_index(F.format_string("%.16e", x), "e", -1).cast("int"), scaled)
 
 
 def format_g6(x: Column) -> Column:
@@ -129,7 +129,7 @@ def format_g6(x: Column) -> Column:
     size = F.abs(x)
     java = F.format_string("%.5e", size)
     far = F.concat(F.regexp_replace(F.substring_index(java, "e", 1), r"[.]?0+$", ""), F.lit("e"), F.substring_index(java, "e", -1))
-    body = F.when((size >= 1e-16) & (size < 1e27), _let(_six_digits(size), text)).otherwise(far)
+    body = F.when((size >= 1e-16) & (size < 1e27), let(_six_digits(size), text)).otherwise(far)
     return F.when(x.isNull(), None).when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), body))
 
 

@@ -29,16 +29,42 @@ def pivot_first(a: DataFrame, b: DataFrame, mode: str, swap_lexical: bool = Fals
     return tuple(invert(x, swap_lexical) if turn else x for x, turn in zip((a, b), MODES[mode]))
 
 
-def bridge(a: DataFrame, b: DataFrame, counts: str = "min") -> DataFrame:
+#: Most pivots that are split on account of their rows; they are broadcast.
+HOT_PIVOTS = 10_000
+
+
+def hot_pivots(a: DataFrame, b: DataFrame, hot_rows: int) -> DataFrame:
+    """pvt, a_parts, b_parts: pivots of which the rows of a times those of b pass hot_rows squared, and into how many
+    parts of about hot_rows either side's are dealt.  The HOT_PIVOTS of the largest products, if there are more."""
+    n_a, n_b = (x.groupBy(F.col("src").alias("pvt")).agg(F.count(F.lit(1)).alias(n)) for x, n in ((a, "n_a"), (b, "n_b")))
+    product = F.col("n_a").cast("double") * F.col("n_b").cast("double")
+    parts = lambda n: F.ceil(F.col(n) / hot_rows).cast("int")
+    found = n_a.join(n_b, "pvt").where(product > float(hot_rows) ** 2).orderBy(product.desc(), "pvt").limit(HOT_PIVOTS)
+    return found.select("pvt", parts("n_a").alias("a_parts"), parts("n_b").alias("b_parts"))
+
+
+def bridge(a: DataFrame, b: DataFrame, counts: str = "min", hot_rows: int | None = None) -> DataFrame:
     """A row for each two rows of a (pivot, source) and b (pivot, target) of one pivot phrase, unmerged.
 
     Probabilities multiply along the path; alignment points meet on pivot words;
     c_raw is the co-occurrence count by the named function, c_st the same cut to a
     whole number.  The pivot phrase is an equi-join key: AQE broadcasts a small
-    side and splits the pivots that are met too often."""
+    side and splits the pivots that are met too often on one side.
+
+    hot_rows: rows of a pivot that frequent pivots are split to, on both sides, as a product of two frequent sides is
+    large however one of them is split.  A part of a's rows meets each part of b's in a task of its own, of about
+    hot_rows squared results, and is copied for each of these.  This reads both tables once more, for their counts."""
     left = a.select(F.col("src").alias("pvt"), *(F.col(c).alias(f"a_{c}") for c in a.columns if c != "src"))
     right = b.select(F.col("src").alias("pvt"), *(F.col(c).alias(f"b_{c}") for c in b.columns if c != "src"))
-    x = left.join(right, "pvt")
+    on = ["pvt"]
+    if hot_rows:
+        hot = F.broadcast(hot_pivots(a, b, hot_rows))  # HOT_PIVOTS rows at most
+        part = lambda phrase, parts: F.coalesce(F.pmod(F.xxhash64(phrase), F.col(parts)).cast("int"), F.lit(0))
+        each = lambda parts: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+        left = left.join(hot, "pvt", "left").withColumn("_i", part("a_tgt", "a_parts")).withColumn("_j", each("b_parts")).drop("a_parts", "b_parts")
+        right = right.join(hot, "pvt", "left").withColumn("_j", part("b_tgt", "b_parts")).withColumn("_i", each("a_parts")).drop("a_parts", "b_parts")
+        on = ["pvt", "_i", "_j"]
+    x = left.join(right, on)
     raw = cooccurrence(counts, F.col("a_c_st"), F.col("b_c_st"))
     return x.select(
         F.col("a_tgt").alias("src"), F.col("b_tgt").alias("tgt"), "pvt",

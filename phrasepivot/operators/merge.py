@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from phrasepivot.functions.columns import clip, ratio, union_alignments
 from phrasepivot.schema import FEATURES
 
-#: Sums are cut to 1 where rows merged; a row of its own stays as it is.
+#: Of a feature and the number of rows.  Sums are cut to 1 where rows merged; a row of its own stays as it is.
 FEATURE_MERGES = {
-    "sum": lambda f: F.when(F.count(F.lit(1)) > 1, clip(F.sum(f))).otherwise(F.first(f)),
-    "max": F.max,
-    "occ": F.first,
+    "sum": lambda f, n: F.when(n > 1, clip(F.sum(f))).otherwise(F.first(f)),
+    "max": lambda f, n: F.max(f),
+    "occ": lambda f, n: F.first(f),
 }
 FEATURE_MERGES |= {"summation": FEATURE_MERGES["sum"], "maximization": FEATURE_MERGES["max"]}
 
 
+def aligned_paths(bridged: DataFrame, how: str = "sum") -> DataFrame:
+    """The unmerged rows of one pair and one alignment as one row: features by how (unclipped), c_raw and c_st summed, and
+    paths, their number.
+
+    Merged pairs and word counts both come from these rows as they would from the unmerged ones, as words depend on
+    the pair and its alignment only."""
+    fold = {"summation": F.sum, "sum": F.sum, "maximization": F.max, "max": F.max}.get(how, F.first)
+    return bridged.groupBy("src", "tgt", "align").agg(*(fold(f).alias(f) for f in FEATURES), F.sum("c_raw").alias("c_raw"), F.sum("c_st").alias("c_st"), F.count(F.lit(1)).alias("paths"))
+
+
 def merge(bridged: DataFrame, how: str = "sum") -> DataFrame:
-    """src, tgt, features, align (the union) and c_st (the sum) of each phrase pair."""
-    fold = FEATURE_MERGES[how]
-    return bridged.groupBy("src", "tgt").agg(*(fold(f).alias(f) for f in FEATURES), union_alignments(F.col("align")).alias("align"), F.sum("c_st").alias("c_st"))
+    """src, tgt, features, align (the union) and c_st (the sum) of each phrase pair, of unmerged rows or of aligned_paths."""
+    fold, n = FEATURE_MERGES[how], F.sum("paths") if "paths" in bridged.columns else F.count(F.lit(1))
+    return bridged.groupBy("src", "tgt").agg(*(fold(f, n).alias(f) for f in FEATURES), union_alignments(F.col("align")).alias("align"), F.sum("c_st").alias("c_st"))
 
 
 def marginals(table: DataFrame, by: str, name: str) -> DataFrame:

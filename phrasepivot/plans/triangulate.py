@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phrasepivot.operators.bridge import bridge, pivot_first
 from phrasepivot.operators.lexicon import build_lexicon, with_lexical_weights
-from phrasepivot.operators.merge import estimated_probabilities, merge, with_marginals
+from phrasepivot.operators.merge import aligned_paths, estimated_probabilities, merge, with_marginals
+from phrasepivot.operators.quality import Progress
 from phrasepivot.schema import COUNTS, FEATURES
-from phrasepivot.sources.files import readable, size_of
-from phrasepivot.sources.phrase_table import read_phrase_table, resolve_model, write_lexical, write_phrase_table
+from phrasepivot.sources.files import staged
+from phrasepivot.sources.phrase_table import read_phrase_table, write_lexical, write_phrase_table
 
 ACTIONS = ("features_based", "counts_based")
 
@@ -21,50 +22,48 @@ class Plan:
     """action: features_based merges the paths' features; counts_based estimates them anew from counts.
 
     weight: summation or maximization, of features_based.  counts: how a path's
-    co-occurrence count comes from its sides'.  mode: see MODES."""
+    co-occurrence count comes from its sides'.  mode: see MODES.  hot_rows: see bridge."""
 
     action: str
     mode: str
     weight: str = "summation"
     counts: str = "min"
     swap_lexical: bool = False
+    hot_rows: int | None = None
 
     def __post_init__(self):
         if self.action not in ACTIONS:
             raise ValueError(f"action is {self.action!r}, none of {', '.join(ACTIONS)}")
 
     def bridged(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        return bridge(*pivot_first(a, b, self.mode, self.swap_lexical), self.counts)
+        return bridge(*pivot_first(a, b, self.mode, self.swap_lexical), self.counts, self.hot_rows)
 
-    def table(self, bridged: DataFrame) -> DataFrame:
-        """The merged table of unmerged rows.  counts_based reads them twice; persist them if they are costly."""
+    def paths(self, bridged: DataFrame, lexicon: bool = False) -> DataFrame:
+        """What table and, if lexicon, build_lexicon read.  Where both the merge and the word counts do, this is a table of
+        aligned_paths, so that the pivots are joined once; else the rows themselves."""
+        if self.action == "features_based" and not lexicon:
+            return bridged
+        return staged(aligned_paths(bridged, self.weight if self.action == "features_based" else "occ"), "paths")
+
+    def table(self, paths: DataFrame) -> DataFrame:
+        """The merged table of unmerged rows or of paths; counts_based reads them twice."""
         if self.action == "features_based":
-            out = with_marginals(merge(bridged, self.weight))
+            out = with_marginals(merge(paths, self.weight))
         else:
-            out = estimated_probabilities(with_marginals(merge(bridged, "occ")))
-            out = with_lexical_weights(out, build_lexicon(bridged))
+            out = estimated_probabilities(with_marginals(merge(paths, "occ")))
+            out = with_lexical_weights(out, build_lexicon(paths))
         return out.select("src", "tgt", *FEATURES, "align", *COUNTS)
 
 
-#: MB of both inputs up to which the output is one file, written by one task.
-SINGLE_FILE_MB = 4096
-
-
-def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, output: str, lexical: str | None = None, number_of_features: int = 4, single_file: bool | None = None, partitions: int | None = None) -> None:
+def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, output: str, lexical: str | None = None, number_of_features: int = 4, single_file: bool = True, partitions: int | None = None, progress: Progress | None = None) -> None:
     """Reads both tables, writes the bridged one and, if lexical names them, the lexical files.
 
-    partitions: into how many parts the lines of each table are dealt before they are parsed, which packed files, one
-    task's work to read, need.  single_file: one file, or a directory of parts; by default one file up to SINGLE_FILE_MB
-    of input."""
-    if single_file is None:
-        inputs = sum(size_of(spark, readable(spark, resolve_model(spark, p))) for p in (source, target))
-        single_file = output == "-" or inputs <= SINGLE_FILE_MB << 20
-    bridged = plan.bridged(*(read_phrase_table(spark, p, partitions=partitions) for p in (source, target)))
-    if plan.action == "counts_based" or lexical:
-        bridged = bridged.persist()
-    try:
-        write_phrase_table(plan.table(bridged), output, number_of_features, single_file)
-        if lexical:
-            write_lexical(build_lexicon(bridged), output, lexical, single_file)
-    finally:
-        bridged.unpersist()
+    partitions: into how many parts the lines of each table are dealt before they are parsed, for packed files of one
+    member, which are one task's work to read.  single_file: one file, or a directory of parts; both are written by all tasks.
+    progress: counts the rows of both tables, of the bridged one and of the output while they are read and written."""
+    watch = progress.watch if progress else lambda name, table: table
+    tables = (watch(name, read_phrase_table(spark, p, partitions=partitions)) for name, p in (("source", source), ("target", target)))
+    paths = plan.paths(watch("bridged", plan.bridged(*tables)), bool(lexical))
+    write_phrase_table(watch("merged", plan.table(paths)), output, number_of_features, single_file)
+    if lexical:
+        write_lexical(build_lexicon(paths), output, lexical, single_file)

@@ -16,11 +16,12 @@ from phrasepivot.functions.columns import dot, format_g6, show_alignment, unalig
 from phrasepivot.operators.bridge import invert, pivot_first, table_limit
 from phrasepivot.operators.lexicon import build_lexicon, with_lexical_weights
 from phrasepivot.operators.merge import marginals, merge
-from phrasepivot.operators.quality import points_out_of_range, row_counts
+from phrasepivot.operators.quality import Progress, points_out_of_range
 from phrasepivot.plans.catalog import bilingual, corpus_groups, languages, monolingual, pivot_corpora, undersized
 from phrasepivot.plans.triangulate import Plan
 from phrasepivot.schema import COUNTS, FEATURES
 from phrasepivot.sources.alignments import alignment_name_columns
+from phrasepivot.sources.files import staged
 from phrasepivot.sources.phrase_table import lexical_tables, parse_phrase_table, phrase_table_lines
 
 
@@ -70,7 +71,7 @@ def _bridged(spark: SparkSession, sf_dir: str, counts: str = "min") -> DataFrame
 def _plan(**options) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         plan = Plan(mode="pspt", **options)
-        return _shown(plan.table(plan.bridged(source_table(spark, sf_dir), target_table(spark, sf_dir))))
+        return _shown(plan.table(plan.paths(plan.bridged(source_table(spark, sf_dir), target_table(spark, sf_dir)))))
 
     return query
 
@@ -127,7 +128,7 @@ def unaligned_words(spark, sf_dir):
 
 
 def lexical_weight(spark, sf_dir):
-    bridged = _bridged(spark, sf_dir)
+    bridged = Plan("counts_based", "pspt").paths(_bridged(spark, sf_dir))
     return with_lexical_weights(merge(bridged, "occ"), build_lexicon(bridged)).select("src", "tgt", F.round("lex_st", 9).alias("lex_st"), F.round("lex_ts", 9).alias("lex_ts"))
 
 
@@ -205,8 +206,11 @@ def alignment_quality(spark, sf_dir):
 
 
 def stage_counts(spark, sf_dir):
-    bridged = _bridged(spark, sf_dir)
-    return row_counts(source=source_table(spark, sf_dir), target=target_table(spark, sf_dir), bridged=bridged, merged=merge(bridged, "sum"))
+    """Rows of each stage, counted in the job that writes the merged table."""
+    progress = Progress()
+    tables = (progress.watch(name, of(spark, sf_dir)) for name, of in (("source", source_table), ("target", target_table)))
+    staged(progress.watch("merged", merge(progress.watch("bridged", Plan("features_based", "pspt").bridged(*tables)), "sum")), "merged")
+    return progress.table(spark)
 
 
 def feature_dot(spark, sf_dir):
@@ -218,6 +222,7 @@ def feature_dot(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tri_features_sum": _plan(action="features_based"),
     "tri_features_max": _plan(action="features_based", weight="maximization"),
+    "tri_hot_pivots": _plan(action="features_based", hot_rows=5),
     "tri_counts_min": _plan(action="counts_based"),
     "tri_counts_max": _plan(action="counts_based", counts="max"),
     "tri_counts_amean": _plan(action="counts_based", counts="a-mean"),
@@ -335,6 +340,7 @@ _G6 = "printf('%.6g', {})"
 _SUMS = ", ".join(f"round(sum({f}), 6) as {f}" for f in FEATURES)
 ORACLE_SQL: dict[str, str] = {
     "tri_features_sum": _sql_features("sum"),
+    "tri_hot_pivots": _sql_features("sum"),
     "tri_features_max": _sql_features("max"),
     "tri_counts_min": _sql_counts("min"),
     "tri_counts_max": _sql_counts("max"),

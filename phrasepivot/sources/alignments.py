@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasepivot.sources.files import lines, write_lines, write_text
+from phrasepivot.sources.files import numbered_lines, write_lines, write_text
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,8 @@ def alignment_name_columns(path: Column) -> dict[str, Column]:
 
 
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
-    """Column value: the part of each line before the first tab."""
-    return lines(spark, path).select(F.split("value", "\t")[0].alias("value"))
+    """Column value, in the file's order: the part of each line before the first tab."""
+    return numbered_lines(spark, path).orderBy("n").select(F.split("value", "\t")[0].alias("value"))
 
 
 def training_arguments(folder: str, model: str) -> list[str]:
@@ -62,14 +62,13 @@ def training_arguments(folder: str, model: str) -> list[str]:
 
 def prepare_training(spark: SparkSession, path: str, out: str, single_file: bool = True) -> AlignmentName:
     """Writes what a phrase table trainer reads: the alignments' first column and both sides' texts, packed, in their
-    order, and train.args, the trainer's arguments, one in a line.
+    order, and train.args, the trainer's arguments, one in a line, for an outside trainer; plans.training has our own.
 
-    The trainer, a program of its own, isn't started.  single_file: files as it reads them, by one task each; else
-    directories of parts."""
+    single_file: files as it reads them; else directories of parts."""
     name = parse_alignment_name(path)
     folder, to = path.rsplit("/", 1)[0] if "/" in path else ".", f"{out.rstrip('/')}/{name.pipe}"
     write_lines(read_alignment(spark, path), f"{to}/alignment.custom.gz", single_file)
     for side, corpus in zip(("src", "tgt"), name.corpora(folder)):
-        write_lines(lines(spark, corpus), f"{to}/corpus.{side}.gz", single_file)
+        write_lines(numbered_lines(spark, corpus).orderBy("n").select("value"), f"{to}/corpus.{side}.gz", single_file)
     write_text(spark, f"{to}/train.args", "\n".join(training_arguments(to, f"{out.rstrip('/')}/model.{name.pipe}.{name.corpus}")) + "\n")
     return name

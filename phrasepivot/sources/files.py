@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from phrasepivot.sources.members import member_lines, write_members
 
 
 def _path(spark: SparkSession, path: str):
@@ -35,37 +40,104 @@ def readable(spark: SparkSession, path: str) -> str:
     """The path, or the path with .gz where only that exists."""
     if is_file(spark, path) or is_dir(spark, path):
         return path
-    if is_file(spark, path + ".gz"):
+    if is_file(spark, path + ".gz") or is_dir(spark, path + ".gz"):
         return path + ".gz"
     raise FileNotFoundError(f"neither {path} nor {path}.gz can be read")
 
 
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """value of every line, file, begin and at: where in it the part that a task reads begins, and a number that rises
+    within the part."""
+    found = readable(spark, path)
+    if found.endswith(".gz") and is_file(spark, found) and (read := member_lines(spark, found)) is not None:
+        return read.select("value", F.lit(found).alias("file"), "begin", "at")
+    text = spark.read.option("lineSep", "\n").text(found)
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row, column value, for each line; .gz is unpacked."""
-    return spark.read.option("lineSep", "\n").text(readable(spark, path))
+    """One row, column value, for each line; .gz is unpacked, by a task for each of its members if these are indexed."""
+    return _text(spark, path).select("value")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """n (from 1) and value of every line, in the order of the file, and of a directory's files by name.
+
+    A line's number is its place in the part that its task reads and the lines of all parts before; these are a row for
+    each split or member of a file, which is what is broadcast."""
+    text = _text(spark, path)
+    parts = text.groupBy("file", "begin").agg(F.count(F.lit(1)).alias("many"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("many").over(Window.orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = parts.select("file", "begin", "first", before.alias("before"))
+    return text.join(F.broadcast(begins), ["file", "begin"]).select((F.col("before") + F.col("at") - F.col("first") + 1).alias("n"), "value")
 
 
 def write_lines(df: DataFrame, path: str, single_file: bool = True) -> None:
     """Writes column value in the order of df; .gz packs, - prints.
 
-    single_file: one file at path, written by one task; else a directory of parts,
-    which large outputs need."""
+    Every partition of df is written by its own task.  single_file: the parts then become one file at path, in order;
+    packed parts are members of one packed file, of which an index is kept beside it.  Else a directory of parts."""
     if path == "-":
         for row in df.toLocalIterator():
             print(row.value)
         return
     spark, codec = df.sparkSession, "gzip" if path.endswith(".gz") else "none"
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
     if not single_file:
         df.write.mode("overwrite").option("compression", codec).text(path)
         return
     parts = f"{path}.parts"
-    df.coalesce(1).write.mode("overwrite").option("compression", codec).text(parts)
-    p, fs = _path(spark, path)
-    fs.delete(p, False)
-    part = next(n for n, _ in names(spark, parts) if n.startswith("part-"))
-    if not fs.rename(_path(spark, f"{parts}/{part}")[0], p):
+    df.write.mode("overwrite").option("compression", codec).text(parts)
+    sizes = join_parts(spark, parts, path)
+    if codec == "gzip":
+        write_members(spark, path, sizes)
+
+
+def join_parts(spark: SparkSession, parts: str, path: str) -> list[int]:
+    """Makes one file at path of the part files of a directory, which goes; their sizes, in order.
+
+    A file system that can joins them without reading them; elsewhere their bytes are copied as they are, in a stream."""
+    folder, fs = _path(spark, parts)
+    found = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen() > 0]
+    found.sort(key=lambda s: (int(re.match(r"part-(\d+)", s.getPath().getName())[1]), s.getPath().getName()))
+    sizes, paths, to = [s.getLen() for s in found], [s.getPath() for s in found], _path(spark, path)[0]
+    jvm = spark.sparkContext._jvm
+    whole = jvm.org.apache.hadoop.fs.Path(folder, "whole")
+    if not paths:
+        fs.create(whole, True).close()
+    else:
+        rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(paths) - 1)
+        for i, part in enumerate(paths[1:]):
+            rest[i] = part
+        try:
+            if len(rest):
+                fs.concat(paths[0], rest)
+            whole = paths[0]
+        except UnsupportedOperationException:
+            out = fs.create(whole, True)
+            try:
+                for part in paths:
+                    source = fs.open(part)
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 4 << 20, False)
+                    finally:
+                        source.close()
+            finally:
+                out.close()
+    if not fs.rename(whole, to):
         raise OSError(f"{path} can't be written")
-    fs.delete(_path(spark, parts)[0], True)
+    fs.delete(folder, True)
+    return sizes
+
+
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: what is read more than once and is costly to make again.
+
+    by: a column whose values have folders of their own, so that a filter on it reads no others."""
+    path = f"{work_folder(df.sparkSession)}/{name}"
+    df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

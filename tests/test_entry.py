@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from phrasepivot import file_queries, queries
+from phrasepivot import file_queries, queries, training_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLE_SQL = queries.QUERIES | file_queries.QUERIES, queries.ORACLE_SQL | file_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | file_queries.QUERIES | training_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | file_queries.ORACLE_SQL | training_queries.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
