@@ -2,75 +2,158 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.functions.columns import let, tokens
 from phrasepivot.operators.lexicon import with_lexical_weights
 from phrasepivot.operators.merge import estimated_probabilities, with_marginals
 from phrasepivot.schema import COUNTS, FEATURES
 from phrasepivot.sources.files import staged
+from phrasepivot.sources.shipping import ship
 
 #: Words of the longest phrase, on either side.
 MAX_LENGTH = 7
-
-
-def _between(array: Column, first: Column, last: Column) -> Column:
-    """Elements at first to last, places from 0."""
-    return F.slice(array, first + 1, last - first + 1)
-
-
-def phrase_pairs(src: Column, tgt: Column, align: Column, max_length: int = MAX_LENGTH) -> Column:
-    """Array of (src, tgt, align): the phrase pairs of a sentence that its alignment is consistent with.
-
-    A pair of up to max_length words each side has a point within, and no point that leads from one of its words to a
-    word outside.  Unaligned words at its ends may belong to it or not, so each choice is a pair.  Points beyond the
-    words are dropped; the pair's own points count from its first words.
-
-    For a sentence of n words and p points the work is n * p + n * max_length ** 3 at most."""
-
-    def words(v: Column) -> Column:
-        s, t = F.size(v.s), F.size(v.t)
-        inside = F.filter(v.align, lambda p: (p.s >= 0) & (p.t >= 0) & (p.s < s) & (p.t < t))
-
-        def places(p: Column) -> Column:
-            # of each source word its target words, of each target word the first and the last of its source words
-            met = F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.array_sort(F.transform(F.filter(p, lambda x: x.s == i), lambda x: x.t)))
-            back = F.transform(F.sequence(F.lit(0), t - 1), lambda j: let(F.transform(F.filter(p, lambda x: x.t == j), lambda x: x.s), lambda x: F.struct(F.array_min(x).alias("low"), F.array_max(x).alias("high"))))
-            return let(F.struct(v.s.alias("s"), v.t.alias("t"), met.alias("met"), back.alias("back")), found)
-
-        return let(F.array_distinct(inside), places)
-
-    def found(v: Column) -> Column:
-        n, m = F.size(v.s), F.size(v.t)
-        free = lambda x: x.low.isNull()
-
-        def least(i: Column, j: Column) -> Column:
-            return let(F.flatten(_between(v.met, i, j)), lambda x: F.struct(i.alias("i"), j.alias("j"), F.array_min(x).alias("a"), F.array_max(x).alias("b")))
-
-        spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, F.least(i + (max_length - 1), n - 1)), lambda j: least(i, j))))
-        closed = F.filter(spans, lambda x: x.a.isNotNull() & (x.b - x.a < max_length) & F.forall(_between(v.back, x.a, x.b), lambda y: free(y) | ((y.low >= x.i) & (y.high <= x.j))))
-
-        def grown(x: Column) -> Column:
-            begins = F.filter(F.sequence(F.greatest(x.b - (max_length - 1), F.lit(0)), x.a), lambda a: F.forall(_between(v.back, a, x.a - 1), free))
-            ends = F.filter(F.sequence(x.b, F.least(x.a + (max_length - 1), m - 1)), lambda b: F.forall(_between(v.back, x.b + 1, b), free))
-            return F.flatten(F.transform(begins, lambda a: F.transform(F.filter(ends, lambda b: b - a < max_length), lambda b: F.struct(x.i.alias("i"), x.j.alias("j"), a.alias("a"), b.alias("b")))))
-
-        def shown(x: Column) -> Column:
-            points = F.flatten(F.transform(F.sequence(x.i, x.j), lambda i: F.transform(F.get(v.met, i), lambda t: F.struct((i - x.i).alias("s"), (t - x.a).alias("t")))))
-            return F.struct(F.array_join(_between(v.s, x.i, x.j), " ").alias("src"), F.array_join(_between(v.t, x.a, x.b), " ").alias("tgt"), points.alias("align"))
-
-        return F.transform(F.flatten(F.transform(closed, grown)), shown)
-
-    return let(F.struct(tokens(src).alias("s"), tokens(tgt).alias("t"), align.alias("align")), words)
+#: Words of the sentences that are laid out at a time; a longer sentence stands alone.
+_WORDS = 20_000
+_NONE = 1 << 60
+
+
+class _Side:
+    """The words of one side of some sentences, one after the other.
+
+    begins and ends: bytes of each word in data; base: the first word of each sentence, and of the one after the last;
+    first and last: of each word's sentence."""
+
+    def __init__(self, texts):
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        spaces = np.flatnonzero(self.data[at[0] : at[-1]] == 32) + at[0]
+        self.begins, self.ends = np.sort(np.concatenate([at[:-1], spaces + 1])), np.sort(np.concatenate([spaces, at[1:]]))
+        many = 1 + np.searchsorted(spaces, at[1:]) - np.searchsorted(spaces, at[:-1])
+        self.base = np.concatenate([[0], np.cumsum(many)])
+        self.first, self.last = np.repeat(self.base[:-1], many), np.repeat(self.base[1:] - 1, many)
+
+    def phrases(self, a: np.ndarray, b: np.ndarray):
+        """Texts of words a to b."""
+        import pyarrow as pa
+
+        begins, sizes = self.begins[a], self.ends[b] - self.begins[a]
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        text = self.data[np.repeat(begins - to[:-1], sizes) + np.arange(to[-1])]
+        return pa.StringArray.from_buffers(len(a), pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes()))
+
+
+def _ends(key: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of values in order of keys 0 to n: the first place and the one after the last of each key, its least and its
+    greatest value; _NONE and -1 where it has none."""
+    a, z = np.searchsorted(key, np.arange(n)), np.searchsorted(key, np.arange(n), "right")
+    low, high = np.full(n, _NONE), np.full(n, -1)
+    low[z > a], high[z > a] = value[a[z > a]], value[z[z > a] - 1]
+    return a, z, low, high
+
+
+def _windows(values: np.ndarray, length: int, fold) -> np.ndarray:
+    """Row d: fold of each d + 1 neighbours, from each place on."""
+    out = [values]
+    for d in range(1, length):
+        out.append(np.concatenate([fold(out[-1][: len(values) - d], values[d:]), out[-1][len(values) - d :]]))
+    return np.stack(out)
+
+
+def _consistent(s: _Side, t: _Side, points: tuple[np.ndarray, np.ndarray], length: int):
+    """Arrays i, j, a, b of all pairs of source words i to j and target words a to b that the points are consistent with,
+    and the points in order of source words, with each word's first and last."""
+    x, y = points
+    back = np.lexsort((x, y))
+    begin, end, least, greatest = _ends(x, y, len(s.begins))
+    _, _, low, high = _ends(y[back], x[back], len(t.begins))
+    lows, highs = _windows(low, length, np.minimum), _windows(high, length, np.maximum)
+    spans = []
+    a, b = least, greatest
+    for d in range(length):
+        i = np.arange(len(s.begins) - d)
+        if not len(i):
+            break
+        a, b = np.minimum(a[: len(i)], least[d:]), np.maximum(b[: len(i)], greatest[d:])
+        at = np.flatnonzero((i + d <= s.last[i]) & (b >= 0) & (b - a < length))
+        at = at[(lows[b[at] - a[at], a[at]] >= at) & (highs[b[at] - a[at], a[at]] <= at + d)]
+        spans.append((at, at + d, a[at], b[at]))
+    i, j, a, b = (np.concatenate(c) for c in zip(*spans))
+    # how many unaligned words lie side by side before a and after b
+    before, after, left, right = np.zeros(len(i), int), np.zeros(len(i), int), np.ones(len(i), bool), np.ones(len(i), bool)
+    for d in range(1, length):
+        left &= (a - d >= t.first[a]) & (high[np.maximum(a - d, 0)] < 0)
+        right &= (b + d <= t.last[b]) & (high[np.minimum(b + d, len(high) - 1)] < 0)
+        before, after = before + left, after + right
+    grown = []
+    for d in range(length):
+        for e in range(length - d):
+            at = np.flatnonzero((before >= d) & (after >= e) & (b - a + d + e < length))
+            grown.append((i[at], j[at], a[at] - d, b[at] + e))
+    return tuple(np.concatenate(c) for c in zip(*grown)), begin, end
+
+
+def _extracting(length: int):
+    """Of batches of (src, tgt, align): their phrase pairs (src, tgt, align)."""
+
+    def pairs(batch):
+        import pyarrow as pa
+
+        s, t, align = _Side(batch.column(0)), _Side(batch.column(1)), batch.column(2)
+        many, struct = np.diff(np.asarray(align.offsets)), align.flatten()
+        row = np.repeat(np.arange(batch.num_rows), many)
+        p, q = (np.asarray(struct.field(f).fill_null(-1)).astype(np.int64) for f in ("s", "t"))
+        inside = (p >= 0) & (q >= 0) & (p < np.diff(s.base)[row]) & (q < np.diff(t.base)[row])
+        x, y = (p + s.base[row])[inside], (q + t.base[row])[inside]
+        if not len(x):
+            return
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)]
+        x, y = x[new], y[new]
+        (i, j, a, b), begin, end = _consistent(s, t, (x, y), length)
+        for at in range(0, len(i), 100_000):
+            i_, j_, a_, b_ = (v[at : at + 100_000] for v in (i, j, a, b))
+            sizes = end[j_] - begin[i_]
+            to = np.concatenate([[0], np.cumsum(sizes)])
+            place = np.repeat(begin[i_] - to[:-1], sizes) + np.arange(to[-1])
+            ends = [pa.array(v, pa.int32()) for v in (x[place] - np.repeat(i_, sizes), y[place] - np.repeat(a_, sizes))]
+            points = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.StructArray.from_arrays(ends, ["s", "t"]))
+            yield pa.RecordBatch.from_arrays([s.phrases(i_, j_), t.phrases(a_, b_), points], ["src", "tgt", "align"])
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            words = np.asarray(pc.binary_length(batch.column(0))).astype(np.int64) // 2 + 1  # at most
+            block = (np.cumsum(words) - words) // _WORDS
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                if z > a:
+                    yield from pairs(batch.slice(a, z - a))
+
+    return run
 
 
 def extract_phrases(sentences: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """src, tgt, align, n: the phrase pairs of sentences (src, tgt, align), how often each occurs so aligned.
+    """src, tgt, align, n: the phrase pairs of sentences (src, tgt, align), and how often each occurs so aligned.
 
-    Sentences stay where they are; counts are added up before the shuffle."""
-    pairs = sentences.select(F.explode(phrase_pairs(F.col("src"), F.col("tgt"), F.col("align"), max_length)).alias("x")).select("x.*")
-    return pairs.groupBy("src", "tgt", "align").agg(F.count(F.lit(1)).alias("n"))
+    A pair of up to max_length words each side has a point within, and no point that leads from one of its words to a
+    word outside.  Unaligned words at its target's ends may belong to it or not, so each choice is a pair, and so are the
+    source's.  Points beyond the words are dropped; a pair's own points count from its first words.  A null text or
+    alignment has no pairs.
+
+    Sentences stay where they are.  Their spans are laid out as arrays, batch by batch: as expressions of nested arrays
+    the same takes 20 times as long.  Counts are added up before the shuffle."""
+    ship(sentences.sparkSession)
+    rows = sentences.select("src", "tgt", "align").where("src is not null and tgt is not null and align is not null")
+    found = rows.mapInArrow(_extracting(max_length), "src string, tgt string, align array<struct<s:int,t:int>>")
+    return found.groupBy("src", "tgt", "align").agg(F.count(F.lit(1)).alias("n"))
 
 
 def score_phrases(extracted: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from phrasepivot.sources.shipping import ship
+
 #: Beside the packed files; Spark's readers pass over such a name.
 FOLDER = "_members"
 #: Bytes that are read at a time, and of lines in a batch.
@@ -127,5 +129,6 @@ def member_lines(spark: SparkSession, path: str) -> DataFrame | None:
         system.get_file_info(p)
     except (OSError, ValueError, NotImplementedError):
         return None
+    ship(spark)
     rows = spark.createDataFrame(found, "begin long, length long").repartition(len(found), "begin")
     return rows.mapInArrow(_reading(uri), "value string, begin long, at long")
