@@ -3,9 +3,10 @@
 A block of vectors has a sorted list for every dimension.  A query reads the lists
 in sequence, best contributions first, each as deep as its entries give no less than
 a common contribution.  What a row has not been met with gives it no more than that,
-which bounds its score from above; the k best scores that are resolved bound the
-answer from below.  Reading stops when few rows can still qualify, and only these
-rows' scores are resolved.
+and no less than the last entry of any list, which bounds its score from above and below.
+The k best lower bounds, or scores that earlier blocks have resolved, are the bar;
+a row whose upper bound is under it drops out.  Reading stops when no more than k
+rows can qualify, and these rows' scores are resolved.  No row is looked up before.
 """
 
 from __future__ import annotations
@@ -21,15 +22,13 @@ BLOCK, CHUNK_BYTES = 4096, 16 << 20
 #: Pages of a list.
 PAGES = 64
 #: Shares of all entries after which the bounds are looked at.
-DEPTHS = (0.3, 0.38, 0.44, 0.5, 0.56, 0.62, 0.68, 0.75, 1.0)
-#: Reading stops when no more rows than this can qualify.
-FEW = 512
+DEPTHS = (1 / 64, 0.25, 0.5, 0.7, 0.8, 0.88, 0.94, 0.98, 1.0)
 
 
 class SortedLists:
     """For each dimension the rows of a block from the smallest component to the largest.
 
-    entries: how many entries of the lists have been read so far."""
+    entries and resolved: how many entries of the lists have been read so far, and scores resolved."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.row_ids, (self.n, self.d) = x, ids, x.shape
@@ -39,7 +38,7 @@ class SortedLists:
         # every list is read in PAGES pages, whose first entries are known
         self.pages = np.unique(np.linspace(0, self.n, PAGES + 1).astype(np.int64))
         self.up, self.down = values[:, self.n - 1 - self.pages[:-1]], values[:, self.pages[:-1]]
-        self.entries = 0
+        self.entries = self.resolved = 0
 
     def _read(self, q: np.ndarray, before: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and contributions of the entries from before to to of each list."""
@@ -53,43 +52,34 @@ class SortedLists:
     def top(self, query: np.ndarray, k: int, own: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best of this block and of best, ties to the smaller id; rows of the id own take no part."""
         n, q = self.n, query.astype(np.float64)
-        score, met, done = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool)
-        done[self.row_ids == own] = True  # resolved, or no candidates
         gives = np.where((q > 0)[:, None], self.up, self.down) * q[:, None]  # of the pages' first entries, best first
+        used = int((q != 0).sum())
+        worst = float((np.where(q > 0, self.down[:, 0], self.up[:, 0]) * q).min(initial=0.0))  # no entry gives less
         first, spread, before = gives[:, 0], np.sort(gives.ravel()), np.zeros(self.d, np.int64)
+        score, met = np.zeros(n), np.zeros(n, np.int64)  # of the lists in which a row has been met, and how many
         slack = 1e-9 * float(np.maximum(np.abs(self.up[:, 0]), np.abs(self.down[:, 0])) @ np.abs(q))  # of the bounds' own rounding
-
-        def resolve(rows: np.ndarray) -> None:
-            nonlocal best
-            done[rows] = True
-            ids, scores = np.concatenate([best[0], self.row_ids[rows]]), np.concatenate([best[1], self.x[rows] @ query])
-            order = np.lexsort((ids, -scores))[:k]
-            best = ids[order], scores[order]
-
+        left = np.flatnonzero(self.row_ids != own)
         for depth in DEPTHS:
             least = spread[int((1 - depth) * (len(spread) - 1))] if depth < 1 else -np.inf
             # all pages that begin with least or more, so that what follows gives less
-            to = np.maximum(self.pages[(gives >= least).sum(axis=1)], before) if depth < 1 else np.full(n and self.d, n)
+            to = np.maximum(self.pages[(gives >= least).sum(axis=1)], before) if depth < 1 else np.full(self.d, n)
             to = np.where(q == 0, 0, to)
             rows, given = self._read(q, before, to)
             score += np.bincount(rows, given, n)
             met += np.bincount(rows, minlength=n)
-            before, opened = to, to > 0
-            # what is unread of an opened list gives less than least, of another no more than its best; 0 if all is read
+            before, opened = to, (to > 0) & (q != 0)
+            # what is unread of an opened list gives no more than least, of another no more than its best; 0 if all is read
             rest = 0.0 if depth >= 1 else least
-            most = score + (int((opened & (q != 0)).sum()) - met) * rest + (np.where(opened, 0, first).sum() if depth < 1 else 0.0)
-            left = np.flatnonzero(~done)
-            if depth < 1 and len(left) > FEW:  # the most promising rows raise the bar
-                resolve(left[np.argpartition(-score[left], min(2 * k, len(left) - 1))[: 2 * k]])
-                left = np.flatnonzero(~done)
-            bar = best[1][k - 1] if len(best[1]) >= k else -np.inf
+            most = score + (int(opened.sum()) - met) * rest + (np.where(opened, 0, first).sum() if depth < 1 else 0.0)
+            sure = np.concatenate([best[1], (score + (used - met) * worst)[left]])
+            bar = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) >= k else -np.inf
             left = left[most[left] >= bar - slack]
-            if depth >= 1 or len(left) <= FEW:
-                resolve(left)
-                return best
-            done[:] = True
-            done[left] = False
-        return best
+            if len(left) <= k:
+                break
+        self.resolved += len(left)
+        ids, scores = np.concatenate([best[0], self.row_ids[left]]), np.concatenate([best[1], self.x[left] @ query])
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
 
 
 def scaled(vector: Column, scale: int) -> Column:

@@ -177,21 +177,25 @@ def test_sorted_lists_give_the_best_rows():
             assert (all_ids[order] == got).all() and (exact[order] == score).all()
 
 
-def test_reading_stops():
-    """Entries read of random directions: under two thirds of all; with a bar from earlier blocks, and where few rows
-    are near the query, under half."""
+@pytest.mark.parametrize("n", [500, 2000, 4096])
+def test_reading_stops(n):
+    """Bounds decide: only the k rows that are left are resolved.  Of random directions nearly all entries are read, as
+    their bounds are wide; with a bar from earlier blocks, and where rows have few large components, under two thirds."""
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(4096, 64))
+    x = rng.normal(size=(n, 64))
     x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    sparse = np.where(rng.random((n, 64)) < 0.04, rng.integers(20, 200, (n, 64)), 0)
+    sparse = sparse * (sparse.sum(axis=1, keepdims=True) > 0) + (np.arange(64) == 0)
     read = {}
-    for name, rows, best in (("alone", x, NOTHING), ("bar", x, (np.arange(5) + 9000, np.full(5, 30000))), ("near", np.concatenate([x[:-200], np.repeat(x[:20], 10, axis=0) + rng.integers(-5, 6, (200, 64))]), NOTHING)):
-        lists = SortedLists(rows, np.arange(4096))
+    for name, rows, best in (("alone", x, NOTHING), ("bar", x, (np.arange(5) + 9000, np.full(5, 60000))), ("sparse", sparse, NOTHING)):
+        lists, resolved = SortedLists(rows, np.arange(n)), 0
         for i in range(20):
             got, score = lists.top(rows[i], 5, i, best)
             exact = np.sort(np.concatenate([best[1], np.delete(rows @ rows[i], i)]))[::-1][:5]
             assert (score == exact).all()
-        read[name] = lists.entries / (20 * rows.size)
-    assert read["alone"] < 0.67 and read["bar"] < 0.5 and read["near"] < 0.5
+        read[name] = lists.entries / (20 * rows.size), lists.resolved / 20
+    assert all(r <= 5 or name == "sparse" for name, (_, r) in read.items())
+    assert read["alone"][0] <= 1 and read["bar"][0] < 0.67 and read["sparse"][0] < 0.67 and read["sparse"][1] < n / 10
 
 
 def test_top_k(spark):
