@@ -11,7 +11,9 @@ _LETTER = r"^\p{L}"
 
 
 def scan_corpora(spark: SparkSession, root: str) -> DataFrame:
-    """dir, file of every file two levels below root."""
+    """dir, file of every file two levels below root.
+
+    The driver lists them, as Spark's own listing leaves out empty files."""
     base = root.rstrip("/")
     rows = [(d, f"{base}/{d}/{f}") for d, is_dir in names(spark, base) if is_dir for f, deeper in names(spark, f"{base}/{d}") if not deeper]
     return spark.createDataFrame(rows, "dir string, file string")
@@ -67,7 +69,7 @@ def pivot_corpora(groups: DataFrame, source: str, target: str) -> DataFrame:
     pivots = groups.select(F.explode("langs").alias("pvt")).distinct().where(~F.col("pvt").isin(source, target))
     wide = groups.where(F.size("langs") > 1)
     stages = F.array(F.struct(F.lit("src").alias("side"), F.lit(source).alias("other")), F.struct(F.lit("tgt").alias("side"), F.lit(target).alias("other")))
-    asked = wide.select("dir", "langs", "group_id", "files", F.explode("langs").alias("pvt")).join(F.broadcast(pivots), "pvt", "left_semi").distinct()
+    asked = wide.select("dir", "langs", "group_id", "files", F.explode("langs").alias("pvt")).join(pivots, "pvt", "left_semi").distinct()
     found = asked.withColumn("x", F.explode(stages)).select("dir", "group_id", "pvt", "x.side", _of_language(F.col("files"), F.col("pvt")).alias("file_pvt"), _of_language(F.col("files"), F.col("x.other")).alias("file_other")).where("file_pvt is not null and file_other is not null")
     used = bilingual(groups, source, target).select("dir").distinct()
     free = found.join(used, "dir", "left_anti")

@@ -11,8 +11,8 @@ from phrasepivot.operators.lexicon import build_lexicon, with_lexical_weights
 from phrasepivot.operators.merge import aligned_paths, estimated_probabilities, merge, with_marginals
 from phrasepivot.operators.quality import Progress
 from phrasepivot.schema import COUNTS, FEATURES
-from phrasepivot.sources.files import staged
-from phrasepivot.sources.phrase_table import read_phrase_table, write_lexical, write_phrase_table
+from phrasepivot.sources.files import numbered_lines, staged
+from phrasepivot.sources.phrase_table import read_phrase_table, resolve_model, sort_out, write_lexical, write_phrase_table
 
 ACTIONS = ("features_based", "counts_based")
 
@@ -55,14 +55,22 @@ class Plan:
         return out.select("src", "tgt", *FEATURES, "align", *COUNTS)
 
 
-def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, output: str, lexical: str | None = None, number_of_features: int = 4, single_file: bool = True, partitions: int | None = None, progress: Progress | None = None) -> None:
+def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, output: str, lexical: str | None = None, number_of_features: int = 4, single_file: bool = True, partitions: int | None = None, progress: Progress | None = None, quarantine: str | None = None) -> None:
     """Reads both tables, writes the bridged one and, if lexical names them, the lexical files.
 
     partitions: into how many parts the lines of each table are dealt before they are parsed, for packed files of one
     member, which are one task's work to read.  single_file: one file, or a directory of parts; both are written by all tasks.
-    progress: counts the rows of both tables, of the bridged one and of the output while they are read and written."""
+    progress: counts the rows of both tables, of the bridged one and of the output while they are read and written.
+    quarantine: a directory for lines that are no phrase table rows, with their table and the reason; without it they fail the job."""
     watch = progress.watch if progress else lambda name, table: table
-    tables = (watch(name, read_phrase_table(spark, p, partitions=partitions)) for name, p in (("source", source), ("target", target)))
+    tables = []
+    for name, path in (("source", source), ("target", target)):
+        if quarantine:
+            rows, bad = sort_out(numbered_lines(spark, resolve_model(spark, path)))
+            bad.select("n", "reason", "value").write.mode("overwrite").option("sep", "\t").csv(f"{quarantine}/{name}")
+        else:
+            rows = read_phrase_table(spark, path, partitions=partitions)
+        tables.append(watch(name, rows))
     paths = plan.paths(watch("bridged", plan.bridged(*tables)), bool(lexical))
     write_phrase_table(watch("merged", plan.table(paths)), output, number_of_features, single_file)
     if lexical:

@@ -153,12 +153,6 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def size_of(spark: SparkSession, path: str) -> int:
-    """Bytes of a file or of all files of a directory."""
-    p, fs = _path(spark, path)
-    return fs.getContentSummary(p).getLength()
-
-
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the one that driver and executors share (spark.checkpoint.dir); where that is unset, as in
     tests, a local one.  It goes when the process ends."""

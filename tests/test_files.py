@@ -119,6 +119,19 @@ def test_quarantine(spark, sound):
     assert sorted(map(repr, rows.collect())) == sorted(map(repr, parse_phrase_table(spark.createDataFrame([(x,) for x in lines_kept], "value string")).collect()))
 
 
+def test_triangulate_with_a_quarantine(spark, tmp_path, capsys):
+    from phrasepivot.cli import main
+
+    line = "p ||| {} ||| 0.5 0.5 0.5 0.5 ||| 0-0 ||| 1 1 1"
+    (tmp_path / "s").write_text("\n".join(["broken", line.format("s"), line.format("u").replace("0.5", "x", 1)]))
+    (tmp_path / "t").write_text(line.format("t") + "\n")
+    main(["triangulate", "features_based", "-s", f"{tmp_path}/s", "-t", f"{tmp_path}/t", "-m", "pspt", "-o", f"{tmp_path}/o", "--quarantine", f"{tmp_path}/q", "--progress"])
+    assert (tmp_path / "o").read_text() == "s ||| t ||| 0.25 0.25 0.25 0.25 ||| 0-0 ||| 1 1 1 ||| |||\n"
+    bad = spark.read.option("sep", "\t").csv(f"{tmp_path}/q/source").collect()
+    assert sorted(tuple(r) for r in bad) == [("1", "fewer than five fields", "broken"), ("3", "a feature is no number", line.format("u").replace("0.5", "x", 1))]
+    assert "merged: 1 rows" in capsys.readouterr().err
+
+
 def test_lookup_opens_few_parts(spark, tmp_path):
     path, table = f"{tmp_path}/t", phrases(spark, 2000, lambda i: None if i == 7 else f"s{i:05d}").repartition(3)
     write_indexed(table, path, 16)
