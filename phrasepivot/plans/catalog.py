@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phrasepivot.sources.files import names, write_lines
+from phrasepivot.sources.files import names, numbered_rows, staged, write_lines
 
 _LETTER = r"^\p{L}"
 
@@ -79,47 +79,44 @@ def pivot_corpora(groups: DataFrame, source: str, target: str) -> DataFrame:
     return served.join(both, "pvt", "left_semi")
 
 
-def report_lines(groups: DataFrame, source: str, target: str, mono_language: str | None = None) -> list[str]:
-    """The tree of what was found; a catalogue has a row for each file of a directory listing, so it is driver-sized."""
-    mono = sorted(monolingual(groups, mono_language or target).collect())
-    pairs = bilingual(groups, source, target).orderBy("dir", "group_id").collect()
-    pivots = pivot_corpora(groups, source, target).orderBy("pvt", "side", "dir", "group_id").collect()
-    out: list[str] = []
-
-    def put(level: int, mark: str, text: str) -> None:
-        indent = " ".join(["| "] * level)
-        out.append(f"{indent} {mark} {text}" if level else f"{mark} {text}")
-
-    put(0, "+-", "Corpora for LM")
-    put(1, "|", f"LANG={mono_language or target}")
-    for kind, title in (("mono", "Monolingual Corpora in monolingual sources"), ("multi", "Monolingual Corpora in multilingual sources")):
-        put(1, "+-", title)
-        for row in mono:
-            if row.kind == kind:
-                put(2, "|", row.file)
-    put(0, "+-", "Corpora for TM")
-    put(1, "|", f"SRC={source}")
-    put(1, "|", f"TGT={target}")
-    put(1, "+-", "parallel corpora")
-    for i, row in enumerate(pairs, 1):
-        put(2, "+-", f"Pair: {i}")
-        put(3, "|", f"SRC={row.file_a}")
-        put(3, "|", f"TGT={row.file_b}")
-    put(1, "+-", "Pivot corpora")
-    for pvt in dict.fromkeys(r.pvt for r in pivots):
-        put(2, "+-", f"Pivot: {pvt}")
-        for side, label, lang in (("src", "SRC", source), ("tgt", "TGT", target)):
-            put(3, "+-", f"{label}={lang}-PVT={pvt}")
-            put(4, "|", f"{label}={lang}")
-            put(4, "|", f"PVT={pvt}")
-            for i, row in enumerate((r for r in pivots if r.pvt == pvt and r.side == side), 1):
-                put(4, "+-", f"Pair: {i}")
-                ends = [f"{label}={row.file_other}", f"PVT={row.file_pvt}"]
-                for text in ends if side == "src" else reversed(ends):
-                    put(5, "|", text)
-    return out
+def _tree_rows(rows: DataFrame, *branches: tuple[list[Column | str], int, str, Column | str]) -> DataFrame:
+    """key, level, mark, text: for each row one for each branch (key, level, mark, text)."""
+    col = lambda x: F.lit(x) if isinstance(x, str) else x
+    made = [F.struct(F.array(*map(col, key)).alias("key"), F.lit(level).alias("level"), F.lit(mark).alias("mark"), col(text).alias("text")) for key, level, mark, text in branches]
+    return rows.select(F.explode(F.array(*made)).alias("x")).select("x.*")
+
+
+def report_lines(groups: DataFrame, source: str, target: str, mono_language: str | None = None) -> DataFrame:
+    """Column value: the tree of what was found, in order.
+
+    Every line has a key, its branches from the root; lines are made where their rows are, and sorted by it."""
+    groups = staged(groups, "groups")
+    lang, place = mono_language or target, lambda n: F.lpad(F.col(n).cast("string"), 12, "0")
+    fixed = _tree_rows(
+        groups.sparkSession.range(1),
+        (["1"], 0, "+-", "Corpora for LM"), (["1", "1"], 1, "|", f"LANG={lang}"), (["1", "2"], 1, "+-", "Monolingual Corpora in monolingual sources"), (["1", "3"], 1, "+-", "Monolingual Corpora in multilingual sources"),
+        (["2"], 0, "+-", "Corpora for TM"), (["2", "1"], 1, "|", f"SRC={source}"), (["2", "2"], 1, "|", f"TGT={target}"), (["2", "3"], 1, "+-", "parallel corpora"), (["2", "4"], 1, "+-", "Pivot corpora"),
+    )
+    mono = _tree_rows(monolingual(groups, lang), (["1", F.when(F.col("kind") == "mono", "2").otherwise("3"), F.col("file")], 2, "|", F.col("file")))
+    said = lambda label, c: F.concat(F.lit(f"{label}="), F.col(c))
+    pair = F.concat(F.lit("Pair: "), F.col("n").cast("string"))
+    pairs = numbered_rows(bilingual(groups, source, target), "dir", "group_id")
+    at = ["2", "3", place("n")]
+    pairs = _tree_rows(pairs, (at, 2, "+-", pair), ([*at, "1"], 3, "|", said("SRC", "file_a")), ([*at, "2"], 3, "|", said("TGT", "file_b")))
+    out = fixed.unionByName(mono).unionByName(pairs)
+    found = staged(pivot_corpora(groups, source, target), "pivots")
+    pivots = found.select("pvt").distinct()
+    out = out.unionByName(_tree_rows(pivots, (["2", "4", F.col("pvt")], 2, "+-", F.concat(F.lit("Pivot: "), F.col("pvt")))))
+    for place_of, side, label, own in (("1", "src", "SRC", source), ("2", "tgt", "TGT", target)):
+        at = ["2", "4", F.col("pvt"), place_of]
+        head = F.concat(F.lit(f"{label}={own}-PVT="), F.col("pvt"))
+        out = out.unionByName(_tree_rows(pivots, (at, 3, "+-", head), ([*at, "0", "1"], 4, "|", f"{label}={own}"), ([*at, "0", "2"], 4, "|", said("PVT", "pvt"))))
+        rows = found.where(F.col("side") == side).withColumn("n", F.row_number().over(Window.partitionBy("pvt").orderBy("dir", "group_id")))
+        at, other, pvt = [*at, "1", place("n")], said(label, "file_other"), said("PVT", "file_pvt")
+        first, second = (other, pvt) if side == "src" else (pvt, other)
+        out = out.unionByName(_tree_rows(rows, (at, 4, "+-", pair), ([*at, "1"], 5, "|", first), ([*at, "2"], 5, "|", second)))
+    return out.orderBy("key").select(F.concat(F.repeat(F.lit("|  "), F.col("level")), "mark", F.lit(" "), "text").alias("value"))
 
 
 def write_report(spark: SparkSession, root: str, source: str, target: str, output: str, mono_language: str | None = None) -> None:
-    rows = report_lines(corpus_groups(scan_corpora(spark, root)), source, target, mono_language)
-    write_lines(spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1), output)
+    write_lines(report_lines(corpus_groups(scan_corpora(spark, root)), source, target, mono_language), output)

@@ -82,8 +82,6 @@ def write_lines(df: DataFrame, path: str, single_file: bool = True) -> None:
             print(row.value)
         return
     spark, codec = df.sparkSession, "gzip" if path.endswith(".gz") else "none"
-    p, fs = _path(spark, path)
-    fs.delete(p, True)
     if not single_file:
         df.write.mode("overwrite").option("compression", codec).text(path)
         return
@@ -125,6 +123,7 @@ def join_parts(spark: SparkSession, parts: str, path: str) -> list[int]:
                         source.close()
             finally:
                 out.close()
+    fs.delete(to, False)  # what was there till now, which df may have been read from
     if not fs.rename(whole, to):
         raise OSError(f"{path} can't be written")
     fs.delete(folder, True)
@@ -153,6 +152,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def numbered_rows(df: DataFrame, *order: str) -> DataFrame:
+    """df with n (from 1), its place in this order: of sorted parts, a place in the part and the rows of all parts before,
+    which are a row for each part.  Goes through the shared folder, so that parts stay as they are."""
+    sorted_rows = df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    rows = staged(sorted_rows, "sorted")
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_many"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_many").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = parts.select("_part", "_first", before.alias("_before"))
+    return rows.join(F.broadcast(begins), "_part").select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("n"))
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the one that driver and executors share (spark.checkpoint.dir); where that is unset, as in
     tests, a local one.  It goes when the process ends."""

@@ -18,7 +18,7 @@ from phrasepivot.operators.extraction import extract_phrases
 from phrasepivot.plans.training import phrase_table
 from phrasepivot.queries import _read, _show, _shown, _sql_lexicon, _sql_weights
 from phrasepivot.schema import COUNTS, FEATURES
-from phrasepivot.sources.files import work_folder, write_lines
+from phrasepivot.sources.files import staged, work_folder, write_lines
 from phrasepivot.sources.phrase_table import read_lexical, read_phrase_table
 
 
@@ -44,7 +44,7 @@ def extracted_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(phrase_table(sentences(spark, sf_dir)))
+    return _shown(phrase_table(staged(sentences(spark, sf_dir), "sentences")))
 
 
 def cli_train(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_catalogue(spark, corpora):
     assert [(r.dir, short(r.file_a), short(r.file_b)) for r in bilingual(groups, "cs", "uk").collect()] == [("csdeuk", "csdeuk/k.cs", "csdeuk/k.uk")]
     got = {(r.pvt, r.side, short(r.file_pvt), short(r.file_other)) for r in pivot_corpora(groups, "cs", "uk").collect()}
     assert got == {("en", "src", "csen/a.en", "csen/a.cs"), ("en", "src", "csen/b.en", "csen/b.cs"), ("en", "tgt", "enuk/w.en", "enuk/w.uk")}
-    report = report_lines(groups, "cs", "uk")
+    report = [r.value for r in report_lines(groups, "cs", "uk").collect()]
     assert report[:2] == ["+- Corpora for LM", "|  | LANG=uk"]
     assert "|  |  +- Pivot: en" in report
 

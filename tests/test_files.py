@@ -13,7 +13,7 @@ from phrasepivot.operators.merge import aligned_paths, merge
 from phrasepivot.operators.quality import Progress, reported
 from phrasepivot.plans.decoder_config import find_tables
 from phrasepivot.plans.triangulate import Plan
-from phrasepivot.sources.files import lines, numbered_lines, write_lines
+from phrasepivot.sources.files import lines, numbered_lines, numbered_rows, write_lines
 from phrasepivot.sources.members import _unpacked, members, write_members
 from phrasepivot.sources.part_index import INDEX, lookup, parts_of, write_indexed
 from phrasepivot.sources.phrase_table import parse_phrase_table, read_phrase_table, sort_out, write_phrase_table
@@ -78,6 +78,18 @@ def test_lines_of_members(spark, tmp_path):
         list(_unpacked(io.BytesIO(parts[0]), len(parts[0]) + 1))
 
 
+def test_a_file_is_written_over_itself(spark, tmp_path):
+    path = f"{tmp_path}/t.gz"
+    write_lines(spark.range(50, numPartitions=3).select(F.col("id").cast("string").alias("value")), path)
+    write_lines(lines(spark, path).where("value < '3'"), path)
+    assert sorted(int(r.value) for r in lines(spark, path).collect()) == sorted(i for i in range(50) if str(i) < "3")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "kept").write_text("x")
+    with pytest.raises(Exception):
+        write_lines(spark.createDataFrame([("x",)], "value string"), f"{tmp_path}/d")
+    assert (tmp_path / "d" / "kept").exists()
+
+
 def test_an_empty_file(spark, tmp_path):
     for name in ("a.gz", "b"):
         write_lines(spark.createDataFrame([], "value string"), f"{tmp_path}/{name}")
@@ -101,6 +113,12 @@ def test_numbered_lines(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_numbered_rows(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("x"), F.col("id").alias("n_")).repartition(7)
+    got = numbered_rows(df, "x").collect()
+    assert len(got) == 500 and all(r.n == r.x + 1 for r in got) and numbered_rows(df.where("x < 0"), "x").collect() == []
+
+
 BAD = {
     "": "fewer than five fields", "a ||| b ||| 1 1 1 1 ||| 0-0": "fewer than five fields", "a ||| b ||| 1 1 1 ||| 0-0 ||| 1 1": "fewer than four features", "a ||| b ||| 1 x 1 1 ||| 0-0 ||| 1 1": "a feature is no number",
     "a ||| b ||| 1 1 1 1 ||| 0-0 ||| 1": "fewer than two counts", "a ||| b ||| 1 1 1 1 ||| 0-0 ||| 1 y": "a count is no number",
