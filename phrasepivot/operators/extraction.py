@@ -164,5 +164,5 @@ def score_phrases(extracted: DataFrame, lexicon: DataFrame) -> DataFrame:
     often = F.min(F.struct((-F.col("n")).alias("less"), "align")).alias("often")
     merged = extracted.groupBy("src", "tgt").agg(often, F.sum("n").alias("c_st"))
     merged = staged(merged.select("src", "tgt", *(F.lit(0.0).alias(f) for f in FEATURES), F.col("often.align").alias("align"), "c_st"), "pairs")
-    table = with_lexical_weights(estimated_probabilities(with_marginals(merged)), lexicon)
+    table = with_lexical_weights(estimated_probabilities(with_marginals(merged)), lexicon, merged)
     return table.select("src", "tgt", *FEATURES, "align", *COUNTS)

@@ -34,10 +34,12 @@ def build_lexicon(bridged: DataFrame) -> DataFrame:
     return pairs.join(by_s, "s").join(by_t, "t").select("s", "t", "c", "c_e", "c_f")
 
 
-def with_lexical_weights(merged: DataFrame, lexicon: DataFrame) -> DataFrame:
+def with_lexical_weights(merged: DataFrame, lexicon: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """lex_st and lex_ts anew: over a phrase's words the product of the mean probability given the words
-    that each is aligned to, or given NULL.  Words without counts give 0."""
-    words = merged.select("src", "tgt", F.explode(word_pairs()).alias("w")).select("src", "tgt", "w.*")
+    that each is aligned to, or given NULL.  Words without counts give 0.
+
+    pairs: src, tgt, align of the same rows, where they are had without what else merged has been joined to."""
+    words = (merged if pairs is None else pairs).select("src", "tgt", F.explode(word_pairs()).alias("w")).select("src", "tgt", "w.*")
     looked = words.join(lexicon, ["s", "t"], "left")
     looked = looked.select("src", "tgt", "i", "j", ratio(F.col("c"), F.col("c_f")).alias("st"), ratio(F.col("c"), F.col("c_e")).alias("ts"))
     # both directions in one pass: a source word's mean goes to st, a target word's to ts; a pair's rows are dealt once,

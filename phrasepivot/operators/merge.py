@@ -37,13 +37,15 @@ def marginals(table: DataFrame, by: str, name: str) -> DataFrame:
     return table.groupBy(by).agg(F.sum("c_st").alias(name))
 
 
-def with_marginals(merged: DataFrame) -> DataFrame:
-    """c_t and c_s: sums of c_st by target and by source phrase.
+def with_marginals(merged: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """c_t and c_s: sums of c_st by target and by source phrase, of the merged rows or of those that they were merged from,
+    which spares the marginals the merge.
 
     Sums are pre-aggregated and joined, so that a phrase of very many rows isn't
     gathered in one task as a window would."""
     table = merged.drop("c_t", "c_s")
-    table = table.join(marginals(table, "tgt", "c_t"), "tgt").join(marginals(table, "src", "c_s"), "src")
+    rows = table if rows is None else rows
+    table = table.join(marginals(rows, "tgt", "c_t"), "tgt").join(marginals(rows, "src", "c_s"), "src")
     return table.select("src", "tgt", *FEATURES, "align", "c_t", "c_s", "c_st")
 
 

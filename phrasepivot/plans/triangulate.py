@@ -38,20 +38,18 @@ class Plan:
     def bridged(self, a: DataFrame, b: DataFrame) -> DataFrame:
         return bridge(*pivot_first(a, b, self.mode, self.swap_lexical), self.counts, self.hot_rows)
 
-    def paths(self, bridged: DataFrame, lexicon: bool = False) -> DataFrame:
-        """What table and, if lexicon, build_lexicon read.  Where both the merge and the word counts do, this is a table of
-        aligned_paths, so that the pivots are joined once; else the rows themselves."""
-        if self.action == "features_based" and not lexicon:
-            return bridged
+    def paths(self, bridged: DataFrame) -> DataFrame:
+        """What table and build_lexicon read: aligned_paths, as a table.  Merge, marginals and word counts each read it
+        anew, so that the pivots are joined once."""
         return staged(aligned_paths(bridged, self.weight if self.action == "features_based" else "occ"), "paths")
 
     def table(self, paths: DataFrame) -> DataFrame:
-        """The merged table of unmerged rows or of paths; counts_based reads them twice."""
+        """The merged table of paths, or of unmerged rows, which are then computed for each reading."""
         if self.action == "features_based":
-            out = with_marginals(merge(paths, self.weight))
+            out = with_marginals(merge(paths, self.weight), paths)
         else:
-            out = estimated_probabilities(with_marginals(merge(paths, "occ")))
-            out = with_lexical_weights(out, build_lexicon(paths))
+            merged = merge(paths, "occ")
+            out = with_lexical_weights(estimated_probabilities(with_marginals(merged, paths)), build_lexicon(paths), merged)
         return out.select("src", "tgt", *FEATURES, "align", *COUNTS)
 
 
@@ -71,7 +69,7 @@ def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, outpu
         else:
             rows = read_phrase_table(spark, path, partitions=partitions)
         tables.append(watch(name, rows))
-    paths = plan.paths(watch("bridged", plan.bridged(*tables)), bool(lexical))
+    paths = plan.paths(watch("bridged", plan.bridged(*tables)))
     write_phrase_table(watch("merged", plan.table(paths)), output, number_of_features, single_file)
     if lexical:
         write_lexical(build_lexicon(paths), output, lexical, single_file)
