@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--swap-lexical", action="store_true", help="turning a table also turns its lexical weights")
     p.add_argument("--parts", action="store_true", help="write directories of part files, not single files")
     p.add_argument("--partitions", type=int, help="deal each table's lines into so many parts, for packed files without an index of members")
+    p.add_argument("--writers", type=int, help="write the table by so many tasks; by default Spark chooses")
     p.add_argument("--hot-rows", type=int, help="split pivot phrases of more rows than about this on both sides")
     p.add_argument("--quarantine", help="directory for lines that are no table rows, with numbers and reasons; without it they fail the job")
     p.add_argument("--progress", action="store_true", help="tell on stderr how far jobs have come, and rows by stage")
@@ -68,7 +69,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         plan = Plan(args.action, args.mode, args.weight, args.counts, args.swap_lexical, args.hot_rows)
         progress = Progress() if args.progress else None
         with reported(spark) if progress else contextlib.nullcontext():
-            triangulate(spark, plan, args.source, args.target, args.output, args.lexical, args.number_of_features, not args.parts, args.partitions, progress, args.quarantine)
+            triangulate(spark, plan, args.source, args.target, args.output, args.lexical, args.number_of_features, not args.parts, args.partitions, progress, args.quarantine, args.writers)
         for name, n in progress.counts().items() if progress else ():
             print(f"{name}: {n} rows", file=sys.stderr)
     elif args.command == "catalog":

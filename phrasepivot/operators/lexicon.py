@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phrasepivot.functions.columns import ratio, tokens, unaligned
 from phrasepivot.schema import NULL_WORD
+from phrasepivot.sources.files import staged
 
 
 def word_pairs() -> Column:
@@ -34,18 +35,20 @@ def build_lexicon(bridged: DataFrame) -> DataFrame:
     return pairs.join(by_s, "s").join(by_t, "t").select("s", "t", "c", "c_e", "c_f")
 
 
-def with_lexical_weights(merged: DataFrame, lexicon: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def with_lexical_weights(merged: DataFrame, lexicon: DataFrame) -> DataFrame:
     """lex_st and lex_ts anew: over a phrase's words the product of the mean probability given the words
     that each is aligned to, or given NULL.  Words without counts give 0.
 
-    pairs: src, tgt, align of the same rows, where they are had without what else merged has been joined to."""
-    words = (merged if pairs is None else pairs).select("src", "tgt", F.explode(word_pairs()).alias("w")).select("src", "tgt", "w.*")
+    The rows become a table with a number for each, so that words go about with a number and not with both phrases."""
+    table = staged(merged.withColumn("_pair", F.monotonically_increasing_id()), "weighed")
+    words = table.select("_pair", F.explode(word_pairs()).alias("w")).select("_pair", "w.*")
     looked = words.join(lexicon, ["s", "t"], "left")
-    looked = looked.select("src", "tgt", "i", "j", ratio(F.col("c"), F.col("c_f")).alias("st"), ratio(F.col("c"), F.col("c_e")).alias("ts"))
+    looked = looked.select("_pair", "i", "j", ratio(F.col("c"), F.col("c_f")).alias("st"), ratio(F.col("c"), F.col("c_e")).alias("ts"))
     # both directions in one pass: a source word's mean goes to st, a target word's to ts; a pair's rows are dealt once,
     # for its words' means and for their product
-    sides = looked.select("src", "tgt", F.explode(F.array(F.struct(F.lit("st").alias("side"), F.col("i").alias("at"), F.col("st").alias("p")), F.struct(F.lit("ts").alias("side"), F.col("j").alias("at"), F.col("ts").alias("p")))).alias("x")).select("src", "tgt", "x.*").where("at >= 0").repartition("src", "tgt")
-    means = sides.groupBy("src", "tgt", "side", "at").agg(F.avg("p").alias("p"))
-    weights = means.groupBy("src", "tgt").agg(F.product(F.when(F.col("side") == "st", F.col("p"))).alias("_st"), F.product(F.when(F.col("side") == "ts", F.col("p"))).alias("_ts"))
-    out = merged.join(weights, ["src", "tgt"], "left")
+    side = lambda name, at: F.struct(F.lit(name).alias("side"), F.col(at).alias("at"), F.col(name).alias("p"))
+    sides = looked.select("_pair", F.explode(F.array(side("st", "i"), side("ts", "j"))).alias("x")).select("_pair", "x.*").where("at >= 0").repartition("_pair")
+    means = sides.groupBy("_pair", "side", "at").agg(F.avg("p").alias("p"))
+    weights = means.groupBy("_pair").agg(F.product(F.when(F.col("side") == "st", F.col("p"))).alias("_st"), F.product(F.when(F.col("side") == "ts", F.col("p"))).alias("_ts"))
+    out = table.join(weights, "_pair", "left")
     return out.withColumn("lex_st", F.coalesce("_st", F.lit(0.0))).withColumn("lex_ts", F.coalesce("_ts", F.lit(0.0))).select(*merged.columns)

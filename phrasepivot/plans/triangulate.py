@@ -48,16 +48,16 @@ class Plan:
         if self.action == "features_based":
             out = with_marginals(merge(paths, self.weight), paths)
         else:
-            merged = merge(paths, "occ")
-            out = with_lexical_weights(estimated_probabilities(with_marginals(merged, paths)), build_lexicon(paths), merged)
+            out = with_lexical_weights(estimated_probabilities(with_marginals(merge(paths, "occ"), paths)), build_lexicon(paths))
         return out.select("src", "tgt", *FEATURES, "align", *COUNTS)
 
 
-def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, output: str, lexical: str | None = None, number_of_features: int = 4, single_file: bool = True, partitions: int | None = None, progress: Progress | None = None, quarantine: str | None = None) -> None:
+def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, output: str, lexical: str | None = None, number_of_features: int = 4, single_file: bool = True, partitions: int | None = None, progress: Progress | None = None, quarantine: str | None = None, writers: int | None = None) -> None:
     """Reads both tables, writes the bridged one and, if lexical names them, the lexical files.
 
     partitions: into how many parts the lines of each table are dealt before they are parsed, for packed files of one
-    member, which are one task's work to read.  single_file: one file, or a directory of parts; both are written by all tasks.
+    member, which are one task's work to read.  single_file: one file, or a directory of parts; both are written by all
+    tasks, or by as many as writers says.
     progress: counts the rows of both tables, of the bridged one and of the output while they are read and written.
     quarantine: a directory for lines that are no phrase table rows, with their table and the reason; without it they fail the job."""
     watch = progress.watch if progress else lambda name, table: table
@@ -70,6 +70,6 @@ def triangulate(spark: SparkSession, plan: Plan, source: str, target: str, outpu
             rows = read_phrase_table(spark, path, partitions=partitions)
         tables.append(watch(name, rows))
     paths = plan.paths(watch("bridged", plan.bridged(*tables)))
-    write_phrase_table(watch("merged", plan.table(paths)), output, number_of_features, single_file)
+    write_phrase_table(watch("merged", plan.table(paths)), output, number_of_features, single_file, writers)
     if lexical:
         write_lexical(build_lexicon(paths), output, lexical, single_file)
