@@ -94,7 +94,7 @@ def cli_triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The command line from two files, one packed, to a packed one with lexical files beside it."""
     s, t = _both_tables(spark, sf_dir)
     folder = s.rsplit("/", 1)[0]
-    main(["triangulate", "features_based", "-s", s, "-t", t, "-m", "pspt", "-o", f"{folder}/out.gz", "-l", "lex", "--partitions", "4", "--writers", "3", "--hot-rows", "10"])
+    main(["triangulate", "features_based", "-s", s, "-t", t, "-m", "pspt", "-o", f"{folder}/out.gz", "-l", "lex", "--partitions", "4", "--writers", "3"])
     counts = read_lexical_counts(spark, f"{folder}/lex.count.f2e").agg(F.sum("c").alias("words")).withColumn("words", F.col("words").cast("long"))
     return _shown(read_phrase_table(spark, f"{folder}/out.gz")).crossJoin(F.broadcast(counts))  # one row
 
