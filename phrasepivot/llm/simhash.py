@@ -6,11 +6,13 @@ in a shard keyed by those blocks' bits.  Each shard's fingerprints make BK-trees
 (children keyed by their integer Hamming distance to the parent) of at most
 ``TREE_NODES`` nodes; a tree goes with the rows that search it and only edges
 within the radius are followed.  A larger shard is cut into chunks, and every
-pair of chunks is searched by a task of its own, so none is left out.
+pair of chunks is searched on its own, so none is left out; a much larger one is
+dealt anew by more bits first.
 """
 
 from __future__ import annotations
 
+import functools
 from functools import partial
 from itertools import chain, combinations
 
@@ -172,9 +174,60 @@ def _blocks(n: int, radius: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(ranges, extra)]
 
 
-def _bits(fp: Column, ranges: list[tuple[int, int]]) -> Column:
-    mask = sum(((1 << (b - a)) - 1) << a for a, b in ranges)
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long"))
+def _mask(ranges: list[tuple[int, int]]) -> int:
+    return sum(((1 << (b - a)) - 1) << a for a, b in ranges)
+
+
+def _finer(mask: int, varied: int, radius: int) -> list[int]:
+    """Masks that add one of radius + 1 parts of the varied bits: values that differ in radius of these agree on one.
+
+    None where too few bits are varied."""
+    bits = [i for i in range(64) if varied >> i & 1]
+    cuts = [round(len(bits) * i / (radius + 1)) for i in range(radius + 2)]
+    return [mask | sum(1 << i for i in bits[a:b]) for a, b in zip(cuts, cuts[1:])] if len(bits) > radius else []
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
+def _sharded(rows: DataFrame, kinds: Column) -> DataFrame:
+    """fp, t, k: each row's fp in a shard of each of its kinds, (t, mask); k: the bits of fp in the mask."""
+    return rows.select("fp", F.explode(kinds).alias("s")).select("fp", "s.t", F.col("fp").bitwiseAND(F.col("s.mask")).alias("k"))
+
+
+def _kinds(masks: dict[int, int]) -> Column:
+    return F.array(*(F.struct(F.lit(t).alias("t"), _signed(m).alias("mask")) for t, m in masks.items()))
+
+
+def shards_within(fps: DataFrame, radius: int, rows: int) -> DataFrame:
+    """fp, t, k, parts: each pair of values within the radius shares a shard (t, k); parts: chunks of TREE_NODES it makes.
+
+    Chunk pairs of a shard grow as its square, so one of more than radius + 1 chunks is dealt anew, again and again, by parts
+    of the bits in which its values differ: radius + 1 rows for one each time.  What is left has as many chunks at most."""
+    spark = fps.sparkSession
+    masks = dict(enumerate(map(_mask, _blocks(rows, radius))))
+    shards, done = _sharded(fps, _kinds(masks)), []
+    while True:
+        sizes = shards.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("parts"))
+        sizes = Staged(spark, sizes, "shards").df
+        large = F.col("parts") > radius + 1
+        if sizes.where(large).isEmpty():
+            return functools.reduce(DataFrame.unionByName, [*done, shards.join(sizes, ["t", "k"])])
+        done.append(shards.join(sizes.where(~large), ["t", "k"]))
+        hot = Staged(spark, shards.join(sizes.where(large), ["t", "k"]), "shards").df
+        varied = hot.groupBy("t", "k").agg(F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("bits")).groupBy("t").agg(F.bit_or("bits").alias("bits"))
+        kinds, again = [], []
+        for r in varied.collect():  # a row a kind of shards
+            if finer := _finer(masks[r.t], r.bits % (1 << 64), radius):
+                more = {len(masks) + i: m for i, m in enumerate(finer)}
+                masks |= more
+                kinds += [F.lit(r.t), _kinds(more)]
+                again.append(r.t)
+        done.append(hot.where(~F.col("t").isin(again)))
+        if not again:
+            return functools.reduce(DataFrame.unionByName, done)
+        shards = Staged(spark, _sharded(hot.where(F.col("t").isin(again)), F.create_map(*kinds)[F.col("t")]), "shards").df
 
 
 def near_links(fps: DataFrame, radius: int, rows: int | None = None) -> DataFrame:
@@ -184,10 +237,7 @@ def near_links(fps: DataFrame, radius: int, rows: int | None = None) -> DataFram
     null.  An empty table gives no links."""
     spark = fps.sparkSession
     ship_package(spark)
-    keys = _blocks(rows if rows is not None else fps.count(), radius)
-    shards = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), _bits(F.col("fp"), r).alias("k")) for i, r in enumerate(keys)))).alias("s")).select("fp", "s.t", "s.k")
-    sizes = shards.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("parts"))
-    met = shards.join(sizes, ["t", "k"]).withColumn("c", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    met = shards_within(fps, radius, rows if rows is not None else fps.count()).withColumn("c", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
     pairs = met.select("fp", "t", "k", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).select("fp", "t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c")
     dealt = pairs.repartition(shuffle_partitions(spark), "t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", "fp")
 

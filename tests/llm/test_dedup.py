@@ -247,6 +247,28 @@ def test_links_lose_nothing(spark, monkeypatch, nodes):
     assert [find(i) for i in range(len(fps))] == want
 
 
+def test_large_shards_are_dealt_anew(spark, monkeypatch):
+    """Values that share most of their bits: every pair within the radius has a shard, and rows don't grow as the square."""
+    monkeypatch.setattr(simhash, "TREE_NODES", 16)
+    rng = np.random.default_rng(3)
+    low = np.unique(rng.integers(0, 1 << 18, 1500, dtype=np.uint64))
+    fps = [(0x8123 << 48) | (int(x) & 0x1FF) | (int(x) >> 9 << 30) for x in low] + [7, 6]
+    assert len(set(fps)) == len(fps)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    rows = simhash.shards_within(df, 3, len(fps)).collect()
+    assert max(r.parts for r in rows) <= 4 and sum(r.parts for r in rows) < 80 * len(fps)
+    met = {}
+    for r in rows:
+        met.setdefault((r.t, r.k), set()).add(r.fp % (1 << 64))
+    of = {}
+    for key, values in met.items():
+        for x in values:
+            of.setdefault(x, set()).add(key)
+    all_ = np.array(fps, np.uint64)
+    near = [(a, b) for a in all_ for b in all_[np.bitwise_count(all_ ^ a) <= 3].tolist() if int(a) < b]
+    assert len(near) > 1000 and all(of[int(a)] & of[b] for a, b in near)
+
+
 @pytest.mark.parametrize("nodes", [8192, 5])
 def test_near_duplicates(spark, monkeypatch, nodes):
     monkeypatch.setattr(simhash, "NEAR_NODES", nodes)
