@@ -417,3 +417,16 @@ def test_contamination(spark, monkeypatch, kept):
     assert Counter(r.text for r in left.collect()) == clean and len(clean) < len(want)
     assert decontaminate.drop_contaminated(docs_df.limit(0), items_df).count() == 0
     assert decontaminate.drop_contaminated(docs_df, items_df.limit(0)).count() == len(docs)
+
+
+def test_contamination_of_long_texts(spark):
+    rng = random.Random(2)
+    say = lambda n: [letters(rng, rng.randint(3, 7), "abcdefgh") for _ in range(n)]
+    item, short = say(20), say(4)
+    long = say(300_000)
+    long[150_000:150_000] = item
+    docs = [(0, " ".join(long)), (1, "x" * 500_000), (2, " ".join((item + ["and"]) * 10_000)), (3, " ".join(short * 50_000)), (4, "the " * 300_000)]
+    items = [(1, " ".join(item)), (2, " ".join(short)), (3, " ".join(say(3000) + item[:13])), (4, "y" * 100_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {0: (300_020, 20, ["1", "3"]), 1: (1, 0, []), 2: (210_000, 200_000, ["1", "3"]), 3: (200_000, 200_000, ["2"]), 4: (300_000, 0, [])}

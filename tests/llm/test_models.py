@@ -72,6 +72,35 @@ def test_folded_tables_equal_the_network():
     assert np.allclose(model.probabilities(x), s / s.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def judged_by_hand(model, text):
+    """Every window of the text through the network's own layers, a position and a filter at a time."""
+    raw, total = (text or "").encode(), np.zeros(len(model.languages))
+    if not any(c.isalpha() for c in text or ""):
+        return UNKNOWN, 0.0
+    for a in range(0, len(raw), BYTES):
+        part = raw[a : a + BYTES]
+        e, feats = model.e[list(part) + [0] * (BYTES - len(part))], []
+        for w, (k, b) in zip((2, 3, 4), model.conv):
+            z = [np.concatenate(e[i : i + w]) @ k + b for i in range(BYTES - w + 1)]
+            feats.append(np.maximum(np.max(z, axis=0), 0))
+        s = np.concatenate(feats) @ model.out[0] + model.out[1]
+        s = np.exp(s - s.max())
+        total += len(part) * s / s.sum()
+    return model.languages[int(total.argmax())], float(total.max() / len(raw))
+
+
+def test_language_by_hand(docs):
+    model = train_language_id(docs)
+    rows = docs.where("doc_id is null or doc_id % 4 = 0").collect()
+    rows = [r for r in rows if len(r.text or "") < 20_000]
+    some = docs.sparkSession.createDataFrame([(i, r.text) for i, r in enumerate(rows)] + [(-1, "é" * 128 + "x"), (-2, "a")], "doc_id long, text string")
+    got = {r.doc_id: r for r in identify(some, model).collect()}
+    for r in some.collect():
+        lang, score = judged_by_hand(model, r.text)
+        assert abs(got[r.doc_id].score - score) < 1e-4 and (got[r.doc_id].lang_pred == lang or abs(score - 1 / len(model.languages)) < 1e-3)
+    assert len(got) == len(rows) + 2
+
+
 # ---- encoding ------------------------------------------------------------------------------
 
 
