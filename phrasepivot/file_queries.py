@@ -20,6 +20,7 @@ from phrasepivot.queries import _A, _A_ROWS, _FILES, _FIRST, _bridged, _corpus_f
 from phrasepivot.schema import COUNTS, FEATURES
 from phrasepivot.sources.alignments import parse_alignment_name
 from phrasepivot.sources.files import names, numbered_lines, work_folder, write_lines, write_text
+from phrasepivot.sources.listing import create_empty
 from phrasepivot.sources.part_index import lookup, write_indexed
 from phrasepivot.sources.phrase_table import read_lexical, read_lexical_counts, read_phrase_table, resolve_model, sort_out, write_lexical, write_phrase_table
 
@@ -100,10 +101,9 @@ def cli_triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpora(spark: SparkSession, sf_dir: str) -> str:
-    """The listing of documents as empty files; a listing is driver-sized."""
+    """A folder with the listing of documents as empty files, which tasks make."""
     root = work_folder(spark)
-    for r in _corpus_files(spark, sf_dir).collect():
-        write_text(spark, f"{root}/{r.file}", "")
+    create_empty(_corpus_files(spark, sf_dir).select("file"), root)
     return root
 
 

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phrasepivot.sources.files import names, numbered_rows, staged, write_lines
+from phrasepivot.sources.files import numbered_rows, staged, write_lines
+from phrasepivot.sources.listing import files_below
 
 _LETTER = r"^\p{L}"
 
 
 def scan_corpora(spark: SparkSession, root: str) -> DataFrame:
-    """dir, file of every file two levels below root.
-
-    The driver lists them, as Spark's own listing leaves out empty files."""
+    """dir, file of every file two levels below root."""
     base = root.rstrip("/")
-    rows = [(d, f"{base}/{d}/{f}") for d, is_dir in names(spark, base) if is_dir for f, deeper in names(spark, f"{base}/{d}") if not deeper]
-    return spark.createDataFrame(rows, "dir string, file string")
+    return files_below(spark, base).select("dir", F.concat(F.lit(f"{base}/"), "dir", F.lit("/"), "name").alias("file"))
 
 
 def corpus_groups(files: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ one on a file system that pyarrow doesn't open; the file is then read by Spark,
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 
 from phrasepivot.sources.shipping import ship
@@ -113,22 +115,27 @@ def _reading(uri: str):
     return run
 
 
-def member_lines(spark: SparkSession, path: str) -> DataFrame | None:
-    """value, begin (of the member) and at (place in it, from 0) of every line of a packed file with an index, a task for
-    each member; nothing where there is no good index, or pyarrow doesn't open the file system."""
+def pyarrow_uri(spark: SparkSession, path: str) -> str | None:
+    """The URI by which tasks open the path through pyarrow, nothing where pyarrow doesn't open its file system."""
     from pyarrow import fs
 
-    found = members(spark, path)
-    if not found:
-        return None
     uri = _where(spark, path)[1].toUri()
     # a local file has no host, and pyarrow asks for three strokes then
-    uri = f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+    uri = f"file://{quote(uri.getPath())}" if uri.getScheme() == "file" else uri.toASCIIString()
     try:
         system, p = fs.FileSystem.from_uri(uri)
         system.get_file_info(p)
     except (OSError, ValueError, NotImplementedError):
         return None
+    return uri
+
+
+def member_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """value, begin (of the member) and at (place in it, from 0) of every line of a packed file with an index, a task for
+    each member; nothing where there is no good index, or pyarrow doesn't open the file system."""
+    found = members(spark, path)
+    if not found or (uri := pyarrow_uri(spark, path)) is None:
+        return None
     ship(spark)
     rows = spark.createDataFrame(found, "begin long, length long").repartition(len(found), "begin")
     return rows.mapInArrow(_reading(uri), "value string, begin long, at long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phrasepivot.cli import main, parser
 from phrasepivot.plans.catalog import bilingual, corpus_groups, languages, monolingual, pivot_corpora, report_lines, scan_corpora, undersized
 from phrasepivot.plans.decoder_config import DecoderConfig, find_tables
+from phrasepivot.sources import listing
 from phrasepivot.sources.alignments import alignment_name_columns, parse_alignment_name, prepare_training, read_alignment
 
 
@@ -35,6 +36,24 @@ def test_catalogue(spark, corpora):
     assert "|  |  +- Pivot: en" in report
 
 
+@pytest.mark.parametrize("by_tasks", [True, False])
+def test_listing(spark, tmp_path, monkeypatch, by_tasks):
+    """Files of the second level only, empty ones too, but no check sums of Spark's; a task for each directory."""
+    if not by_tasks:  # a file system that pyarrow doesn't open
+        monkeypatch.setattr(listing, "pyarrow_uri", lambda spark, path: None)
+    root = tmp_path / "a é%20b"
+    (root / "none").mkdir(parents=True)
+    (root / "top.cs").write_text("")
+    wanted = spark.createDataFrame([(f"d{i}/é {i}.cs",) for i in range(6)] + [("d0/deeper/x.cs",), ("d0/.m",)], "file string")
+    assert listing.create_empty(wanted, f"{root}/") == 8
+    (root / "d1" / ".é 1.cs.crc").write_text("x")
+    found = scan_corpora(spark, f"{root}/")
+    assert sorted(map(tuple, found.collect())) == sorted([(f"d{i}", f"{root}/d{i}/é {i}.cs") for i in range(6)] + [("d0", f"{root}/d0/.m")])
+    assert not by_tasks or found.rdd.getNumPartitions() == 7
+    (tmp_path / "empty").mkdir()
+    assert scan_corpora(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_listing_checks(spark, corpora):
     files = scan_corpora(spark, str(corpora))
     assert {r.lang for r in languages(files).collect()} == {"cs", "uk", "en", "de"}
