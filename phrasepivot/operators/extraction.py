@@ -61,7 +61,8 @@ def _windows(values: np.ndarray, length: int, fold) -> np.ndarray:
     """Row d: fold of each d + 1 neighbours, from each place on."""
     out = [values]
     for d in range(1, length):
-        out.append(np.concatenate([fold(out[-1][: len(values) - d], values[d:]), out[-1][len(values) - d :]]))
+        full = max(len(values) - d, 0)  # places with so many neighbours
+        out.append(np.concatenate([fold(out[-1][:full], values[d:]), out[-1][full:]]))
     return np.stack(out)
 
 

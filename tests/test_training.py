@@ -46,6 +46,14 @@ def test_extraction(spark, length):
     assert got == want
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 5])
+def test_extraction_of_fewer_words_than_a_phrase_may_have(spark, words):
+    """A batch may end in a block of one short sentence."""
+    sentence = ("a b c d e f g h", " ".join("xyzuv"[:words]), [(i, i) for i in range(words)])
+    got = {(r.src, r.tgt, tuple((p.s, p.t) for p in r.align)): r.n for r in extract_phrases(frame(spark, [sentence]).coalesce(1), 7).collect()}
+    assert got == Counter(pairs_by_hand(*sentence, 7))
+
+
 def test_extraction_of_a_long_sentence(spark):
     """Work grows with the words and points, not with their square in phrases."""
     n = 800
