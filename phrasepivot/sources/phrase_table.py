@@ -94,14 +94,16 @@ def read_phrase_table(spark: SparkSession, path: str, lenient: bool = False, par
     return parse_phrase_table(text.repartition(partitions) if partitions else text, lenient)
 
 
-def phrase_table_lines(table: DataFrame, number_of_features: int = 4, writers: int | None = None) -> DataFrame:
+def phrase_table_lines(table: DataFrame, number_of_features: int = 4, writers: int | None = None, six_digit_counts: bool = False) -> DataFrame:
     """Column value: the rows as lines, in byte order; features beyond the fourth are 0.
 
-    writers: into how many ranges the rows are dealt; by default Spark's own choice."""
+    writers: into how many ranges the rows are dealt; by default Spark's own choice.  Counts are whole numbers;
+    six_digit_counts: to six digits, as features are, which loses the rest of those from a million on."""
     if number_of_features < 4:
         raise ValueError("a phrase table has at least four features")
     features = F.concat_ws(" ", *(format_g6(F.col(c)) for c in FEATURES), *(F.lit("0") for _ in range(number_of_features - 4)))
-    counts = F.concat_ws(" ", *(format_g6(F.coalesce(F.col(c), F.lit(0)).cast("double")) for c in COUNTS))
+    shown = (lambda c: format_g6(c.cast("double"))) if six_digit_counts else (lambda c: c.cast("bigint").cast("string"))
+    counts = F.concat_ws(" ", *(shown(F.coalesce(F.col(c), F.lit(0))) for c in COUNTS))
     points = F.when(F.size("align") > 0, F.concat(show_alignment(F.col("align")), F.lit(" "))).otherwise("")
     value = F.concat("src", F.lit(" ||| "), "tgt", F.lit(" ||| "), features, F.lit(" ||| "), points, F.lit("||| "), counts, F.lit(" ||| |||"))
     ordered = table.repartitionByRange(writers, line_key()).sortWithinPartitions(line_key()) if writers else table.orderBy(line_key())

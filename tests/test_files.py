@@ -16,7 +16,7 @@ from phrasepivot.plans.triangulate import Plan
 from phrasepivot.sources.files import lines, numbered_lines, numbered_rows, write_lines
 from phrasepivot.sources.members import _unpacked, members, write_members
 from phrasepivot.sources.part_index import INDEX, lookup, parts_of, write_indexed
-from phrasepivot.sources.phrase_table import parse_phrase_table, read_phrase_table, sort_out, write_phrase_table
+from phrasepivot.sources.phrase_table import parse_phrase_table, phrase_table_lines, read_phrase_table, sort_out, write_phrase_table
 
 TABLE = "src string, tgt string, phi_st double, lex_st double, phi_ts double, lex_ts double, align array<struct<s:int,t:int>>, c_t long, c_s long, c_st long"
 
@@ -45,6 +45,14 @@ def test_one_ordered_file_of_many_tasks(spark, tmp_path, name):
     assert read_phrase_table(spark, path).count() == 3000 and not os.path.exists(f"{path}.parts")
 
 
+def test_counts_of_a_million_and_more_are_written_whole(spark, tmp_path):
+    table = spark.createDataFrame([("a", "b", 0.5, 0.25, 0.125, 1.0, [], 12345678, 1234567, 1000001)], TABLE)
+    write_phrase_table(table, f"{tmp_path}/t")
+    r = read_phrase_table(spark, f"{tmp_path}/t").first()
+    assert (r.c_t, r.c_s, r.c_st) == (12345678, 1234567, 1000001)
+    assert phrase_table_lines(table, six_digit_counts=True).first().value.endswith("||| 1.23457e+07 1.23457e+06 1e+06 ||| |||")
+
+
 def test_packed_files_are_read_by_member(spark, tmp_path):
     path = f"{tmp_path}/model/phrase-table.gz"
     write_phrase_table(phrases(spark, 4000), path, writers=5)
