@@ -131,8 +131,8 @@ def lexical_tables(lexicon: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_lexical(lexicon: DataFrame, output: str, base: str, single_file: bool = True) -> None:
-    """Four files named base beside output."""
-    folder = os.path.dirname(output) or "."
+    """Four files named base beside output.  The lexicon becomes a table, as each file's sort reads it twice."""
+    folder, lexicon = os.path.dirname(output) or ".", staged(lexicon, "lexicon")
     for suffix, rows in lexical_tables(lexicon).items():
         write_lines(rows, f"{folder}/{base}.{suffix}", single_file)
 

@@ -16,7 +16,7 @@ from phrasepivot.plans.triangulate import Plan
 from phrasepivot.sources.files import lines, numbered_lines, numbered_rows, write_lines
 from phrasepivot.sources.members import _unpacked, members, write_members
 from phrasepivot.sources.part_index import INDEX, lookup, parts_of, write_indexed
-from phrasepivot.sources.phrase_table import parse_phrase_table, phrase_table_lines, read_phrase_table, sort_out, write_phrase_table
+from phrasepivot.sources.phrase_table import parse_phrase_table, phrase_table_lines, read_lexical_counts, read_phrase_table, sort_out, write_lexical, write_phrase_table
 
 TABLE = "src string, tgt string, phi_st double, lex_st double, phi_ts double, lex_ts double, align array<struct<s:int,t:int>>, c_t long, c_s long, c_st long"
 
@@ -53,6 +53,14 @@ def test_counts_of_a_million_and_more_are_written_whole(spark, tmp_path):
     assert phrase_table_lines(table, six_digit_counts=True).first().value.endswith("||| 1.23457e+07 1.23457e+06 1e+06 ||| |||")
 
 
+def test_lexical_files_compute_their_lexicon_once(spark, tmp_path):
+    """Four sorted files, each of which reads its rows twice."""
+    seen = spark.sparkContext.accumulator(0)
+    words = spark.createDataFrame([(f"s{i}", f"t{i % 7}", 1.0, 1.0, 3.0) for i in range(50)], "s string, t string, c double, c_e double, c_f double")
+    write_lexical(words.withColumn("c", F.udf(lambda c: seen.add(1) or c, "double")("c")), f"{tmp_path}/t", "lex")
+    assert seen.value == 50 == read_lexical_counts(spark, f"{tmp_path}/lex.count.e2f").count()
+
+
 def test_packed_files_are_read_by_member(spark, tmp_path):
     path = f"{tmp_path}/model/phrase-table.gz"
     write_phrase_table(phrases(spark, 4000), path, writers=5)
