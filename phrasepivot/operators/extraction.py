@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasepivot.operators.lexicon import with_lexical_weights
@@ -16,9 +16,24 @@ from phrasepivot.sources.shipping import ship
 MAX_LENGTH = 7
 #: Words of the sentences that are laid out at a time; a longer sentence stands alone.
 _WORDS = 20_000
+#: Bytes of phrase pairs that a task holds and counts before it sends them on.
+_COUNTED = 64 << 20
 _NONE = 1 << 60
 
 
+def _bytes(length: int) -> int:
+    """Of a place in a phrase of up to length words."""
+    return 1 if length <= 256 else 4
+
+
+def _points(length: int) -> Column:
+    """The alignment whose words are column points, as bytes."""
+    size = _bytes(length)
+    at = lambda i: F.conv(F.hex(F.substring("points", i * size + 1, F.lit(size))), 16, 10).cast("int")
+    point = lambda k: F.struct(at(2 * k).alias("s"), at(2 * k + 1).alias("t"))
+    return F.transform(F.sequence(F.lit(0), (F.octet_length("points") / (2 * size)).cast("int") - 1), point)
+
+
 class _Side:
     """The words of one side of some sentences, one after the other.
 
@@ -100,7 +115,10 @@ def _consistent(s: _Side, t: _Side, points: tuple[np.ndarray, np.ndarray], lengt
 
 
 def _extracting(length: int):
-    """Of batches of (src, tgt, align): their phrase pairs (src, tgt, align)."""
+    """Of batches of (src, tgt, align): their phrase pairs (src, tgt, points), and n, how many are alike in _COUNTED bytes.
+
+    points: as bytes, the source and the target word of each point, one byte a word where these are enough."""
+    kind = np.dtype(f">u{_bytes(length)}")
 
     def pairs(batch):
         import pyarrow as pa
@@ -123,11 +141,17 @@ def _extracting(length: int):
             sizes = end[j_] - begin[i_]
             to = np.concatenate([[0], np.cumsum(sizes)])
             place = np.repeat(begin[i_] - to[:-1], sizes) + np.arange(to[-1])
-            ends = [pa.array(v, pa.int32()) for v in (x[place] - np.repeat(i_, sizes), y[place] - np.repeat(a_, sizes))]
-            points = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.StructArray.from_arrays(ends, ["s", "t"]))
-            yield pa.RecordBatch.from_arrays([s.phrases(i_, j_), t.phrases(a_, b_), points], ["src", "tgt", "align"])
+            ends = np.stack([x[place] - np.repeat(i_, sizes), y[place] - np.repeat(a_, sizes)], axis=1).astype(kind)
+            points = pa.BinaryArray.from_buffers(pa.binary(), len(i_), [None, pa.py_buffer((to * 2 * ends.itemsize).astype(np.int32).tobytes()), pa.py_buffer(ends.tobytes())])
+            yield pa.RecordBatch.from_arrays([s.phrases(i_, j_), t.phrases(a_, b_), points], ["src", "tgt", "points"])
 
-    def run(batches):
+    def counted(held):
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(held).group_by(["src", "tgt", "points"]).aggregate([([], "count_all")])
+        yield from table.select(["src", "tgt", "points", "count_all"]).rename_columns(["src", "tgt", "points", "n"]).combine_chunks().to_batches(50_000)
+
+    def found(batches):
         import pyarrow.compute as pc
 
         for batch in batches:
@@ -138,6 +162,16 @@ def _extracting(length: int):
                 if z > a:
                     yield from pairs(batch.slice(a, z - a))
 
+    def run(batches):
+        held, size = [], 0
+        for batch in found(batches):
+            held, size = [*held, batch], size + batch.nbytes
+            if size > _COUNTED:
+                yield from counted(held)
+                held, size = [], 0
+        if held:
+            yield from counted(held)
+
     return run
 
 
@@ -150,11 +184,12 @@ def extract_phrases(sentences: DataFrame, max_length: int = MAX_LENGTH) -> DataF
     alignment has no pairs.
 
     Sentences stay where they are.  Their spans are laid out as arrays, batch by batch: as expressions of nested arrays
-    the same takes 20 times as long.  Counts are added up before the shuffle."""
+    the same takes 20 times as long.  Counts are added up before the shuffle, which deals the rows by both phrases, so that
+    score_phrases needs no other, with alignments as bytes."""
     ship(sentences.sparkSession)
     rows = sentences.select("src", "tgt", "align").where("src is not null and tgt is not null and align is not null")
-    found = rows.mapInArrow(_extracting(max_length), "src string, tgt string, align array<struct<s:int,t:int>>")
-    return found.groupBy("src", "tgt", "align").agg(F.count(F.lit(1)).alias("n"))
+    found = rows.mapInArrow(_extracting(max_length), "src string, tgt string, points binary, n long").repartition("src", "tgt")
+    return found.groupBy("src", "tgt", "points").agg(F.sum("n").alias("n")).select("src", "tgt", _points(max_length).alias("align"), "n")
 
 
 def score_phrases(extracted: DataFrame, lexicon: DataFrame) -> DataFrame:

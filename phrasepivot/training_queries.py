@@ -26,9 +26,9 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, src, tgt, align."""
     item, part = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
     more = ["l_extendedprice", "l_quantity", "l_partkey", "l_suppkey", "l_discount"]
-    order = Window.partitionBy("l_orderkey")
-    x = item.join(part, item.l_partkey == part.p_partkey).select(
-        F.col("l_orderkey").alias("id"), "l_quantity", "l_discount", F.split("p_name", " ")[0].alias("w"), F.lower("p_type").alias("x"),
+    order = Window.partitionBy("id")  # as the sentences are grouped by, so that items are dealt once
+    x = item.join(part, item.l_partkey == part.p_partkey).withColumnRenamed("l_orderkey", "id").select(
+        "id", "l_quantity", "l_discount", F.split("p_name", " ")[0].alias("w"), F.lower("p_type").alias("x"),
         (F.row_number().over(order.orderBy("l_linenumber", *more)) - 1).alias("s"), (F.row_number().over(order.orderBy(F.floor(F.col("l_linenumber") / 2), *more)) - 1).alias("t"), F.count(F.lit(1)).over(order).cast("int").alias("n"),
     )
     point = lambda t: F.struct(F.col("s"), t.cast("int").alias("t"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from phrasepivot.operators import lexicon
 from phrasepivot.operators.extraction import extract_phrases
 from phrasepivot.plans.training import aligned_sentences, phrase_table, read_sentences, train
 from phrasepivot.sources.phrase_table import read_lexical, read_phrase_table
@@ -136,3 +137,17 @@ def test_lines_of_unequal_number(spark):
     with pytest.raises(Exception, match="no line of tgt: 2"):
         aligned_sentences(of("0-0", "0-0"), of("a", "b"), of("c")).collect()
     assert aligned_sentences(of("0-0\tx"), of("\ta "), of("c")).select("src", F.size("align").alias("n")).first() == ("a", 1)
+
+
+def test_lexical_weights_by_a_large_and_a_small_lexicon(spark, monkeypatch):
+    sentences = frame(spark, list(random_sentences(60, 5)))
+    shown = lambda df: sorted((r.src, r.tgt, round(r.lex_st, 12), round(r.lex_ts, 12)) for r in df.collect())
+    small = shown(phrase_table(sentences, 3))
+    monkeypatch.setattr(lexicon, "SMALL_LEXICON", 0)
+    assert small == shown(phrase_table(sentences, 3)) and small
+
+
+def test_phrases_are_dealt_once(spark):
+    """By both phrases, for counting them with and without their alignment."""
+    pairs = extract_phrases(frame(spark, list(random_sentences(20, 1)))).groupBy("src", "tgt").agg(F.min("align"), F.sum("n"))
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
