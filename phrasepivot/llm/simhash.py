@@ -472,7 +472,8 @@ class Shard:
 
 
 def _similar(nodes, fps, shard: Shard, shingles) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links in the groups: of pairs that their trees give, then of all others that may be linked."""
+    """A spanning set of the links in the groups: of pairs that their trees give, which these decide, then of all others
+    that may be linked: those whose fingerprints differ in more than WIDE bits."""
     group, query, size = shard.group, shard.query, shard.size
     tree = np.flatnonzero(shard.in_tree)
     forest = Forest(fps[tree], group[tree])
@@ -509,7 +510,12 @@ def _similar(nodes, fps, shard: Shard, shingles) -> tuple[np.ndarray, np.ndarray
                 skip = np.repeat(begin[run[cut]] - (np.cumsum(count) - count), count)
                 yield np.repeat(query[q[cut]], count), order[skip + np.arange(int(count.sum()))]
 
-    for a, b in chain(candidates(), shard.pairs()):
+    def others():
+        for a, b in shard.pairs():
+            far = np.bitwise_count(fps[a] ^ fps[b]) > WIDE
+            yield a[far], b[far]
+
+    for a, b in chain(candidates(), others()):
         able = shard.may(a, b)
         order_a = np.argsort(a[able], kind="stable")
         a, b, rows = a[able][order_a], b[able][order_a], 1

@@ -322,6 +322,19 @@ def test_recall_of_shards_at_the_least_similarity():
         assert missed <= 2
 
 
+def test_trees_decide_the_pairs_within_their_radius(monkeypatch):
+    """Those that follow are the others: without the trees' pairs, near ones aren't found a second time."""
+    h = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 200).astype(np.uint64))
+    sets, fps = [h, h[1:]], np.array([simhash.majority(h), simhash.majority(h[1:])], np.int64).view(np.uint64)
+    assert np.bitwise_count(fps[0] ^ fps[1]) <= simhash.WIDE
+    keys, yes, none = np.array([simhash._minima(x) for x in sets]), np.ones(2, bool), np.zeros(2, np.int64)
+    turn = np.repeat((keys[0] == keys[1]).argmax(), 2)
+    links = lambda: len(simhash._similar(np.arange(2), fps, simhash.Shard(none, yes, yes, keys, np.array([200, 199]), np.arange(2), turn, 0.8), [x.tobytes() for x in sets])[0])
+    assert links() == 1
+    monkeypatch.setattr(simhash.Forest, "search", lambda *args: iter(()))
+    assert links() == 0
+
+
 def test_no_radius_filters_similar_rows():
     """Rows of a group whose fingerprints are opposite are linked if their shingles are similar."""
     rng = np.random.default_rng(3)
