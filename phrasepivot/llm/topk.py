@@ -1,9 +1,10 @@
 """Exact top-k inner products by no-random-access aggregation of sorted lists.
 
-A block of vectors has a sorted list for every dimension.  A query reads the lists
-in sequence, best contributions first, each as deep as its entries give no less than
-a common contribution.  What a row has not been met with gives it no more than that,
-and no less than the last entry of any list, which bounds its score from above and below.
+A block of vectors has a sorted list for every dimension.  All lists are read in sequence
+and to the same depth, from the end that gives a query most.  What a row has not been met
+with gives it no more than the last entry read, and no less than the list's last, which
+bounds its score from above and below.  What is read to a depth is the same for all queries,
+so their bounds are products of the queries with it.
 The k best lower bounds, or scores that earlier blocks have resolved, are the bar;
 a row whose upper bound is under it drops out.  Reading stops when no more than k
 rows can qualify, and these rows' scores are resolved.  No row is looked up before.
@@ -17,69 +18,141 @@ from pyspark.sql import functions as F
 
 from phrasepivot.llm.common import Staged, ship_package, tidy
 
-#: Vectors in a block, and bytes of the queries that are broadcast at once.
-BLOCK, CHUNK_BYTES = 4096, 16 << 20
-#: Pages of a list.
-PAGES = 64
-#: Shares of all entries after which the bounds are looked at.
-DEPTHS = (1 / 64, 0.25, 0.5, 0.7, 0.8, 0.88, 0.94, 0.98, 1.0)
+#: Vectors in a block, components in it where vectors are long, and bytes of the queries that are broadcast at once.
+BLOCK, CELLS, CHUNK_BYTES = 4096, 1 << 18, 16 << 20
+#: Shares of the lists after which the bounds are looked at.
+DEPTHS = (1 / 16, 0.3, 0.6, 0.7, 0.8, 0.88, 0.94, 1.0)
+#: Bounds that are worked out in one go: of queries with all rows, of single rows.
+LOOK, PAIRS = 1 << 21, 1 << 13
+
+
+def _groups(at: np.ndarray) -> np.ndarray:
+    """Places within runs of equal numbers, which are sorted."""
+    return np.arange(len(at)) - np.searchsorted(at, at)
+
+
+def _ranked(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query at, best first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, at))
+    order = order[_groups(at[order]) < k]
+    return at[order], ids[order], scores[order]
 
 
 class SortedLists:
     """For each dimension the rows of a block from the smallest component to the largest.
 
-    entries and resolved: how many entries of the lists have been read so far, and scores resolved."""
+    entries and resolved: how many entries of the lists have been read so far, and scores resolved, of all queries."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.row_ids, (self.n, self.d) = x, ids, x.shape
-        order = np.argsort(x, axis=0, kind="stable").T
-        values = np.take_along_axis(x.T, order, axis=1).astype(np.float64)
-        self.ids, self.values = list(np.ascontiguousarray(order)), list(values)
-        # every list is read in PAGES pages, whose first entries are known
-        self.pages = np.unique(np.linspace(0, self.n, PAGES + 1).astype(np.int64))
-        self.up, self.down = values[:, self.n - 1 - self.pages[:-1]], values[:, self.pages[:-1]]
+        columns = np.ascontiguousarray(x.T)
+        self.order = np.argsort(columns, axis=1, kind="stable")
+        self.values = np.take_along_axis(columns, self.order, axis=1)
+        self.largest = np.abs(self.values[:, [0, -1]].astype(np.float64)).max(axis=1)
+        self.by_id = np.argsort(ids, kind="stable")
+        self.tables: dict[tuple, np.ndarray] = {}
         self.entries = self.resolved = 0
 
-    def _read(self, q: np.ndarray, before: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and contributions of the entries from before to to of each list."""
-        n, many = self.n, to - before
-        parts = [(j, n - z, n - a) if up else (j, a, z) for j, (up, a, z) in enumerate(zip((q > 0).tolist(), before.tolist(), to.tolist())) if z > a]
-        self.entries += int(many.sum())
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        return np.concatenate([self.ids[j][a:z] for j, a, z in parts]), np.concatenate([self.values[j][a:z] for j, a, z in parts]) * np.repeat(q, many)
+    def _told(self, to: int, best: bool, kind: type) -> np.ndarray:
+        """What the first entries of each list, to in number, tell of a row: in the first d columns the lists are read from
+        their largest entries, in the others from their smallest.  What is unread counts as the last entry read (best) or as
+        the list's last."""
+        if (to, best, kind) not in self.tables:
+            n, d, v = self.n, self.d, self.values
+            told = np.empty((2 * d, n), kind)
+            told[:d], told[d:] = v[:, n - to if best else 0, None], v[:, to - 1 if best else n - 1, None]
+            np.put_along_axis(told[:d], self.order[:, n - to :], v[:, n - to :].astype(kind), axis=1)
+            np.put_along_axis(told[d:], self.order[:, :to], v[:, :to].astype(kind), axis=1)
+            self.tables[to, best, kind] = np.ascontiguousarray(told.T)
+        return self.tables[to, best, kind]
+
+    def _own(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the rows that have the query's id."""
+        ids = self.row_ids[self.by_id]
+        first = np.searchsorted(ids, own)
+        many = np.searchsorted(ids, own, "right") - first
+        at = np.repeat(np.arange(len(own)), many)
+        return at, self.by_id[first[at] + _groups(at)]
+
+    def _left(self, queries: np.ndarray, own: np.ndarray, k: int, held: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the rows that may be among a query's k best: no more than k, or all is read.
+
+        held: the k best scores of earlier blocks, -inf where there are fewer."""
+        n, m = self.n, len(queries)
+        q = queries.astype(kind)
+        both = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
+        slack = 1e-9 * (np.abs(queries.astype(np.float64)) @ self.largest)  # of the bounds' own rounding
+        used, lacking = (queries != 0).sum(axis=1), np.isneginf(held.min(axis=1))
+        bar = np.maximum(held.min(axis=1), np.finfo(np.float32).min)
+        first = np.concatenate([self.values[:, -1], self.values[:, 0]]).astype(kind)
+        go = np.flatnonzero(both @ first >= bar - slack)  # queries of which most rows are left
+        at, row, high = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)  # rows left of the other queries
+        out, before = [], 0
+
+        def bounds(best: bool) -> np.ndarray:
+            told = self._told(to, best, kind)
+            parts = [np.einsum("pd,pd->p", both[at[a : a + PAIRS]], told[row[a : a + PAIRS]]) for a in range(0, len(at), PAIRS)]
+            return np.concatenate(parts or [np.zeros(0, kind)])
 
-    def top(self, query: np.ndarray, k: int, own: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best of this block and of best, ties to the smaller id; rows of the id own take no part."""
-        n, q = self.n, query.astype(np.float64)
-        gives = np.where((q > 0)[:, None], self.up, self.down) * q[:, None]  # of the pages' first entries, best first
-        used = int((q != 0).sum())
-        worst = float((np.where(q > 0, self.down[:, 0], self.up[:, 0]) * q).min(initial=0.0))  # no entry gives less
-        first, spread, before = gives[:, 0], np.sort(gives.ravel()), np.zeros(self.d, np.int64)
-        score, met = np.zeros(n), np.zeros(n, np.int64)  # of the lists in which a row has been met, and how many
-        slack = 1e-9 * float(np.maximum(np.abs(self.up[:, 0]), np.abs(self.down[:, 0])) @ np.abs(q))  # of the bounds' own rounding
-        left = np.flatnonzero(self.row_ids != own)
         for depth in DEPTHS:
-            least = spread[int((1 - depth) * (len(spread) - 1))] if depth < 1 else -np.inf
-            # all pages that begin with least or more, so that what follows gives less
-            to = np.maximum(self.pages[(gives >= least).sum(axis=1)], before) if depth < 1 else np.full(self.d, n)
-            to = np.where(q == 0, 0, to)
-            rows, given = self._read(q, before, to)
-            score += np.bincount(rows, given, n)
-            met += np.bincount(rows, minlength=n)
-            before, opened = to, (to > 0) & (q != 0)
-            # what is unread of an opened list gives no more than least, of another no more than its best; 0 if all is read
-            rest = 0.0 if depth >= 1 else least
-            most = score + (int(opened.sum()) - met) * rest + (np.where(opened, 0, first).sum() if depth < 1 else 0.0)
-            sure = np.concatenate([best[1], (score + (used - met) * worst)[left]])
-            bar = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) >= k else -np.inf
-            left = left[most[left] >= bar - slack]
-            if len(left) <= k:
+            to = n if depth >= 1 else -int(-depth * n // 1)
+            reading = np.zeros(m, bool)
+            reading[go], reading[at] = True, True
+            self.entries += int((to - before) * used[reading].sum())
+            before = to
+            high = bounds(True)
+            if len(go):
+                most, mine = both[go] @ self._told(to, True, kind).T, self._own(own[go])
+                most[mine] = -np.inf
+                if lacking[go].any() or depth >= 1:  # what is read of this block has to make the bar
+                    least = both[go] @ self._told(to, False, kind).T if depth < 1 else most.copy()
+                    least[mine] = -np.inf
+                    sure = np.concatenate([held[go], np.partition(least, n - k, axis=1)[:, n - k :] if n > k else least], axis=1)
+                    bar[go] = np.maximum(bar[go], np.partition(sure, sure.shape[1] - k, axis=1)[:, sure.shape[1] - k])
+                may = most >= (bar - slack)[go, None].astype(kind)
+                few = (may.sum(axis=1) <= n // 8) | (depth >= 1)
+                new, rows = np.nonzero(may & few[:, None])
+                at, row, high = np.r_[at, go[new]], np.r_[row, rows], np.r_[high, most[new, rows]]
+                go = go[~few]
+            low = bounds(False)
+            above = low > bar[at]
+            if above.any():
+                some = np.isfinite(held)
+                sure, _, score = _ranked(np.r_[np.nonzero(some)[0], at[above]], np.zeros(int(some.sum() + above.sum()), np.int64), np.r_[held[some], low[above]], k)
+                last = np.flatnonzero(_groups(sure) == k - 1)
+                bar[sure[last]] = np.maximum(bar[sure[last]], score[last])
+            keep = high >= (bar - slack)[at].astype(kind)
+            at, row = at[keep], row[keep]
+            done = (np.bincount(at, minlength=m)[at] <= k) | (depth >= 1)
+            out.append((at[done], row[done]))
+            at, row = at[~done], row[~done]
+            if not len(at) and not len(go):
                 break
-        self.resolved += len(left)
-        ids, scores = np.concatenate([best[0], self.row_ids[left]]), np.concatenate([best[1], self.x[left] @ query])
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, score) of the k best of this block and of best, ties to the smaller id, sorted by place; rows
+        that have the query's id take no part."""
+        if not len(queries):
+            return best
+        at, ids, scores = best
+        held = np.full((len(queries), k), -np.inf)
+        held[at, _groups(at)] = scores
+        # bounds are whole numbers; where all sums are below 2**24 single precision holds them
+        kind = np.float32 if np.abs(queries.astype(np.float64)).max(axis=0) @ self.largest < 2**24 else np.float64
+        found, many = [], max(1, LOOK // self.n)
+        for a in range(0, len(queries), many):
+            q, row = self._left(queries[a : a + many], own[a : a + many], k, held[a : a + many], kind)
+            self.resolved += len(q)
+            exact = [np.einsum("pd,pd->p", self.x[row[i : i + PAIRS]], queries[a + q[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)]
+            earlier = slice(*np.searchsorted(at, [a, a + many]))
+            found.append(_ranked(np.r_[at[earlier], a + q], np.r_[ids[earlier], self.row_ids[row]], np.r_[scores[earlier], *exact], k))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def top(self, query: np.ndarray, k: int, own: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of this block and of best for one query."""
+        at = np.zeros(len(best[0]), np.int64)
+        return self.search(query[None], np.array([own]), k, _ranked(at, *best, k))[1:]
 
 
 def scaled(vector: Column, scale: int) -> Column:
@@ -101,9 +174,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """query_id, rank (from 1), vec_id, score: for each query its k rows of vectors of highest integer inner product.
 
     Components are floor(scale * x); ties go to the smaller id.  Queries go out in chunks of CHUNK_BYTES; the
-    vectors stay where they are, and a task makes its rows into blocks with sorted lists.  It keeps the k best of
-    each query over its blocks, so a later block is read no deeper than it could still better these; tasks' k
-    best are ranked.
+    vectors stay where they are, and a task makes its rows into blocks with sorted lists, a small one first.  It
+    keeps the k best of each query over its blocks, so a later block is read no deeper than it could still better
+    these; tasks' k best are ranked.
 
     Rows with a null id, a null vector, a null or non-finite component, or one of which scale times is 2**62 or
     more, take no part; a score must fit a long.  Rows with the query's own id are
@@ -149,28 +222,25 @@ def _searching(sent, k: int, dims: int):
         import pyarrow as pa
 
         asks, queries = sent.value
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(asks)
+        best = (np.zeros(0, np.int64),) * 3
         ids, parts, held = [], [], 0
-
-        def search() -> None:
-            lists = SortedLists(np.concatenate(parts), np.concatenate(ids))
-            for i, (ask, q) in enumerate(zip(asks.tolist(), queries)):
-                best[i] = lists.top(q, k, ask, best[i])
+        # a small block first, as the k best so far are the bar of the next
+        most = min(BLOCK, max(64, CELLS // dims))
+        size = max(1, most // 8)
 
         for b in batches:
             i, x, a = np.asarray(b.column(0)).astype(np.int64), _matrix(b.column(1), dims), 0
             while a < len(i):
-                z = min(len(i), a + BLOCK - held)
+                z = min(len(i), a + size - held)
                 ids.append(i[a:z])
                 parts.append(x[a:z])
                 held, a = held + z - a, z
-                if held == BLOCK:
-                    search()
-                    ids, parts, held = [], [], 0
+                if held == size:
+                    best = SortedLists(np.concatenate(parts), np.concatenate(ids)).search(queries, asks, k, best)
+                    ids, parts, held, size = [], [], 0, min(most, 2 * size)
         if held:
-            search()
-        many = [len(x[0]) for x in best]
-        flat = [np.concatenate(c) if best else np.zeros(0, np.int64) for c in zip(*best)] or [np.zeros(0, np.int64)] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks, many)), *map(pa.array, flat)], ["query_id", "vec_id", "score"])
+            best = SortedLists(np.concatenate(parts), np.concatenate(ids)).search(queries, asks, k, best)
+        at, *found = best
+        yield pa.RecordBatch.from_arrays([pa.array(asks[at]), *map(pa.array, found)], ["query_id", "vec_id", "score"])
 
     return run
