@@ -38,9 +38,8 @@ DISCOUNT = 0.75
 LOG10 = float(np.log(10))
 
 
-def _hash(word: bytes) -> int:
-    x = xxhash.xxh3_64_intdigest(word)
-    return x - (1 << 64) if x >> 63 else x
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _encode(words: list[bytes], path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
@@ -51,10 +50,12 @@ def _encode(words: list[bytes], path: str, pattern: str) -> tuple[np.ndarray, np
     from phrasepivot.llm.tokenize_docs import SPACES, rank_encoder, token_ids
 
     encoder = rank_encoder(path, pattern)
-    odd = re.compile(f"[{SPACES}]").search
-    text = [w.decode() for w in words]
-    alone = {i: token_ids(encoder, " " + t) for i, t in enumerate(text) if not t.isascii() and odd(t)}
-    flat = np.array(encoder.encode_ordinary("".join([" " + t for i, t in enumerate(text) if i not in alone])), np.int64)
+    odd = re.compile(f"[{SPACES.removeprefix('\t-\r ')}]").search
+    text, alone = b"".join([b" " + w for w in words]).decode(), {}
+    if odd(text):
+        alone = {i: token_ids(encoder, " " + t) for i, t in enumerate(w.decode() for w in words) if odd(t)}
+        text = b"".join([b" " + w for i, w in enumerate(words) if i not in alone]).decode()
+    flat = np.array(encoder.encode_ordinary(text), np.int64)
     begin = np.flatnonzero(_starts(path, pattern, encoder.n_vocab + 1)[flat])
     if alone:
         parts = iter(np.split(flat, begin[1:]) if len(begin) else [])
@@ -90,17 +91,19 @@ class Vocabulary:
         self.index: dict[bytes, int] = defaultdict(count().__next__)
         self.columns: list[np.ndarray] = []
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the texts' words, one text after the other; and how many words each text has."""
         if len(self.index) > self.limit:
             self.done()
             self.clear()
         at = len(self.index)
-        out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        words, place, many = _words(texts)
+        out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[place]
         if len(self.index) > at or not self.columns:
             new = list(islice(reversed(self.index), len(self.index) - at))[::-1]
-            made = self.describe(*_encode(new, self.path, self.pattern), np.fromiter(map(_hash, new), np.int64, len(new)))
+            made = self.describe(*_encode(new, self.path, self.pattern), _hashes(new))
             self.columns = [np.concatenate([x, y]) for x, y in zip(self.columns, made)] if self.columns else list(made)
-        return out
+        return out, many
 
 
 def _sequences(heads: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
@@ -110,8 +113,19 @@ def _sequences(heads: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.translate(ASCII_LOWER).split()
+def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of texts as they are first met, the place there of each word, one text after the other, and
+    how many words each text has.  Arrow tells words apart, so that Python meets each once."""
+    import pyarrow as pa
+
+    data = np.frombuffer((b" ".join(texts) + b" ").translate(ASCII_LOWER), np.uint8)
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    edge = np.flatnonzero(np.diff(space, prepend=True))  # begins and ends of words in turn, as the last byte is a space
+    begin = edge[::2]
+    offsets = np.append(0, np.cumsum(edge[1::2] - begin))
+    each = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]).dictionary_encode()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return each.dictionary.to_numpy(zero_copy_only=False).tolist(), each.indices.to_numpy(), np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
 def _id_type(size: int) -> type:
@@ -155,11 +169,9 @@ def read_corpus(texts: DataFrame, path: str, pattern: str, size: int) -> DataFra
         for b in small_batches(batches, BATCH_BYTES, "text"):
             raw = texts_of(b.column(0))
             total += len(raw)
-            split = [_words(t) for t in raw]
-            many = np.array([len(w) for w in split], np.int64)
-            if not len(many):
+            if not raw:
                 continue
-            numbers = vocabulary.numbers([w for words in split for w in words])
+            numbers, many = vocabulary.numbers(raw)
             yield from ready
             ready.clear()
             met, at = np.bincount(numbers, minlength=len(vocabulary.index)), 0
@@ -339,7 +351,7 @@ def _scores(docs: DataFrame, held_out: Column, path: str, pattern: str, size: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        # a number for each row: of copies that are met anew, one list of rare words counts
+        # a number for each row: copies of a text have that of the row whose rare words are listed for them
         turn = TaskContext.get().partitionId() << 36
         (model, speller, whole, spare), of = sent.value, known.value
 
@@ -360,9 +372,7 @@ def _scores(docs: DataFrame, held_out: Column, path: str, pattern: str, size: in
             fresh = sorted({k: i for i, k in enumerate(keys) if k not in seen}.values())
             out, far, left, held = {}, np.zeros(0, np.int64), np.zeros(0), np.zeros(len(keys), np.int64)
             if fresh:
-                split = [_words(texts[i]) for i in fresh]
-                sizes = np.array([len(w) for w in split], np.int64)
-                numbers = vocabulary.numbers([w for words in split for w in words])
+                numbers, sizes = vocabulary.numbers([texts[i] for i in fresh])
                 heads, other, rest, share, own = (c[numbers] for c in vocabulary.columns[:5])
                 text = np.repeat(np.arange(len(fresh)), sizes)
                 others = np.bincount(text[other], minlength=len(fresh))
@@ -373,7 +383,7 @@ def _scores(docs: DataFrame, held_out: Column, path: str, pattern: str, size: in
                 total = np.bincount(text, first + share, len(fresh)) + ends
                 alone = np.bincount(text, first + rest, len(fresh)) + ends
                 for j, i in enumerate(fresh):
-                    out[keys[i]] = (int(sizes[j]) + 1, int(sizes[j] - others[j]) + end_known, float(base[j]), float(total[j] / LOG10), float(alone[j] / LOG10))
+                    out[keys[i]] = (int(sizes[j]) + 1, int(sizes[j] - others[j]) + end_known, float(base[j]), float(total[j] / LOG10), float(alone[j] / LOG10), turn + i)
                 far, left, held[fresh] = *(c[numbers[other]] for c in vocabulary.columns[5:]), others
             mine = [out.get(k) or seen[k] for k in keys]
             if len(seen) > CACHED:
@@ -382,19 +392,18 @@ def _scores(docs: DataFrame, held_out: Column, path: str, pattern: str, size: in
             rare = pa.StructArray.from_arrays([pa.array(far), pa.array(left)], ["w", "left"])
             listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)).astype(np.int32)), rare)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(turn + np.arange(len(keys))), *(pa.array([m[j] for m in mine], pa.int64() if j < 2 else pa.float64()) for j in range(5)), listed],
-                ["doc_id", "held_out", "k1", "k2", "turn", "n_tokens", "known", "base", "score", "attention_score", "rare"],
+                [b.column(0), b.column(1), *(pa.array([m[j] for m in mine], pa.float64() if 2 <= j < 5 else pa.int64()) for j in range(6)), listed],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "attention_score", "turn", "rare"],
             )
             turn += len(keys)
 
-    schema = f"doc_id {kind}, held_out boolean, k1 long, k2 long, turn long, n_tokens long, known long, base double, score double, attention_score double, rare array<struct<w:long,left:double>>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, attention_score double, turn long, rare array<struct<w:long,left:double>>"
     scored = Staged(spark, rows.mapInArrow(tidy(run), schema), "scored").df
-    each = scored.where(F.size("rare") > 0).select("k1", "k2", "turn", F.explode("rare").alias("r")).select("k1", "k2", "turn", "r.w", "r.left")
+    each = scored.where(F.size("rare") > 0).select("turn", F.explode("rare").alias("r")).select("turn", "r.w", "r.left")
     counted = each.join(words.select(F.col("k").alias("w"), "n"), "w", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     mixed = F.when(c > 0, F.log(c - DISCOUNT + F.exp("left"))).otherwise(F.col("left")) / LOG10
-    sums = counted.groupBy("k1", "k2", "turn").agg(F.sum(F.log10(c + 1) - denominator).alias("rare_base"), F.sum((c > 0).cast("long")).alias("rare_known"), F.sum(mixed).alias("rare_score"))
-    sums = sums.groupBy("k1", "k2").agg(F.min_by(F.struct("rare_base", "rare_known", "rare_score"), "turn").alias("x"))  # a text that several tasks met, or one after it forgot it
-    return scored.drop("rare", "turn").join(sums, ["k1", "k2"], "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("x.rare_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("x.rare_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("x.rare_score", F.lit(0.0))).alias("score"), "attention_score"
+    sums = counted.groupBy("turn").agg(F.sum(F.log10(c + 1) - denominator).alias("rare_base"), F.sum((c > 0).cast("long")).alias("rare_known"), F.sum(mixed).alias("rare_score"))
+    return scored.drop("rare").join(sums, "turn", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"), "attention_score"
     )

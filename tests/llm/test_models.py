@@ -409,6 +409,60 @@ def test_copies_met_after_the_cache_began_anew(spark, monkeypatch):
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / d) for w in texts[r.doc_id].split()) + math.log10(13 / d), rel=1e-9)
 
 
+def test_a_batch_asks_for_each_word_once():
+    """Words are those of bytes.split, numbered as they are first met, and only a batch's different words go through Python."""
+
+    class Asked(dict):
+        times = 0
+
+        def __missing__(self, word):
+            return self.setdefault(word, len(self))
+
+        def __getitem__(self, word):
+            Asked.times += 1
+            return super().__getitem__(word)
+
+    texts = [b"", b" \t\n", b"Red red  GREEN\x0b\x0cblue", "a\x1fb \x85 \xa0c \u3000".encode(), b"red " * 500, b"\r\nlast", "\xc9\x00 \xe9".encode()]
+    vocabulary = lm_scoring.Vocabulary(RANKS, public_tokenizers.PATTERN, 1000, lambda ids, begin, hashes: (ids[begin], hashes))
+    vocabulary.index = Asked()
+    split = [t.translate(lm_scoring.ASCII_LOWER).split() for t in texts]
+    order = list(dict.fromkeys(w for words in split for w in words))
+    for _ in range(2):
+        Asked.times = 0
+        numbers, many = vocabulary.numbers(texts)
+        assert many.tolist() == [len(words) for words in split]
+        assert [order[i] for i in numbers] == [w for words in split for w in words]
+        assert Asked.times == len(order) < sum(many)
+    assert list(vocabulary.index) == order and [len(c) for c in vocabulary.columns] == [len(order)] * 2
+    for none in ([], [b""], [b"\n", b""]):
+        numbers, many = vocabulary.numbers(none)
+        assert len(numbers) == 0 and many.tolist() == [0] * len(none)
+
+
+def test_rare_words_are_joined_by_a_row_number(spark, monkeypatch):
+    """A task lists a text's rare words once, under its row's number, which copies share; nothing is dealt by texts' keys."""
+    rows, stage = {}, lm_scoring.Staged
+
+    def kept(spark, df, name):
+        out = stage(spark, df, name)
+        rows[name] = out.df.collect()
+        return out
+
+    monkeypatch.setattr(lm_scoring, "Staged", kept)
+    monkeypatch.setattr(lm_scoring, "TOP_WORDS", 0)
+    texts = ["red green", "blue", "red green", "", "red green", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = lm_scoring.score_documents(docs, F.lit(False), RANKS, public_tokenizers.PATTERN, 50_257).collect()
+    assert {"k1", "k2"}.isdisjoint(rows["scored"][0].asDict())
+    listed = {r.turn for r in rows["scored"] if r.rare}
+    held = {r.doc_id: r.turn for r in rows["scored"]}
+    assert all(held[i] in listed for i, t in enumerate(texts) if t)
+    assert len(listed) == len({held[i] for i, t in enumerate(texts) if t})
+    for r in got:
+        assert r.n_known == r.n_tokens == len((texts[r.doc_id] or "").split()) + 1
+    assert len({round(r.base_score, 9) for r in got if texts[r.doc_id] == "red green"}) == 1
+
+
 # ---- runs of white space, and words with white space beyond ASCII ---------------------------
 
 
