@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import Carried, KeyFilter, Staged, scratch, ship_package, small_batches, texts_of, tidy
+from phrasepivot.llm.common import STEP_BYTES, Carried, KeyFilter, Staged, scratch, ship_package, small_batches, texts_of, tidy
 from phrasepivot.llm.suffix_dedup import text_key
 
-#: Most words whose hashes, and most texts that, a worker remembers; it begins anew beyond.
-KEPT = 200_000
+#: Most texts, and most words with their hashes, that a worker remembers; it begins anew beyond.
+KEPT, KEPT_WORDS = 200_000, 1 << 16
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -44,7 +44,7 @@ class _Hashes(dict):
     """By word, its hash; begins anew when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -123,7 +123,7 @@ def _counts(docs: DataFrame, shingles: DataFrame, single: bool) -> DataFrame:
             counts.clear()
             return out
 
-        for b in small_batches(batches, 4 << 20, "text"):
+        for b in small_batches(batches, STEP_BYTES, "text"):
             text, _, found = _hits_of([words_of(t) for t in texts_of(b.column(0))], hashes, wanted, single)
             order = np.lexsort((found, text))
             text, found = text[order], found[order]
@@ -144,7 +144,7 @@ def _candidates(docs: DataFrame, prefixes: DataFrame, width: int, single: bool,
         import pyarrow as pa
 
         wanted, hashes, seen = sent.value, _Hashes(), set()
-        for b in small_batches(batches, 4 << 20, "text"):
+        for b in small_batches(batches, STEP_BYTES, "text"):
             texts = texts_of(b.column(1))
             keys, split = [text_key(t) for t in texts], [words_of(t) for t in texts]
             many, fresh, flat = [len(w) for w in split], [], [[], [], [], []]
@@ -244,7 +244,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, least_share: float = 0.
         import pyarrow as pa
 
         judged = sent.value
-        for b in small_batches(batches, 4 << 20, "text"):
+        for b in small_batches(batches, STEP_BYTES, "text"):
             keys = [text_key(t) for t in texts_of(b.column(0))]
             k1 = np.array([k[0] for k in keys], np.int64)
             rows = pa.array(np.flatnonzero(judged.may(k1) == asked))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import Carried, ship_package, small_batches, tidy, utf8_views
+from phrasepivot.llm.common import STEP_BYTES, Carried, ship_package, small_batches, tidy, utf8_views
 
 #: Bytes in a window; widths of the filters, and how many there are of each; size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 8, 8
@@ -133,6 +133,8 @@ def labelled_windows(docs: DataFrame, text: Column, lang: Column) -> tuple[np.nd
 
     How many texts a language has says how low a hash must be to be looked at, so that about twice the sample is
     gathered; copies count once and are counted as one before they are."""
+    import pyarrow as pa
+
     mark = F.xxhash64(text)
     place = F.pmod(mark, F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1
     rows = docs.where(text.isNotNull() & lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("lang"), mark.alias("mark"), F.substring(text, place, F.lit(WINDOW)).alias("piece"))
@@ -143,7 +145,9 @@ def labelled_windows(docs: DataFrame, text: Column, lang: Column) -> tuple[np.nd
     # a share of the hashes, as unsigned 53-bit numbers
     bounds = [(r.lang, int(min(1.0, (2 * quota + 50) / max(r.n, 1)) * (1 << 53))) for r in many]
     low = F.shiftrightunsigned("mark", 11)
-    asked = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    # as an Arrow table, which takes no Python worker of another kind on the executors
+    langs, lows = zip(*bounds)
+    asked = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "bound": pa.array(lows, pa.int64())}))
     picked = rows.join(F.broadcast(asked), "lang").where(low < F.col("bound")).groupBy("lang", low.alias("low"), "mark").agg(F.min("piece").alias("piece")).collect()
     by_lang: dict[str, list] = {}
     for r in sorted(picked, key=lambda r: (r.low, r.mark)):
@@ -178,7 +182,7 @@ def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", te
         import pyarrow as pa
 
         model = sent.value
-        for b in small_batches(batches, 4 << 20, "text"):
+        for b in small_batches(batches, STEP_BYTES, "text"):
             known = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool) & (model is not None)
             best, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
             if known.any():

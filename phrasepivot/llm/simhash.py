@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasepivot.llm.common import ASCII_LOWER, Carried, KeyFilter, Staged, scratch, ship_package, shuffle_partitions, small_batches, texts_of, tidy
+from phrasepivot.llm.common import ASCII_LOWER, STEP_BYTES, Carried, KeyFilter, Staged, scratch, ship_package, shuffle_partitions, small_batches, texts_of, tidy
 from phrasepivot.llm.components import connected_components
 
 #: Most nodes of one tree; larger shards are searched chunk by chunk.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     def run(batches):
         import pyarrow as pa
 
-        for b in small_batches(batches, 4 << 20, "text"):
+        for b in small_batches(batches, STEP_BYTES, "text"):
             fp = np.array([fingerprint(t, width) for t in texts_of(b.column(1))], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
@@ -323,7 +323,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     def run(batches):
         import pyarrow as pa
 
-        for b in small_batches(batches, 4 << 20, "text"):
+        for b in small_batches(batches, STEP_BYTES, "text"):
             out = [[], [], [], []]
             for text in texts_of(b.column(2)):
                 h = np.unique(shingle_hashes(text, width))
@@ -347,7 +347,7 @@ def _shingles(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) ->
         import pyarrow as pa
 
         wanted, seen = sent.value, set()
-        for b in small_batches(batches, 4 << 20, "text"):
+        for b in small_batches(batches, STEP_BYTES, "text"):
             texts = texts_of(b.column(0))
             nodes = np.array([_node(t) for t in texts], np.int64)
             out = [[], []]
